@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["lending"]
+MODULES = ["lending", "tables", "testing"]
 
 
 def load_catalog():
