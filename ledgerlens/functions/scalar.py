@@ -30,3 +30,9 @@ def exact_sum(value: Column, scale: int = 4) -> Column:
 def seconds(ts: Column) -> Column:
     """Seconds since the epoch with microseconds."""
     return F.unix_micros(ts.cast("timestamp")).cast("double") / F.lit(1e6)
+
+
+def elapsed(end: Column, start: Column) -> Column:
+    """Seconds between two times, exact to the microsecond."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return micros.cast("double") / F.lit(1e6)

@@ -169,15 +169,20 @@ def windowed(
     after: int = 0,
     slices: Slices | None = None,
     block: int = BLOCK,
+    position: str | None = None,
 ) -> DataFrame:
     """Columns that look at most ``before`` rows back and ``after`` rows ahead (lag, lead, short row frames).
 
     ``build`` receives the ordered window and returns the columns. Heavy keys are cut into blocks of ``block`` rows, and
-    the rows near a border are copied into the neighbouring block, so every look-back is complete.
+    the rows near a border are copied into the neighbouring block, so every look-back is complete. ``position`` names
+    an extra column with the 1-based place in the key.
     """
     keys, order = as_list(keys), as_list(order)
     if slices is None:
-        built = build(Window.partitionBy(*keys).orderBy(*order))
+        window = Window.partitionBy(*keys).orderBy(*order)
+        built = build(window)
+        if position:
+            built[position] = F.row_number().over(window).cast("long")
         return df.select("*", *[c.alias(n) for n, c in built.items()])
     block = max(block, before, after)
     own = F.floor((F.col("_at") - 1) / block)
@@ -193,7 +198,8 @@ def windowed(
     spread = spread.select(*df.columns, "_at", F.col("_place.b").alias("_block"), F.col("_place.own").alias("_own"))
     built = build(Window.partitionBy(*keys, "_block").orderBy("_at"))
     wide = spread.select("*", *[c.alias(n) for n, c in built.items()])
-    return wide.where("_own").drop("_at", "_block", "_own")
+    kept = wide.where("_own").drop("_block", "_own")
+    return kept.withColumnRenamed("_at", position) if position else kept.drop("_at")
 
 
 def ranked(df: DataFrame, keys: str | Sequence[str], order: str, slices: Slices | None = None, name: str = "_rank") -> DataFrame:
