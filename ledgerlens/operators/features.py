@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import elapsed, flag, seconds
 from ledgerlens.operators.quantiles import quantiles
-from ledgerlens.operators.skew import Slices, as_list, measure, running, windowed
+from ledgerlens.operators.skew import Slices, as_list, attach, cut, heavy_keys, running, windowed
 from ledgerlens.operators.temporal import money
 
 BATCH = 200
@@ -116,22 +116,21 @@ def distinct_aggregates(df: DataFrame, key: str, cols: Sequence[str], prefix: st
     return _wide(per_column, key, cols, {prefix + "num_unique_%s": F.col("u"), prefix + "percent_unique_%s": F.col("u") / F.col("n")})
 
 
-def medians(df: DataFrame, key: str, cols: Sequence[str], prefix: str = "", **limits) -> DataFrame:
-    frames = []
-    for c in cols:
-        slices = measure(df, key, c, **limits)
-        frames.append(quantiles(df, key, c, {f"{prefix}median_{c}": 0.5}, slices))
-    return _join_on(key, frames)
+def medians(df: DataFrame, key: str, cols: Sequence[str], prefix: str = "", hot: DataFrame | None = None) -> DataFrame:
+    """Exact medians; with heavy keys each column is cut on its own values."""
+    if hot is None:
+        return df.groupBy(key).agg(*[F.percentile(c, 0.5).alias(f"{prefix}median_{c}") for c in cols])
+    return _join_on(key, [quantiles(df, key, c, {f"{prefix}median_{c}": 0.5}, cut(df, key, c, hot)) for c in cols])
 
 
 def mean_counts(
-    df: DataFrame, key: str, cols: Sequence[str], prefix: str = "", n_std: float = 1.0, low: float = 0.0, high: float = 50.0
+    df: DataFrame, key: str, cols: Sequence[str], prefix: str = "", n_std: float = 1.0, low: float = 0.0, high: float = 50.0, hot: DataFrame | None = None
 ) -> DataFrame:
     """Rows above and below the key's mean, inside and outside ``n_std`` deviations, and in ``[low, high)``."""
     stats = df.groupBy(key).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols]
     )
-    rows = df.select(key, *cols).join(stats, key)
+    rows = attach(df.select(key, *cols), stats, key, hot and Slices((key,), hot, ()))
     exprs = []
     for c in cols:
         x, m, s, p = F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}"), f"{prefix}%s_{c}"
@@ -145,15 +144,16 @@ def mean_counts(
     return agg_batches(rows, key, exprs)
 
 
-def dfs_agg(child: DataFrame, key: str, cols: Sequence[str], prefix: str = "") -> DataFrame:
+def dfs_agg(child: DataFrame, key: str, cols: Sequence[str], prefix: str = "", **limits) -> DataFrame:
     """All numeric aggregates of a child table, one row per key."""
+    hot = heavy_keys(child, key, **limits)
     return _join_on(
         key,
         [
             numeric_aggregates(child, key, cols, prefix),
             distinct_aggregates(child, key, cols, prefix),
-            medians(child, key, cols, prefix),
-            mean_counts(child, key, cols, prefix),
+            medians(child, key, cols, prefix, hot),
+            mean_counts(child, key, cols, prefix, hot=hot),
         ],
     )
 
@@ -242,9 +242,13 @@ def ordered_aggregates(df: DataFrame, key: str, order: Sequence[str], col: str,
     return facts.join(slope, key)
 
 
-def dfs_direct(target: DataFrame, key: str, *parents: DataFrame) -> DataFrame:
-    """Attach per-retailer features to each loan; NULL where a retailer has no rows in a child."""
-    return reduce(lambda a, b: a.join(b, key, "left"), parents, target)
+def dfs_direct(target: DataFrame, key: str, *parents: DataFrame, slices: Slices | None = None) -> DataFrame:
+    """Attach per-retailer features to each loan; NULL where a retailer has no rows in a child.
+
+    The parents are put together first (they share the key's partitioning), so the loans are joined once.
+    """
+    facts = reduce(lambda a, b: a.join(b, key, "full"), parents)
+    return attach(target, facts, key, slices, "left")
 
 
 # --- transforms of loan columns ------------------------------------------------------------------------------------
@@ -435,7 +439,7 @@ def percentile_feature(df: DataFrame, key: str, col: str, slices: Slices | None
     values = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
     placed = running(values, key, col, {"_upto": ("sum", F.col("_c"))}, slices)
     totals = values.groupBy(key).agg(F.sum("_c").alias("_n"))
-    shares = placed.join(totals, key).select(key, col, ((2 * F.col("_upto") - F.col("_c") + 1) / (2 * F.col("_n"))).alias(name))
+    shares = attach(placed, totals, key, slices).select(key, col, ((2 * F.col("_upto") - F.col("_c") + 1) / (2 * F.col("_n"))).alias(name))
     return df.join(shares, [key, col])
 
 

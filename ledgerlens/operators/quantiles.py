@@ -16,7 +16,7 @@ def _counted(df: DataFrame, keys: list[str], col: str, names: dict[str, float],
     placed = running(values, keys, col, {"_upto": ("sum", F.col("_c"))}, slices)
     if keys:
         totals = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-        placed = placed.join(totals, keys)
+        placed = placed.join(F.broadcast(totals), keys)  # heavy keys only: one row for each
         n = F.col("_n")
     else:
         n = values.agg(F.sum("_c")).scalar()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import flag, seconds
 from ledgerlens.operators.quantiles import quantiles
-from ledgerlens.operators.skew import Slices, as_list, measure, running, windowed
+from ledgerlens.operators.skew import Slices, as_list, attach, cut, heavy_keys, running, windowed
 from ledgerlens.operators.temporal import money
 
 POS = "_pos"
@@ -74,7 +74,8 @@ def thresholds(
 ) -> DataFrame:
     """Counts against fixed limits and against the key's own mean and deviation."""
     x = F.col(value).cast("double")
-    rows = df.where(x.isNotNull()).select(key, x.alias("x")).join(_stats(df, key, value), key)
+    rows = df.where(x.isNotNull()).select(key, x.alias("x"))
+    rows = attach(rows, _stats(df, key, value), key, slices)
     x, mu, sd = F.col("x"), F.col("mu"), F.col("sd")
     span = F.max("hi") - F.max("lo")
     facts = rows.groupBy(key).agg(
@@ -121,7 +122,8 @@ def repetition(df: DataFrame, key: str, value: str, top: int = 3) -> DataFrame:
 def distribution(df: DataFrame, key: str, order: Sequence[str], value: str, qs: Sequence[float] = (0.1, 0.9), bins: int = 10, mass: float = 0.5, slices: Slices | None = None, value_slices: Slices | None = None) -> DataFrame:
     """Quantiles, entropy over equal bins, agreement with Benford's law and the place where ``mass`` of |x| is reached."""
     frames = [quantiles(df, key, value, {f"quantile_{str(q).replace('.', '_')}": q for q in qs}, value_slices)]
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x")).join(_stats(df, key, value), key)
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
+    rows = attach(rows, _stats(df, key, value), key, slices)
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
     share = _ratio(F.col("c"), F.col("n"))
@@ -143,7 +145,7 @@ def distribution(df: DataFrame, key: str, order: Sequence[str], value: str, qs:
     upto = running(placed, key, POS, {"_upto": ("sum", size)}, _by_position(slices, placed), peers=False)
     totals = placed.groupBy(key).agg(F.sum(size).alias("_total"), F.count(F.lit(1)).alias("_n"))
     reached = F.min(F.when(F.col("_upto").cast("double") >= mass * F.col("_total").cast("double"), F.col(POS)))
-    frames.append(upto.join(totals, key).groupBy(key).agg(_ratio(reached, F.max("_n")).alias("index_mass_quantile")))
+    frames.append(attach(upto, totals, key, slices).groupBy(key).agg(_ratio(reached, F.max("_n")).alias("index_mass_quantile")))
     return reduce(lambda a, b: a.join(b, key, "left"), frames)
 
 
@@ -162,7 +164,7 @@ def changes(df: DataFrame, key: str, order: Sequence[str], value: str, ql: float
     x, b, a = F.col("x"), F.col("b1"), F.col("a1")
     step = x - b
     inside = x.between(F.col("_ql"), F.col("_qh")) & b.between(F.col("_ql"), F.col("_qh"))
-    return rows.join(corridor, key).groupBy(key).agg(
+    return attach(rows, corridor, key, slices).groupBy(key).agg(
         F.avg(step).alias("mean_change"),
         F.avg(F.abs(step)).alias("mean_abs_change"),
         F.coalesce(F.sum(F.abs(step)), F.lit(0.0)).alias("absolute_sum_of_changes"),
@@ -175,7 +177,8 @@ def changes(df: DataFrame, key: str, order: Sequence[str], value: str, ql: float
 
 def positions(df: DataFrame, key: str, order: Sequence[str], value: str, m: float = 0.0, support: int = 1, slices: Slices | None = None) -> DataFrame:
     """Where extremes lie, longest runs around the mean, crossings of ``m`` and peaks of a given support."""
-    rows = _placed(df, key, order, value, max(support, 1), support, slices).join(_stats(df, key, value), key)
+    rows = _placed(df, key, order, value, max(support, 1), support, slices)
+    rows = attach(rows, _stats(df, key, value), key, slices)
     x, at = F.col("x"), F.col(POS)
     n = F.max("n")
     above = x > m
@@ -220,7 +223,8 @@ def lag_statistics(df: DataFrame, key: str, order: Sequence[str], value: str, la
     """Autocorrelation and its mean and variance over lags, partial autocorrelation, autoregressive coefficients
     (Yule-Walker), c3 and time reversal asymmetry. Lags a series does not have are NULL."""
     top = max(lags, partial)
-    rows = _placed(df, key, order, value, max(top, 2 * lags), 0, slices).join(_stats(df, key, value), key)
+    rows = _placed(df, key, order, value, max(top, 2 * lags), 0, slices)
+    rows = attach(rows, _stats(df, key, value), key, slices)
     x, mu = F.col("x"), F.col("mu")
     exprs = []
     for lag in range(1, top + 1):
@@ -253,7 +257,7 @@ def trends(df: DataFrame, key: str, order: Sequence[str], value: str, chunk: int
     ts = as_list(order)[0]
     rows = _placed(df, key, order, value, 0, 0, slices)
     stats = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("_t0"))
-    rows = rows.join(stats, key)
+    rows = attach(rows, stats, key, slices)
     x, i = F.col("x"), (F.col(POS) - 1).cast("double")
     hours = (seconds(F.col(ts)) - seconds(F.col("_t0"))) / 3600
     spread = F.stddev_pop(x) * F.stddev_pop(i)
@@ -274,7 +278,7 @@ def trends(df: DataFrame, key: str, order: Sequence[str], value: str, chunk: int
 
 def fourier_coefficients(df: DataFrame, key: str, order: Sequence[str], value: str, k: int = 3, slices: Slices | None = None) -> DataFrame:
     """Real part, imaginary part and magnitude of the first discrete Fourier coefficients, as sums over rows."""
-    rows = _placed(df, key, order, value, 0, 0, slices).join(_stats(df, key, value).select(key, "n"), key)
+    rows = attach(_placed(df, key, order, value, 0, 0, slices), _stats(df, key, value).select(key, "n"), key, slices)
     turn = 2 * math.pi * (F.col(POS) - 1) / F.col("n")
     exprs = []
     for j in range(k):
@@ -296,7 +300,7 @@ def power_spectrum(df: DataFrame, key: str, order: Sequence[str], value: str, si
     half, freqs = size // 2, size // 2 + 1
     hann = [0.5 - 0.5 * math.cos(2 * math.pi * i / size) for i in range(size)]
     scale = sum(w * w for w in hann)
-    rows = _placed(df, key, order, value, 0, 0, slices).join(_stats(df, key, value).select(key, "n"), key)
+    rows = attach(_placed(df, key, order, value, 0, 0, slices), _stats(df, key, value).select(key, "n"), key, slices)
     at = F.col(POS) - 1
     last = F.floor((F.col("n") - size) / half)
     own = F.floor(at / half)
@@ -339,10 +343,11 @@ def permutation_entropy(df: DataFrame, key: str, order: Sequence[str], value: st
     return counts.groupBy(key).agg(F.greatest(F.log(n) - F.sum(c * F.log(c)) / n, F.lit(0.0)).alias("permutation_entropy"))
 
 
-def ts_features(df: DataFrame, key: str, order: Sequence[str], value: str, prefix: str = "") -> DataFrame:
+def ts_features(df: DataFrame, key: str, order: Sequence[str], value: str, prefix: str = "", **limits) -> DataFrame:
     """All families of a series joined on the key, with names prefixed."""
     order = as_list(order)
-    slices, by_value = measure(df, key, order[0]), measure(df, key, value)
+    hot = heavy_keys(df, key, **limits)
+    slices, by_value = cut(df, key, order[0], hot), cut(df, key, value, hot)
     frames = [
         moments(df, key, value, by_value),
         thresholds(df, key, value, slices=by_value),

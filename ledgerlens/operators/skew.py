@@ -51,6 +51,33 @@ def ordinal(df: DataFrame, name: str) -> Column:
     raise TypeError(f"cannot slice on {name}: {kind.simpleString()}")
 
 
+def heavy_keys(df: DataFrame, keys: str | Sequence[str], hot_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame | None:
+    """Keys that own at least ``hot_rows`` rows and ``share`` of the table; ``None`` when there are none.
+
+    One counting job over the key columns. At most ``1 / share`` keys can pass, so the result is small by construction.
+    """
+    keys = as_list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    heavy = counts.where((F.col("_n") >= hot_rows) & (F.col("_n") >= total * F.lit(share))).select(*keys)
+    found = heavy.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).collect()
+    return df.sparkSession.createDataFrame(found, schema=heavy.schema) if found else None
+
+
+def cut(df: DataFrame, keys: str | Sequence[str], order: str, hot: DataFrame | None, pieces: int = PIECES) -> Slices | None:
+    """Slices for keys already known to be heavy: cuts of ``order`` over their rows from a quantile sketch."""
+    if hot is None:
+        return None
+    keys = as_list(keys)
+    return Slices(tuple(keys), hot, _cuts(df.join(F.broadcast(hot), keys, "left_semi"), order, pieces))
+
+
+def _cuts(rows: DataFrame, order: str, pieces: int) -> tuple[float, ...]:
+    probs = [i / pieces for i in range(1, pieces)]
+    found = rows.agg(F.percentile_approx(ordinal(rows, order), probs, 10 * pieces).alias("c")).first()["c"] or []
+    return tuple(sorted({float(c) for c in found}))
+
+
 def measure(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -61,24 +88,29 @@ def measure(
 ) -> Slices | None:
     """Heavy keys of ``df`` and cuts of ``order`` over their rows; ``None`` when no key is heavy.
 
-    Runs one counting job over the key columns, and a quantile sketch only if that job found something.
+    Without keys the whole table is one group: it is cut as soon as it has ``hot_rows`` rows.
     """
     keys = as_list(keys)
-    hot, rows = None, df
     if keys:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        total = counts.agg(F.sum("_n")).scalar()
-        heavy = counts.where((F.col("_n") >= hot_rows) & (F.col("_n") >= total * F.lit(share))).select(*keys)
-        found = heavy.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).collect()
-        if not found:
-            return None
-        hot = df.sparkSession.createDataFrame(found, schema=heavy.schema)
-        rows = df.join(F.broadcast(hot), keys, "left_semi")
-    elif hot_rows and df.count() < hot_rows:
+        return cut(df, keys, order, heavy_keys(df, keys, hot_rows, share), pieces)
+    if hot_rows and df.count() < hot_rows:
         return None
-    probs = [i / pieces for i in range(1, pieces)]
-    cuts = rows.agg(F.percentile_approx(ordinal(df, order), probs, 10 * pieces).alias("c")).first()["c"] or []
-    return Slices(tuple(keys), hot, tuple(sorted({float(c) for c in cuts})))
+    return Slices((), None, _cuts(df, order, pieces))
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: str | Sequence[str], slices: Slices | None = None, how: str = "inner") -> DataFrame:
+    """Join facts, one row per key, to rows of the key.
+
+    Light keys are an ordinary equi-join. Rows of heavy keys meet their facts by broadcast (at most one row per heavy
+    key), so they are not gathered by key.
+    """
+    keys = as_list(keys)
+    if slices is None or slices.hot is None:
+        return rows.join(facts, keys, how)
+    hot = F.broadcast(slices.hot)
+    light = rows.join(hot, keys, "left_anti").join(facts, keys, how)
+    heavy = rows.join(hot, keys, "left_semi").join(F.broadcast(facts.join(hot, keys, "left_semi")), keys, how)
+    return light.unionByName(heavy)
 
 
 def slice_rows(df: DataFrame, order: str, slices: Slices) -> DataFrame:
@@ -168,7 +200,7 @@ def windowed(
     before: int = 0,
     after: int = 0,
     slices: Slices | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
     position: str | None = None,
 ) -> DataFrame:
     """Columns that look at most ``before`` rows back and ``after`` rows ahead (lag, lead, short row frames).
@@ -184,7 +216,7 @@ def windowed(
         if position:
             built[position] = F.row_number().over(window).cast("long")
         return df.select("*", *[c.alias(n) for n, c in built.items()])
-    block = max(block, before, after)
+    block = max(block or BLOCK, before, after)
     own = F.floor((F.col("_at") - 1) / block)
     offset = (F.col("_at") - 1) % block
     places = F.array_compact(

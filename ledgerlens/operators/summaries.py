@@ -33,12 +33,12 @@ def several_collections(loans: DataFrame) -> DataFrame:
 
 def lost_keys(before: DataFrame, after: DataFrame, key: str = KEY) -> DataFrame:
     """Keys of ``before`` that have no row left in ``after``."""
-    return before.select(key).distinct().join(after.select(key), key, "left_anti")
+    return before.select(key).distinct().join(after.select(key).distinct(), key, "left_anti")
 
 
 def present_keys(keys: DataFrame, table: DataFrame, key: str = KEY) -> DataFrame:
     """How many of ``keys`` occur in ``table``."""
-    return keys.select(key).distinct().join(table.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("n_present"))
+    return keys.select(key).distinct().join(table.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("n_present"))
 
 
 def merge_columns(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -16,6 +16,61 @@ def money(value: Column, scale: int = 4) -> Column:
     return value.cast(f"decimal(18,{scale})")
 
 
+class _Rolling:
+    """Rolling windows as arrivals and departures: the parts that ``rolling_time`` and ``rolling_asof`` share."""
+
+    def __init__(self, ts: str, col: str, days: int | Sequence[int], fns: Sequence[str], scale: int):
+        self.ts, self.col, self.fns, self.scale = ts, col, fns, scale
+        self.days = [days] if isinstance(days, int) else list(days)
+
+    def events(self, df: DataFrame, key: str) -> DataFrame:
+        """Each row once at its time (``_d`` 0) and once per window when it leaves (``_d`` = days)."""
+        ts = F.col(self.ts)
+        moves = [F.struct(F.lit(0).alias("d"), ts.alias("at"))]
+        moves += [F.struct(F.lit(d).alias("d"), (ts + F.lit(timedelta(days=d))).alias("at")) for d in self.days]
+        known = df.where(ts.isNotNull()).select(
+            F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), money(F.col(self.col), self.scale).alias("_x"), F.explode(F.array(*moves)).alias("_m")
+        )
+        row = F.when(F.col("_m.d") == 0, F.col("_row"))
+        return known.select("_key", F.col("_m.at").alias("_at"), F.col("_m.d").alias("_d"), "_x", row.alias("_row"))
+
+    def totals(self, events: DataFrame, slices: Slices | None) -> DataFrame:
+        """Running count, sum and sum of squares of arrivals and of the departures of each window."""
+        accs, x = {}, F.col("_x")
+        for d in [0, *self.days]:
+            here = F.col("_d") == d
+            accs[f"_n{d}"] = ("sum", F.when(here, x.isNotNull().cast("long")))
+            accs[f"_s{d}"] = ("sum", F.when(here, x))
+            if "std" in self.fns:
+                accs[f"_q{d}"] = ("sum", F.when(here, x * x))
+        return running(events, "_key", "_at", accs, _renamed(slices))
+
+    def _left(self, name: str, d: int) -> Column:
+        return F.coalesce(F.col(f"_{name}0"), F.lit(0)) - F.coalesce(F.col(f"_{name}{d}"), F.lit(0))
+
+    def columns(self) -> list[Column]:
+        outs, scale = [], self.scale
+        for d in self.days:
+            n, s = self._left("n", d), self._left("s", d)
+            if "mean" in self.fns:
+                outs.append(F.when(n > 0, s.cast("double") / n).alias(f"ROLLINGMEAN_{d}DAYS__{self.col}__"))
+            if "std" in self.fns:
+                # n * sum(x^2) - sum(x)^2 is exact in decimals, so equal amounts give a deviation of exactly zero;
+                # totals beyond 38 digits fall back to doubles
+                q = self._left("q", d)
+                exact = q.cast(f"decimal(30,{2 * scale})") * n.cast("decimal(8,0)") - s.cast(f"decimal(19,{scale})") * s.cast(f"decimal(19,{scale})")
+                fits = (n < 10**8) & (F.abs(s.cast("double")) < 10.0 ** (19 - scale)) & (q.cast("double") < 10.0 ** (30 - 2 * scale))
+                rough = q.cast("double") * n - s.cast("double") * s.cast("double")
+                numerator = F.greatest(F.when(fits, exact.cast("double")).otherwise(rough), F.lit(0.0))
+                spread = F.sqrt(numerator / (n.cast("double") * (n - 1)))
+                outs.append(F.when(n > 1, spread).alias(f"ROLLINGSTDDEV_{d}DAYS__{self.col}__"))
+        return outs
+
+
+def _renamed(slices: Slices | None) -> Slices | None:
+    return slices and Slices(("_key",), slices.hot.withColumnRenamed(slices.keys[0], "_key"), slices.cuts)
+
+
 def rolling_time(
     df: DataFrame,
     key: str,
@@ -35,49 +90,47 @@ def rolling_time(
     are decimals, which makes the subtraction exact: amounts are taken with ``scale`` digits after the point. A window
     with one row has no deviation (NULL); equal times see each other.
     """
-    days = [days] if isinstance(days, int) else list(days)
-    x = money(F.col(col), scale)
-    moves = [F.struct(F.lit(0).alias("d"), F.col(ts).alias("at"))]
-    moves += [F.struct(F.lit(d).alias("d"), (F.col(ts) + F.lit(timedelta(days=d))).alias("at")) for d in days]
-    known = df.where(F.col(ts).isNotNull()).select(
-        F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), x.alias("_x"), F.explode(F.array(*moves)).alias("_m")
-    )
-    events = known.select(
-        "_key", F.col("_m.at").alias("_at"), F.col("_m.d").alias("_d"), "_x", F.when(F.col("_m.d") == 0, F.col("_row")).alias("_row")
-    )
-    present = F.col("_x").isNotNull().cast("long")
-    accs = {}
-    for d in [0, *days]:
-        here = F.col("_d") == d
-        accs[f"_n{d}"] = ("sum", F.when(here, present))
-        accs[f"_s{d}"] = ("sum", F.when(here, F.col("_x")))
-        if "std" in fns:
-            accs[f"_q{d}"] = ("sum", F.when(here, F.col("_x") * F.col("_x")))
-    renamed = None
-    if slices is not None:
-        renamed = Slices(("_key",), slices.hot.withColumnRenamed(slices.keys[0], "_key"), slices.cuts)
-    totals = running(events, "_key", "_at", accs, renamed).where("_d = 0")
-
-    def left(name: str, d: int) -> Column:
-        gone = F.coalesce(F.col(f"_{name}{d}"), F.lit(0))
-        return F.coalesce(F.col(f"_{name}0"), F.lit(0)) - gone
-
-    outs = []
-    for d in days:
-        n, s = left("n", d), left("s", d)
-        if "mean" in fns:
-            outs.append(F.when(n > 0, s.cast("double") / n).alias(f"ROLLINGMEAN_{d}DAYS__{col}__"))
-        if "std" in fns:
-            # n * sum(x^2) - sum(x)^2 is exact in decimals, so equal amounts give a deviation of exactly zero;
-            # totals beyond 38 digits fall back to doubles
-            q = left("q", d)
-            exact = q.cast(f"decimal(30,{2 * scale})") * n.cast("decimal(8,0)") - s.cast(f"decimal(19,{scale})") * s.cast(f"decimal(19,{scale})")
-            fits = (n < 10**8) & (F.abs(s.cast("double")) < 10.0 ** (19 - scale)) & (q.cast("double") < 10.0 ** (30 - 2 * scale))
-            rough = q.cast("double") * n - s.cast("double") * s.cast("double")
-            numerator = F.when(fits, exact.cast("double")).otherwise(rough)
-            spread = F.sqrt(F.greatest(numerator, F.lit(0.0)) / (n.cast("double") * (n - 1)))
-            outs.append(F.when(n > 1, spread).alias(f"ROLLINGSTDDEV_{d}DAYS__{col}__"))
-    return totals.select("_row.*", *outs)
+    rolling = _Rolling(ts, col, days, fns, scale)
+    return rolling.totals(rolling.events(df, key), slices).where("_d = 0").select("_row.*", *rolling.columns())
+
+
+def rolling_asof(
+    left: DataFrame,
+    right: DataFrame,
+    left_on: str,
+    right_on: str,
+    by: str,
+    col: str,
+    days: int | Sequence[int],
+    tolerance: timedelta | None = None,
+    tie: str | None = None,
+    slices: Slices | None = None,
+    scale: int = 4,
+) -> DataFrame:
+    """``asof_join(left, rolling_time(right, ...))`` in one shuffle.
+
+    The left rows travel with the right side's arrivals and departures; the running totals and the last right row are
+    two windows over the same partitioning.
+    """
+    rolling = _Rolling(right_on, col, days, ("mean", "std"), scale)
+    payload = [c for c in right.columns if c != by]
+    clash = set(payload) & set(left.columns)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    probes = left.select(F.col(by).alias("_key"), F.col(left_on).alias("_at"), F.lit(-1).alias("_d"), F.struct(*left.columns).alias("_left"))
+    events = rolling.events(right, by).unionByName(probes, allowMissingColumns=True)
+    totals = rolling.totals(events, slices).where("_d <= 0")
+    volume = F.struct(*[F.col(f"_row.{c}").alias(c) for c in payload], *rolling.columns())
+    ties = [F.col(f"_row.{tie}").alias("_tie")] if tie else []
+    placed = totals.select("_key", "_at", "_left", (-F.col("_d")).alias("_side"), F.when(F.col("_d") == 0, volume).alias("_right"), *ties)
+    order = ["_at", "_side", "_tie"] if tie else ["_at", "_side"]
+    found = running(placed, "_key", order, {"_last": ("last", F.col("_right"))}, _renamed(slices)).where(F.col("_left").isNotNull())
+    near = F.col("_at").isNotNull()
+    if tolerance is not None:
+        near = near & (F.col(f"_last.{right_on}") + F.lit(tolerance) >= F.col("_at"))
+    matched = found.select("_left", F.when(near, F.col("_last")).alias("_last"))
+    names = [f.name for f in placed.schema["_right"].dataType.fields]
+    return matched.select("_left.*", *[F.col("_last")[c].alias(c) for c in names])
 
 
 def asof_join(

@@ -73,14 +73,19 @@ def build_feature_frame(views: dict[str, DataFrame], cutoff: str | None = "issua
     """
     es = entity_set(views)
     loans, made = loan_transforms(es.entities["loans"].df)
-    frame = loans.drop(ISSUED, "INITIAL_DATE")
+    frame, parents = loans.drop(ISSUED, "INITIAL_DATE"), []
     for name in es.children():
         part = child_features(es, name, cutoff)
-        on = "LOAN_ID" if cutoff == "issuance" else KEY
-        frame = frame.join(part, on, "left")
-        made += [ft.Feature(c, "point_in_time" if cutoff else "aggregate", (name,), c, F.col(c)) for c in part.columns if c != on]
+        if cutoff == "issuance":
+            frame = frame.join(part, "LOAN_ID", "left")
+        else:
+            parents.append(part)
+        family = "point_in_time" if cutoff else "aggregate"
+        made += [ft.Feature(c, family, (name,), c, F.col(c)) for c in part.columns if c not in ("LOAN_ID", KEY)]
     if with_series and "purchases" in es.entities:
         part = series.ts_features(es.entities["purchases"].df, KEY, ["ORDER_CREATION_DATE", "ORDER_ID"], "ORDER_PRICE", "ts_")
-        frame = frame.join(part, KEY, "left")
+        parents.append(part)
         made += [ft.Feature(c, "series", ("purchases",), c, F.col(c)) for c in part.columns if c != KEY]
+    if parents:
+        frame = ft.dfs_direct(frame, KEY, *parents, slices=measure(loans, KEY, "LOAN_ID"))
     return frame, ft.feature_defs(frame.sparkSession, made)

@@ -16,7 +16,6 @@ def portfolio_summary(loans: DataFrame) -> DataFrame:
     """One row: loans, weeks, amounts as text, unused share, loans by first-collection outcome."""
     labelled = first_collection_default(loans).withColumn("week_dt", week_start("LOAN_ISSUANCE_DATE"))
     per_loan = labelled.groupBy("LOAN_ID").agg(
-        F.collect_set("week_dt").alias("weeks"),
         F.sum(money(F.col("LOAN_AMOUNT"))).alias("requested"),
         F.sum(money(F.col("SPENT"))).alias("spent"),
         F.max(flag(~F.col("LABEL"))).alias("kept"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.skew import Slices, measure
-from ledgerlens.operators.temporal import asof_join, rolling_time, strictly_before
+from ledgerlens.operators.temporal import rolling_asof, strictly_before
 from ledgerlens.schemas import KEY
 
 # Deviations above the mean that each policy tolerates.
@@ -33,13 +33,14 @@ def with_volume(
 ) -> DataFrame:
     """Each loan with the rolling order volume at the retailer's latest order within the tolerance."""
     orders = purchases.select(KEY, "ORDER_CREATION_DATE", "ORDER_PRICE", "ORDER_ID")
-    volume = rolling_time(orders, KEY, "ORDER_CREATION_DATE", "ORDER_PRICE", days, slices=slices)
-    joined = asof_join(
+    joined = rolling_asof(
         loans,
-        volume,
+        orders,
         "LOAN_ISSUANCE_DATE",
         "ORDER_CREATION_DATE",
         KEY,
+        "ORDER_PRICE",
+        days,
         tolerance=timedelta(days=tolerance_days),
         tie="ORDER_ID",
         slices=slices,
