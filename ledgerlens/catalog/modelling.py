@@ -11,6 +11,7 @@ from ledgerlens.catalog.views_sql import with_views
 from ledgerlens.operators import selection, shape
 from ledgerlens.plans import feature_frame, model, reports, risk, split
 from ledgerlens.schemas import KEY
+from ledgerlens.session import materialise
 from ledgerlens.sources.adapters import load_views
 
 IDS = ["LOAN_ID", KEY]
@@ -107,18 +108,13 @@ def _(spark, sf_dir):
     return feature_frame.build_feature_frame(load_views(spark, sf_dir))[0]
 
 
-@query("d14_feature_defs")
-def _(spark, sf_dir):
-    return feature_frame.build_feature_frame(load_views(spark, sf_dir))[1]
-
-
 @query("d15_feature_frame_history")
 def _(spark, sf_dir):
     return feature_frame.build_feature_frame(load_views(spark, sf_dir), cutoff=None, with_series=True)[0]
 
 
 def reduced(spark, sf_dir):
-    frame = feature_frame.build_feature_frame(load_views(spark, sf_dir))[0]
+    frame = materialise(feature_frame.build_feature_frame(load_views(spark, sf_dir))[0])
     chosen = selection.select_features(frame, IDS)[0]
     return selection.reduce_features(chosen, IDS, standardise=True)
 
@@ -134,7 +130,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     frame, fitted = reduced(spark, sf_dir)
     label = shape.make_label(load_views(spark, sf_dir)["loans"], "LOAN_NOT_PAID")
-    parted = split.stratified_time_split(frame.join(label, "LOAN_ID"))
+    parted = split.stratified_time_split(materialise(frame.join(label, "LOAN_ID")))
     return split.flat_layout(split.test_rows(parted), "pca_features", fitted.stages[-1].getK())
 
 
@@ -151,7 +147,7 @@ def learning_frame(spark, sf_dir, target):
 
 @query("m5_m6_classifier_scores")
 def _(spark, sf_dir):
-    parted = split.stratified_time_split(learning_frame(spark, sf_dir, "LOAN_NOT_PAID"))
+    parted = materialise(split.stratified_time_split(learning_frame(spark, sf_dir, "LOAN_NOT_PAID")))
     booster = model.fit_classifier(split.train_rows(parted))
     return booster.transform(split.test_rows(parted)).select("LOAN_ID", "label", "prediction")
 
@@ -166,7 +162,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The whole chain: fit on the earlier loans, score the later ones, decide, report by week."""
     v = load_views(spark, sf_dir)
-    parted = split.time_split(learning_frame(spark, sf_dir, "SPENT"), cut=0.5)
+    parted = materialise(split.time_split(learning_frame(spark, sf_dir, "SPENT"), cut=0.5))
     forest = model.candidates()["random_forest"].fit(parted.where("split = 'train'"))
     scored = forest.transform(split.test_rows(parted)).select("LOAN_ID", F.col("prediction").alias("y_pred"))
     mart = risk.risk_mart(v["loans"], v["purchases"], scored, slices=risk.heavy_retailers(v["loans"], v["purchases"]))

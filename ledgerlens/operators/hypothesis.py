@@ -83,10 +83,14 @@ def poisson_thresholds(upto: int = 8) -> list[float]:
     return [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(upto)]
 
 
-def poisson_weight(key: Column, round_: Column) -> Column:
-    """A Poisson(1) weight that depends only on the row key and the round, so a retried task repeats it."""
+def uniform_hash(key: Column, round_: Column) -> Column:
+    """A number in [0, 1) that depends only on the row key and the round, so a retried task repeats it."""
     digest = F.md5(F.concat_ws("|", key.cast("string"), round_.cast("string")))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def poisson_weight(u: Column) -> Column:
+    """The Poisson(1) value at cumulative probability ``u``."""
     weight = F.lit(len(poisson_thresholds()))
     for k, bound in reversed(list(enumerate(poisson_thresholds()))):
         weight = F.when(u < bound, k).otherwise(weight)
@@ -97,12 +101,14 @@ def poisson_bootstrap(df: DataFrame, key: str, value: str, rounds: int) -> DataF
     """Weighted mean and sum of ``value`` per bootstrap round.
 
     Rounds are expanded inside the scan and folded by the partial aggregation, so only one row per round and task is
-    shuffled.
+    shuffled. The hash, the weight and the product are separate projections: each is evaluated once per row.
     """
     trials = df.select(F.col(key).alias("_k"), money(F.col(value)).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    w = poisson_weight(F.col("_k"), F.col("round"))
-    weighed = trials.select("round", F.when(F.col("_x").isNotNull(), w).alias("_w"), (F.col("_x") * w.cast("decimal(2,0)")).alias("_wx"))
-    sums = weighed.groupBy("round").agg(F.sum("_w").alias("weight"), F.sum("_wx").cast("double").alias("total"))
+    drawn = trials.select("round", "_x", uniform_hash(F.col("_k"), F.col("round")).alias("_u"))
+    weighed = drawn.select("round", "_x", poisson_weight(F.col("_u")).alias("_w"))
+    sums = weighed.groupBy("round").agg(
+        F.sum(F.when(F.col("_x").isNotNull(), F.col("_w"))).alias("weight"), F.sum(F.col("_x") * F.col("_w").cast("decimal(2,0)")).cast("double").alias("total")
+    )
     return sums.select("round", "weight", "total", F.try_divide("total", "weight").alias("mean"))
 
 

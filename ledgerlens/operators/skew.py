@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +57,16 @@ def heavy_keys(df: DataFrame, keys: str | Sequence[str], hot_rows: int = HOT_ROW
     One counting job over the key columns. At most ``1 / share`` keys can pass, so the result is small by construction.
     """
     keys = as_list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    heavy = counts.where((F.col("_n") >= hot_rows) & (F.col("_n") >= total * F.lit(share))).select(*keys)
-    found = heavy.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).collect()
-    return df.sparkSession.createDataFrame(found, schema=heavy.schema) if found else None
+    rows = Observation()
+    counts = df.observe(rows, F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    heaviest = counts.where(F.col("_n") >= hot_rows).where(known).orderBy(F.desc("_n"))
+    if share > 0:  # no more than 1 / share keys can own that share of the rows
+        heaviest = heaviest.limit(int(1 / share))
+    found = [r for r in heaviest.collect() if r["_n"] >= share * rows.get["n"]]
+    if not found:
+        return None
+    return df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema=df.select(*keys).schema)
 
 
 def cut(df: DataFrame, keys: str | Sequence[str], order: str, hot: DataFrame | None, pieces: int = PIECES) -> Slices | None:
@@ -74,7 +79,7 @@ def cut(df: DataFrame, keys: str | Sequence[str], order: str, hot: DataFrame | N
 
 def _cuts(rows: DataFrame, order: str, pieces: int) -> tuple[float, ...]:
     probs = [i / pieces for i in range(1, pieces)]
-    found = rows.agg(F.percentile_approx(ordinal(rows, order), probs, 10 * pieces).alias("c")).first()["c"] or []
+    found = rows.agg(F.percentile_approx(ordinal(rows, order), probs, 4 * pieces).alias("c")).first()["c"] or []
     return tuple(sorted({float(c) for c in found}))
 
 
@@ -130,6 +135,12 @@ def slice_rows(df: DataFrame, order: str, slices: Slices) -> DataFrame:
     return marked.withColumn("_slice", F.when(F.col("_hot"), number).otherwise(0)).drop("_raw", "_bin", "_hot")
 
 
+def _heavy_rows(df: DataFrame, order: str, slices: Slices) -> DataFrame:
+    """Rows of heavy keys with their slice. The semi-join moves towards the scan, so light keys are dropped early."""
+    rows = df if slices.hot is None else df.join(F.broadcast(slices.hot), list(slices.keys), "left_semi")
+    return slice_rows(rows, order, Slices((), None, slices.cuts))
+
+
 def _over(kind: str, value: Column, window) -> Column:
     if kind == "last":
         return F.last(value, ignorenulls=True).over(window)
@@ -175,7 +186,7 @@ def running(
             totals.append(F.max_by(part, F.when(F.col(part).isNotNull(), place)).alias(part))
         else:
             totals.append({"sum": F.sum, "min": F.min, "max": F.max}[kind](part).alias(part))
-    per_slice = sliced.where("_slice > 0").groupBy(*keys, "_slice").agg(*totals)
+    per_slice = _heavy_rows(staged, order[0], slices).groupBy(*keys, "_slice").agg(*totals)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slice.select(
         *keys, "_slice", F.lit(0).alias("_seq"), *[_over(accs[n][0], F.col(p), earlier).alias(p) for n, p in parts.items()]
@@ -240,7 +251,7 @@ def ranked(df: DataFrame, keys: str | Sequence[str], order: str, slices: Slices
     if slices is None:
         return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
     sliced = slice_rows(df, order, slices)
-    sizes = sliced.where("_slice > 0").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = _heavy_rows(df, order, slices).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     if not keys:

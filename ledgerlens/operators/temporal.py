@@ -35,29 +35,33 @@ class _Rolling:
         return known.select("_key", F.col("_m.at").alias("_at"), F.col("_m.d").alias("_d"), "_x", row.alias("_row"))
 
     def totals(self, events: DataFrame, slices: Slices | None) -> DataFrame:
-        """Running count, sum and sum of squares of arrivals and of the departures of each window."""
+        """Count, sum and sum of squares inside each window, as running totals of arrivals less departures."""
         accs, x = {}, F.col("_x")
-        for d in [0, *self.days]:
-            here = F.col("_d") == d
-            accs[f"_n{d}"] = ("sum", F.when(here, x.isNotNull().cast("long")))
-            accs[f"_s{d}"] = ("sum", F.when(here, x))
-            if "std" in self.fns:
-                accs[f"_q{d}"] = ("sum", F.when(here, x * x))
-        return running(events, "_key", "_at", accs, _renamed(slices))
+        facts = {"n": x.isNotNull().cast("long"), "s": x}
+        if "std" in self.fns:
+            facts["q"] = x * x
+        for d in self.days:
+            for name, value in facts.items():
+                accs[f"_{name}{d}"] = ("sum", F.when(F.col("_d") == 0, value).when(F.col("_d") == d, -value))
+        return running(events, "_key", "_at", accs, self.sliced(slices))
 
-    def _left(self, name: str, d: int) -> Column:
-        return F.coalesce(F.col(f"_{name}0"), F.lit(0)) - F.coalesce(F.col(f"_{name}{d}"), F.lit(0))
+    def sliced(self, slices: Slices | None) -> Slices | None:
+        """Departures are arrivals moved by whole days, so moving the cuts along keeps both balanced."""
+        if slices is None:
+            return None
+        moved = {c + d * 86_400_000_000 for c in slices.cuts for d in [0, *self.days]}
+        return Slices(("_key",), slices.hot.withColumnRenamed(slices.keys[0], "_key"), tuple(sorted(moved)))
 
     def columns(self) -> list[Column]:
         outs, scale = [], self.scale
         for d in self.days:
-            n, s = self._left("n", d), self._left("s", d)
+            n, s = F.col(f"_n{d}"), F.col(f"_s{d}")
             if "mean" in self.fns:
                 outs.append(F.when(n > 0, s.cast("double") / n).alias(f"ROLLINGMEAN_{d}DAYS__{self.col}__"))
             if "std" in self.fns:
                 # n * sum(x^2) - sum(x)^2 is exact in decimals, so equal amounts give a deviation of exactly zero;
                 # totals beyond 38 digits fall back to doubles
-                q = self._left("q", d)
+                q = F.col(f"_q{d}")
                 exact = q.cast(f"decimal(30,{2 * scale})") * n.cast("decimal(8,0)") - s.cast(f"decimal(19,{scale})") * s.cast(f"decimal(19,{scale})")
                 fits = (n < 10**8) & (F.abs(s.cast("double")) < 10.0 ** (19 - scale)) & (q.cast("double") < 10.0 ** (30 - 2 * scale))
                 rough = q.cast("double") * n - s.cast("double") * s.cast("double")
@@ -67,10 +71,6 @@ class _Rolling:
         return outs
 
 
-def _renamed(slices: Slices | None) -> Slices | None:
-    return slices and Slices(("_key",), slices.hot.withColumnRenamed(slices.keys[0], "_key"), slices.cuts)
-
-
 def rolling_time(
     df: DataFrame,
     key: str,
@@ -124,7 +124,7 @@ def rolling_asof(
     ties = [F.col(f"_row.{tie}").alias("_tie")] if tie else []
     placed = totals.select("_key", "_at", "_left", (-F.col("_d")).alias("_side"), F.when(F.col("_d") == 0, volume).alias("_right"), *ties)
     order = ["_at", "_side", "_tie"] if tie else ["_at", "_side"]
-    found = running(placed, "_key", order, {"_last": ("last", F.col("_right"))}, _renamed(slices)).where(F.col("_left").isNotNull())
+    found = running(placed, "_key", order, {"_last": ("last", F.col("_right"))}, rolling.sliced(slices)).where(F.col("_left").isNotNull())
     near = F.col("_at").isNotNull()
     if tolerance is not None:
         near = near & (F.col(f"_last.{right_on}") + F.lit(tolerance) >= F.col("_at"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import flag
+from ledgerlens.session import materialise
 
 
 def balance_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
@@ -87,20 +87,16 @@ def forward_search(folded: DataFrame, grid: dict[str, Estimator], label: str = "
     """Fit each candidate on all folds before fold f and score it on fold f, f = 1 .. ``folds``; refit the best on all.
 
     ``folded`` has ``fold`` in time order (see ``split.time_folds``), so no model sees rows later than those it is
-    scored on. The loop runs over candidates and folds; rows stay in Spark.
+    scored on. The loop runs over candidates and folds; rows stay in Spark, in a table every fit reads again.
     """
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        results = []
-        for name, estimator in grid.items():
-            for f in range(1, folds + 1):
-                model = estimator.fit(folded.where(F.col("fold") < f))
-                scored = regression_metrics(model.transform(folded.where(F.col("fold") == f)), label)
-                results.append((name, f, *scored.first()))
-        spark = folded.sparkSession
-        scores = spark.createDataFrame(results, "model string, fold int, mae double, mse double, rmse double, r2 double")
-        means = {n: sum(r[5] if r[5] is not None else float("-inf") for r in results if r[0] == n) / folds for n in grid}
-        best = max(means, key=means.get)
-        return grid[best].fit(folded), scores.withColumn("best", F.col("model") == best)
-    finally:
-        folded.unpersist()
+    folded = materialise(folded)
+    results = []
+    for name, estimator in grid.items():
+        for f in range(1, folds + 1):
+            model = estimator.fit(folded.where(F.col("fold") < f))
+            scored = regression_metrics(model.transform(folded.where(F.col("fold") == f)), label)
+            results.append((name, f, *scored.first()))
+    scores = folded.sparkSession.createDataFrame(results, "model string, fold int, mae double, mse double, rmse double, r2 double")
+    means = {n: sum(r[5] if r[5] is not None else float("-inf") for r in results if r[0] == n) / folds for n in grid}
+    best = max(means, key=means.get)
+    return grid[best].fit(folded), scores.withColumn("best", F.col("model") == best)

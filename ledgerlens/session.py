@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = os.path.join(tempfile.gettempdir(), "ledgerlens-checkpoints")
     spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet to the shared checkpoint folder and continue from the written table.
+
+    Later passes read only the columns they need, and a lost executor costs a re-read instead of the whole lineage.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
