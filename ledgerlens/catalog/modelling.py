@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog.lending import _rolled
 from ledgerlens.catalog.registry import query
+from ledgerlens.catalog.synthesis import _CALENDAR, _unary_sql
 from ledgerlens.catalog.views_sql import with_views
+from ledgerlens.operators import features as ft
 from ledgerlens.operators import selection, shape
 from ledgerlens.plans import feature_frame, model, reports, risk, split
 from ledgerlens.schemas import KEY
@@ -103,9 +105,87 @@ def _(spark, sf_dir):
     return selection.low_signal(load_views(spark, sf_dir)["loans"], ["LOAN_ID", "INDEX", "INITIAL_COST", "FINAL_COST", KEY, "PAYMENT_STATUS"])
 
 
-@query("d15_feature_frame_issuance")
+def _pit_sql(prefix, child, alias, time, ident, cols, late):
+    """SQL of the point-in-time aggregates of one child table, by joining each loan with its whole history."""
+    parts = [f"count({alias}.{ident}) AS {prefix}count"]
+    for c in cols:
+        known = f"FILTER (WHERE {alias}.{late[c]} <= l.LOAN_ISSUANCE_DATE)" if c in late else ""
+        x, moment = f"{alias}.{c}", f"{alias}.{late.get(c, time)}"
+        total = f"(sum({x}::DECIMAL(18,4)) {known})::DOUBLE"
+        parts += [
+            f"{total} AS {prefix}sum_{c}",
+            f"{total} / nullif(count({x}) {known}, 0) AS {prefix}mean_{c}",
+            f"round(stddev_samp({x}::DECIMAL(18,4)::DOUBLE) {known}, 5) AS {prefix}std_{c}",
+            f"(min({x}::DECIMAL(18,4)) {known})::DOUBLE AS {prefix}min_{c}",
+            f"(max({x}::DECIMAL(18,4)) {known})::DOUBLE AS {prefix}max_{c}",
+            f"(arg_max({x}::DECIMAL(18,4), ({moment}, {alias}.{ident})) {known})::DOUBLE AS {prefix}last_{c}",
+        ]
+    if child == "sales":
+        parts.append(f"count(DISTINCT {alias}.STATUS) FILTER (WHERE {alias}.UPDATED_AT <= l.LOAN_ISSUANCE_DATE) AS {prefix}num_unique_STATUS")
+    return f"""{child}_pit AS (SELECT l.LOAN_ID, {', '.join(parts)} FROM loans l
+LEFT JOIN {child} {alias} ON {alias}.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND {alias}.{time} <= l.LOAN_ISSUANCE_DATE GROUP BY 1)"""
+
+
+_A, _B, _L = "LOAN_AMOUNT", "TOTAL_INITIAL_AMOUNT", "LOAN_ISSUANCE_DATE"
+_W = "PARTITION BY MAIN_SYSTEM_ID ORDER BY LOAN_ISSUANCE_DATE, LOAN_ID"
+_LOAN_FEATURES = [
+    "LOAN_ID, MAIN_SYSTEM_ID, LOAN_AMOUNT, TOTAL_INITIAL_AMOUNT",
+    *[f"{e} AS {n}_{_L}" for n, e in _CALENDAR.items()],
+    *[_unary_sql(c) for c in (_A, _B)],
+    f"""{_A} + {_B} AS {_A}_add_{_B}, {_A} - {_B} AS {_A}_sub_{_B}, round({_A} * {_B}, 6) AS {_A}_mul_{_B}, {_A} / nullif({_B}, 0) AS {_A}_div_{_B}, {_A} % nullif({_B}, 0) AS {_A}_mod_{_B},
+{_A} > {_B} AS {_A}_gt_{_B}, {_A} >= {_B} AS {_A}_ge_{_B}, {_A} = {_B} AS {_A}_eq_{_B}, {_A} <> {_B} AS {_A}_ne_{_B}""",
+    f"(epoch_us(INITIAL_DATE) - epoch_us({_L})) / 1e6 AS time_since_{_L}",
+    f"round(CASE WHEN {_A} + {_B} > 0 THEN ln({_A} + {_B}) END, 9) AS log_{_A}_add_{_B}, round(CASE WHEN {_A} * {_B} >= 0 THEN sqrt({_A} * {_B}) END, 9) AS sqrt_{_A}_mul_{_B}",
+    f"""(sum({_A}::DECIMAL(18,4)) OVER c)::DOUBLE AS cum_sum_{_A}, count({_A}) OVER c AS cum_count_{_A}, (sum({_A}::DECIMAL(18,4)) OVER c)::DOUBLE / count({_A}) OVER c AS cum_mean_{_A},
+min({_A}) OVER c AS cum_min_{_A}, max({_A}) OVER c AS cum_max_{_A}, round(stddev_samp({_A}) OVER c, 5) AS expanding_std_{_A}""",
+    f"""lag({_A}) OVER w AS lag_{_A}, {_A} - lag({_A}) OVER w AS diff_{_A},
+round(({_A} - lag({_A}) OVER w) / nullif((epoch_us({_L}) - epoch_us(lag({_L}) OVER w)) / 1e6, 0), 6) AS rate_{_A}, {_A} = lag({_A}) OVER w AS same_{_A},
+(epoch_us({_L}) - epoch_us(lag({_L}) OVER w)) / 1e6 AS time_since_previous_{_A}""",
+    f"""count({_A}) OVER t AS roll_count_{_A}, round(avg({_A}) OVER t, 5) AS roll_mean_{_A}, round(stddev_samp({_A}) OVER t, 5) AS roll_std_{_A}, min({_A}) OVER t AS roll_min_{_A}, max({_A}) OVER t AS roll_max_{_A}""",
+]
+
+
+@query(
+    "d15_feature_frame_issuance",
+    with_views(
+        "SELECT * FROM own JOIN sales_pit USING (LOAN_ID) JOIN purchases_pit USING (LOAN_ID)",
+        f"own AS (SELECT {', '.join(_LOAN_FEATURES)} FROM loans WINDOW w AS ({_W}), c AS ({_W} ROWS UNBOUNDED PRECEDING), t AS ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))",
+        _pit_sql("sales_", "sales", "s", "CREATED_AT", "ID", feature_frame.CHILD_COLUMNS["sales"], {"TOTAL_AMOUNT_PAID": "UPDATED_AT"}),
+        _pit_sql("purchases_", "purchases", "p", "ORDER_CREATION_DATE", "ORDER_ID", feature_frame.CHILD_COLUMNS["purchases"], {}),
+        names="loans sales purchases",
+    ),
+)
 def _(spark, sf_dir):
-    return feature_frame.build_feature_frame(load_views(spark, sf_dir))[0]
+    frame = feature_frame.build_feature_frame(load_views(spark, sf_dir))[0]
+    digits = {"std": 5, "expanding": 5, "roll": 5, "tangent": 5, "rate": 6, "log": 9, "sqrt": 9, "sine": 9, "cosine": 9}
+
+    def shown(name):
+        if name.endswith(("_mul_" + _B,)) and not name.startswith("sqrt"):
+            return 6
+        parts = name.removeprefix("sales_").removeprefix("purchases_").split("_")
+        return None if parts[0] == "roll" and parts[1] not in ("mean", "std") else digits.get(parts[0])
+
+    kinds = dict(frame.dtypes)
+    return frame.select(*[F.round(c, shown(c)).alias(c) if kinds[c] == "double" and shown(c) else c for c in frame.columns])
+
+
+@query(
+    "d14_frame_merge",
+    with_views(
+        f"""SELECT l.LOAN_ID, l.{_A}, l.{_A} + l.{_B} AS {_A}_add_{_B}, abs(l.{_A}) AS absolute_{_A}, coalesce(p.n, 0) AS purchases_count FROM loans l
+LEFT JOIN (SELECT l.LOAN_ID, count(*) AS n FROM loans l JOIN purchases p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND p.ORDER_CREATION_DATE <= l.LOAN_ISSUANCE_DATE GROUP BY 1) p ON p.LOAN_ID = l.LOAN_ID""",
+        names="loans purchases",
+    ),
+)
+def _(spark, sf_dir):
+    v = load_views(spark, sf_dir)
+    loans = v["loans"].select("LOAN_ID", KEY, _L, _A, _B)
+    own = [f for f in ft.pair_features([_A, _B]) + ft.unary_features([_A]) if f.params in ("add", "absolute")]
+    history = ft.point_in_time(loans, ft.Entity(v["purchases"], "ORDER_ID", "ORDER_CREATION_DATE"), KEY, [], prefix="purchases_")
+    left = ft.dfs_transform(loans, own).select("LOAN_ID", _A, *[f.name for f in own])
+    right = loans.select("LOAN_ID", _A).join(history, "LOAN_ID")
+    known = [ft.Feature("purchases_count", "point_in_time", ("purchases",), "count", F.col("purchases_count"))]
+    return ft.merge_frames(left, right, ft.feature_defs(spark, own), ft.feature_defs(spark, known), "LOAN_ID")[0]
 
 
 @query("d15_feature_frame_history")

@@ -181,11 +181,23 @@ def _(spark, sf_dir):
     return neat(out.select(*[F.round(c, 4).alias(c) if c in big else c for c in out.columns]))
 
 
-@query("t7f_partial_autocorrelation")
+_AC = ", ".join(f"coalesce(sum((x - mu) * (b{i} - mu)), 0) / nullif(any_value(n * sd * sd), 0) AS r{i}" for i in (1, 2, 3))
+
+
+@query(
+    "t7f_partial_autocorrelation",
+    sql(
+        f"""SELECT k AS MAIN_SYSTEM_ID, {r('CASE WHEN n > 1 THEN p1 END', 'partial_autocorrelation_1')}, {r('CASE WHEN n > 2 THEN p2 END', 'partial_autocorrelation_2')},
+{r('CASE WHEN n > 3 THEN p3 END', 'partial_autocorrelation_3')}, {r('CASE WHEN n > 3 THEN a21 - p3 * p2 END', 'ar_coefficient_1')}, {r('CASE WHEN n > 3 THEN p2 - p3 * a21 END', 'ar_coefficient_2')},
+{r('CASE WHEN n > 3 THEN p3 END', 'ar_coefficient_3')}
+FROM (SELECT *, (r3 - a21 * r2 - p2 * r1) / nullif(1 - a21 * r1 - p2 * r2, 0) AS p3 FROM (SELECT *, r1 - p2 * r1 AS a21 FROM (SELECT *, r1 AS p1, (r2 - r1 * r1) / nullif(1 - r1 * r1, 0) AS p2
+FROM (SELECT k, any_value(n) AS n, {_AC} FROM s GROUP BY 1))))"""
+    ),
+)
 def _(spark, sf_dir):
     p = orders(spark, sf_dir)
     out = ts.lag_statistics(p, KEY, ORDER, VALUE, slices=measure(p, KEY, TS))
-    return out.select(KEY, *[c for c in out.columns if c.startswith(("partial", "ar_"))])
+    return neat(out.select(KEY, *[c for c in out.columns if c.startswith(("partial", "ar_"))]))
 
 
 @query(
@@ -228,7 +240,26 @@ def _(spark, sf_dir):
     return neat(ts.permutation_entropy(p, KEY, ORDER, VALUE, slices=measure(p, KEY, TS)))
 
 
-@query("t9f_power_spectrum")
+_SIZE = 8
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * j / 8))"
+_POWER = ", ".join(
+    f"avg(re{f} * re{f} + im{f} * im{f}) * {1 if f in (0, 4) else 2} / {sum((0.5 - 0.5 * math.cos(2 * math.pi * i / 8)) ** 2 for i in range(8))!r} AS power_{f}" for f in range(5)
+)
+_SUMS = ", ".join(f"sum((x - m) * {_HANN} * cos(2 * pi() * j * {f} / 8)) AS re{f}, sum((x - m) * {_HANN} * sin(2 * pi() * j * {f} / 8)) AS im{f}" for f in range(5))
+
+
+@query(
+    "t9f_power_spectrum",
+    sql(
+        f"""SELECT k AS MAIN_SYSTEM_ID, {', '.join(r(f'power_{f}', f'power_{f}', 5) for f in range(5))}, {r('c1 / total', 'spectral_centroid', 5)},
+{r('c2 / total - (c1 / total) * (c1 / total)', 'spectral_variance', 5)}, {r('(SELECT -sum(p * ln(p)) FROM (SELECT count(*) / 5 AS p FROM (SELECT unnest(cells) AS cell) GROUP BY cell))', 'fourier_entropy')}
+FROM (SELECT *, power_0 + power_1 + power_2 + power_3 + power_4 AS total, power_1 + 2 * power_2 + 3 * power_3 + 4 * power_4 AS c1, power_1 + 4 * power_2 + 9 * power_3 + 16 * power_4 AS c2,
+list_transform([power_0, power_1, power_2, power_3, power_4], lambda p: least(floor(p / greatest(power_0, power_1, power_2, power_3, power_4) * 10), 9)) AS cells
+FROM (SELECT k, {_POWER} FROM (SELECT k, seg, {_SUMS} FROM (SELECT *, avg(x) OVER (PARTITION BY k, seg) AS m FROM (SELECT k, x, g.seg, i - 1 - 4 * g.seg AS j
+FROM s JOIN (SELECT unnest(range(100000)) AS seg) g ON g.seg BETWEEN (i - 8) // 4 AND (i - 1) // 4 AND i - 1 - 4 * g.seg BETWEEN 0 AND 7 AND 4 * g.seg + 8 <= n)) GROUP BY 1, 2) GROUP BY 1))"""
+    ),
+)
 def _(spark, sf_dir):
     p = orders(spark, sf_dir)
-    return ts.power_spectrum(p, KEY, ORDER, VALUE, slices=measure(p, KEY, TS))
+    out = ts.power_spectrum(p, KEY, ORDER, VALUE, _SIZE, slices=measure(p, KEY, TS))
+    return neat(out.withColumn("fourier_entropy", F.round("fourier_entropy", 6)).select(*[F.round(c, 5).alias(c) if c.startswith(("power", "spectral")) else c for c in out.columns]))

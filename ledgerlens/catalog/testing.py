@@ -70,15 +70,12 @@ def _(spark, sf_dir):
 
 @query("h2_bootstrap_share_ci")
 def _(spark, sf_dir):
-    joined = joined_volume(spark, sf_dir)
-    return h.bootstrap_share_ci(h.hits_above(joined, "LOAN_AMOUNT", h.volume_limit(joined, WINDOWS)))
+    return h.volume_test(joined_volume(spark, sf_dir), WINDOWS).select("window", "limit", "n", "hits", "lower", "upper")
 
 
 @query("h5_bootstrap_verdict")
 def _(spark, sf_dir):
-    joined = joined_volume(spark, sf_dir, "dense", [7, 30], 30)
-    hits = h.hits_above(joined, "LOAN_AMOUNT", h.volume_limit(joined, [7, 30]))
-    return h.verdict(h.bootstrap_share_ci(hits))
+    return h.volume_test(joined_volume(spark, sf_dir, "dense", [7, 30], 30), [7, 30])
 
 
 # Verdict over the plain share, so that the rule and its text can be compared exactly.

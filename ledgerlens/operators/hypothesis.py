@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.skew import Slices
 from ledgerlens.operators.temporal import asof_join, money
 from ledgerlens.schemas import KEY
+from ledgerlens.session import materialise
 
 
 def volume_limit(df: DataFrame, days: Sequence[int], std_of: str = "rolling_std") -> DataFrame:
@@ -78,6 +79,18 @@ def verdict(intervals: DataFrame, reject_above: float = 0.2) -> DataFrame:
     )
 
 
+def volume_test(joined: DataFrame, days: Sequence[int], rounds: int = 1000, frac: float = 0.3, seed: int = 7, reject_above: float = 0.2) -> DataFrame:
+    """Do loans exceed the usual volume? Limit, share above it, bootstrap interval and verdict per window.
+
+    The limit needs the whole join before the first share can be counted, so the few columns both passes use are
+    written once.
+    """
+    windows = [f"ROLLING{k}_{d}DAYS__ORDER_PRICE__" for d in days for k in ("MEAN", "STDDEV")]
+    rows = materialise(joined.select("LOAN_AMOUNT", *windows))
+    hits = hits_above(rows, "LOAN_AMOUNT", volume_limit(rows, days))
+    return verdict(bootstrap_share_ci(hits, rounds, frac, seed), reject_above)
+
+
 def poisson_thresholds(upto: int = 8) -> list[float]:
     """Cumulative Poisson(1) probabilities of 0 .. ``upto`` - 1."""
     return [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(upto)]

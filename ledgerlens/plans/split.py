@@ -64,3 +64,14 @@ def test_rows(split: DataFrame) -> DataFrame:
 def flat_layout(split: DataFrame, vector: str, width: int) -> DataFrame:
     """Ids, label and one column per vector entry."""
     return vector_columns(split.select("LOAN_ID", "MAIN_SYSTEM_ID", "label", vector), vector, width)
+
+
+def write_layouts(parted: DataFrame, root: str, vector: str, width: int, files: int | None = None) -> None:
+    """Train and test parts as ``{root}/{train,test}-{vector,flat}``; the split is computed once and read four times."""
+    from ledgerlens.session import materialise
+    from ledgerlens.sources.files import write_parquet
+
+    parted = materialise(parted)
+    for name, part in (("train", train_rows(parted)), ("test", test_rows(parted))):
+        write_parquet(part, f"{root}/{name}-vector", files)
+        write_parquet(flat_layout(part, vector, width), f"{root}/{name}-flat", files)

@@ -79,7 +79,10 @@ def read_retailer(spark: SparkSession, path: str, retailer: int, key: str = "MAI
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header; times keep their microseconds, which the default format would cut to milliseconds."""
+    writer = df.write.mode("overwrite").option("header", True)
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    writer.option("timestampNTZFormat", micros).option("timestampFormat", micros + "XXX").csv(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
