@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import elapsed, flag, seconds
 from ledgerlens.operators.quantiles import quantiles
-from ledgerlens.operators.skew import Slices, as_list, attach, cut, heavy_keys, running, windowed
+from ledgerlens.operators.skew import Slices, apart, as_list, attach, cut, heavy_keys, running, windowed
 from ledgerlens.operators.temporal import money
 
 BATCH = 200
@@ -199,47 +199,52 @@ def time_aggregates(df: DataFrame, key: str, ts: str, cutoff: datetime, prefix:
 
 def ordered_aggregates(df: DataFrame, key: str, order: Sequence[str], col: str, prefix: str = "", slices: Slices | None = None) -> DataFrame:
     """First, last, slope per day, monotony flags, longest runs by sign and sign changes, in time order."""
+
     order = as_list(order)
-    x = F.col(col)
-    rows = df.select(key, *order, x).where(x.isNotNull())
-    sign = F.signum(x).cast("int")
-    stepped = windowed(
-        rows.withColumn("_sign", sign),
-        key,
-        order,
-        lambda w: {"_prev": F.lag(col).over(w), "_prev_sign": F.lag("_sign").over(w)},
-        before=1,
-        slices=slices,
-    )
-    turned = F.coalesce((F.col("_sign") != F.col("_prev_sign")).cast("long"), F.lit(0).cast("long"))
-    runs = running(stepped, key, order, {"_run": ("sum", turned)}, slices, peers=False)
-    place, days = F.struct(*order), seconds(F.col(order[0])) / 86400
-    step, p = x - F.col("_prev"), f"{prefix}%s_{col}"
-    # partial results per (key, run): a run of any length is folded before it is shuffled
-    per_run = runs.groupBy(key, "_run").agg(
-        F.max("_sign").alias("_sign"),
-        F.count(F.lit(1)).alias("_len"),
-        F.min(F.struct(place.alias("at"), x.alias("x"))).alias("_first"),
-        F.max(F.struct(place.alias("at"), x.alias("x"))).alias("_last"),
-        F.min(step).alias("_least"),
-        F.max(step).alias("_most"),
-    )
 
-    def longest(s: int) -> Column:
-        return F.coalesce(F.max(F.when(F.col("_sign") == s, F.col("_len"))), F.lit(0))
-
-    facts = per_run.groupBy(key).agg(
-        F.min("_first")["x"].alias(p % "first"),
-        F.max("_last")["x"].alias(p % "last"),
-        F.coalesce(F.min("_least") >= 0, F.lit(True)).alias(p % "increasing"),
-        F.coalesce(F.max("_most") <= 0, F.lit(True)).alias(p % "decreasing"),
-        longest(1).alias(p % "longest_positive"),
-        longest(0).alias(p % "longest_zero"),
-        longest(-1).alias(p % "longest_negative"),
-        (F.count(F.lit(1)) - 1).alias(p % "sign_changes"),
-    )
-    slope = rows.groupBy(key).agg(F.regr_slope(x, days).alias(p % "trend"))
-    return facts.join(slope, key)
+    def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
+        x = F.col(col)
+        rows = df.select(key, *order, x).where(x.isNotNull())
+        sign = F.signum(x).cast("int")
+        stepped = windowed(
+            rows.withColumn("_sign", sign),
+            key,
+            order,
+            lambda w: {"_prev": F.lag(col).over(w), "_prev_sign": F.lag("_sign").over(w)},
+            before=1,
+            slices=slices,
+        )
+        turned = F.coalesce((F.col("_sign") != F.col("_prev_sign")).cast("long"), F.lit(0).cast("long"))
+        runs = running(stepped, key, order, {"_run": ("sum", turned)}, slices, peers=False)
+        place, days = F.struct(*order), seconds(F.col(order[0])) / 86400
+        step, p = x - F.col("_prev"), f"{prefix}%s_{col}"
+        # partial results per (key, run): a run of any length is folded before it is shuffled
+        per_run = runs.groupBy(key, "_run").agg(
+            F.max("_sign").alias("_sign"),
+            F.count(F.lit(1)).alias("_len"),
+            F.min(F.struct(place.alias("at"), x.alias("x"))).alias("_first"),
+            F.max(F.struct(place.alias("at"), x.alias("x"))).alias("_last"),
+            F.min(step).alias("_least"),
+            F.max(step).alias("_most"),
+        )
+
+        def longest(s: int) -> Column:
+            return F.coalesce(F.max(F.when(F.col("_sign") == s, F.col("_len"))), F.lit(0))
+
+        facts = per_run.groupBy(key).agg(
+            F.min("_first")["x"].alias(p % "first"),
+            F.max("_last")["x"].alias(p % "last"),
+            F.coalesce(F.min("_least") >= 0, F.lit(True)).alias(p % "increasing"),
+            F.coalesce(F.max("_most") <= 0, F.lit(True)).alias(p % "decreasing"),
+            longest(1).alias(p % "longest_positive"),
+            longest(0).alias(p % "longest_zero"),
+            longest(-1).alias(p % "longest_negative"),
+            (F.count(F.lit(1)) - 1).alias(p % "sign_changes"),
+        )
+        slope = rows.groupBy(key).agg(F.regr_slope(x, days).alias(p % "trend"))
+        return facts.join(slope, key)
+
+    return apart(df, plan, slices)
 
 
 def dfs_direct(target: DataFrame, key: str, *parents: DataFrame, slices: Slices | None = None) -> DataFrame:
@@ -429,18 +434,22 @@ def ewma_feature(df: DataFrame, key: str, order: Sequence[str], col: str, alpha:
 
 def percentile_feature(df: DataFrame, key: str, col: str, slices: Slices | None = None) -> DataFrame:
     """Average rank of the value within its key as a share of the key's rows (``slices`` measured on ``col``)."""
-    name = f"percentile_{col}"
-    if slices is None:
-        w = Window.partitionBy(key)
-        by_value = w.orderBy(col)
-        n = F.count(col).over(w)
-        share = (F.rank().over(by_value) + F.count(col).over(by_value)) / (2 * n)
-        return df.where(F.col(col).isNotNull()).withColumn(name, share)
-    values = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
-    placed = running(values, key, col, {"_upto": ("sum", F.col("_c"))}, slices)
-    totals = values.groupBy(key).agg(F.sum("_c").alias("_n"))
-    shares = attach(placed, totals, key, slices).select(key, col, ((2 * F.col("_upto") - F.col("_c") + 1) / (2 * F.col("_n"))).alias(name))
-    return df.join(shares, [key, col])
+
+    def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
+        name = f"percentile_{col}"
+        if slices is None:
+            w = Window.partitionBy(key)
+            by_value = w.orderBy(col)
+            n = F.count(col).over(w)
+            share = (F.rank().over(by_value) + F.count(col).over(by_value)) / (2 * n)
+            return df.where(F.col(col).isNotNull()).withColumn(name, share)
+        values = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
+        placed = running(values, key, col, {"_upto": ("sum", F.col("_c"))}, slices)
+        totals = values.groupBy(key).agg(F.sum("_c").alias("_n"))
+        shares = attach(placed, totals, key, slices).select(key, col, ((2 * F.col("_upto") - F.col("_c") + 1) / (2 * F.col("_n"))).alias(name))
+        return df.join(shares, [key, col])
+
+    return apart(df, plan, slices)
 
 
 # --- point-in-time aggregates --------------------------------------------------------------------------------------

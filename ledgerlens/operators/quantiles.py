@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.skew import Slices, as_list, running
+from ledgerlens.operators.skew import Slices, apart, as_list, running
 
 
 def _counted(df: DataFrame, keys: list[str], col: str, names: dict[str, float], slices: Slices) -> DataFrame:
@@ -41,16 +41,12 @@ def quantiles(df: DataFrame, keys: str | Sequence[str], col: str, names: dict[st
     """
     keys = as_list(keys)
 
-    def built_in(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(*[F.percentile(col, p).alias(name) for name, p in names.items()])
+    def plan(rows: DataFrame, slices: Slices | None) -> DataFrame:
+        if slices is None:
+            return rows.groupBy(*keys).agg(*[F.percentile(col, p).alias(name) for name, p in names.items()])
+        return _counted(rows, keys, col, names, slices)
 
-    if slices is None:
-        return built_in(df)
-    if slices.hot is None:
-        return _counted(df, keys, col, names, slices)
-    hot = F.broadcast(slices.hot)
-    heavy = _counted(df.join(hot, keys, "left_semi"), keys, col, names, slices)
-    return built_in(df.join(hot, keys, "left_anti")).unionByName(heavy)
+    return apart(df, plan, slices)
 
 
 def value_counts(df: DataFrame, columns: str | Sequence[str], name: str = "count") -> DataFrame:

@@ -30,12 +30,19 @@ Accumulators = dict[str, tuple[str, Column]]
 
 @dataclass(frozen=True)
 class Slices:
-    """Heavy keys (at most ``1 / share`` rows; ``None`` when there is no key at all) and cuts of the ordering column."""
+    """Heavy keys (at most ``1 / share`` rows) and cuts of the ordering column.
+
+    ``hot`` is ``None`` when every row is to be cut: a table without key, or a frame of heavy keys only.
+    """
 
     keys: tuple[str, ...]
     hot: DataFrame | None
     cuts: tuple[float, ...]
 
+    def alone(self) -> Slices:
+        """The same cuts for a frame that holds only rows of heavy keys."""
+        return Slices(self.keys, None, self.cuts)
+
 
 def as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -103,42 +110,45 @@ def measure(
     return Slices((), None, _cuts(df, order, pieces))
 
 
+def apart(df: DataFrame, plan: Callable[..., DataFrame], *slices: Slices | None) -> DataFrame:
+    """``plan(rows, *slices)`` for light keys without slices and for heavy keys with them, put together.
+
+    The split happens at the input, so what a plan computes more than once for heavy keys never touches the others. All
+    ``slices`` name the same heavy keys.
+    """
+    known = next((s for s in slices if s is not None), None)
+    if known is None or known.hot is None:
+        return plan(df, *slices)
+    hot, keys = F.broadcast(known.hot), list(known.keys)
+    light = plan(df.join(hot, keys, "left_anti"), *[None] * len(slices))
+    heavy = plan(df.join(hot, keys, "left_semi"), *[s and s.alone() for s in slices])
+    return light.unionByName(heavy)
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: str | Sequence[str], slices: Slices | None = None, how: str = "inner") -> DataFrame:
     """Join facts, one row per key, to rows of the key.
 
-    Light keys are an ordinary equi-join. Rows of heavy keys meet their facts by broadcast (at most one row per heavy
-    key), so they are not gathered by key.
+    Light keys are an ordinary equi-join. Rows of heavy keys meet their facts by broadcast (one row for each of at most
+    ``1 / share`` keys), so they are not gathered by key.
     """
     keys = as_list(keys)
-    if slices is None or slices.hot is None:
+    if slices is None:
         return rows.join(facts, keys, how)
+    if slices.hot is None:
+        return rows.join(F.broadcast(facts), keys, how)
     hot = F.broadcast(slices.hot)
-    light = rows.join(hot, keys, "left_anti").join(facts, keys, how)
-    heavy = rows.join(hot, keys, "left_semi").join(F.broadcast(facts.join(hot, keys, "left_semi")), keys, how)
-    return light.unionByName(heavy)
+    heavy_facts = facts.join(hot, keys, "left_semi")
+    return apart(rows, lambda part, s: attach(part, facts if s is None else heavy_facts, keys, s, how), slices)
 
 
 def slice_rows(df: DataFrame, order: str, slices: Slices) -> DataFrame:
-    """Add ``_slice``: 0 for light keys, 1.. in the order of ``order`` for heavy ones."""
-    keys = list(slices.keys)
-    raw = F.coalesce(ordinal(df, order), F.lit(float("-inf")))
-    df = df.withColumn("_raw", raw)
-    if slices.cuts:
-        splits = [float("-inf"), *slices.cuts, float("inf")]
-        df = Bucketizer(splits=splits, inputCol="_raw", outputCol="_bin", handleInvalid="keep").transform(df)
-    else:
-        df = df.withColumn("_bin", F.lit(0.0))
-    number = F.col("_bin").cast("int") + 1
-    if slices.hot is None:
-        return df.withColumn("_slice", number).drop("_raw", "_bin")
-    marked = df.join(F.broadcast(slices.hot.withColumn("_hot", F.lit(True))), keys, "left")
-    return marked.withColumn("_slice", F.when(F.col("_hot"), number).otherwise(0)).drop("_raw", "_bin", "_hot")
-
-
-def _heavy_rows(df: DataFrame, order: str, slices: Slices) -> DataFrame:
-    """Rows of heavy keys with their slice. The semi-join moves towards the scan, so light keys are dropped early."""
-    rows = df if slices.hot is None else df.join(F.broadcast(slices.hot), list(slices.keys), "left_semi")
-    return slice_rows(rows, order, Slices((), None, slices.cuts))
+    """Add ``_slice``, 1.. in the order of ``order``."""
+    df = df.withColumn("_raw", F.coalesce(ordinal(df, order), F.lit(float("-inf"))))
+    splits = [float("-inf"), *slices.cuts, float("inf")]
+    if len(splits) == 2:
+        return df.withColumn("_slice", F.lit(1)).drop("_raw")
+    cut_ = Bucketizer(splits=splits, inputCol="_raw", outputCol="_bin", handleInvalid="keep").transform(df)
+    return cut_.withColumn("_slice", F.col("_bin").cast("int") + 1).drop("_raw", "_bin")
 
 
 def _over(kind: str, value: Column, window) -> Column:
@@ -174,26 +184,28 @@ def running(
         outs = [_over(accs[name][0], F.col(part), framed(window)).alias(name) for name, part in parts.items()]
         return frame.select(*frame.columns, *outs).drop(*parts.values())
 
-    if slices is None:
-        return result(staged, Window.partitionBy(*keys).orderBy(*order))
-
-    sliced = slice_rows(staged, order[0], slices)
-    place = F.struct(*order)
-    totals = []
-    for name, part in parts.items():
-        kind = accs[name][0]
-        if kind == "last":
-            totals.append(F.max_by(part, F.when(F.col(part).isNotNull(), place)).alias(part))
-        else:
-            totals.append({"sum": F.sum, "min": F.min, "max": F.max}[kind](part).alias(part))
-    per_slice = _heavy_rows(staged, order[0], slices).groupBy(*keys, "_slice").agg(*totals)
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_slice.select(
-        *keys, "_slice", F.lit(0).alias("_seq"), *[_over(accs[n][0], F.col(p), earlier).alias(p) for n, p in parts.items()]
-    )
-    events = sliced.withColumn("_seq", F.lit(1)).unionByName(carry, allowMissingColumns=True)
-    window = Window.partitionBy(*keys, "_slice").orderBy("_seq", *order)
-    return result(events, window).where("_seq = 1").drop("_seq", "_slice")
+    def plan(rows: DataFrame, slices: Slices | None) -> DataFrame:
+        if slices is None:
+            return result(rows, Window.partitionBy(*keys).orderBy(*order))
+        sliced = slice_rows(rows, order[0], slices)
+        place = F.struct(*order)
+        totals = []
+        for name, part in parts.items():
+            kind = accs[name][0]
+            if kind == "last":
+                totals.append(F.max_by(part, F.when(F.col(part).isNotNull(), place)).alias(part))
+            else:
+                totals.append({"sum": F.sum, "min": F.min, "max": F.max}[kind](part).alias(part))
+        per_slice = sliced.groupBy(*keys, "_slice").agg(*totals)
+        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carry = per_slice.select(
+            *keys, "_slice", F.lit(0).alias("_seq"), *[_over(accs[n][0], F.col(p), earlier).alias(p) for n, p in parts.items()]
+        )
+        events = sliced.withColumn("_seq", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+        window = Window.partitionBy(*keys, "_slice").orderBy("_seq", *order)
+        return result(events, window).where("_seq = 1").drop("_seq", "_slice")
+
+    return apart(staged, plan, slices)
 
 
 def numbered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], slices: Slices | None = None, name: str = "_pos") -> DataFrame:
@@ -221,41 +233,47 @@ def windowed(
     an extra column with the 1-based place in the key.
     """
     keys, order = as_list(keys), as_list(order)
-    if slices is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        built = build(window)
-        if position:
-            built[position] = F.row_number().over(window).cast("long")
-        return df.select("*", *[c.alias(n) for n, c in built.items()])
-    block = max(block or BLOCK, before, after)
-    own = F.floor((F.col("_at") - 1) / block)
-    offset = (F.col("_at") - 1) % block
-    places = F.array_compact(
-        F.array(
-            F.struct(own.alias("b"), F.lit(True).alias("own")),
-            F.when(offset >= block - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))),
-            F.when((offset < after) & (own > 0), F.struct((own - 1).alias("b"), F.lit(False).alias("own"))),
+    def plan(rows: DataFrame, slices: Slices | None) -> DataFrame:
+        if slices is None:
+            window = Window.partitionBy(*keys).orderBy(*order)
+            built = build(window)
+            if position:
+                built[position] = F.row_number().over(window).cast("long")
+            return rows.select("*", *[c.alias(n) for n, c in built.items()])
+        size = max(block or BLOCK, before, after)
+        own = F.floor((F.col("_at") - 1) / size)
+        offset = (F.col("_at") - 1) % size
+        places = F.array_compact(
+            F.array(
+                F.struct(own.alias("b"), F.lit(True).alias("own")),
+                F.when(offset >= size - before, F.struct((own + 1).alias("b"), F.lit(False).alias("own"))),
+                F.when((offset < after) & (own > 0), F.struct((own - 1).alias("b"), F.lit(False).alias("own"))),
+            )
         )
-    )
-    spread = numbered(df, keys, order, slices, "_at").select("*", F.explode(places).alias("_place"))
-    spread = spread.select(*df.columns, "_at", F.col("_place.b").alias("_block"), F.col("_place.own").alias("_own"))
-    built = build(Window.partitionBy(*keys, "_block").orderBy("_at"))
-    wide = spread.select("*", *[c.alias(n) for n, c in built.items()])
-    kept = wide.where("_own").drop("_block", "_own")
-    return kept.withColumnRenamed("_at", position) if position else kept.drop("_at")
+        spread = numbered(rows, keys, order, slices, "_at").select("*", F.explode(places).alias("_place"))
+        spread = spread.select(*rows.columns, "_at", F.col("_place.b").alias("_block"), F.col("_place.own").alias("_own"))
+        built = build(Window.partitionBy(*keys, "_block").orderBy("_at"))
+        wide = spread.select("*", *[c.alias(n) for n, c in built.items()])
+        kept = wide.where("_own").drop("_block", "_own")
+        return kept.withColumnRenamed("_at", position) if position else kept.drop("_at")
+
+    return apart(df, plan, slices)
 
 
 def ranked(df: DataFrame, keys: str | Sequence[str], order: str, slices: Slices | None = None, name: str = "_rank") -> DataFrame:
     """1-based competition rank of ``order`` within each key (or over the whole table when ``keys`` is empty)."""
     keys = as_list(keys)
-    if slices is None:
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
-    sliced = slice_rows(df, order, slices)
-    sizes = _heavy_rows(df, order, slices).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    if not keys:
-        offsets = F.broadcast(offsets)  # one row per slice, at most ``pieces`` of them
-    local = F.rank().over(Window.partitionBy(*keys, "_slice").orderBy(order))
-    placed = sliced.join(offsets, [*keys, "_slice"], "left").withColumn(name, local + F.coalesce("_offset", F.lit(0)))
-    return placed.select(*df.columns, F.col(name).cast("long").alias(name))
+    def plan(rows: DataFrame, slices: Slices | None) -> DataFrame:
+        if slices is None:
+            return rows.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
+        sliced = slice_rows(rows, order, slices)
+        sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+        if not keys:
+            offsets = F.broadcast(offsets)  # one row per slice, at most ``PIECES`` of them
+        local = F.rank().over(Window.partitionBy(*keys, "_slice").orderBy(order))
+        placed = sliced.join(offsets, [*keys, "_slice"], "left").withColumn(name, local + F.coalesce("_offset", F.lit(0)))
+        return placed.select(*rows.columns, F.col(name).cast("long").alias(name))
+
+    return apart(df, plan, slices)

@@ -50,7 +50,7 @@ class _Rolling:
         if slices is None:
             return None
         moved = {c + d * 86_400_000_000 for c in slices.cuts for d in [0, *self.days]}
-        return Slices(("_key",), slices.hot.withColumnRenamed(slices.keys[0], "_key"), tuple(sorted(moved)))
+        return Slices(("_key",), slices.hot and slices.hot.withColumnRenamed(slices.keys[0], "_key"), tuple(sorted(moved)))
 
     def columns(self) -> list[Column]:
         outs, scale = [], self.scale
@@ -117,20 +117,28 @@ def rolling_asof(
     clash = set(payload) & set(left.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    probes = left.select(F.col(by).alias("_key"), F.col(left_on).alias("_at"), F.lit(-1).alias("_d"), F.struct(*left.columns).alias("_left"))
-    events = rolling.events(right, by).unionByName(probes, allowMissingColumns=True)
-    totals = rolling.totals(events, slices).where("_d <= 0")
-    volume = F.struct(*[F.col(f"_row.{c}").alias(c) for c in payload], *rolling.columns())
-    ties = [F.col(f"_row.{tie}").alias("_tie")] if tie else []
-    placed = totals.select("_key", "_at", "_left", (-F.col("_d")).alias("_side"), F.when(F.col("_d") == 0, volume).alias("_right"), *ties)
-    order = ["_at", "_side", "_tie"] if tie else ["_at", "_side"]
-    found = running(placed, "_key", order, {"_last": ("last", F.col("_right"))}, rolling.sliced(slices)).where(F.col("_left").isNotNull())
-    near = F.col("_at").isNotNull()
-    if tolerance is not None:
-        near = near & (F.col(f"_last.{right_on}") + F.lit(tolerance) >= F.col("_at"))
-    matched = found.select("_left", F.when(near, F.col("_last")).alias("_last"))
-    names = [f.name for f in placed.schema["_right"].dataType.fields]
-    return matched.select("_left.*", *[F.col("_last")[c].alias(c) for c in names])
+
+    def plan(left: DataFrame, right: DataFrame, slices: Slices | None) -> DataFrame:
+        probes = left.select(F.col(by).alias("_key"), F.col(left_on).alias("_at"), F.lit(-1).alias("_d"), F.struct(*left.columns).alias("_left"))
+        events = rolling.events(right, by).unionByName(probes, allowMissingColumns=True)
+        totals = rolling.totals(events, slices).where("_d <= 0")
+        volume = F.struct(*[F.col(f"_row.{c}").alias(c) for c in payload], *rolling.columns())
+        ties = [F.col(f"_row.{tie}").alias("_tie")] if tie else []
+        placed = totals.select("_key", "_at", "_left", (-F.col("_d")).alias("_side"), F.when(F.col("_d") == 0, volume).alias("_right"), *ties)
+        order = ["_at", "_side", "_tie"] if tie else ["_at", "_side"]
+        found = running(placed, "_key", order, {"_last": ("last", F.col("_right"))}, rolling.sliced(slices)).where(F.col("_left").isNotNull())
+        near = F.col("_at").isNotNull()
+        if tolerance is not None:
+            near = near & (F.col(f"_last.{right_on}") + F.lit(tolerance) >= F.col("_at"))
+        matched = found.select("_left", F.when(near, F.col("_last")).alias("_last"))
+        names = [f.name for f in placed.schema["_right"].dataType.fields]
+        return matched.select("_left.*", *[F.col("_last")[c].alias(c) for c in names])
+
+    if slices is None:
+        return plan(left, right, None)
+    hot = F.broadcast(slices.hot)
+    light = plan(left.join(hot, by, "left_anti"), right.join(hot, by, "left_anti"), None)
+    return light.unionByName(plan(left.join(hot, by, "left_semi"), right.join(hot, by, "left_semi"), slices.alone()))
 
 
 def asof_join(

@@ -18,6 +18,7 @@ KEY = "MAIN_SYSTEM_ID"
 
 @pytest.fixture(scope="module")
 def lazy(spark):
+    spark.catalog.clearCache()  # other tests persist the same views
     return load_views(spark, SF)
 
 
