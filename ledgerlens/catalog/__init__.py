@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["lending", "tables", "testing", "synthesis", "series_queries", "modelling"]
+MODULES = ["lending", "tables", "testing", "synthesis", "series_queries", "modelling", "storage"]
 
 
 def load_catalog():

@@ -207,7 +207,7 @@ def _(spark, sf_dir):
 {r('CASE WHEN stddev_pop(x) > 0 AND stddev_pop(i) > 0 THEN corr(x, i - 1) END', 'linear_trend_r')}, {r('regr_slope(x, (epoch_us(t) - epoch_us(t0)) / 1e6 / 3600)', 'linear_trend_hourly_slope')},
 {', '.join(r(f'coalesce(sum(x * x) FILTER (WHERE floor((i - 1) * 4 / n) = {j}), 0) / sum(x * x)', f'energy_ratio_{j}') for j in range(4))}
 FROM (SELECT *, min(t) OVER (PARTITION BY k) AS t0 FROM s) GROUP BY 1) a
-JOIN (SELECT k, {r('regr_slope(m, c)', 'chunk_mean_slope')}, {r('regr_slope(h, c)', 'chunk_max_slope')} FROM (SELECT k, (i - 1) // 3 AS c, avg(x) AS m, max(x) AS h FROM s GROUP BY 1, 2) GROUP BY 1) b USING (k)"""
+JOIN (SELECT k, {r('CASE WHEN max(c) > min(c) THEN regr_slope(m, c) END', 'chunk_mean_slope')}, {r('CASE WHEN max(c) > min(c) THEN regr_slope(h, c) END', 'chunk_max_slope')} FROM (SELECT k, (i - 1) // 3 AS c, avg(x) AS m, max(x) AS h FROM s GROUP BY 1, 2) GROUP BY 1) b USING (k)"""
     ),
 )
 def _(spark, sf_dir):

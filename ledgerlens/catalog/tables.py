@@ -71,7 +71,7 @@ WHERE FIRST_TRIAL_BALANCE < 0 AND PAYMENT_STATUS = 'Paid'""",
 simple("p10_missed", "SELECT LOAN_ID, FIRST_TRIAL_BALANCE FROM loans WHERE FIRST_TRIAL_BALANCE < 0", lambda v: shape.missed_first_collection(v["loans"]).select("LOAN_ID", "FIRST_TRIAL_BALANCE"))
 simple(
     "p11_overspent",
-    "SELECT MAIN_SYSTEM_ID, LOAN_ID, LOAN_AMOUNT, SPENT FROM loans WHERE SPENT / LOAN_AMOUNT > 1",
+    "SELECT MAIN_SYSTEM_ID, LOAN_ID, LOAN_AMOUNT, SPENT FROM loans WHERE SPENT / nullif(LOAN_AMOUNT, 0) > 1",
     lambda v: shape.overspent(v["loans"]),
 )
 simple(

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.skew import Slices
+from ledgerlens.operators.skew import AUTO, Slices
 from ledgerlens.operators.temporal import asof_join, money
 from ledgerlens.schemas import KEY
 from ledgerlens.session import materialise
@@ -130,7 +130,7 @@ def percentile_interval(df: DataFrame, col: str, low: float = 0.025, high: float
     return df.agg(F.percentile(col, F.array(F.lit(low), F.lit(high))).alias("b")).select(F.col("b")[0].alias("lower"), F.col("b")[1].alias("upper"))
 
 
-def nearest_orders(loans: DataFrame, purchases: DataFrame, slices: Slices | None = None) -> DataFrame:
+def nearest_orders(loans: DataFrame, purchases: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
     """Each loan with its latest order; a tolerance only hides matches, so one join serves every tolerance."""
     probes = loans.select("LOAN_ID", KEY, "LOAN_ISSUANCE_DATE", "PAYMENT_STATUS")
     points = purchases.select(KEY, "ORDER_CREATION_DATE")

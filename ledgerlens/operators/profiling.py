@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.quantiles import quantiles
-from ledgerlens.operators.skew import HOT_ROWS, measure
+from ledgerlens.operators.skew import AUTO, HOT_ROWS, measure, resolve, running
+from ledgerlens.operators.temporal import measure_sides, money
+from ledgerlens.schemas import KEY
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -161,16 +163,13 @@ def activity(df: DataFrame, entity: str, ts: str, grain: str, top: int) -> DataF
     return rows.groupBy(entity, bin_).agg(F.count(F.lit(1)).alias("n"))
 
 
-def spend_reconstruction(loans: DataFrame, purchases: DataFrame, slices=None) -> DataFrame:
+def spend_reconstruction(loans: DataFrame, purchases: DataFrame, slices=AUTO) -> DataFrame:
     """Orders placed from issuance to due date of each loan, next to what the loan says was spent.
 
     The sum over ``[issuance, due]`` is a running total at the due date minus the running total just before issuance,
     so a retailer's orders are never paired with its loans.
     """
-    from ledgerlens.operators.skew import running
-    from ledgerlens.operators.temporal import money
-    from ledgerlens.schemas import KEY
-
+    slices = resolve(slices, lambda: measure_sides(loans, purchases, "LOAN_ISSUANCE_DATE", "ORDER_CREATION_DATE", KEY))
     orders = purchases.select(
         KEY, F.col("ORDER_CREATION_DATE").alias("_at"), F.lit(1).alias("_side"), money(F.col("ORDER_PRICE")).alias("_x"), F.lit(1).alias("_one")
     )

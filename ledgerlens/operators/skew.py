@@ -25,6 +25,8 @@ HOT_SHARE = 1e-5
 PIECES = 1024
 BLOCK = 1 << 18
 
+AUTO = "auto"  # as ``slices``: measure the input here
+
 Accumulators = dict[str, tuple[str, Column]]
 
 
@@ -110,6 +112,11 @@ def measure(
     return Slices((), None, _cuts(df, order, pieces))
 
 
+def resolve(slices: Slices | str | None, measured: Callable[[], Slices | None]) -> Slices | None:
+    """``slices`` itself, or the outcome of measuring if it is ``AUTO``."""
+    return measured() if isinstance(slices, str) else slices
+
+
 def apart(df: DataFrame, plan: Callable[..., DataFrame], *slices: Slices | None) -> DataFrame:
     """``plan(rows, *slices)`` for light keys without slices and for heavy keys with them, put together.
 

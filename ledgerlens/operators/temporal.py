@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.skew import Slices, as_list, measure, ranked, running
+from ledgerlens.operators.skew import AUTO, Slices, as_list, measure, ranked, resolve, running
 
 
 def money(value: Column, scale: int = 4) -> Column:
@@ -71,6 +71,13 @@ class _Rolling:
         return outs
 
 
+def measure_sides(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: str | Sequence[str], **limits) -> Slices | None:
+    """Heavy keys of two tables that are going to be stacked."""
+    by = as_list(by)
+    sides = [df.select(*by, F.col(ts).alias("_at")) for df, ts in ((left, left_on), (right, right_on))]
+    return measure(sides[0].unionByName(sides[1]), by, "_at", **limits)
+
+
 def rolling_time(
     df: DataFrame,
     key: str,
@@ -78,7 +85,7 @@ def rolling_time(
     col: str,
     days: int | Sequence[int],
     fns: Sequence[str] = ("mean", "std"),
-    slices: Slices | None = None,
+    slices: Slices | str | None = AUTO,
     scale: int = 4,
 ) -> DataFrame:
     """Rolling mean and sample deviation of ``col`` over the left-open window ``(ts - days, ts]`` of each key.
@@ -89,8 +96,12 @@ def rolling_time(
     then running totals of arrivals minus departures, so the work is linear however many rows a window covers. Totals
     are decimals, which makes the subtraction exact: amounts are taken with ``scale`` digits after the point. A window
     with one row has no deviation (NULL); equal times see each other.
+
+    ``slices`` says which keys are heavy (see ``skew``). By default the input is measured; pass the outcome of a
+    measurement to share it between operators, or ``None`` for the plain window.
     """
     rolling = _Rolling(ts, col, days, fns, scale)
+    slices = resolve(slices, lambda: measure(df, key, ts))
     return rolling.totals(rolling.events(df, key), slices).where("_d = 0").select("_row.*", *rolling.columns())
 
 
@@ -104,7 +115,7 @@ def rolling_asof(
     days: int | Sequence[int],
     tolerance: timedelta | None = None,
     tie: str | None = None,
-    slices: Slices | None = None,
+    slices: Slices | str | None = AUTO,
     scale: int = 4,
 ) -> DataFrame:
     """``asof_join(left, rolling_time(right, ...))`` in one shuffle.
@@ -113,6 +124,7 @@ def rolling_asof(
     two windows over the same partitioning.
     """
     rolling = _Rolling(right_on, col, days, ("mean", "std"), scale)
+    slices = resolve(slices, lambda: measure_sides(left, right, left_on, right_on, by))
     payload = [c for c in right.columns if c != by]
     clash = set(payload) & set(left.columns)
     if clash:
@@ -150,7 +162,7 @@ def asof_join(
     tolerance: timedelta | None = None,
     allow_exact: bool = True,
     tie: str | Sequence[str] = (),
-    slices: Slices | None = None,
+    slices: Slices | str | None = AUTO,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time (NULLs where there is none).
 
@@ -158,6 +170,7 @@ def asof_join(
     join. ``tolerance`` is inclusive. Among right rows of one instant the largest ``tie`` wins.
     """
     by, tie = as_list(by), as_list(tie)
+    slices = resolve(slices, lambda: measure_sides(left, right, left_on, right_on, by))
     payload = [c for c in right.columns if c not in by]
     clash = set(payload) & set(left.columns)
     if clash:

@@ -7,8 +7,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.skew import Slices, measure
-from ledgerlens.operators.temporal import rolling_asof, strictly_before
+from ledgerlens.operators.skew import AUTO, Slices
+from ledgerlens.operators.temporal import measure_sides, rolling_asof, strictly_before
 from ledgerlens.schemas import KEY
 
 # Deviations above the mean that each policy tolerates.
@@ -17,10 +17,7 @@ POLICIES = {"CONSERVATIVE_DECISION": 1, "AMBITIOUS_DECISION": 2}
 
 def heavy_retailers(loans: DataFrame, purchases: DataFrame, **limits) -> Slices | None:
     """Measure once which retailers are heavy in either table."""
-    both = purchases.select(KEY, F.col("ORDER_CREATION_DATE").alias("_at")).unionByName(
-        loans.select(KEY, F.col("LOAN_ISSUANCE_DATE").alias("_at"))
-    )
-    return measure(both, KEY, "_at", **limits)
+    return measure_sides(loans, purchases, "LOAN_ISSUANCE_DATE", "ORDER_CREATION_DATE", KEY, **limits)
 
 
 def with_volume(
@@ -29,7 +26,7 @@ def with_volume(
     days: int | list[int] = 30,
     tolerance_days: int = 7,
     strict: bool = True,
-    slices: Slices | None = None,
+    slices: Slices | str | None = AUTO,
 ) -> DataFrame:
     """Each loan with the rolling order volume at the retailer's latest order within the tolerance."""
     orders = purchases.select(KEY, "ORDER_CREATION_DATE", "ORDER_PRICE", "ORDER_ID")
@@ -64,7 +61,7 @@ def risk_mart(
     predictions: DataFrame | None = None,
     days: int = 30,
     tolerance_days: int = 7,
-    slices: Slices | None = None,
+    slices: Slices | str | None = AUTO,
 ) -> DataFrame:
     """Loans with a recent order, their usual volume and one decision column per policy.
 
