@@ -464,13 +464,15 @@ def point_in_time(
     at: str = "LOAN_ISSUANCE_DATE",
     ident: str = "LOAN_ID",
     prefix: str = "",
+    carry: bool = False,
     slices: Slices | None = None,
 ) -> DataFrame:
     """What each loan could know about a child table when it was issued.
 
     Child rows count from their time on; columns with a secondary time count from that time on. Count, sum, mean,
     deviation, extremes, last value and distinct values are running totals over child rows and loans in time order, so
-    loans are never paired with their history.
+    loans are never paired with their history. The result has the loan's id and the features; with ``carry`` the loan's
+    other columns travel along, which saves joining them again.
     """
     late = {c: t for t, names in child.secondary.items() for c in names}
     by_time: dict[str, list[str]] = {}
@@ -487,7 +489,8 @@ def point_in_time(
         known = child.df.select(key, F.col(c).alias("_v"), F.col(late.get(c, child.time)).alias("at")).where("_v IS NOT NULL AND at IS NOT NULL")
         firsts = known.groupBy(key, "_v").agg(F.min("at").alias("at")).select(key, "at", F.lit(0).alias("_side"), F.lit(1).alias(f"u_{c}"))
         events = events.unionByName(firsts, allowMissingColumns=True)
-    probes = loans.select(key, F.col(at).alias("at"), F.lit(1).alias("_side"), F.col(ident).alias("_loan"))
+    kept = loans.columns if carry else [ident]
+    probes = loans.select(key, F.col(at).alias("at"), F.lit(1).alias("_side"), F.struct(*kept).alias("_loan"))
     events = events.unionByName(probes, allowMissingColumns=True)
 
     accs = {"_n": ("sum", F.col("one"))}
@@ -517,7 +520,7 @@ def point_in_time(
             F.col(f"_last_{c}").cast("double").alias(f"{prefix}last_{c}"),
         ]
     outs += [F.coalesce(f"_u_{c}", F.lit(0)).cast("long").alias(f"{prefix}num_unique_{c}") for c in unique]
-    return totals.select(F.col("_loan").alias(ident), *outs)
+    return totals.select("_loan.*", *outs)
 
 
 def merge_frames(left: DataFrame, right: DataFrame, left_defs: DataFrame, right_defs: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:

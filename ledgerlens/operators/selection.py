@@ -21,23 +21,15 @@ def column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, rows, non_null, null_share, constant`` per column; plain aggregates, a row per column."""
     frames = []
     for start in range(0, len(columns), BATCH):
-        batch = list(columns[start : start + BATCH])
-        exprs = [F.count(F.lit(1)).alias("_rows")]
-        for i, c in enumerate(batch):
-            exprs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), (F.min(F.col(f"`{c}`")) == F.max(F.col(f"`{c}`"))).alias(f"c{i}")]
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.col("_rows").alias("rows"),
-                    F.col(f"n{i}").alias("non_null"),
-                    (1 - F.col(f"n{i}") / F.col("_rows")).alias("null_share"),
-                    F.coalesce(F.col(f"c{i}"), F.lit(False)).alias("constant"),
-                )
-                for i, c in enumerate(batch)
-            ]
+        # SQL text instead of column objects: one call per expression keeps wide plans quick to build
+        batch = [(i, c.replace("`", "``")) for i, c in enumerate(columns[start : start + BATCH])]
+        exprs = [F.expr("count(1) AS _rows")]
+        for i, c in batch:
+            exprs += [F.expr(f"count(`{c}`) AS n{i}"), F.expr(f"min(`{c}`) = max(`{c}`) AS c{i}")]
+        rows = ", ".join(
+            f"named_struct('column', '{c}', 'rows', _rows, 'non_null', n{i}, 'null_share', 1 - n{i} / _rows, 'constant', coalesce(c{i}, false))" for i, c in batch
         )
-        frames.append(df.agg(*exprs).select(F.inline(rows)))
+        frames.append(df.agg(*exprs).select(F.expr(f"inline(array({rows}))")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

@@ -11,6 +11,7 @@ from ledgerlens.operators import features as ft
 from ledgerlens.operators import series
 from ledgerlens.operators.shape import drop_leaky
 from ledgerlens.operators.skew import measure
+from ledgerlens.operators.temporal import measure_sides
 from ledgerlens.schemas import KEY
 
 ISSUED = "LOAN_ISSUANCE_DATE"
@@ -51,41 +52,46 @@ def loan_transforms(loans: DataFrame) -> tuple[DataFrame, list[ft.Feature]]:
     return wide, [*first, *second, *ordered]
 
 
-def child_features(es: ft.EntitySet, name: str, cutoff: str | None, at: datetime | None = None) -> DataFrame:
-    """Features of one child table: per loan as of its issuance, or per retailer over the whole history."""
-    child, cols, prefix = es.entities[name], CHILD_COLUMNS[name], f"{name}_"
-    loans = es.entities[es.target].df
-    if cutoff == "issuance":
-        unique = ["STATUS"] if name == "sales" else []
-        both = child.df.select(KEY, F.col(child.time).alias("_at")).unionByName(loans.select(KEY, F.col(ISSUED).alias("_at")))
-        return ft.point_in_time(loans, child, KEY, cols, unique, prefix=prefix, slices=measure(both, KEY, "_at"))
-    out = ft.dfs_agg(child.df, KEY, cols, prefix)
+def with_history(loans: DataFrame, child: ft.Entity, name: str) -> DataFrame:
+    """Loans with what was known of a child table when each was issued; the loan's columns are carried along."""
+    unique = ["STATUS"] if name == "sales" else []
+    slices = measure_sides(loans, child.df, ISSUED, child.time, KEY)
+    return ft.point_in_time(loans, child, KEY, CHILD_COLUMNS[name], unique, prefix=f"{name}_", carry=True, slices=slices)
+
+
+def retailer_features(child: ft.Entity, name: str, at: datetime) -> DataFrame:
+    """Features of one child table per retailer over the whole history."""
+    prefix = f"{name}_"
+    out = ft.dfs_agg(child.df, KEY, CHILD_COLUMNS[name], prefix)
     if name == "sales":
         out = out.join(ft.categorical_aggregates(child.df, KEY, "STATUS", prefix), KEY, "left")
-    return out.join(ft.time_aggregates(child.df, KEY, child.time, at or datetime(1970, 1, 1), prefix), KEY, "left")
+    return out.join(ft.time_aggregates(child.df, KEY, child.time, at, prefix), KEY, "left")
 
 
-def build_feature_frame(views: dict[str, DataFrame], cutoff: str | None = "issuance", with_series: bool = False) -> tuple[DataFrame, DataFrame]:
+def build_feature_frame(
+    views: dict[str, DataFrame], cutoff: str | None = "issuance", with_series: bool = False, at: datetime = datetime(1970, 1, 1)
+) -> tuple[DataFrame, DataFrame]:
     """``LOAN_ID, MAIN_SYSTEM_ID`` and features, and the definitions of the features.
 
-    ``cutoff="issuance"`` uses only what was known when the loan was issued; ``None`` aggregates the whole history.
-    ``with_series`` adds time-series features of each retailer's order prices (whole history).
+    ``cutoff="issuance"`` uses only what was known when the loan was issued; ``None`` aggregates the whole history, with
+    ages counted to ``at``. ``with_series`` adds time-series features of each retailer's order prices (whole history).
     """
     es = entity_set(views)
-    loans, made = loan_transforms(es.entities["loans"].df)
-    frame, parents = loans.drop(ISSUED, "INITIAL_DATE"), []
-    for name in es.children():
-        part = child_features(es, name, cutoff)
+    loans = es.entities["loans"].df
+    frame, made = loan_transforms(loans)
+    parents = []
+    for name, child in es.children().items():
         if cutoff == "issuance":
-            frame = frame.join(part, "LOAN_ID", "left")
+            before = set(frame.columns)
+            frame = with_history(frame, child, name)
+            added, family = [c for c in frame.columns if c not in before], "point_in_time"
         else:
-            parents.append(part)
-        family = "point_in_time" if cutoff else "aggregate"
-        made += [ft.Feature(c, family, (name,), c, F.col(c)) for c in part.columns if c not in ("LOAN_ID", KEY)]
+            parents.append(retailer_features(child, name, at))
+            added, family = [c for c in parents[-1].columns if c != KEY], "aggregate"
+        made += [ft.Feature(c, family, (name,), c, F.col(c)) for c in added]
     if with_series and "purchases" in es.entities:
-        part = series.ts_features(es.entities["purchases"].df, KEY, ["ORDER_CREATION_DATE", "ORDER_ID"], "ORDER_PRICE", "ts_")
-        parents.append(part)
-        made += [ft.Feature(c, "series", ("purchases",), c, F.col(c)) for c in part.columns if c != KEY]
+        parents.append(series.ts_features(es.entities["purchases"].df, KEY, ["ORDER_CREATION_DATE", "ORDER_ID"], "ORDER_PRICE", "ts_"))
+        made += [ft.Feature(c, "series", ("purchases",), c, F.col(c)) for c in parents[-1].columns if c != KEY]
     if parents:
         frame = ft.dfs_direct(frame, KEY, *parents, slices=measure(loans, KEY, "LOAN_ID"))
-    return frame, ft.feature_defs(frame.sparkSession, made)
+    return frame.drop(ISSUED, "INITIAL_DATE"), ft.feature_defs(frame.sparkSession, made)
