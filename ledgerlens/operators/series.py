@@ -40,66 +40,81 @@ def _placed(df: DataFrame, key: str, order: Sequence[str], value: str, back: int
     return windowed(_series(df, key, order, value), key, order, build, back, ahead, slices, position=POS)
 
 
-def _stats(df: DataFrame, key: str, value: str) -> DataFrame:
+def _stats(df: DataFrame, key: str, value: str, ts: str | None = None) -> DataFrame:
+    """One row per key: rows, mean, deviation, extremes and, with ``ts``, the first time."""
     x = F.col(value).cast("double")
+    first = [F.min(ts).alias("_t0")] if ts else []
     return df.where(x.isNotNull()).groupBy(key).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")
+        F.count(x).alias("n"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"), *first
     )
 
 
+def _moment_exprs() -> list[Column]:
+    x = F.col("x")
+    n = F.count(x)
+    return [
+        n.alias("length"),
+        F.sum(money(x)).cast("double").alias("sum_values"),
+        F.sum(x * x).alias("abs_energy"),
+        F.avg(x).alias("mean"),
+        F.min(x).alias("minimum"),
+        F.max(x).alias("maximum"),
+        F.max(F.abs(x)).alias("absolute_maximum"),
+        F.var_pop(x).alias("variance"),
+        F.stddev_pop(x).alias("standard_deviation"),
+        F.sqrt(F.avg(x * x)).alias("root_mean_square"),
+        F.try_divide(F.stddev_pop(x), F.avg(x)).alias("variation_coefficient"),
+        F.when(n > 2, F.skewness(x)).alias("skewness"),
+        F.when(n > 2, F.kurtosis(x)).alias("kurtosis"),
+    ]
+
+
+def _values(df: DataFrame, key: str, value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
+
+
 def moments(df: DataFrame, key: str, value: str, slices: Slices | None = None) -> DataFrame:
     """Energy, level, spread and shape (population moments); ``slices`` measured on ``value``."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        x = F.col(value).cast("double")
-        n = F.count(x)
-        facts = df.where(x.isNotNull()).groupBy(key).agg(
-            n.alias("length"),
-            F.sum(money(x)).cast("double").alias("sum_values"),
-            F.sum(x * x).alias("abs_energy"),
-            F.avg(x).alias("mean"),
-            F.min(x).alias("minimum"),
-            F.max(x).alias("maximum"),
-            F.max(F.abs(x)).alias("absolute_maximum"),
-            F.var_pop(x).alias("variance"),
-            F.stddev_pop(x).alias("standard_deviation"),
-            F.sqrt(F.avg(x * x)).alias("root_mean_square"),
-            F.try_divide(F.stddev_pop(x), F.avg(x)).alias("variation_coefficient"),
-            F.when(n > 2, F.skewness(x)).alias("skewness"),
-            F.when(n > 2, F.kurtosis(x)).alias("kurtosis"),
-        )
+        facts = _values(df, key, value).groupBy(key).agg(*_moment_exprs())
         return facts.join(quantiles(df, key, value, {"median": 0.5}, slices), key)
 
     return apart(df, plan, slices)
 
 
+def _threshold_exprs(t: float = 0.0, low: float = -1.0, high: float = 1.0, v: float = 0.0, r: float = 1.0, share: float = 0.25) -> list[Column]:
+    x, mu, sd = F.col("x"), F.col("mu"), F.col("sd")
+    span = F.max("hi") - F.max("lo")
+    return [
+        F.sum(flag(x > t)).alias("count_above"),
+        F.sum(flag(x < t)).alias("count_below"),
+        F.sum(flag(x > mu)).alias("count_above_mean"),
+        F.sum(flag(x < mu)).alias("count_below_mean"),
+        F.sum(flag((x >= low) & (x < high))).alias("range_count"),
+        F.sum(flag(x == v)).alias("value_count"),
+        F.avg(flag(F.abs(x - mu) > r * sd)).alias("ratio_beyond_sigma"),
+        (F.max("sd") > share * span).alias("large_standard_deviation"),
+        (F.max("sd") * F.max("sd") > F.max("sd")).alias("variance_larger_than_std"),
+        F.max("mu").alias("_mu"),
+        span.alias("_span"),
+    ]
+
+
+def _symmetry(median: str, share: float = 0.25) -> Column:
+    return (F.abs(F.col("_mu") - F.col(median)) < share * F.col("_span")).alias("symmetry_looking")
+
+
 def thresholds(
     df: DataFrame, key: str, value: str, t: float = 0.0, low: float = -1.0, high: float = 1.0, v: float = 0.0, r: float = 1.0, share: float = 0.25, slices: Slices | None = None
 ) -> DataFrame:
     """Counts against fixed limits and against the key's own mean and deviation."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        x = F.col(value).cast("double")
-        rows = df.where(x.isNotNull()).select(key, x.alias("x"))
-        rows = attach(rows, _stats(df, key, value), key, slices)
-        x, mu, sd = F.col("x"), F.col("mu"), F.col("sd")
-        span = F.max("hi") - F.max("lo")
-        facts = rows.groupBy(key).agg(
-            F.sum(flag(x > t)).alias("count_above"),
-            F.sum(flag(x < t)).alias("count_below"),
-            F.sum(flag(x > mu)).alias("count_above_mean"),
-            F.sum(flag(x < mu)).alias("count_below_mean"),
-            F.sum(flag((x >= low) & (x < high))).alias("range_count"),
-            F.sum(flag(x == v)).alias("value_count"),
-            F.avg(flag(F.abs(x - mu) > r * sd)).alias("ratio_beyond_sigma"),
-            (F.max("sd") > share * span).alias("large_standard_deviation"),
-            (F.max("sd") * F.max("sd") > F.max("sd")).alias("variance_larger_than_std"),
-            F.max("mu").alias("_mu"),
-            span.alias("_span"),
-        )
+        rows = attach(_values(df, key, value), _stats(df, key, value), key, slices)
+        facts = rows.groupBy(key).agg(*_threshold_exprs(t, low, high, v, r, share))
         middle = quantiles(df, key, value, {"_median": 0.5}, slices)
-        looks = F.abs(F.col("_mu") - F.col("_median")) < share * F.col("_span")
-        return facts.join(middle, key).withColumn("symmetry_looking", looks).drop("_mu", "_span", "_median")
+        return facts.join(middle, key).select(*[c for c in facts.columns if not c.startswith("_")], _symmetry("_median", share))
 
     return apart(df, plan, slices)
 
@@ -169,57 +184,67 @@ def _by_position(slices: Slices | None, placed: DataFrame) -> Slices | None:
     return Slices(slices.keys, slices.hot, tuple(float(top * i // 1024) for i in range(1, 1024) if top * i // 1024 > top * (i - 1) // 1024))
 
 
+def _change_exprs() -> list[Column]:
+    x, b, a = F.col("x"), F.col("b1"), F.col("a1")
+    step = x - b
+    inside = x.between(F.col("_ql"), F.col("_qh")) & b.between(F.col("_ql"), F.col("_qh"))
+    return [
+        F.avg(step).alias("mean_change"),
+        F.avg(F.abs(step)).alias("mean_abs_change"),
+        F.coalesce(F.sum(F.abs(step)), F.lit(0.0)).alias("absolute_sum_of_changes"),
+        F.avg((a - 2 * x + b) / 2).alias("mean_second_derivative"),
+        F.coalesce(F.sqrt(F.sum(step * step)), F.lit(0.0)).alias("cid_ce"),
+        F.coalesce(F.avg(F.when(inside, F.abs(step))), F.lit(0.0)).alias("change_quantiles_mean"),
+        F.coalesce(F.var_pop(F.when(inside, F.abs(step))), F.lit(0.0)).alias("change_quantiles_var"),
+    ]
+
+
 def changes(df: DataFrame, key: str, order: Sequence[str], value: str, ql: float = 0.1, qh: float = 0.9, slices: Slices | None = None, value_slices: Slices | None = None) -> DataFrame:
     """Changes between neighbours, second derivative, complexity, and changes inside a quantile corridor."""
 
     def plan(df: DataFrame, slices: Slices | None, value_slices: Slices | None) -> DataFrame:
-        rows = _placed(df, key, order, value, 1, 1, slices)
         corridor = quantiles(df, key, value, {"_ql": ql, "_qh": qh}, value_slices)
-        x, b, a = F.col("x"), F.col("b1"), F.col("a1")
-        step = x - b
-        inside = x.between(F.col("_ql"), F.col("_qh")) & b.between(F.col("_ql"), F.col("_qh"))
-        return attach(rows, corridor, key, slices).groupBy(key).agg(
-            F.avg(step).alias("mean_change"),
-            F.avg(F.abs(step)).alias("mean_abs_change"),
-            F.coalesce(F.sum(F.abs(step)), F.lit(0.0)).alias("absolute_sum_of_changes"),
-            F.avg((a - 2 * x + b) / 2).alias("mean_second_derivative"),
-            F.coalesce(F.sqrt(F.sum(step * step)), F.lit(0.0)).alias("cid_ce"),
-            F.coalesce(F.avg(F.when(inside, F.abs(step))), F.lit(0.0)).alias("change_quantiles_mean"),
-            F.coalesce(F.var_pop(F.when(inside, F.abs(step))), F.lit(0.0)).alias("change_quantiles_var"),
-        )
+        return attach(_placed(df, key, order, value, 1, 1, slices), corridor, key, slices).groupBy(key).agg(*_change_exprs())
 
     return apart(df, plan, slices, value_slices)
 
 
+def _position_exprs(m: float = 0.0, support: int = 1) -> list[Column]:
+    x, at, n = F.col("x"), F.col(POS), F.max("n")
+    around = [x > F.col(f"{s}{i}") for i in range(1, support + 1) for s in "ba"]
+    return [
+        ((F.max(F.struct(x, (-at).alias("at")))["at"] * -1 - 1) / n).alias("first_location_of_maximum"),
+        (F.max(F.struct(x, at.alias("at")))["at"] / n).alias("last_location_of_maximum"),
+        ((F.min(F.struct(x, at.alias("at")))["at"] - 1) / n).alias("first_location_of_minimum"),
+        (F.min(F.struct(x, (-at).alias("at")))["at"] * -1 / n).alias("last_location_of_minimum"),
+        F.sum(flag((x > m) != (F.col("b1") > m))).alias("number_crossing"),
+        F.sum(flag(reduce(lambda p, q: p & q, around))).alias("number_peaks"),
+    ]
+
+
+def _strikes(rows: DataFrame, key: str, slices: Slices | None) -> DataFrame:
+    """Longest runs above and below the mean; a run is folded to one row before the key is grouped."""
+    x, b, mu = F.col("x"), F.col("b1"), F.col("mu")
+    side = F.when(x > mu, 1).when(x < mu, -1).otherwise(0)
+    before = F.when(b > mu, 1).when(b < mu, -1).otherwise(0)
+    turned = flag(b.isNotNull() & (side != before)).cast("long")
+    narrow = rows.select(key, POS, side.alias("_side"), turned.alias("_turned"))
+    runs = running(narrow, key, POS, {"_run": ("sum", F.col("_turned"))}, _by_position(slices, narrow), peers=False)
+    lengths = runs.groupBy(key, "_run").agg(F.max("_side").alias("_side"), F.count(F.lit(1)).alias("_len"))
+
+    def longest(s: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_side") == s, F.col("_len"))), F.lit(0))
+
+    return lengths.groupBy(key).agg(longest(1).alias("longest_strike_above_mean"), longest(-1).alias("longest_strike_below_mean"))
+
+
 def positions(df: DataFrame, key: str, order: Sequence[str], value: str, m: float = 0.0, support: int = 1, slices: Slices | None = None) -> DataFrame:
     """Where extremes lie, longest runs around the mean, crossings of ``m`` and peaks of a given support."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        rows = _placed(df, key, order, value, max(support, 1), support, slices)
-        rows = attach(rows, _stats(df, key, value), key, slices)
-        x, at = F.col("x"), F.col(POS)
-        n = F.max("n")
-        above = x > m
-        around = [x > F.col(f"{s}{i}") for i in range(1, support + 1) for s in "ba"]
-        peak = reduce(lambda p, q: p & q, around)
-        facts = rows.groupBy(key).agg(
-            ((F.max(F.struct(x, (-at).alias("at")))["at"] * -1 - 1) / n).alias("first_location_of_maximum"),
-            (F.max(F.struct(x, at.alias("at")))["at"] / n).alias("last_location_of_maximum"),
-            ((F.min(F.struct(x, at.alias("at")))["at"] - 1) / n).alias("first_location_of_minimum"),
-            (F.min(F.struct(x, (-at).alias("at")))["at"] * -1 / n).alias("last_location_of_minimum"),
-            F.sum(flag(above != (F.col("b1") > m))).alias("number_crossing"),
-            F.sum(flag(peak)).alias("number_peaks"),
-        )
-        side = F.when(x > F.col("mu"), 1).when(x < F.col("mu"), -1).otherwise(0)
-        before = F.when(F.col("b1") > F.col("mu"), 1).when(F.col("b1") < F.col("mu"), -1).otherwise(0)
-        turned = flag(F.col("b1").isNotNull() & (side != before)).cast("long")
-        runs = running(rows.withColumn("_side", side), key, POS, {"_run": ("sum", turned)}, _by_position(slices, rows), peers=False)
-        lengths = runs.groupBy(key, "_run").agg(F.max("_side").alias("_side"), F.count(F.lit(1)).alias("_len"))
-
-        def longest(s: int) -> Column:
-            return F.coalesce(F.max(F.when(F.col("_side") == s, F.col("_len"))), F.lit(0))
-
-        return facts.join(lengths.groupBy(key).agg(longest(1).alias("longest_strike_above_mean"), longest(-1).alias("longest_strike_below_mean")), key)
+        placed = _placed(df, key, order, value, max(support, 1), support, slices)
+        rows = attach(placed, _stats(df, key, value), key, slices)
+        return rows.groupBy(key).agg(*_position_exprs(m, support)).join(_strikes(rows, key, slices), key)
 
     return apart(df, plan, slices)
 
@@ -239,86 +264,98 @@ def _durbin_levinson(r: Sequence[Column]) -> list[list[Column]]:
     return phi
 
 
+def _lag_exprs(lags: int = 3, partial: int = 3) -> list[Column]:
+    x, mu, exprs = F.col("x"), F.col("mu"), []
+    for lag in range(1, max(lags, partial) + 1):
+        cross = F.sum((x - mu) * (F.col(f"b{lag}") - mu))
+        exprs.append(F.try_divide(cross, (F.max("n") - lag) * F.max("sd") * F.max("sd")).alias(f"autocorrelation_{lag}"))
+        exprs.append(F.try_divide(F.coalesce(cross, F.lit(0.0)), F.max("n") * F.max("sd") * F.max("sd")).alias(f"_r{lag}"))
+    for lag in range(1, lags + 1):
+        p, q = F.col(f"b{lag}"), F.col(f"b{2 * lag}")
+        exprs.append(F.avg(x * p * q).alias(f"c3_{lag}"))
+        exprs.append(F.avg(x * x * p - p * q * q).alias(f"time_reversal_asymmetry_{lag}"))
+    return exprs
+
+
+def _lag_finish(lags: int = 3, partial: int = 3) -> list[Column]:
+    """Mean and variance over lags and the predictors, from the aggregates of ``_lag_exprs`` and ``_n``."""
+    auto = [F.col(f"autocorrelation_{i}") for i in range(1, lags + 1)]
+    known = reduce(lambda a, b: a + b, [F.coalesce(a, F.lit(0.0)) for a in auto])
+    count = reduce(lambda a, b: a + b, [flag(a.isNotNull()) for a in auto])
+    squares = reduce(lambda a, b: a + b, [F.coalesce(a * a, F.lit(0.0)) for a in auto])
+    mean = F.try_divide(known, count)
+    phi = _durbin_levinson([F.col(f"_r{i}") for i in range(1, partial + 1)])
+    reach = F.col("_n") > F.lit(partial)
+    return [
+        mean.alias("autocorrelation_mean"),
+        (F.try_divide(squares, count) - mean * mean).alias("autocorrelation_var"),
+        *[F.when(F.col("_n") > k + 1, row[-1]).alias(f"partial_autocorrelation_{k + 1}") for k, row in enumerate(phi)],
+        *[F.when(reach, c).alias(f"ar_coefficient_{j + 1}") for j, c in enumerate(phi[-1])],
+    ]
+
+
 def lag_statistics(df: DataFrame, key: str, order: Sequence[str], value: str, lags: int = 3, partial: int = 3, slices: Slices | None = None) -> DataFrame:
     """Autocorrelation and its mean and variance over lags, partial autocorrelation, autoregressive coefficients
     (Yule-Walker), c3 and time reversal asymmetry. Lags a series does not have are NULL."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        top = max(lags, partial)
-        rows = _placed(df, key, order, value, max(top, 2 * lags), 0, slices)
-        rows = attach(rows, _stats(df, key, value), key, slices)
-        x, mu = F.col("x"), F.col("mu")
-        exprs = []
-        for lag in range(1, top + 1):
-            cross = F.sum((x - mu) * (F.col(f"b{lag}") - mu))
-            exprs.append(F.try_divide(cross, (F.max("n") - lag) * F.max("sd") * F.max("sd")).alias(f"autocorrelation_{lag}"))
-            exprs.append(F.try_divide(F.coalesce(cross, F.lit(0.0)), F.max("n") * F.max("sd") * F.max("sd")).alias(f"_r{lag}"))
-        for lag in range(1, lags + 1):
-            p, q = F.col(f"b{lag}"), F.col(f"b{2 * lag}")
-            exprs.append(F.avg(x * p * q).alias(f"c3_{lag}"))
-            exprs.append(F.avg(x * x * p - p * q * q).alias(f"time_reversal_asymmetry_{lag}"))
-        facts = rows.groupBy(key).agg(*exprs, F.max("n").alias("_n"))
-        auto = [F.col(f"autocorrelation_{i}") for i in range(1, lags + 1)]
-        known = reduce(lambda a, b: a + b, [F.coalesce(a, F.lit(0.0)) for a in auto])
-        count = reduce(lambda a, b: a + b, [flag(a.isNotNull()) for a in auto])
-        squares = reduce(lambda a, b: a + b, [F.coalesce(a * a, F.lit(0.0)) for a in auto])
-        mean = F.try_divide(known, count)
-        # the predictors are nested expressions over the previous order, so each order is its own projection
-        facts = facts.select("*", mean.alias("autocorrelation_mean"), (F.try_divide(squares, count) - mean * mean).alias("autocorrelation_var"))
-        phi = _durbin_levinson([F.col(f"_r{i}") for i in range(1, partial + 1)])
-        reach = F.col("_n") > F.lit(partial)
-        return facts.select(
-            *[c for c in facts.columns if not c.startswith("_")],
-            *[F.when(F.col("_n") > k + 1, row[-1]).alias(f"partial_autocorrelation_{k + 1}") for k, row in enumerate(phi)],
-            *[F.when(reach, c).alias(f"ar_coefficient_{j + 1}") for j, c in enumerate(phi[-1])],
-        )
+        placed = _placed(df, key, order, value, max(lags, partial, 2 * lags), 0, slices)
+        facts = attach(placed, _stats(df, key, value), key, slices).groupBy(key).agg(*_lag_exprs(lags, partial), F.max("n").alias("_n"))
+        return facts.select(*[c for c in facts.columns if not c.startswith("_")], *_lag_finish(lags, partial))
 
     return apart(df, plan, slices)
 
 
+def _trend_exprs(ts: str, segments: int = 4) -> list[Column]:
+    x, i = F.col("x"), (F.col(POS) - 1).cast("double")
+    hours = (seconds(F.col(ts)) - seconds(F.col("_t0"))) / 3600
+    place = F.floor((F.col(POS) - 1) * segments / F.col("n"))
+    return [
+        F.regr_slope(x, i).alias("linear_trend_slope"),
+        F.regr_intercept(x, i).alias("linear_trend_intercept"),
+        F.try_divide(F.covar_pop(x, i), F.stddev_pop(x) * F.stddev_pop(i)).alias("linear_trend_r"),
+        F.regr_slope(x, hours).alias("linear_trend_hourly_slope"),
+        *[_ratio(F.sum(F.when(place == s, x * x).otherwise(0.0)), F.sum(x * x)).alias(f"energy_ratio_{s}") for s in range(segments)],
+    ]
+
+
+def _chunk_trends(rows: DataFrame, key: str, chunk: int = 3) -> DataFrame:
+    chunks = rows.groupBy(key, F.floor((F.col(POS) - 1) / chunk).alias("c")).agg(F.avg("x").alias("m"), F.max("x").alias("h"))
+    c = F.col("c").cast("double")
+    return chunks.groupBy(key).agg(F.regr_slope("m", c).alias("chunk_mean_slope"), F.regr_slope("h", c).alias("chunk_max_slope"))
+
+
 def trends(df: DataFrame, key: str, order: Sequence[str], value: str, chunk: int = 3, segments: int = 4, slices: Slices | None = None) -> DataFrame:
     """Linear trend over position and elapsed hours, trend of chunk means, share of energy per segment."""
+    ts = as_list(order)[0]
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        ts = as_list(order)[0]
-        rows = _placed(df, key, order, value, 0, 0, slices)
-        stats = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("_t0"))
-        rows = attach(rows, stats, key, slices)
-        x, i = F.col("x"), (F.col(POS) - 1).cast("double")
-        hours = (seconds(F.col(ts)) - seconds(F.col("_t0"))) / 3600
-        spread = F.stddev_pop(x) * F.stddev_pop(i)
-        place = F.floor((F.col(POS) - 1) * segments / F.col("n"))
-        energy = [_ratio(F.sum(F.when(place == s, x * x).otherwise(0.0)), F.sum(x * x)).alias(f"energy_ratio_{s}") for s in range(segments)]
-        facts = rows.groupBy(key).agg(
-            F.regr_slope(x, i).alias("linear_trend_slope"),
-            F.regr_intercept(x, i).alias("linear_trend_intercept"),
-            F.try_divide(F.covar_pop(x, i), spread).alias("linear_trend_r"),
-            F.regr_slope(x, hours).alias("linear_trend_hourly_slope"),
-            *energy,
-        )
-        chunks = rows.groupBy(key, F.floor((F.col(POS) - 1) / chunk).alias("c")).agg(F.avg("x").alias("m"), F.max("x").alias("h"))
-        c = F.col("c").cast("double")
-        by_chunk = chunks.groupBy(key).agg(F.regr_slope("m", c).alias("chunk_mean_slope"), F.regr_slope("h", c).alias("chunk_max_slope"))
-        return facts.join(by_chunk, key)
+        rows = attach(_placed(df, key, order, value, 0, 0, slices), _stats(df, key, value, ts), key, slices)
+        return rows.groupBy(key).agg(*_trend_exprs(ts, segments)).join(_chunk_trends(rows, key, chunk), key)
 
     return apart(df, plan, slices)
 
 
+def _fourier_exprs(k: int = 3) -> list[Column]:
+    turn, exprs = 2 * math.pi * (F.col(POS) - 1) / F.col("n"), []
+    for j in range(k):
+        exprs += [F.sum(F.col("x") * F.cos(turn * j)).alias(f"_re{j}"), F.sum(-F.col("x") * F.sin(turn * j)).alias(f"_im{j}")]
+    return exprs
+
+
+def _fourier_finish(k: int = 3) -> list[Column]:
+    """A series of n values has n // 2 + 1 distinct coefficients."""
+    has = [F.col("_n") >= 2 * j for j in range(k)]
+    outs = [F.when(has[j], F.col(f"_{short}{j}")).alias(f"fft_{name}_{j}") for j in range(k) for short, name in (("re", "real"), ("im", "imag"))]
+    return outs + [F.when(has[j], F.hypot(f"_re{j}", f"_im{j}")).alias(f"fft_abs_{j}") for j in range(k)]
+
+
 def fourier_coefficients(df: DataFrame, key: str, order: Sequence[str], value: str, k: int = 3, slices: Slices | None = None) -> DataFrame:
     """Real part, imaginary part and magnitude of the first discrete Fourier coefficients, as sums over rows."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        rows = attach(_placed(df, key, order, value, 0, 0, slices), _stats(df, key, value).select(key, "n"), key, slices)
-        turn = 2 * math.pi * (F.col(POS) - 1) / F.col("n")
-        exprs = []
-        for j in range(k):
-            exprs += [F.sum(F.col("x") * F.cos(turn * j)).alias(f"fft_real_{j}"), F.sum(-F.col("x") * F.sin(turn * j)).alias(f"fft_imag_{j}")]
-        sums = rows.groupBy(key).agg(*exprs, F.max("n").alias("_n"))
-        # a series of n values has n // 2 + 1 distinct coefficients
-        has = [F.col("_n") >= 2 * j for j in range(k)]
-        outs = [F.when(has[j], F.col(f"fft_{p}_{j}")).alias(f"fft_{p}_{j}") for j in range(k) for p in ("real", "imag")]
-        outs += [F.when(has[j], F.hypot(f"fft_real_{j}", f"fft_imag_{j}")).alias(f"fft_abs_{j}") for j in range(k)]
-        return sums.select(key, *outs)
+        rows = attach(_placed(df, key, order, value, 0, 0, slices), _stats(df, key, value), key, slices)
+        return rows.groupBy(key).agg(*_fourier_exprs(k), F.max("n").alias("_n")).select(key, *_fourier_finish(k))
 
     return apart(df, plan, slices)
 
@@ -368,37 +405,50 @@ def power_spectrum(df: DataFrame, key: str, order: Sequence[str], value: str, si
     return apart(df, plan, slices)
 
 
+def _order_patterns(rows: DataFrame, key: str, dimension: int = 3) -> DataFrame:
+    values = [F.col("x"), *[F.col(f"a{i}") for i in range(1, dimension)]]
+    ranked = F.array_sort(F.array(*[F.struct(v.alias("v"), F.lit(i).alias("i")) for i, v in enumerate(values)]))
+    pattern = F.concat_ws("", F.transform(ranked, lambda e: e["i"].cast("string")))
+    counts = rows.where(values[-1].isNotNull()).groupBy(key, pattern.alias("p")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    n, c = F.sum("c"), F.col("c")
+    return counts.groupBy(key).agg(F.greatest(F.log(n) - F.sum(c * F.log(c)) / n, F.lit(0.0)).alias("permutation_entropy"))
+
+
 def permutation_entropy(df: DataFrame, key: str, order: Sequence[str], value: str, dimension: int = 3, slices: Slices | None = None) -> DataFrame:
     """Entropy of the order patterns of ``dimension`` successive values; equal values rank by position."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        rows = _placed(df, key, order, value, 0, dimension - 1, slices)
-        values = [F.col("x"), *[F.col(f"a{i}") for i in range(1, dimension)]]
-        ranked = F.array_sort(F.array(*[F.struct(v.alias("v"), F.lit(i).alias("i")) for i, v in enumerate(values)]))
-        pattern = F.concat_ws("", F.transform(ranked, lambda e: e["i"].cast("string")))
-        counts = rows.where(values[-1].isNotNull()).groupBy(key, pattern.alias("p")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        n, c = F.sum("c"), F.col("c")
-        return counts.groupBy(key).agg(F.greatest(F.log(n) - F.sum(c * F.log(c)) / n, F.lit(0.0)).alias("permutation_entropy"))
+        return _order_patterns(_placed(df, key, order, value, 0, dimension - 1, slices), key, dimension)
 
     return apart(df, plan, slices)
 
 
+def _one_pass(df: DataFrame, key: str, order: Sequence[str], value: str, slices: Slices | None, value_slices: Slices | None) -> DataFrame:
+    """All families that are aggregates of placed rows: one ordering of the series, one grouping for most features."""
+    ts = order[0]
+
+    def plan(df: DataFrame, slices: Slices | None, value_slices: Slices | None) -> DataFrame:
+        cuts = quantiles(df, key, value, {"_ql": 0.1, "_qh": 0.9, "median": 0.5}, value_slices)
+        facts = _stats(df, key, value, ts).join(cuts, key)
+        rows = attach(_placed(df, key, order, value, 6, 2, slices), facts, key, slices)
+        families = [*_moment_exprs(), *_threshold_exprs(), *_change_exprs(), *_position_exprs(), *_lag_exprs(), *_trend_exprs(ts), *_fourier_exprs()]
+        wide = rows.groupBy(key).agg(F.max("n").alias("_n"), F.max("median").alias("median"), *families)
+        done = wide.select(*[c for c in wide.columns if not c.startswith("_")], _symmetry("median"), *_lag_finish(), *_fourier_finish())
+        others = [_strikes(rows, key, slices), _chunk_trends(rows, key), _order_patterns(rows, key)]
+        return reduce(lambda a, b: a.join(b, key, "left"), [done, *others])
+
+    return apart(df, plan, slices, value_slices)
+
+
 def ts_features(df: DataFrame, key: str, order: Sequence[str], value: str, prefix: str = "", **limits) -> DataFrame:
     """All families of a series joined on the key, with names prefixed."""
     order = as_list(order)
     hot = heavy_keys(df, key, **limits)
     slices, by_value = cut(df, key, order[0], hot), cut(df, key, value, hot)
     frames = [
-        moments(df, key, value, by_value),
-        thresholds(df, key, value, slices=by_value),
+        _one_pass(df, key, order, value, slices, by_value),
         repetition(df, key, value),
         distribution(df, key, order, value, slices=slices, value_slices=by_value),
-        changes(df, key, order, value, slices=slices, value_slices=by_value),
-        positions(df, key, order, value, slices=slices),
-        lag_statistics(df, key, order, value, slices=slices),
-        trends(df, key, order, value, slices=slices),
-        fourier_coefficients(df, key, order, value, slices=slices),
-        permutation_entropy(df, key, order, value, slices=slices),
         power_spectrum(df, key, order, value, slices=slices),
     ]
     named = [f.select(key, *[F.col(c).alias(prefix + c) for c in f.columns if c != key]) for f in frames]

@@ -36,14 +36,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the cluster names; fall back to a local one only where none is set and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if current:
+    if current and (not named or named.rstrip("/") in current):
         return current
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = os.path.join(tempfile.gettempdir(), "ledgerlens-checkpoints")
     spark.sparkContext.setCheckpointDir(named)
-    return named
+    return spark.sparkContext.getCheckpointDir() or named
 
 
 def materialise(df: DataFrame) -> DataFrame:
