@@ -21,6 +21,7 @@ from ledgerlens.operators.skew import Slices, apart, as_list, attach, cut, heavy
 from ledgerlens.operators.temporal import money
 
 BATCH = 200
+AGG_BATCH = 24  # statistics per grouping: their buffers stay below the 100 fields up to which Spark generates code
 
 
 @dataclass(frozen=True)
@@ -72,8 +73,8 @@ def _join_on(key: str, frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def agg_batches(df: DataFrame, key: str, exprs: Sequence[Column]) -> DataFrame:
-    """Many aggregates per key, at most ``BATCH`` per pass so generated code stays small."""
-    frames = [df.groupBy(key).agg(*exprs[i : i + BATCH]) for i in range(0, len(exprs), BATCH)]
+    """Many aggregates per key, ``AGG_BATCH`` per pass; a pass reads only the columns of its own aggregates."""
+    frames = [df.groupBy(key).agg(*exprs[i : i + AGG_BATCH]) for i in range(0, len(exprs), AGG_BATCH)]
     return _join_on(key, frames)
 
 
@@ -141,7 +142,7 @@ def mean_counts(
             F.sum(flag(F.abs(x - m) > n_std * s)).alias(p % "count_outside_std"),
             F.sum(flag((x >= low) & (x < high))).alias(p % "count_in_range"),
         ]
-    return agg_batches(rows, key, exprs)
+    return rows.groupBy(key).agg(*exprs)
 
 
 def dfs_agg(child: DataFrame, key: str, cols: Sequence[str], prefix: str = "", **limits) -> DataFrame:

@@ -424,15 +424,17 @@ def permutation_entropy(df: DataFrame, key: str, order: Sequence[str], value: st
 
 
 def _one_pass(df: DataFrame, key: str, order: Sequence[str], value: str, slices: Slices | None, value_slices: Slices | None) -> DataFrame:
-    """All families that are aggregates of placed rows: one ordering of the series, one grouping for most features."""
+    """All families that are aggregates of placed rows: one shuffle of the series, two groupings for most features."""
     ts = order[0]
 
     def plan(df: DataFrame, slices: Slices | None, value_slices: Slices | None) -> DataFrame:
         cuts = quantiles(df, key, value, {"_ql": 0.1, "_qh": 0.9, "median": 0.5}, value_slices)
         facts = _stats(df, key, value, ts).join(cuts, key)
         rows = attach(_placed(df, key, order, value, 6, 2, slices), facts, key, slices)
-        families = [*_moment_exprs(), *_threshold_exprs(), *_change_exprs(), *_position_exprs(), *_lag_exprs(), *_trend_exprs(ts), *_fourier_exprs()]
-        wide = rows.groupBy(key).agg(F.max("n").alias("_n"), F.max("median").alias("median"), *families)
+        # two groupings, so that either one's buffers stay below the 100 fields up to which Spark generates code
+        level = rows.groupBy(key).agg(F.max("median").alias("median"), *_moment_exprs(), *_threshold_exprs(), *_change_exprs(), *_position_exprs())
+        course = rows.groupBy(key).agg(F.max("n").alias("_n"), *_lag_exprs(), *_trend_exprs(ts), *_fourier_exprs())
+        wide = level.join(course, key)
         done = wide.select(*[c for c in wide.columns if not c.startswith("_")], _symmetry("median"), *_lag_finish(), *_fourier_finish())
         others = [_strikes(rows, key, slices), _chunk_trends(rows, key), _order_patterns(rows, key)]
         return reduce(lambda a, b: a.join(b, key, "left"), [done, *others])
