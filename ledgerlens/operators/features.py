@@ -484,10 +484,11 @@ def point_in_time(
     for t, names in by_time.items():
         facts = [F.when(F.lit(c in names), money(F.col(c))).alias(f"x_{c}") for c in cols]
         moves.append(F.struct(F.col(t).alias("at"), F.lit(1 if t == child.time else 0).alias("one"), *facts))
-    points = child.df.select(key, child.index, F.inline(F.array(*moves))).withColumnRenamed(child.index, "_id")
+    rows = child.df.where(F.col(key).isNotNull())
+    points = rows.select(key, child.index, F.inline(F.array(*moves))).withColumnRenamed(child.index, "_id")
     events = points.where("at IS NOT NULL").withColumn("_side", F.lit(0))
     for c in unique:
-        known = child.df.select(key, F.col(c).alias("_v"), F.col(late.get(c, child.time)).alias("at")).where("_v IS NOT NULL AND at IS NOT NULL")
+        known = rows.select(key, F.col(c).alias("_v"), F.col(late.get(c, child.time)).alias("at")).where("_v IS NOT NULL AND at IS NOT NULL")
         firsts = known.groupBy(key, "_v").agg(F.min("at").alias("at")).select(key, "at", F.lit(0).alias("_side"), F.lit(1).alias(f"u_{c}"))
         events = events.unionByName(firsts, allowMissingColumns=True)
     kept = loans.columns if carry else [ident]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,11 +147,21 @@ def rolling_asof(
         names = [f.name for f in placed.schema["_right"].dataType.fields]
         return matched.select("_left.*", *[F.col("_last")[c].alias(c) for c in names])
 
+    known, unknown = _with_key(left, [by])
+    right = right.where(F.col(by).isNotNull())
     if slices is None:
-        return plan(left, right, None)
-    hot = F.broadcast(slices.hot)
-    light = plan(left.join(hot, by, "left_anti"), right.join(hot, by, "left_anti"), None)
-    return light.unionByName(plan(left.join(hot, by, "left_semi"), right.join(hot, by, "left_semi"), slices.alone()))
+        matched = plan(known, right, None)
+    else:
+        hot = F.broadcast(slices.hot)
+        light = plan(known.join(hot, by, "left_anti"), right.join(hot, by, "left_anti"), None)
+        matched = light.unionByName(plan(known.join(hot, by, "left_semi"), right.join(hot, by, "left_semi"), slices.alone()))
+    return matched.unionByName(unknown, allowMissingColumns=True)
+
+
+def _with_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is known, and the others: those match nothing and must not be gathered as one group."""
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in by])
+    return df.where(~missing), df.where(missing)
 
 
 def asof_join(
@@ -175,8 +186,10 @@ def asof_join(
     clash = set(payload) & set(left.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    known, unknown = _with_key(left, by)
+    right, _ = _with_key(right, by)
     side = F.lit(1 if allow_exact else 0)
-    probes = left.select(*by, F.col(left_on).alias("_at"), side.alias("_side"), F.struct(*left.columns).alias("_left"))
+    probes = known.select(*by, F.col(left_on).alias("_at"), side.alias("_side"), F.struct(*left.columns).alias("_left"))
     ties = [F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)]
     points = right.where(F.col(right_on).isNotNull()).select(
         *by, F.col(right_on).alias("_at"), F.lit(0 if allow_exact else 1).alias("_side"), F.struct(*payload).alias("_right"), *ties
@@ -188,7 +201,8 @@ def asof_join(
     if tolerance is not None:
         match = F.when(F.col(f"_last.{right_on}") + F.lit(tolerance) >= F.col("_at"), match)
     matched = found.select("_left", F.when(F.col("_at").isNotNull(), match).alias("_last"))
-    return matched.select("_left.*", *[F.col("_last")[c].alias(c) for c in payload])
+    found = matched.select("_left.*", *[F.col("_last")[c].alias(c) for c in payload])
+    return found.unionByName(unknown, allowMissingColumns=True)
 
 
 def strictly_before(df: DataFrame, left_on: str, right_on: str) -> DataFrame:

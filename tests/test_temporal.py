@@ -92,6 +92,14 @@ def test_unmatched_and_undated_loans_stay(spark):
     assert {r["loan"]: r["id"] for r in out.collect()} == {1: None, 2: None, 3: None}
 
 
+def test_missing_keys_match_nothing(spark):
+    loans, orders = [(1, None, at(2)), (2, 1, at(2))], [(None, at(1), 1.0, 1), (1, at(1), 2.0, 2)]
+    assert {r["loan"]: r["id"] for r in joined(spark, loans, orders).collect()} == {1: None, 2: 2}
+    left = spark.createDataFrame(loans, "loan long, k long, at timestamp_ntz")
+    fused = rolling_asof(left, spark.createDataFrame(orders, ORDERS), "at", "t", "k", "x", 30, timedelta(days=7), tie="id")
+    assert {r["loan"]: (r["id"], r["ROLLINGMEAN_30DAYS__x__"]) for r in fused.collect()} == {1: (None, None), 2: (2, 2.0)}
+
+
 def test_name_clash_is_an_error(spark):
     frame = spark.createDataFrame([(1, at(0), 1.0, 1)], ORDERS)
     with pytest.raises(ValueError, match="both sides"):
