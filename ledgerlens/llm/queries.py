@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import host_rules, mixing, secret_links
+from ledgerlens.llm import host_rules, mixing, packing, permutation_index, secret_links, token_counts, toxicity, warc
 from ledgerlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -124,3 +131,47 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdict of every document; a document's host is its source."""
     judged = host_rules.host_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed")
+
+
+@query("op3_pack")
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query(
+    "op9_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((strpos('0123456789abcdef', substr(x, (5 * i) // 4 + 1, 1)) - 1) * 16
+         + strpos('0123456789abcdef', substr(x || '0', (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d""",
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives."""
+    rows = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    lexicon = toxicity.learn(docs, labels, rest != 0)
+    return toxicity.score_documents(docs, lexicon).select("doc_id", (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_permutation_index")
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
