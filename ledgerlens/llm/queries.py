@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import host_rules, mixing, packing, permutation_index, secret_links, token_counts, toxicity, warc
+from ledgerlens.llm import host_rules, jaccard_join, mixing, packing, permutation_index, repeated_text, secret_links, token_counts, toxicity, warc
 from ledgerlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector."""
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_repeated_text")
+def op5_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that a document with a smaller id has too."""
+    found = repeated_text.without_repeats(table(spark, sf_dir, "documents"), kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document, linked at a Jaccard similarity of 0.9 over three words."""
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
