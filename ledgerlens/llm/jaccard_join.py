@@ -200,7 +200,7 @@ def light_links(sets: DataFrame, percent: int, boundary: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     parts = np.column_stack([bytehash.mix(x ^ _STEP), bytehash.mix(x + _STEP)])
                     for c in subset_sizes(n, percent):
-                        left = np.array(list(combinations(range(n), n - c)), dtype=np.int64).reshape(-1, n - c)
+                        left = np.array(list(combinations(range(n), n - c)), dtype=np.int64).reshape(comb(n, c), n - c)
                         sums = parts.sum(axis=0) - parts[left].sum(axis=1)
                         out += [(id_, n, c, row.tobytes()) for row in sums]
                 if len(out) > 50_000:
