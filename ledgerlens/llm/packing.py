@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,30 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 5_000
 SEED = 77
-#: Cached chunks of a worker; the cache is emptied when it is full, which costs time but changes nothing.
-CACHE = 300_000
+#: Chunks a worker keeps per generation; see Recent.
+CACHE = 500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict[str, Encoder] = {}
 _TAIL = re.compile(rb"(.*[a-z0-9])([.,;:!?]+)", re.DOTALL)
 
 
+class Recent:
+    """A table of computed values with a bound: when the new generation is full it becomes the old one, and the one before it
+    goes. Values still asked for move on. What has gone is computed again, so the bound costs time only."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys without a value; all others can be read from `new` after this."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        absent = keys - self.new.keys()
+        again = absent & self.old.keys()
+        self.new.update((k, self.old[k]) for k in again)
+        return absent - again
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that never joins characters across white space.
 
@@ -47,30 +65,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
+        self.recent = Recent(CACHE)
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         chunks = [None if b"<|" in t else t.lower().split() for t in texts]
-        missing = set().union(*(c for c in chunks if c)) - self.kept.keys()
-        if len(self.kept) + len(missing) > CACHE:
-            self.kept.clear()
-            missing = set().union(*(c for c in chunks if c))
+        missing = self.recent.missing(set().union(*(c for c in chunks if c)))
         if missing:
             self._learn(list(missing))
-        kept = self.kept
+        kept = self.recent.new
         return [self.plain([t.decode("utf-8", "replace")])[0] if c is None else b"".join([kept[x] for x in c]) for t, c in zip(texts, chunks)]
 
     def _learn(self, chunks: list[bytes]) -> None:
         """A tail of sentence marks after a letter or digit is a token of its own, so heads and tails are encoded once each."""
         parts = [(m[1], m[2]) if (m := _TAIL.fullmatch(c)) else (c,) for c in chunks]
-        new = list({p for ps in parts for p in ps} - self.kept.keys())
+        kept = self.recent.new
+        new = list({p for ps in parts for p in ps} - kept.keys())
         found = dict(zip(new, self.plain([p.decode("utf-8", "replace") for p in new])))
         for c, ps in zip(chunks, parts):
-            self.kept[c] = b"".join([found[p] if p in found else self.kept[p] for p in ps])
+            kept[c] = b"".join([found[p] if p in found else kept[p] for p in ps])
 
 
 def encoder(path: str) -> Encoder:
@@ -79,7 +95,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches_of(texts: list[bytes], most: int = 1 << 20):
+def batches_of(texts: list[bytes], most: int = 4 << 20):
     """Runs of rows with at most `most` bytes, or one longer row."""
     first, size = 0, 0
     for i, t in enumerate(texts):
