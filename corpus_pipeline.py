@@ -1,11 +1,17 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, secret masking, mixing and packing over `documents`."""
+"""The corpus pipeline: quality rules, near-duplicate removal, secret masking, mixing and packing over `documents`.
+
+Each stage takes all documents that its predecessor kept. All but the last return the columns of `documents`; the last returns
+one row per packed piece. `run` writes what a stage keeps to the shared folder and reads it again, so a lost executor costs
+one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import host_rules, mixing, secret_links
+from ledgerlens.llm import host_rules, jaccard_join, mixing, packing, secret_links
 from ledgerlens.llm.frames import materialise, table
+from ledgerlens.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a similarity of 0.8 over five words, the smallest doc_id of each component stays."""
+    return jaccard_join.one_of_each(docs, size=5, percent=80)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is masked in the text."""
     return secret_links.masked(docs)
@@ -23,9 +34,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secrets", secrets), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 4,096 tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing", mix), ("packing", pack)]
 
-#: Hash draws, tokens and bins cannot be stated in SQL; the tests compare every stage with a plain version.
+#: Components, tokens and bins cannot be stated in SQL; the tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
