@@ -177,14 +177,40 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-@query("op5_repeated_text")
+@query(
+    "op5_repeated_text",
+    r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT r, doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+c AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE doc_id > first),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c),
+n AS (SELECT r, sum(least(50, coalesce(i - before, 50)))::BIGINT AS n_removed, count(*) FILTER (before IS NULL OR i - before > 50) AS n_spans FROM g GROUP BY r),
+e AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+s AS (SELECT r, run, min(i) AS a, max(i) + 50 AS b FROM e GROUP BY r, run),
+k AS (SELECT r, string_agg(substr(x, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS kept FROM (
+        SELECT d.r, x, coalesce(lag(b) OVER (PARTITION BY d.r ORDER BY a), 0) AS p, a AS q FROM d JOIN s USING (r)
+        UNION ALL SELECT d.r, x, max(b), length(x) // 2 FROM d JOIN s USING (r) GROUP BY d.r, x) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_removed IS NULL THEN x ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)""",
+)
 def op5_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that a document with a smaller id has too."""
     found = repeated_text.without_repeats(table(spark, sf_dir, "documents"), kept=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@query("op6_jaccard_join")
+@query(
+    "op6_jaccard_join",
+    r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE [w[i:i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN c USING (r)""",
+)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document, linked at a Jaccard similarity of 0.9 over three words."""
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
