@@ -255,7 +255,8 @@ def _scaled(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
             rows = [(y, *measures(weighted(automaton, f), f.count(" ") - 1)) for y, f in zip(frame["toxic"], frame["f"])]
             yield pd.DataFrame(rows, columns=["y", "rate", "amount"])
 
-    rows = np.array([tuple(r) for r in sample.mapInPandas(measured, "y int, rate double, amount double").orderBy("y", "rate", "amount").collect()], dtype=float)
+    # bounded by the sample; in one order, so that the sums do not depend on how rows arrive
+    rows = np.array(sorted(tuple(r) for r in sample.mapInPandas(measured, "y int, rate double, amount double").collect()), dtype=float)
     x, y = np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0]
     beta, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
     for _ in range(50):
