@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ BROADCAST_ROWS = 100_000
 #: A key with at least this share of the rows is heavy. There are at most 1 / HEAVY_SHARE of them, which bounds their broadcast.
 HEAVY_SHARE = 1e-3
 
-__all__ = ["BROADCAST_ROWS", "HEAVY_SHARE", "SPACE", "WORD", "attach", "let", "materialise", "packed", "table", "whole_text"]
+__all__ = ["BROADCAST_ROWS", "HEAVY_SHARE", "SPACE", "WORD", "attach", "let", "materialise", "packed", "release", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,12 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of phases whose results have been written; it finds them when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with `value` computed once although the body names it often (also inside further lambdas)."""
     return F.transform(F.array(value), body)[0]

@@ -41,15 +41,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import bytehash
 from ledgerlens.llm.components import components
-from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, packed, whole_text
+from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, packed, release, whole_text
 
 #: Cells of the count table, the count a cell must reach within one slice of text to be listed, and how many are kept.
 CELLS, CELL_LEAST, HOT_CELLS = 1 << 22, 3, 200_000
 SLICE = 2 << 20
 #: Bytes of the sketches, and the number of shingles from which the long one is kept too.
 SHORT, LONG, LONG_FROM = 64, 256, 1_200
-#: Sets of a list that are compared in one task.
-BLOCK = 16_384
+#: Sets of a list that are compared in one task, and the length up to which lists are scanned together.
+BLOCK, SHORT_LIST = 16_384, 48
 #: A light set enumerates at most so many subsets.
 MOST_SUBSETS = 1_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -227,7 +227,9 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def dense(sets: DataFrame, percent: int, boundary: int) -> DataFrame:
     """Heavy sets with those of their rare shingles that another one has too, each with the length of its list."""
     heavy = sets.where(100 * F.col("n") >= percent * boundary)
-    posted = heavy.select("id", F.explode("rare").alias("token"))
+    # dealt by token once; the counts and the join below both read that exchange
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = heavy.select("id", F.explode("rare").alias("token")).repartition(parts, "token")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     kept = posted.join(lists, "token").groupBy("id").agg(F.collect_list(F.struct("token", "k")).alias("lists"))
     return heavy.select("id", "n", "near", "far").join(kept, "id")
@@ -254,7 +256,10 @@ class _List:
         self.key = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
         self.side, self.id, self.n, self.root = (batch.column(i).to_numpy() for i in (3, 4, 5, 6))
         self.near = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint64).reshape(len(self.id), SHORT // 8)
-        self.far = batch.column(8).to_pylist()
+        far = batch.column(8).to_pylist()
+        long = np.array([len(x) > 0 for x in far], dtype=bool)
+        self.far_at = np.where(long, np.cumsum(long) - 1, -1)
+        self.far = np.frombuffer(b"".join(far), dtype=np.uint64).reshape(-1, LONG // 8)
 
     def passing(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs (x[k], y[k]) of entries pass the exact filters, and the distance of their sketches."""
@@ -266,13 +271,41 @@ class _List:
         xs, ys = (x if x.ndim else np.full(len(ok), x))[at], y[at]
         apart[at] = np.bitwise_count(self.near[xs] ^ self.near[ys]).sum(axis=1, dtype=np.int64)
         ok &= apart <= most
-        for k in np.flatnonzero(ok & (np.minimum(n, m) >= LONG_FROM)):
-            a, b = self.far[int(x[k] if x.ndim else x)], self.far[int(y[k])]
-            apart[k] = int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
-            ok[k] = apart[k] <= most[k]
+        fx, fy = self.far_at[x], self.far_at[y]
+        at = np.flatnonzero(ok & (fx >= 0) & (fy >= 0))
+        fx, fy = (fx if fx.ndim else np.full(len(ok), fx))[at], fy[at]
+        apart[at] = np.bitwise_count(self.far[fx] ^ self.far[fy]).sum(axis=1, dtype=np.int64)
+        ok[at] = apart[at] <= most[at]
         return ok, apart
 
 
+def _short(l: _List, cuts: np.ndarray, all_pairs: bool) -> list[tuple[int, int, int]]:
+    """What `_closest` or `_across` find in all lists of at most SHORT_LIST entries: entries are held against the one before
+    them, then against the one before that, and so on, for all lists together."""
+    starts = np.repeat(cuts[:-1], np.diff(cuts))
+    at = np.flatnonzero(np.repeat(np.diff(cuts) <= SHORT_LIST, np.diff(cuts)))
+    best, partner, out = np.full(len(l.id), 1 << 30), np.zeros(len(l.id), dtype=np.int64), []
+    for d in range(1, SHORT_LIST):
+        at = at[at - d >= starts[at]]
+        if not len(at):
+            break
+        x, y = at, at - d
+        if all_pairs:
+            keep = (l.root[x] != l.root[y]) & ((l.key[x, 1] == l.key[x, 2]) | (l.side[x] != l.side[y]))
+            x, y = x[keep], y[keep]
+        ok, apart = l.passing(x, y)
+        x, y, apart = x[ok], y[ok], apart[ok]
+        if all_pairs:
+            out += zip(np.minimum(l.id[x], l.id[y]).tolist(), np.maximum(l.id[x], l.id[y]).tolist(), apart.tolist())
+        else:
+            closer = apart < best[x]
+            best[x[closer]], partner[x[closer]] = apart[closer], y[closer]
+    if not all_pairs:
+        i = np.flatnonzero(best < 1 << 30)
+        out = list(zip(l.id[partner[i]].tolist(), l.id[i].tolist(), best[i].tolist()))
+    return out
+
+
 def _closest(l: _List, first: int, last: int) -> list[tuple[int, int, int]]:
     """For each entry its closest earlier one that passes."""
     out = []
@@ -314,8 +347,9 @@ def scan_lists(sets: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
 
         def run(table: pa.Table) -> list[tuple]:
             l = _List(table.combine_chunks().to_batches()[0], percent)
-            cuts = [0, *(np.flatnonzero((np.diff(l.key, axis=0) != 0).any(axis=1)) + 1), len(l.id)]
-            return [p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in pairs(l, a, b)]
+            cuts = np.array([0, *(np.flatnonzero((np.diff(l.key, axis=0) != 0).any(axis=1)) + 1), len(l.id)])
+            long = np.flatnonzero(np.diff(cuts) > SHORT_LIST)
+            return _short(l, cuts, all_pairs) + [p for k in long for p in pairs(l, int(cuts[k]), int(cuts[k + 1]))]
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -350,13 +384,13 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """`id, tokens` of the wanted representatives (`id, doc_id, mark, fp`), made again from their texts."""
+    """`id, tokens` of the wanted representatives (`id, doc_id, mark, fp, rows`), made again from their texts.
+
+    Only representatives that stand in several rows (`rows` > 1) have to be gathered, to have one set of each."""
     wanted = materialise(wanted)
     few = wanted.count() <= BROADCAST_ROWS
     key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("nameless"), "mark"]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), whole_text(text).alias("t")).select(*key, "t")
-    asked = wanted.select("id", "fp", *key)
-    found = rows.join(F.broadcast(asked) if few else asked, ["d", "nameless", "mark"]).select("id", "fp", "t")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +399,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
                 made = pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "tokens"])
                 yield made.filter(pa.array(own))
 
-    return found.mapInArrow(make, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    def made(asked: DataFrame) -> DataFrame:
+        asked = asked.select("id", "fp", *key)
+        found = rows.join(F.broadcast(asked) if few else asked, ["d", "nameless", "mark"]).select("id", "fp", "t")
+        return found.mapInArrow(make, "id long, tokens binary")
+
+    out, several = made(wanted.where("rows = 1")), wanted.where("rows > 1")
+    if not several.isEmpty():
+        out = out.unionByName(made(several).groupBy("id").agg(F.first("tokens").alias("tokens")))
+    return out
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The pairs that are links, by the full sets of the representatives they name."""
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    asked = reps.join(named, "id", "left_semi").select("id", "doc_id", "mark", "fp", "rows")
+    full = materialise(full_sets(docs, asked, size, doc_id, text))
+    return materialise(checked(pairs, full, percent))
 
 
 def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -375,7 +425,8 @@ def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", te
     named = by_fp.select("fp", F.col("r.doc_id").alias("doc_id"), F.col("r.mark").alias("mark"), "copies")
     firsts = sets.where("n > 0").join(named, (sets.fp == named.fp) & sets.doc_id.eqNullSafe(named.doc_id) & (sets.mark == named.mark), "left_semi")
     # rows that repeat a representative are the same set, mark and id; one of them stays
-    reps = materialise(firsts.dropDuplicates(["fp"]).withColumn("id", F.monotonically_increasing_id()))
+    others = [F.first(c).alias(c) for c in firsts.columns if c != "fp"]
+    reps = materialise(firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), *others).withColumn("id", F.monotonically_increasing_id()))
 
     sizes = {r["n"]: r["k"] for r in reps.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where(F.col("n") < 4 * light_limit(percent)).collect()}
     lists = reps.select(F.explode("rare").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
@@ -384,16 +435,16 @@ def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", te
 
     links = materialise(light_links(reps, percent, boundary))
     heavy = materialise(dense(reps, percent, boundary))
+    release(docs.sparkSession)
     near = scan_lists(heavy.withColumn("root", F.col("id")), percent, all_pairs=False)
     near = materialise(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("b", F.col("m.a").alias("a")))
-    asked = reps.join(heavy.select("id"), "id", "left_semi").select("id", "doc_id", "mark", "fp")
-    full = materialise(full_sets(docs, asked, size, doc_id, text))
-    links = materialise(links.unionByName(checked(near, full, percent)))
+    links = materialise(links.unionByName(_linked(docs, near, reps, size, percent, doc_id, text)))
     roots = components(links)
     rest = scan_lists(heavy.join(roots, heavy.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")), percent, all_pairs=True)
-    rest = materialise(checked(rest.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), full, percent))
+    rest = materialise(rest.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
     if not rest.isEmpty():
-        roots = components(links.unionByName(rest))
+        roots = components(links.unionByName(_linked(docs, rest, reps, size, percent, doc_id, text)))
 
     group = reps.select("id", "fp", "doc_id").join(named.select("fp", "copies"), "fp").join(roots, F.col("id") == F.col("node"), "left")
     group = group.select("fp", "copies", "doc_id", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))

@@ -26,17 +26,16 @@ result; other columns are not read and cannot clash. Contexts are equal by 112 b
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bytehash
-from ledgerlens.llm.frames import materialise
+from ledgerlens.llm.frames import materialise, release
 
 WIDTH, Q, Q0 = 50, 16, 8
 SLICE = 2 << 20
@@ -51,12 +50,6 @@ _LOW = np.uint64(0xFFFFFFFF)
 LAST = (1 << 63) - 1
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of phases whose results have been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """`uid` (one per doc_id and text), `ord` (the order of documents), `t`."""
     own = F.col(doc_id).cast("long")
