@@ -3,7 +3,7 @@ smaller doc_id is found, over whole texts.
 
 The suffixes to sort are narrowed without loss first. Of the q-grams in each window of `width` bytes the one with the
 smallest hash is the window's anchor (the leftmost of equals). Equal windows have equal anchors, so only occurrences of the
-same anchor need comparing, and only about one byte in eighteen is one. An occurrence carries its context, the bytes that
+same anchor need comparing, and only about one byte in sixteen is one. An occurrence carries its context, the bytes that
 windows of this anchor can reach:
 
 1. Occurrences with equal contexts are equal in all their windows: those outside the smallest document are covered. This
@@ -15,8 +15,7 @@ windows of this anchor can reach:
 3. An anchor with more contexts than one task should hold is split by window: its windows are dealt by their own hash and
    settled as in step 1.
 
-What is shuffled: hashes of anchors, contexts of ambiguous anchors, spans, and the texts once where the requests for contexts
-are not few. A text that very many documents share is one row per slice in step 1 and one context in step 2.
+What is shuffled: hashes of anchors, contexts of ambiguous anchors, spans, and the texts once to meet the requests for contexts. A text that very many documents share is one row per slice in step 1 and one context in step 2.
 
 Defined results: a missing or empty text, or one shorter than `width` bytes, has nothing to find and loses nothing; a document
 without doc_id comes after all others, and such documents do not cover each other; rows with the same doc_id do not
@@ -37,13 +36,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import bytehash
 from ledgerlens.llm.frames import materialise, release
 
-WIDTH, Q, Q0 = 50, 16, 8
+WIDTH, Q, Q0 = 50, 20, 8
 SLICE = 2 << 20
 #: Text per part of a shuffle, and the least for which another part is made.
 PART_BYTES, LEAST_PART = 32 << 20, 1 << 20
 #: Contexts sorted together, and the number above which an anchor is split by window.
-CONTEXTS = 20_000
-#: Spans or requests of at most so many bytes may be broadcast.
+CONTEXTS = 10_000
+#: Spans of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 16 << 20
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -427,8 +426,7 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, q: int = Q, limit: int =
     settled = materialise(dealt(first).mapInArrow(_settle(parts, width, q, limit), Packets.SQL))
     release(spark)
     asked = materialise(dealt(settled.where("kind > 1")).mapInArrow(_asked(parts), "uid long, kind int, places binary, marks binary"))
-    small = (asked.agg(F.sum(F.length("places") + F.length("marks") + 40).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
-    found = rows.join(F.broadcast(asked) if small else asked, "uid").select("ord", "uid", "t", "kind", "places", "marks")
+    found = rows.join(asked.hint("merge"), "uid").select("ord", "uid", "t", "kind", "places", "marks")
     contexts = found.mapInArrow(_contexts(parts, width, q), Packets.SQL)
     spans = materialise(settled.where("kind = 1").unionByName(dealt(contexts).mapInArrow(_sort_out(parts, width, q), Packets.SQL)))
     release(spark)
