@@ -6,8 +6,12 @@ subtraction and one multiplication; equal substrings have equal hashes wherever
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -16,10 +20,10 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base**2, ... (n values at least), kept between calls and grown by doubling."""
+    """1, base, base**2, ... (n values at least), kept between calls."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         with np.errstate(over="ignore"):
@@ -27,6 +31,13 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system; a worker stays and its next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit over all output bits."""
     with np.errstate(over="ignore"):

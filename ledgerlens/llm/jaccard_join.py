@@ -105,6 +105,7 @@ def frequent_cells(texts: DataFrame, size: int) -> np.ndarray:
                 total += some
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+        bytehash.tidy()
 
     sums = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.col("n").desc(), "cell").limit(HOT_CELLS).toPandas()
@@ -151,6 +152,7 @@ def measured_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
                     pa.array([x.view(np.int64) if len(x) < most else None for x in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], *columns], names=["doc_id", "mark", *names])
+        bytehash.tidy()
 
     return rows.mapInArrow(measure, "doc_id long, mark long, n long, fp binary, rare array<long>, near binary, far binary, few array<long>")
 
@@ -360,6 +362,7 @@ def scan_lists(sets: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
         if held is not None and (found := run(held)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+        bytehash.tidy()
 
     entries = _entries(sets, all_pairs)
     dealt = entries.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "id")

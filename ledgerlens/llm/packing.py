@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.bytehash import tidy
 from ledgerlens.llm.frames import materialise, whole_text
 
 CAPACITY = 4096
@@ -31,7 +32,7 @@ END_ID = 2
 GROUP_PIECES = 5_000
 SEED = 77
 #: Chunks a worker keeps per generation; see Recent.
-CACHE = 500_000
+CACHE = 350_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict[str, Encoder] = {}
 _TAIL = re.compile(rb"(.*[a-z0-9])([.,;:!?]+)", re.DOTALL)
@@ -125,6 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         piece = tokens[4 * start : 4 * (start + capacity)]
                         out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t")).mapInArrow(cut, PIECE)
 
