@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog.lending import _rolled
@@ -105,20 +106,24 @@ def _(spark, sf_dir):
     return selection.low_signal(load_views(spark, sf_dir)["loans"], ["LOAN_ID", "INDEX", "INITIAL_COST", "FINAL_COST", KEY, "PAYMENT_STATUS"])
 
 
+_PURCHASES = ["ORDER_PRICE", "DISCOUNT", "ORDER_PRICE_AFTER_DISCOUNT"]
+_SALES = ["AMOUNT", "FEES", "RETAILER_CUT", "TOTAL_AMOUNT_INCLUDING_TAX", "TOTAL_AMOUNT_PAID", "WALLET_BALANCE_BEFORE_TRANSACTION"]
+
+
 def _pit_sql(prefix, child, alias, time, ident, cols, late):
     """SQL of the point-in-time aggregates of one child table, by joining each loan with its whole history."""
     parts = [f"count({alias}.{ident}) AS {prefix}count"]
     for c in cols:
         known = f"FILTER (WHERE {alias}.{late[c]} <= l.LOAN_ISSUANCE_DATE)" if c in late else ""
         x, moment = f"{alias}.{c}", f"{alias}.{late.get(c, time)}"
-        total = f"(sum({x}::DECIMAL(18,4)) {known})::DOUBLE"
+        total = f"(sum({x}::DECIMAL(28,6)) {known})::DOUBLE"
         parts += [
             f"{total} AS {prefix}sum_{c}",
             f"{total} / nullif(count({x}) {known}, 0) AS {prefix}mean_{c}",
-            f"round(stddev_samp({x}::DECIMAL(18,4)::DOUBLE) {known}, 5) AS {prefix}std_{c}",
-            f"(min({x}::DECIMAL(18,4)) {known})::DOUBLE AS {prefix}min_{c}",
-            f"(max({x}::DECIMAL(18,4)) {known})::DOUBLE AS {prefix}max_{c}",
-            f"(arg_max({x}::DECIMAL(18,4), ({moment}, {alias}.{ident})) {known})::DOUBLE AS {prefix}last_{c}",
+            f"round(stddev_samp({x}) {known}, 5) AS {prefix}std_{c}",
+            f"(min({x}) {known})::DOUBLE AS {prefix}min_{c}",
+            f"(max({x}) {known})::DOUBLE AS {prefix}max_{c}",
+            f"(arg_max({x}, ({moment}, {alias}.{ident})) {known})::DOUBLE AS {prefix}last_{c}",
         ]
     if child == "sales":
         parts.append(f"count(DISTINCT {alias}.STATUS) FILTER (WHERE {alias}.UPDATED_AT <= l.LOAN_ISSUANCE_DATE) AS {prefix}num_unique_STATUS")
@@ -136,7 +141,7 @@ _LOAN_FEATURES = [
 {_A} > {_B} AS {_A}_gt_{_B}, {_A} >= {_B} AS {_A}_ge_{_B}, {_A} = {_B} AS {_A}_eq_{_B}, {_A} <> {_B} AS {_A}_ne_{_B}""",
     f"(epoch_us(INITIAL_DATE) - epoch_us({_L})) / 1e6 AS time_since_{_L}",
     f"round(CASE WHEN {_A} + {_B} > 0 THEN ln({_A} + {_B}) END, 9) AS log_{_A}_add_{_B}, round(CASE WHEN {_A} * {_B} >= 0 THEN sqrt({_A} * {_B}) END, 9) AS sqrt_{_A}_mul_{_B}",
-    f"""(sum({_A}::DECIMAL(18,4)) OVER c)::DOUBLE AS cum_sum_{_A}, count({_A}) OVER c AS cum_count_{_A}, (sum({_A}::DECIMAL(18,4)) OVER c)::DOUBLE / count({_A}) OVER c AS cum_mean_{_A},
+    f"""(sum({_A}::DECIMAL(28,6)) OVER c)::DOUBLE AS cum_sum_{_A}, count({_A}) OVER c AS cum_count_{_A}, (sum({_A}::DECIMAL(28,6)) OVER c)::DOUBLE / count({_A}) OVER c AS cum_mean_{_A},
 min({_A}) OVER c AS cum_min_{_A}, max({_A}) OVER c AS cum_max_{_A}, round(stddev_samp({_A}) OVER c, 5) AS expanding_std_{_A}""",
     f"""lag({_A}) OVER w AS lag_{_A}, {_A} - lag({_A}) OVER w AS diff_{_A},
 round(({_A} - lag({_A}) OVER w) / nullif((epoch_us({_L}) - epoch_us(lag({_L}) OVER w)) / 1e6, 0), 6) AS rate_{_A}, {_A} = lag({_A}) OVER w AS same_{_A},
@@ -150,8 +155,8 @@ round(({_A} - lag({_A}) OVER w) / nullif((epoch_us({_L}) - epoch_us(lag({_L}) OV
     with_views(
         "SELECT * FROM own JOIN sales_pit USING (LOAN_ID) JOIN purchases_pit USING (LOAN_ID)",
         f"own AS (SELECT {', '.join(_LOAN_FEATURES)} FROM loans WINDOW w AS ({_W}), c AS ({_W} ROWS UNBOUNDED PRECEDING), t AS ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))",
-        _pit_sql("sales_", "sales", "s", "CREATED_AT", "ID", feature_frame.CHILD_COLUMNS["sales"], {"TOTAL_AMOUNT_PAID": "UPDATED_AT"}),
-        _pit_sql("purchases_", "purchases", "p", "ORDER_CREATION_DATE", "ORDER_ID", feature_frame.CHILD_COLUMNS["purchases"], {}),
+        _pit_sql("sales_", "sales", "s", "CREATED_AT", "ID", _SALES, {"TOTAL_AMOUNT_PAID": "UPDATED_AT"}),
+        _pit_sql("purchases_", "purchases", "p", "ORDER_CREATION_DATE", "ORDER_ID", _PURCHASES, {}),
         names="loans sales purchases",
     ),
 )
@@ -201,8 +206,6 @@ def reduced(spark, sf_dir):
 
 @query("s9_reduced_features")
 def _(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
-
     return reduced(spark, sf_dir)[0].select(*IDS, vector_to_array("pca_features").alias("pca_features"))
 
 
@@ -229,13 +232,13 @@ def learning_frame(spark, sf_dir, target):
 def _(spark, sf_dir):
     parted = materialise(split.stratified_time_split(learning_frame(spark, sf_dir, "LOAN_NOT_PAID")))
     booster = model.fit_classifier(split.train_rows(parted))
-    return booster.transform(split.test_rows(parted)).select("LOAN_ID", "label", "prediction")
+    return booster.transform(split.test_rows(parted)).select("LOAN_ID", "label", "prediction", vector_to_array("probability")[1].alias("probability"))
 
 
 @query("m9_regression_search")
 def _(spark, sf_dir):
-    folded = split.time_folds(learning_frame(spark, sf_dir, "SPENT"), folds=2)
-    return model.forward_search(folded, model.candidates(), folds=2)[1]
+    folded = split.time_folds(learning_frame(spark, sf_dir, "SPENT"))
+    return model.forward_search(folded, model.grid())[1]
 
 
 @query("r5_weekly_conservative_model")
@@ -276,3 +279,97 @@ def _(spark, sf_dir):
     used = shape.used_loans(load_views(spark, sf_dir)["loans"]).select(F.col("SPENT").alias("label"), (F.col("LOAN_AMOUNT") * 0.5).alias("prediction"))
     out = model.regression_metrics(used)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+_AP = """p AS (SELECT s, sum(y) AS y, count(*) AS n FROM (SELECT round(SPENT, 1) AS s, (FIRST_TRIAL_BALANCE < 0)::INT AS y FROM loans) GROUP BY s),
+c AS (SELECT y, sum(y) OVER w AS tp, sum(n) OVER w AS n FROM p WINDOW w AS (ORDER BY s DESC))"""
+
+
+@query("m7_average_precision", with_views("SELECT round(sum(tp / n * y) / sum(y), 9) AS average_precision FROM c", _AP, names="loans"))
+def _(spark, sf_dir):
+    scored = load_views(spark, sf_dir)["loans"].select(F.round("SPENT", 1).alias("score"), (F.col("FIRST_TRIAL_BALANCE") < 0).cast("int").alias("label"))
+    return model.average_precision(scored).select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(
+    "io10_m6_saved_line",
+    with_views(
+        "SELECT LOAN_ID, round(i + s * LOAN_AMOUNT, 6) AS prediction FROM loans, (SELECT regr_slope(SPENT, LOAN_AMOUNT) AS s, regr_intercept(SPENT, LOAN_AMOUNT) AS i FROM loans)",
+        names="loans",
+    ),
+)
+def _(spark, sf_dir):
+    """A line fitted to all loans, saved, loaded and applied."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from ledgerlens.catalog.storage import scratch
+    from ledgerlens.sources import files
+
+    loans, path = load_views(spark, sf_dir)["loans"], scratch(spark)
+    line = Pipeline(stages=[VectorAssembler(inputCols=["LOAN_AMOUNT"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="SPENT", regParam=0.0, solver="normal")])
+    files.save_model(line.fit(loans), path)
+    return files.load_model(path).transform(loans).select("LOAN_ID", F.round("prediction", 6).alias("prediction"))
+
+
+@query(
+    "m4_four_layouts",
+    with_views(
+        """SELECT part, layout, LOAN_ID, MAIN_SYSTEM_ID, label, LOAN_AMOUNT AS v0, SPENT AS v1
+FROM (SELECT l.LOAN_ID, l.MAIN_SYSTEM_ID, l.LOAN_AMOUNT, l.SPENT, p.label, CASE WHEN p.r >= CASE p.label WHEN 1 THEN 0.7 ELSE 0.8 END THEN 'test' ELSE 'train' END AS part
+  FROM loans l JOIN (SELECT *, percent_rank() OVER (ORDER BY LOAN_ID) AS r FROM
+    (SELECT LOAN_ID, CASE WHEN lower(PAYMENT_STATUS) IS DISTINCT FROM 'paid' THEN 1 ELSE 0 END AS label FROM loans WHERE SPENT > 0)) p USING (LOAN_ID))
+CROSS JOIN (SELECT unnest(['flat', 'vector']) AS layout)""",
+        names="loans",
+    ),
+)
+def _(spark, sf_dir):
+    """Train and test parts in both layouts, written and read back."""
+    from ledgerlens.catalog.storage import scratch
+
+    loans, path = load_views(spark, sf_dir)["loans"], scratch(spark)
+    label = shape.make_label(loans, "LOAN_NOT_PAID").select("LOAN_ID", "label")
+    rows = VectorAssembler(inputCols=["LOAN_AMOUNT", "SPENT"], outputCol="v").transform(loans.join(label, "LOAN_ID")).select(*IDS, "label", "v")
+    split.write_layouts(split.stratified_time_split(rows), path, "v", 2)
+    out = []
+    for part in ("train", "test"):
+        for layout in ("flat", "vector"):
+            read = spark.read.parquet(f"{path}/{part}-{layout}")
+            entry = lambda i: F.col(f"principal_component_{i}") if layout == "flat" else vector_to_array("v")[i]  # noqa: B023, E731
+            out.append(read.select(F.lit(part).alias("part"), F.lit(layout).alias("layout"), *IDS, "label", entry(0).alias("v0"), entry(1).alias("v1")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(
+    "s11_correlation_groups",
+    with_views(
+        """SELECT a, b, abs(c) >= 0.95 AS together FROM (SELECT 'LOAN_AMOUNT' AS a, 'TOTAL_INITIAL_AMOUNT' AS b, corr(LOAN_AMOUNT, TOTAL_INITIAL_AMOUNT) AS c FROM loans
+UNION ALL SELECT 'LOAN_AMOUNT', 'REPAYMENT_AMOUNT', corr(LOAN_AMOUNT, REPAYMENT_AMOUNT) FROM loans
+UNION ALL SELECT 'TOTAL_INITIAL_AMOUNT', 'REPAYMENT_AMOUNT', corr(TOTAL_INITIAL_AMOUNT, REPAYMENT_AMOUNT) FROM loans)""",
+        names="loans",
+    ),
+)
+def _(spark, sf_dir):
+    """Pairs of columns and whether they fall into one group of correlated columns."""
+    columns = ["LOAN_AMOUNT", "TOTAL_INITIAL_AMOUNT", "REPAYMENT_AMOUNT"]
+    loans = load_views(spark, sf_dir)["loans"].select(*columns)
+    groups = selection.correlation_groups(selection.correlation_matrix(loans, columns), columns)
+    pairs = [(a, b, any(a in g and b in g for g in groups)) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return spark.createDataFrame(pairs, "a string, b string, together boolean")
+
+
+@query(
+    "o7_united_definitions",
+    with_views(
+        "SELECT name || '_' || c AS name, count(*) AS columns FROM (SELECT unnest(['absolute', 'negate', 'sqrt', 'log', 'sine', 'cosine', 'tangent', 'is_null']) AS name) CROSS JOIN (SELECT unnest(['LOAN_AMOUNT', 'SPENT']) AS c) WHERE (SELECT count(*) FROM loans) > 0 GROUP BY 1",
+        names="loans",
+    ),
+)
+def _(spark, sf_dir):
+    """Two frames with overlapping features joined on the loan; their definitions are united, each once."""
+    loans = load_views(spark, sf_dir)["loans"].select("LOAN_ID", "LOAN_AMOUNT", "SPENT")
+    one, two = ft.unary_features(["LOAN_AMOUNT"]), ft.unary_features(["LOAN_AMOUNT", "SPENT"])
+    left, right = ft.dfs_transform(loans, one), ft.dfs_transform(loans, two)
+    frame, defs = ft.merge_frames(left, right, ft.feature_defs(spark, one), ft.feature_defs(spark, two), "LOAN_ID")
+    there = frame.select(F.explode(F.array(*[F.lit(c) for c in frame.columns])).alias("name")).distinct()
+    return defs.join(there, "name").groupBy("name").agg(F.count(F.lit(1)).alias("columns"))

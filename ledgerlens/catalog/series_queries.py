@@ -49,7 +49,7 @@ def sql(select, *ctes, base=S):
 @query(
     "t1f_moments",
     sql(
-        "SELECT k AS MAIN_SYSTEM_ID, count(x) AS length, sum(x::DECIMAL(18,4))::DOUBLE AS sum_values, "
+        "SELECT k AS MAIN_SYSTEM_ID, count(x) AS length, sum(x::DECIMAL(28,6))::DOUBLE AS sum_values, "
         + ", ".join(
             [
                 r("sum(x * x)", "abs_energy", 4),
@@ -92,7 +92,7 @@ def _(spark, sf_dir):
     sql(
         f"""SELECT k AS MAIN_SYSTEM_ID, max(c) > 1 AS has_duplicate, arg_min(c, x) > 1 AS has_duplicate_min, arg_max(c, x) > 1 AS has_duplicate_max,
 {r('count(*) FILTER (WHERE c > 1) / count(*)', 'reoccurring_values_share')}, {r('coalesce(sum(c) FILTER (WHERE c > 1), 0) / sum(c)', 'reoccurring_points_share')},
-coalesce(sum(x::DECIMAL(18,4)) FILTER (WHERE c > 1), 0)::DOUBLE AS sum_reoccurring_values, coalesce(sum(x::DECIMAL(18,4) * c) FILTER (WHERE c > 1), 0)::DOUBLE AS sum_reoccurring_points,
+coalesce(sum(x::DECIMAL(28,6)) FILTER (WHERE c > 1), 0)::DOUBLE AS sum_reoccurring_values, coalesce(sum((x * c)::DECIMAL(28,6)) FILTER (WHERE c > 1), 0)::DOUBLE AS sum_reoccurring_points,
 {r('count(*) / sum(c)', 'distinct_share')}, any_value(m) AS mean_n_absolute_max
 FROM (SELECT k, x, count(*) AS c FROM s GROUP BY 1, 2) JOIN (SELECT k, {r('avg(z)', 'm')} FROM (SELECT k, abs(x) AS z FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(x) DESC) <= 3) GROUP BY 1) USING (k) GROUP BY 1""",
         base=DISCOUNTS,
@@ -116,8 +116,8 @@ JOIN (SELECT k, {r('-sum(p * ln(p))', 'binned_entropy')} FROM (SELECT k, least(f
   UNION ALL SELECT k, 0 FROM s WHERE hi = lo GROUP BY 1) e ON e.k = q.k
 LEFT JOIN (SELECT k, {r(f"(9 * ({_BENFORD}) - count(*) * {sum(_E)!r}) / sqrt((9 * ({_BENFORD_SQ}) - pow(count(*), 2)) * {9 * sum(e * e for e in _E) - sum(_E) ** 2!r})", 'benford_correlation')}
   FROM (SELECT k, regexp_extract(abs(x)::VARCHAR, '[1-9]') AS d FROM s WHERE x <> 0) GROUP BY 1) f ON f.k = q.k
-JOIN (SELECT k, {r('min(i) FILTER (WHERE c >= 0.5 * total) / any_value(n)', 'index_mass_quantile')} FROM (SELECT k, i, n, (sum(abs(x)::DECIMAL(18,4)) OVER (PARTITION BY k ORDER BY i))::DOUBLE AS c,
-  (sum(abs(x)::DECIMAL(18,4)) OVER (PARTITION BY k))::DOUBLE AS total FROM s) GROUP BY 1) m ON m.k = q.k"""
+JOIN (SELECT k, {r('min(i) FILTER (WHERE c >= 0.5 * total) / any_value(n)', 'index_mass_quantile')} FROM (SELECT k, i, n, (sum(abs(x)::DECIMAL(28,6)) OVER (PARTITION BY k ORDER BY i))::DOUBLE AS c,
+  (sum(abs(x)::DECIMAL(28,6)) OVER (PARTITION BY k))::DOUBLE AS total FROM s) GROUP BY 1) m ON m.k = q.k"""
     ),
 )
 def _(spark, sf_dir):
@@ -230,9 +230,10 @@ def _(spark, sf_dir):
 @query(
     "t9f_permutation_entropy",
     sql(
-        f"""SELECT k AS MAIN_SYSTEM_ID, {r('greatest(ln(sum(c)) - sum(c * ln(c)) / sum(c), 0)', 'permutation_entropy')} FROM (SELECT k, p, count(*) AS c FROM (SELECT k,
+        f"""SELECT a.k AS MAIN_SYSTEM_ID, permutation_entropy FROM (SELECT DISTINCT k FROM s) a LEFT JOIN (
+SELECT k, {r('greatest(ln(sum(c)) - sum(c * ln(c)) / sum(c), 0)', 'permutation_entropy')} FROM (SELECT k, p, count(*) AS c FROM (SELECT k,
 list_sort([{{'v': x, 'i': 0}}, {{'v': a1, 'i': 1}}, {{'v': a2, 'i': 2}}])::VARCHAR AS raw, list_transform(list_sort([{{'v': x, 'i': 0}}, {{'v': a1, 'i': 1}}, {{'v': a2, 'i': 2}}]), lambda e: e.i)::VARCHAR AS p
-FROM s WHERE a2 IS NOT NULL) GROUP BY 1, 2) GROUP BY 1"""
+FROM s WHERE a2 IS NOT NULL) GROUP BY 1, 2) GROUP BY 1) b ON b.k = a.k"""
     ),
 )
 def _(spark, sf_dir):
@@ -251,12 +252,12 @@ _SUMS = ", ".join(f"sum((x - m) * {_HANN} * cos(2 * pi() * j * {f} / 8)) AS re{f
 @query(
     "t9f_power_spectrum",
     sql(
-        f"""SELECT k AS MAIN_SYSTEM_ID, {', '.join(r(f'power_{f}', f'power_{f}', 5) for f in range(5))}, {r('c1 / total', 'spectral_centroid', 5)},
+        f"""SELECT a.k AS MAIN_SYSTEM_ID, b.* EXCLUDE (k) FROM (SELECT DISTINCT k FROM s) a LEFT JOIN (SELECT k, {', '.join(r(f'power_{f}', f'power_{f}', 5) for f in range(5))}, {r('c1 / total', 'spectral_centroid', 5)},
 {r('c2 / total - (c1 / total) * (c1 / total)', 'spectral_variance', 5)}, {r('(SELECT -sum(p * ln(p)) FROM (SELECT count(*) / 5 AS p FROM (SELECT unnest(cells) AS cell) GROUP BY cell))', 'fourier_entropy')}
 FROM (SELECT *, power_0 + power_1 + power_2 + power_3 + power_4 AS total, power_1 + 2 * power_2 + 3 * power_3 + 4 * power_4 AS c1, power_1 + 4 * power_2 + 9 * power_3 + 16 * power_4 AS c2,
 list_transform([power_0, power_1, power_2, power_3, power_4], lambda p: least(floor(p / greatest(power_0, power_1, power_2, power_3, power_4) * 10), 9)) AS cells
 FROM (SELECT k, {_POWER} FROM (SELECT k, seg, {_SUMS} FROM (SELECT *, avg(x) OVER (PARTITION BY k, seg) AS m FROM (SELECT k, x, g.seg, i - 1 - 4 * g.seg AS j
-FROM s JOIN (SELECT unnest(range(100000)) AS seg) g ON g.seg BETWEEN (i - 8) // 4 AND (i - 1) // 4 AND i - 1 - 4 * g.seg BETWEEN 0 AND 7 AND 4 * g.seg + 8 <= n)) GROUP BY 1, 2) GROUP BY 1))"""
+FROM s JOIN (SELECT unnest(range(100000)) AS seg) g ON g.seg BETWEEN (i - 8) // 4 AND (i - 1) // 4 AND i - 1 - 4 * g.seg BETWEEN 0 AND 7 AND 4 * g.seg + 8 <= n)) GROUP BY 1, 2) GROUP BY 1))) b ON b.k = a.k"""
     ),
 )
 def _(spark, sf_dir):

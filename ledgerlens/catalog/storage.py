@@ -161,3 +161,37 @@ def _(spark, sf_dir):
     path = scratch(spark)
     files.write_csv(load_views(spark, sf_dir)["loans"].select(*LOANS.names), path)
     return files.read_loans(spark, path)
+
+
+_SEVERITY = [("Paid", 0), ("Partialy paid", 1), ("Unpaid", 2)]
+
+
+@query(
+    "io6_local_rows",
+    with_views("SELECT LOAN_ID, CASE PAYMENT_STATUS WHEN 'Paid' THEN 0 WHEN 'Partialy paid' THEN 1 WHEN 'Unpaid' THEN 2 END AS severity FROM loans", names="loans"),
+)
+def _(spark, sf_dir):
+    """A small driver-side table joined with the loans."""
+    levels = files.local_rows(spark, _SEVERITY, "PAYMENT_STATUS string, severity int")
+    return load_views(spark, sf_dir)["loans"].join(F.broadcast(levels), "PAYMENT_STATUS", "left").select("LOAN_ID", "severity")
+
+
+@query("io11_report", with_views("SELECT PAYMENT_STATUS, count(*) AS n FROM loans GROUP BY 1", names="loans"))
+def _(spark, sf_dir):
+    """An aggregated report collected as a pandas frame, and read again."""
+    counts = load_views(spark, sf_dir)["loans"].groupBy("PAYMENT_STATUS").agg(F.count(F.lit(1)).alias("n"))
+    return files.local_rows(spark, files.to_report(counts), "PAYMENT_STATUS string, n long")
+
+
+@query(
+    "io12_kept_frame",
+    with_views(
+        "SELECT count(*) AS loans, (SELECT count(DISTINCT MAIN_SYSTEM_ID) FROM loans WHERE SPENT > 0) AS retailers FROM loans WHERE SPENT > 0",
+        names="loans",
+    ),
+)
+def _(spark, sf_dir):
+    """Two aggregates of one frame that is kept between them."""
+    kept = files.keep(shape.used_loans(load_views(spark, sf_dir)["loans"]))
+    retailers = kept.select(KEY).distinct().agg(F.count(F.lit(1)).alias("retailers"))
+    return kept.agg(F.count(F.lit(1)).alias("loans")).crossJoin(F.broadcast(retailers))  # one row each

@@ -5,16 +5,18 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.catalog.lending import _asof_sql, asof_loans
 from ledgerlens.catalog.registry import query
 from ledgerlens.catalog.views_sql import with_views
+from ledgerlens.functions.exact import exact_sum
 from ledgerlens.functions.scalar import flag
 from ledgerlens.operators import profiling, quantiles, shape, summaries
 from ledgerlens.operators.skew import measure
 from ledgerlens.operators.temporal import asof_join
 from ledgerlens.plans import risk
-from ledgerlens.schemas import KEY, LOANS
+from ledgerlens.schemas import KEY, LOANS, PURCHASES, SALES
 from ledgerlens.sources.adapters import load_views, table
 
 
@@ -87,7 +89,7 @@ simple(
 )
 simple(
     "p13_first_collection_default",
-    'SELECT LOAN_ID, lower(PAYMENT_STATUS) <> \'paid\' OR FIRST_TRIAL_BALANCE < 0 AS "LABEL" FROM loans',
+    'SELECT LOAN_ID, lower(PAYMENT_STATUS) IS DISTINCT FROM \'paid\' OR FIRST_TRIAL_BALANCE < 0 AS "LABEL" FROM loans',
     lambda v: shape.first_collection_default(v["loans"]).select("LOAN_ID", "LABEL"),
 )
 simple(
@@ -175,10 +177,10 @@ simple(
     "j9_retailer_children",
     """SELECT r.MAIN_SYSTEM_ID, coalesce(s.n, 0) AS n_sales, coalesce(p.n, 0) AS n_purchases, p.total AS ordered
 FROM retailers r LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n FROM sales GROUP BY 1) s ON s.MAIN_SYSTEM_ID = r.MAIN_SYSTEM_ID
-LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(ORDER_PRICE::DECIMAL(18,4))::DOUBLE AS total FROM purchases GROUP BY 1) p ON p.MAIN_SYSTEM_ID = r.MAIN_SYSTEM_ID""",
+LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(ORDER_PRICE::DECIMAL(28,6))::DOUBLE AS total FROM purchases GROUP BY 1) p ON p.MAIN_SYSTEM_ID = r.MAIN_SYSTEM_ID""",
     lambda v: v["retailers"]
     .join(v["sales"].groupBy(KEY).agg(F.count(F.lit(1)).alias("n_sales")), KEY, "left")
-    .join(v["purchases"].groupBy(KEY).agg(F.count(F.lit(1)).alias("n_purchases"), F.sum(F.col("ORDER_PRICE").cast("decimal(18,4)")).cast("double").alias("ordered")), KEY, "left")
+    .join(v["purchases"].groupBy(KEY).agg(F.count(F.lit(1)).alias("n_purchases"), exact_sum(F.col("ORDER_PRICE")).alias("ordered")), KEY, "left")
     .fillna(0, ["n_sales", "n_purchases"]),
     "retailers sales purchases",
 )
@@ -191,14 +193,40 @@ simple(
 count(DISTINCT LOAN_ID) FILTER (WHERE FIRST_TRIAL_BALANCE < 0 AND PAYMENT_STATUS = 'Paid') AS nunique_loan_id_delayed_payment FROM loans GROUP BY 1""",
     lambda v: summaries.delayed_by_retailer(v["loans"]),
 )
-simple(
+
+
+def collection_stages(loans):
+    """Loans as a lender sees them over time: those not repaid at first come again a day and a week later."""
+    missed = loans.where("FIRST_TRIAL_BALANCE < 0")
+    later = [missed.withColumn("REPAYMENT_UPDATED", F.col("REPAYMENT_UPDATED") + F.lit(timedelta(days=d))) for d in (1, 7)]
+    return loans.unionByName(later[0]).unionByName(later[1].where("LOAN_ID % 2 = 0"))
+
+
+_STAGES = """stages AS (SELECT MAIN_SYSTEM_ID, LOAN_ID, FIRST_TRIAL_BALANCE, REPAYMENT_UPDATED FROM loans
+  UNION ALL SELECT MAIN_SYSTEM_ID, LOAN_ID, FIRST_TRIAL_BALANCE, REPAYMENT_UPDATED + INTERVAL 1 DAY FROM loans WHERE FIRST_TRIAL_BALANCE < 0
+  UNION ALL SELECT MAIN_SYSTEM_ID, LOAN_ID, FIRST_TRIAL_BALANCE, REPAYMENT_UPDATED + INTERVAL 7 DAY FROM loans WHERE FIRST_TRIAL_BALANCE < 0 AND LOAN_ID % 2 = 0)"""
+
+
+@query(
     "a7_several_collections",
-    """SELECT MAIN_SYSTEM_ID, count(DISTINCT REPAYMENT_UPDATED) AS n_updates FROM (SELECT MAIN_SYSTEM_ID, REPAYMENT_UPDATED FROM loans WHERE FIRST_TRIAL_BALANCE < 0)
-GROUP BY 1 HAVING count(DISTINCT REPAYMENT_UPDATED) > 1""",
-    # loans are unique in the data, so the retailer takes the place of the loan here
-    lambda v: summaries.several_collections(v["loans"].withColumn("LOAN_ID", F.col(KEY))).select(KEY, "n_updates"),
+    with_views(
+        "SELECT LOAN_ID, count(DISTINCT REPAYMENT_UPDATED) AS n_updates FROM stages WHERE FIRST_TRIAL_BALANCE < 0 GROUP BY 1 HAVING count(DISTINCT REPAYMENT_UPDATED) > 1",
+        _STAGES,
+        names="loans",
+    ),
 )
-simple("q10_snapshot_check", "SELECT MAIN_SYSTEM_ID, LOAN_ID, count(*) AS n FROM loans GROUP BY 1, 2 HAVING count(*) > 1", lambda v: v["loans"].groupBy(KEY, "LOAN_ID").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+def _(spark, sf_dir):
+    return summaries.several_collections(collection_stages(loans_of(spark, sf_dir))).select("LOAN_ID", "n_updates")
+
+
+@query(
+    "q10_snapshot_check",
+    with_views("SELECT MAIN_SYSTEM_ID, LOAN_ID, count(*) AS n FROM stages GROUP BY 1, 2 HAVING count(*) > 1", _STAGES, names="loans"),
+)
+def _(spark, sf_dir):
+    return collection_stages(loans_of(spark, sf_dir)).groupBy(KEY, "LOAN_ID").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 simple("a8_value_counts", 'SELECT PAYMENT_STATUS, count(*) AS "count" FROM loans GROUP BY 1', lambda v: quantiles.value_counts(v["loans"], "PAYMENT_STATUS"))
 
 RATIO_PROBS = [0.01, 0.1, 0.15, 0.20, 0.205, 0.21, 0.215, 0.225]
@@ -346,6 +374,64 @@ count(*) - (SELECT count(*) FROM (SELECT DISTINCT MAIN_SYSTEM_ID, PAYMENT_STATUS
     lambda v: profiling.profile_table(v["loans"].select(KEY, "PAYMENT_STATUS", "FIRST_TRAIL_DELAYS")),
 )
 
+TABLES = {"loans": LOANS, "sales": SALES, "purchases": PURCHASES}
+for _name, _schema in TABLES.items():
+    _missing = " + ".join(f"({c} IS NULL)::BIGINT" for c in _schema.names)
+    simple(
+        f"q1_whole_{_name}",
+        f"SELECT count(*) AS n_rows, {len(_schema.names)} AS n_columns, sum({_missing})::BIGINT AS missing_cells, "
+        f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(_schema.names)} FROM {_name})) AS duplicate_rows FROM {_name}",
+        lambda v, n=_name, s=_schema: profiling.profile_table(v[n].select(*s.names)),
+        _name,
+    )
+
+
+def _of_kind(schema, *kinds):
+    return [f.name for f in schema.fields if isinstance(f.dataType, kinds)]
+
+
+def _union(name, columns, facts):
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {facts.format(c=c)} FROM {name}" for c in columns)
+
+
+for _name, _schema in TABLES.items():
+    _times, _texts, _numbers = _of_kind(_schema, T.TimestampNTZType), _of_kind(_schema, T.StringType), _of_kind(_schema, T.NumericType)
+    simple(
+        f"q3_times_{_name}",
+        _union(_name, _times, 'count(DISTINCT {c}) AS "distinct", count(*) - count({c}) AS missing, min({c}) AS "first", max({c}) AS "last"'),
+        lambda v, n=_name, c=_times: profiling.profile_time(v[n], c),
+        _name,
+    )
+    if _texts:
+        simple(
+            f"q3_texts_{_name}",
+            _union(_name, _texts, 'count(DISTINCT {c}) AS "distinct", count(*) - count({c}) AS missing, min(length({c})) AS shortest, max(length({c})) AS longest'),
+            lambda v, n=_name, c=_texts: profiling.profile_text(v[n], c),
+            _name,
+        )
+    simple(
+        f"q2_numbers_{_name}",
+        _union(
+            _name,
+            _numbers,
+            "count({c}) AS n, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\", round(avg({c}), 4) AS mean, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, "
+            "count(*) FILTER (WHERE {c} = 0) AS zeros, count(*) FILTER (WHERE {c} < 0) AS negatives, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS p50",
+        ),
+        lambda v, n=_name, c=_numbers: profiling.profile_numeric(v[n].select(*c)).select(
+            "column", "n", "missing", "distinct", F.round("mean", 4).alias("mean"), "min", "max", "zeros", "negatives", F.round("p50", 4).alias("p50")
+        ),
+        _name,
+    )
+    _couples = [(a, b) for i, a in enumerate(_numbers) for b in _numbers[i + 1 :]]
+    simple(
+        f"q5_pairs_{_name}",
+        "SELECT a, b, round(corr, 5) AS corr FROM ("
+        + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN corr({a}::DOUBLE, {b}::DOUBLE) END AS corr FROM {_name}" for a, b in _couples)
+        + ")",
+        lambda v, n=_name, c=_numbers: profiling.correlation_pairs(v[n], c).withColumn("corr", F.round("corr", 5)),
+        _name,
+    )
+
 PROFILED = ["LOAN_AMOUNT", "SPENT", "FIRST_TRIAL_BALANCE", "REPAYMENT_AMOUNT", "INITIAL_COST"]
 _LONG = "x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS value FROM loans" for c in PROFILED) + ")"
 
@@ -460,7 +546,7 @@ WHERE MAIN_SYSTEM_ID IN (SELECT MAIN_SYSTEM_ID FROM sales GROUP BY 1 ORDER BY co
 @query(
     "q9_spend_reconstruction",
     with_views(
-        """SELECT l.LOAN_ID, any_value(l.SPENT) AS SPENT, coalesce(sum(p.ORDER_PRICE::DECIMAL(18,4)), 0)::DOUBLE AS ordered, count(p.ORDER_ID) AS n_orders
+        """SELECT l.LOAN_ID, any_value(l.SPENT) AS SPENT, coalesce(sum(p.ORDER_PRICE::DECIMAL(28,6)), 0)::DOUBLE AS ordered, count(p.ORDER_ID) AS n_orders
 FROM loans l LEFT JOIN purchases p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND p.ORDER_CREATION_DATE BETWEEN l.LOAN_ISSUANCE_DATE AND l.INITIAL_DATE GROUP BY 1""",
         names="loans purchases",
     ),

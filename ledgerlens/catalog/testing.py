@@ -73,6 +73,23 @@ def _(spark, sf_dir):
     return h.volume_test(joined_volume(spark, sf_dir), WINDOWS).select("window", "limit", "n", "hits", "lower", "upper")
 
 
+@query(
+    "h2_interval_covers_share",
+    _h(
+        'SELECT "window", count(*) AS n, count(*) FILTER (WHERE LOAN_AMOUNT > "limit") AS hits, true AS covers, true AS narrow FROM joined CROSS JOIN limits GROUP BY 1',
+        adapter="dense",
+        days=[7, 30],
+        tolerance=30,
+    ),
+)
+def _(spark, sf_dir):
+    """Whether the bootstrap interval holds the share itself and is as wide as a binomial share of that many draws may be."""
+    found = h.volume_test(joined_volume(spark, sf_dir, "dense", [7, 30], 30), [7, 30])
+    share, width = F.col("hits") / F.col("n"), F.col("upper") - F.col("lower")
+    sd = F.sqrt(share * (1 - share) / F.greatest(F.lit(1.0), F.round(F.col("n") * 0.3)))
+    return found.select("window", "n", "hits", ((F.col("lower") <= share) & (share <= F.col("upper"))).alias("covers"), (F.abs(width - 3.92 * sd) <= 1.2 * sd + 1e-9).alias("narrow"))
+
+
 @query("h5_bootstrap_verdict")
 def _(spark, sf_dir):
     return h.volume_test(joined_volume(spark, sf_dir, "dense", [7, 30], 30), [7, 30])
@@ -83,8 +100,8 @@ def _(spark, sf_dir):
     "h5_verdict_rule",
     _h(
         """SELECT "window", lower, upper, lower > 0.2 AS reject,
-printf('Retailers are requesting to borrow amounts %s 1 standard deviation of their mean volume in the previous %d days', CASE WHEN lower > 0.2 THEN 'above' ELSE 'within' END, "window") AS finding,
-printf('95%% Confidence Interval: [%.4f, %.4f]', lower, upper) AS interval_text
+printf('Loans exceed the limit of the last %d days %s', "window", CASE WHEN lower > 0.2 THEN 'more often than tolerated' ELSE 'no more often than tolerated' END) AS finding,
+printf('share between %.4f and %.4f', lower, upper) AS interval_text
 FROM (SELECT "window", round(count(*) FILTER (WHERE LOAN_AMOUNT > "limit") / count(*), 6) AS lower, round(count(*) FILTER (WHERE LOAN_AMOUNT >= "limit") / count(*), 6) AS upper
  FROM joined CROSS JOIN limits GROUP BY 1)""",
         adapter="dense",
@@ -99,15 +116,16 @@ def _(spark, sf_dir):
     return h.verdict(shares)
 
 
-ROUNDS = 25
+ROUNDS = 1000
 _WEIGHT = (
     "CASE "
     + " ".join(f"WHEN u < {bound!r}::DOUBLE THEN {k}" for k, bound in enumerate(h.poisson_thresholds()))
     + f" ELSE {len(h.poisson_thresholds())} END"
 )
-_BOOT = f"""t AS (SELECT r.round::INTEGER AS round, l.LOAN_AMOUNT::DECIMAL(18,4) AS x,
-  ('0x' || substr(md5(l.LOAN_ID || '|' || r.round), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM loans l CROSS JOIN (SELECT unnest(range({ROUNDS})) AS round) r),
-b AS (SELECT round, sum({_WEIGHT})::BIGINT AS weight, sum(x * {_WEIGHT})::DOUBLE AS total FROM t GROUP BY 1)"""
+_BOOT = f"""t AS (SELECT r.round::INTEGER AS round, l.LOAN_AMOUNT AS x,
+  ('0x' || substr(md5(l.LOAN_ID || '|' || r.round // {h.DRAWS}), 1 + {h.DIGITS} * (r.round % {h.DRAWS}), {h.DIGITS}))::UBIGINT / {float(16**h.DIGITS)!r}::DOUBLE AS u
+  FROM loans l CROSS JOIN (SELECT unnest(range({ROUNDS})) AS round) r),
+b AS (SELECT round, sum({_WEIGHT})::BIGINT AS weight, sum((x * {_WEIGHT})::DECIMAL(28,6))::DOUBLE AS total FROM t GROUP BY 1)"""
 
 
 @query("h3_poisson_bootstrap", with_views("SELECT round, weight, total, round(total / weight, 6) AS mean FROM b", _BOOT, names="loans"))

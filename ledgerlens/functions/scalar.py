@@ -22,11 +22,6 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def exact_sum(value: Column, scale: int = 4) -> Column:
-    """A money sum that does not depend on the order of addition, as a double."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
-
-
 def seconds(ts: Column) -> Column:
     """Seconds since the epoch with microseconds."""
     return F.unix_micros(ts.cast("timestamp")).cast("double") / F.lit(1e6)

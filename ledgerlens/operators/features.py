@@ -6,19 +6,20 @@ Every function works on all retailers at once; the retailer is a grouping key, n
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
-from math import ceil, log
+from math import exp, log
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerlens.functions import exact
 from ledgerlens.functions.scalar import elapsed, flag, seconds
 from ledgerlens.operators.quantiles import quantiles
 from ledgerlens.operators.skew import Slices, apart, as_list, attach, cut, heavy_keys, running, windowed
-from ledgerlens.operators.temporal import money
 
 BATCH = 200
 AGG_BATCH = 24  # statistics per grouping: their buffers stay below the 100 fields up to which Spark generates code
@@ -34,6 +35,10 @@ class Entity:
     secondary: dict[str, list[str]] = field(default_factory=dict)
     ignored: tuple[str, ...] = ()
 
+    def numeric(self) -> list[str]:
+        """Amount columns: numeric and not ignored, in the table's order."""
+        return [f.name for f in self.df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in self.ignored]
+
 
 @dataclass(frozen=True)
 class EntitySet:
@@ -46,6 +51,10 @@ class EntitySet:
     def children(self) -> dict[str, Entity]:
         return {n: e for n, e in self.entities.items() if n != self.target}
 
+    def restricted(self, keys: DataFrame, how: str) -> EntitySet:
+        """The same tables with the rows that are (``left_semi``) or are not (``left_anti``) of the given keys."""
+        return replace(self, entities={n: replace(e, df=e.df.join(keys, self.key, how)) for n, e in self.entities.items()})
+
 
 class Feature(NamedTuple):
     """A derived column with its recipe."""
@@ -87,7 +96,7 @@ def numeric_aggregates(df: DataFrame, key: str, cols: Sequence[str], prefix: str
     for c in cols:
         x, p = F.col(c).cast("double"), f"{prefix}%s_{c}"
         exprs += [
-            F.sum(money(x)).cast("double").alias(p % "sum"),
+            exact.exact_sum(x).alias(p % "sum"),
             F.avg(x).alias(p % "mean"),
             F.min(x).alias(p % "min"),
             F.max(x).alias(p % "max"),
@@ -362,26 +371,20 @@ def depth2_features(features: Sequence[Feature], allow: Sequence[tuple[str, str]
 
 
 def cumulative_features(df: DataFrame, key: str, order: Sequence[str], col: str, slices: Slices | None = None) -> DataFrame:
-    """Cumulative sum, count, mean, extremes and expanding deviation in time order (exact decimal totals)."""
-    x = money(F.col(col))
-    accs = {
-        "_s": ("sum", x),
-        "_n": ("sum", F.col(col).isNotNull().cast("long")),
-        "_q": ("sum", x * x),
-        f"cum_min_{col}": ("min", F.col(col)),
-        f"cum_max_{col}": ("max", F.col(col)),
-    }
+    """Cumulative sum, count, mean, extremes and expanding deviation in time order (exact totals)."""
+    facts = exact.parts(F.col(col), squares=True)
+    accs = {f"_{n}": ("sum", c) for n, c in facts.items()}
+    accs |= {f"cum_min_{col}": ("min", F.col(col)), f"cum_max_{col}": ("max", F.col(col))}
     out = running(df, key, order, accs, slices, peers=False)
-    n, s, q = F.col("_n"), F.col("_s").cast("double"), F.col("_q").cast("double")
-    spread = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
+    t = {n: F.col(f"_{n}") for n in facts}
     return out.select(
         *df.columns,
-        s.alias(f"cum_sum_{col}"),
-        n.alias(f"cum_count_{col}"),
-        F.when(n > 0, s / n).alias(f"cum_mean_{col}"),
+        exact.total(t).alias(f"cum_sum_{col}"),
+        t["n"].alias(f"cum_count_{col}"),
+        F.when(t["n"] > 0, exact.mean(t)).alias(f"cum_mean_{col}"),
         f"cum_min_{col}",
         f"cum_max_{col}",
-        F.when(n > 1, spread).alias(f"expanding_std_{col}"),
+        exact.spread(t).alias(f"expanding_std_{col}"),
     )
 
 
@@ -417,40 +420,61 @@ def rolling_row_features(df: DataFrame, key: str, order: Sequence[str], col: str
 
 
 def ewma_feature(df: DataFrame, key: str, order: Sequence[str], col: str, alpha: float = 0.5, slices: Slices | None = None) -> DataFrame:
-    """Exponentially weighted mean, weights normalised.
+    """Exponentially weighted mean over all earlier values, weights normalised; missing values do not age the others.
 
-    Rows further back than ``reach`` weigh less than half a unit in the last place of a double, so the look-back is
-    bounded without changing the result.
+    A key's values are cut into chunks in which a weight falls by 1e200 at most. Inside a chunk the weighted sum is a
+    running total of values times growing weights, which a double holds; two earlier chunks are carried in, faded, and
+    what lies before them weighs less than the smallest double. A chunk has 460 / -ln(1 - alpha) values (664 for 0.5).
     """
-    reach = ceil(53 * log(2) / -log(1 - alpha))
-
-    def build(w) -> dict[str, Column]:
-        recent = F.collect_list(col).over(w.rowsBetween(-reach, 0))
-        total = F.aggregate(recent, F.lit(0.0), lambda acc, x: acc * (1 - alpha) + x)
-        weight = F.aggregate(recent, F.lit(0.0), lambda acc, x: acc * (1 - alpha) + F.lit(1.0))
-        return {f"ewma_{col}": F.try_divide(total, weight)}
+    fade = -log(1 - alpha) if alpha < 1 else 460.0
+    block = max(1, int(460 / fade))
+
+    def plan(rows: DataFrame, slices: Slices | None) -> DataFrame:
+        x = F.col(col).cast("double")
+        placed = running(rows, key, order, {"_k": ("sum", x.isNotNull().cast("long"))}, slices, peers=False)
+        placed = placed.withColumn("_chunk", F.floor(F.greatest(F.col("_k") - 1, F.lit(0)) / block))
+        age = F.when(x.isNotNull(), (F.col("_k") - 1 - F.col("_chunk") * block).cast("double"))
+        grown = F.exp(age * fade)
+        inside = Window.partitionBy(key, "_chunk").orderBy("_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = placed.withColumns({"_w": F.sum(grown).over(inside), "_s": F.sum(grown * x).over(inside)})
+        ends = placed.groupBy(key, "_chunk").agg(F.sum(grown).alias("_cw"), F.sum(grown * x).alias("_cs"))
+        before = Window.partitionBy(key).orderBy("_chunk")
+
+        def carried(c: str) -> Column:
+            return sum((F.coalesce(F.lag(c, i).over(before), F.lit(0.0)) * exp(-fade * block * i) for i in (1, 2)), F.lit(0.0))
+
+        carry = ends.select(F.col(key).alias("_key"), F.col("_chunk").alias("_at"), carried("_cw").alias("_pw"), carried("_cs").alias("_ps"))
+        joined = summed.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at")), "left")
+        total = F.coalesce("_s", F.lit(0.0)) + F.coalesce("_ps", F.lit(0.0))
+        weight = F.coalesce("_w", F.lit(0.0)) + F.coalesce("_pw", F.lit(0.0))
+        return joined.select(*rows.columns, F.when(F.col("_k") > 0, F.try_divide(total, weight)).alias(f"ewma_{col}"))
 
-    return windowed(df, key, order, build, before=reach, slices=slices)
+    return apart(df, plan, slices)
 
 
 def percentile_feature(df: DataFrame, key: str, col: str, slices: Slices | None = None) -> DataFrame:
-    """Average rank of the value within its key as a share of the key's rows (``slices`` measured on ``col``)."""
+    """Average rank of the value within its key as a share of the key's values (``slices`` measured on ``col``).
+
+    Rows without a value keep NULL. With heavy keys every (key, value) has one share, and values too frequent for one
+    task are found as heavy keys of that join.
+    """
+    name = f"percentile_{col}"
+    known, missing = df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull()).withColumn(name, F.lit(None).cast("double"))
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
-        name = f"percentile_{col}"
         if slices is None:
             w = Window.partitionBy(key)
             by_value = w.orderBy(col)
             n = F.count(col).over(w)
-            share = (F.rank().over(by_value) + F.count(col).over(by_value)) / (2 * n)
-            return df.where(F.col(col).isNotNull()).withColumn(name, share)
-        values = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
+            return df.withColumn(name, (F.rank().over(by_value) + F.count(col).over(by_value)) / (2 * n))
+        values = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
         placed = running(values, key, col, {"_upto": ("sum", F.col("_c"))}, slices)
         totals = values.groupBy(key).agg(F.sum("_c").alias("_n"))
         shares = attach(placed, totals, key, slices).select(key, col, ((2 * F.col("_upto") - F.col("_c") + 1) / (2 * F.col("_n"))).alias(name))
-        return df.join(shares, [key, col])
+        frequent = heavy_keys(df, [key, col])
+        return attach(df, shares, [key, col], frequent and Slices((key, col), frequent, ()))
 
-    return apart(df, plan, slices)
+    return apart(known, plan, slices).unionByName(missing)
 
 
 # --- point-in-time aggregates --------------------------------------------------------------------------------------
@@ -482,7 +506,7 @@ def point_in_time(
     by_time.setdefault(child.time, [])
     moves = []
     for t, names in by_time.items():
-        facts = [F.when(F.lit(c in names), money(F.col(c))).alias(f"x_{c}") for c in cols]
+        facts = [F.when(F.lit(c in names), F.col(c)).alias(f"x_{c}") for c in cols]
         moves.append(F.struct(F.col(t).alias("at"), F.lit(1 if t == child.time else 0).alias("one"), *facts))
     rows = child.df.where(F.col(key).isNotNull())
     points = rows.select(key, child.index, F.inline(F.array(*moves))).withColumnRenamed(child.index, "_id")
@@ -498,10 +522,8 @@ def point_in_time(
     accs = {"_n": ("sum", F.col("one"))}
     for c in cols:
         x = F.col(f"x_{c}")
+        accs |= {f"_{n}_{c}": ("sum", part) for n, part in exact.parts(x, squares=True).items()}
         accs |= {
-            f"_n_{c}": ("sum", x.isNotNull().cast("long")),
-            f"_s_{c}": ("sum", x),
-            f"_q_{c}": ("sum", x * x),
             f"_min_{c}": ("min", x),
             f"_max_{c}": ("max", x),
             f"_last_{c}": ("last", x),
@@ -512,11 +534,11 @@ def point_in_time(
 
     outs = [F.coalesce("_n", F.lit(0)).cast("long").alias(f"{prefix}count")]
     for c in cols:
-        n, s, q = F.col(f"_n_{c}"), F.col(f"_s_{c}").cast("double"), F.col(f"_q_{c}").cast("double")
+        t = {n: F.col(f"_{n}_{c}") for n in "nslkabcq"}
         outs += [
-            s.alias(f"{prefix}sum_{c}"),
-            F.when(n > 0, s / n).alias(f"{prefix}mean_{c}"),
-            F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))).alias(f"{prefix}std_{c}"),
+            exact.total(t).alias(f"{prefix}sum_{c}"),
+            F.when(t["n"] > 0, exact.mean(t)).alias(f"{prefix}mean_{c}"),
+            exact.spread(t).alias(f"{prefix}std_{c}"),
             F.col(f"_min_{c}").cast("double").alias(f"{prefix}min_{c}"),
             F.col(f"_max_{c}").cast("double").alias(f"{prefix}max_{c}"),
             F.col(f"_last_{c}").cast("double").alias(f"{prefix}last_{c}"),

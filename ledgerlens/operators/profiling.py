@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions import exact
 from ledgerlens.operators.quantiles import quantiles
 from ledgerlens.operators.skew import AUTO, HOT_ROWS, measure, resolve, running
-from ledgerlens.operators.temporal import measure_sides, money
+from ledgerlens.operators.temporal import measure_sides
 from ledgerlens.schemas import KEY
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -170,20 +171,25 @@ def spend_reconstruction(loans: DataFrame, purchases: DataFrame, slices=AUTO) ->
     so a retailer's orders are never paired with its loans.
     """
     slices = resolve(slices, lambda: measure_sides(loans, purchases, "LOAN_ISSUANCE_DATE", "ORDER_CREATION_DATE", KEY))
-    orders = purchases.select(
-        KEY, F.col("ORDER_CREATION_DATE").alias("_at"), F.lit(1).alias("_side"), money(F.col("ORDER_PRICE")).alias("_x"), F.lit(1).alias("_one")
-    )
+    begin, due = F.col("LOAN_ISSUANCE_DATE"), F.col("INITIAL_DATE")
+    orders = purchases.where(F.col(KEY).isNotNull() & F.col("ORDER_CREATION_DATE").isNotNull())
+    facts = {f"_{n}": c for n, c in exact.parts(F.col("ORDER_PRICE")).items()} | {"_one": F.lit(1).cast("long")}
+    orders = orders.select(KEY, F.col("ORDER_CREATION_DATE").alias("_at"), F.lit(1).alias("_side"), *[c.alias(n) for n, c in facts.items()])
     cuts = F.array(
-        F.struct(F.col("LOAN_ISSUANCE_DATE").alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("sign")),
-        F.struct(F.col("INITIAL_DATE").alias("at"), F.lit(2).alias("side"), F.lit(1).alias("sign")),
+        F.struct(begin.alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("sign")),
+        F.struct(due.alias("at"), F.lit(2).alias("side"), F.lit(1).alias("sign")),
     )
-    probes = loans.select(KEY, "LOAN_ID", "SPENT", F.explode(cuts).alias("_p")).select(
+    # a loan without retailer or with a missing or empty period has no orders
+    whole = F.coalesce(F.col(KEY).isNotNull() & (begin <= due), F.lit(False))
+    probes = loans.where(whole).select(KEY, "LOAN_ID", "SPENT", F.explode(cuts).alias("_p")).select(
         KEY, "LOAN_ID", "SPENT", F.col("_p.at").alias("_at"), F.col("_p.side").alias("_side"), F.col("_p.sign").alias("_sign")
     )
     events = orders.unionByName(probes, allowMissingColumns=True)
-    totals = running(events, KEY, ["_at", "_side"], {"_sum": ("sum", F.col("_x")), "_cnt": ("sum", F.col("_one"))}, slices)
-    ends = totals.where(F.col("_sign").isNotNull())
-    part = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("_sign"))
+    totals = running(events, KEY, ["_at", "_side"], {f"{n}_sum": ("sum", F.col(n)) for n in facts}, slices)
+    ends = totals.where(F.col("_sign").isNotNull()).select("LOAN_ID", "SPENT", "_sign", *[f"{n}_sum" for n in facts])
+    ends = ends.unionByName(loans.where(~whole).select("LOAN_ID", "SPENT"), allowMissingColumns=True)
+    moved = {n: F.sum(F.when(F.col("_sign") > 0, F.col(f"{n}_sum")).when(F.col("_sign") < 0, -F.col(f"{n}_sum"))) for n in facts}
+    inside = {n[1:]: F.coalesce(c, F.lit(0)) for n, c in moved.items()}
     return ends.groupBy("LOAN_ID").agg(
-        F.max("SPENT").alias("SPENT"), part("_sum").cast("double").alias("ordered"), part("_cnt").cast("long").alias("n_orders")
+        F.max("SPENT").alias("SPENT"), F.coalesce(exact.total(inside), F.lit(0.0)).alias("ordered"), inside["one"].cast("long").alias("n_orders")
     )

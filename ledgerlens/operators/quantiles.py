@@ -36,8 +36,8 @@ def _counted(df: DataFrame, keys: list[str], col: str, names: dict[str, float],
 def quantiles(df: DataFrame, keys: str | Sequence[str], col: str, names: dict[str, float], slices: Slices | None = None) -> DataFrame:
     """Quantiles with linear interpolation per key, one result column per entry of ``names``.
 
-    Light keys use the built-in exact aggregate, whose buffer is bounded by the limit below which a key counts as
-    light; ``slices`` (from ``measure`` on ``col``) sends heavy keys through counted values.
+    Light keys use the built-in exact aggregate, whose buffer holds the key's distinct values: at most the rows below which
+    a key counts as light, or 1/100,000 of the table where that is more; ``slices`` (from ``measure`` on ``col``) sends heavy keys through counted values.
     """
     keys = as_list(keys)
 

@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.exact import exact_sum, parts, total
 from ledgerlens.functions.scalar import flag, seconds
 from ledgerlens.operators.quantiles import quantiles
 from ledgerlens.operators.skew import Slices, apart, as_list, attach, cut, heavy_keys, running, windowed
-from ledgerlens.operators.temporal import money
 
 POS = "_pos"
 
@@ -54,7 +54,7 @@ def _moment_exprs() -> list[Column]:
     n = F.count(x)
     return [
         n.alias("length"),
-        F.sum(money(x)).cast("double").alias("sum_values"),
+        exact_sum(x).alias("sum_values"),
         F.sum(x * x).alias("abs_energy"),
         F.avg(x).alias("mean"),
         F.min(x).alias("minimum"),
@@ -124,7 +124,6 @@ def repetition(df: DataFrame, key: str, value: str, top: int = 3) -> DataFrame:
     x = F.col(value).cast("double")
     counts = df.where(x.isNotNull()).groupBy(key, x.alias("x")).agg(F.count(F.lit(1)).alias("c"))
     again = F.col("c") > 1
-    exact = money(F.col("x"))
     low, high = F.min(F.struct("x", "c"))["c"], F.max(F.struct("x", "c"))["c"]
     facts = counts.groupBy(key).agg(
         F.max(again).alias("has_duplicate"),
@@ -132,8 +131,8 @@ def repetition(df: DataFrame, key: str, value: str, top: int = 3) -> DataFrame:
         (high > 1).alias("has_duplicate_max"),
         (F.sum(flag(again)) / F.count(F.lit(1))).alias("reoccurring_values_share"),
         (F.sum(F.when(again, F.col("c")).otherwise(0)) / F.sum("c")).alias("reoccurring_points_share"),
-        F.coalesce(F.sum(F.when(again, exact)).cast("double"), F.lit(0.0)).alias("sum_reoccurring_values"),
-        F.coalesce(F.sum(F.when(again, exact * F.col("c").cast("decimal(18,0)"))).cast("double"), F.lit(0.0)).alias("sum_reoccurring_points"),
+        F.coalesce(exact_sum(F.when(again, F.col("x"))), F.lit(0.0)).alias("sum_reoccurring_values"),
+        F.coalesce(exact_sum(F.when(again, F.col("x") * F.col("c"))), F.lit(0.0)).alias("sum_reoccurring_points"),
         (F.count(F.lit(1)) / F.sum("c")).alias("distinct_share"),
     )
     size = F.abs(x)
@@ -165,25 +164,17 @@ def distribution(df: DataFrame, key: str, order: Sequence[str], value: str, qs:
         corr = F.try_divide(9 * sxe - sx * se, F.sqrt((9 * sxx - sx * sx) * F.lit(9 * see - se * se)))
         frames.append(tallies.select(key, corr.alias("benford_correlation")))
 
-        size = money(F.abs(F.col("x")))
+        size = parts(F.abs(F.col("x")))
         placed = _placed(df, key, order, value, 0, 0, slices)
-        upto = running(placed, key, POS, {"_upto": ("sum", size)}, _by_position(slices, placed), peers=False)
-        totals = placed.groupBy(key).agg(F.sum(size).alias("_total"), F.count(F.lit(1)).alias("_n"))
-        reached = F.min(F.when(F.col("_upto").cast("double") >= mass * F.col("_total").cast("double"), F.col(POS)))
-        frames.append(attach(upto, totals, key, slices).groupBy(key).agg(_ratio(reached, F.max("_n")).alias("index_mass_quantile")))
+        upto = running(placed, key, POS, {f"_{n}": ("sum", c) for n, c in size.items()}, slices and slices.by_position(), peers=False)
+        totals = placed.groupBy(key).agg(exact_sum(F.abs(F.col("x"))).alias("_total"), F.count(F.lit(1)).alias("_rows"))
+        reached = F.min(F.when(total({n: F.col(f"_{n}") for n in size}) >= mass * F.col("_total"), F.col(POS)))
+        frames.append(attach(upto, totals, key, slices).groupBy(key).agg(_ratio(reached, F.max("_rows")).alias("index_mass_quantile")))
         return reduce(lambda a, b: a.join(b, key, "left"), frames)
 
     return apart(df, plan, slices, value_slices)
 
 
-def _by_position(slices: Slices | None, placed: DataFrame) -> Slices | None:
-    """Slices for a frame ordered by position, for the keys already known to be heavy."""
-    if slices is None:
-        return None
-    top = placed.agg(F.max(POS)).first()[0] or 1
-    return Slices(slices.keys, slices.hot, tuple(float(top * i // 1024) for i in range(1, 1024) if top * i // 1024 > top * (i - 1) // 1024))
-
-
 def _change_exprs() -> list[Column]:
     x, b, a = F.col("x"), F.col("b1"), F.col("a1")
     step = x - b
@@ -229,7 +220,7 @@ def _strikes(rows: DataFrame, key: str, slices: Slices | None) -> DataFrame:
     before = F.when(b > mu, 1).when(b < mu, -1).otherwise(0)
     turned = flag(b.isNotNull() & (side != before)).cast("long")
     narrow = rows.select(key, POS, side.alias("_side"), turned.alias("_turned"))
-    runs = running(narrow, key, POS, {"_run": ("sum", F.col("_turned"))}, _by_position(slices, narrow), peers=False)
+    runs = running(narrow, key, POS, {"_run": ("sum", F.col("_turned"))}, slices and slices.by_position(), peers=False)
     lengths = runs.groupBy(key, "_run").agg(F.max("_side").alias("_side"), F.count(F.lit(1)).alias("_len"))
 
     def longest(s: int) -> Column:
@@ -364,7 +355,7 @@ def power_spectrum(df: DataFrame, key: str, order: Sequence[str], value: str, si
     """Averaged power over half-overlapping Hann segments of ``size`` rows, its centroid, variance and binned entropy.
 
     A row belongs to at most two segments. The mean of a segment is removed through the known sums of the window, so a
-    segment needs no second pass. Series shorter than one segment are left out.
+    segment needs no second pass. A series shorter than one segment has NULLs.
     """
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
@@ -400,7 +391,9 @@ def power_spectrum(df: DataFrame, key: str, order: Sequence[str], value: str, si
         cell = [F.least(F.floor(F.coalesce(_ratio(c, top), F.lit(0.0)) * bins), F.lit(bins - 1)) for c in p]
         shares = [reduce(lambda a, b: a + b, [flag(c == b_) for c in cell]) / F.lit(float(freqs)) for b_ in range(bins)]
         entropy = reduce(lambda a, b: a + b, [F.when(s > 0, -s * F.log(s)).otherwise(0.0) for s in shares])
-        return spectrum.select(key, *p, first.alias("spectral_centroid"), (second - first * first).alias("spectral_variance"), entropy.alias("fourier_entropy"))
+        found = spectrum.select(key, *p, first.alias("spectral_centroid"), (second - first * first).alias("spectral_variance"), entropy.alias("fourier_entropy"))
+        short = _stats(df, key, value).where(F.col("n") < size).select(key)
+        return found.unionByName(short, allowMissingColumns=True)
 
     return apart(df, plan, slices)
 
@@ -409,9 +402,12 @@ def _order_patterns(rows: DataFrame, key: str, dimension: int = 3) -> DataFrame:
     values = [F.col("x"), *[F.col(f"a{i}") for i in range(1, dimension)]]
     ranked = F.array_sort(F.array(*[F.struct(v.alias("v"), F.lit(i).alias("i")) for i, v in enumerate(values)]))
     pattern = F.concat_ws("", F.transform(ranked, lambda e: e["i"].cast("string")))
-    counts = rows.where(values[-1].isNotNull()).groupBy(key, pattern.alias("p")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    n, c = F.sum("c"), F.col("c")
-    return counts.groupBy(key).agg(F.greatest(F.log(n) - F.sum(c * F.log(c)) / n, F.lit(0.0)).alias("permutation_entropy"))
+    # a series too short for a pattern keeps its row: its only group has no pattern and counts nothing
+    whole = values[-1].isNotNull()
+    counts = rows.groupBy(key, F.when(whole, pattern).alias("p")).agg(F.sum(whole.cast("double")).alias("c"))
+    n, c = F.sum("c"), F.when(F.col("c") > 0, F.col("c"))
+    found = F.greatest(F.log(n) - F.sum(c * F.log(c)) / n, F.lit(0.0))
+    return counts.groupBy(key).agg(F.when(n > 0, found).alias("permutation_entropy"))
 
 
 def permutation_entropy(df: DataFrame, key: str, order: Sequence[str], value: str, dimension: int = 3, slices: Slices | None = None) -> DataFrame:

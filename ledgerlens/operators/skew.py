@@ -5,8 +5,9 @@ small, and the wrong one as soon as a retailer owns a third of the table. The fu
 are heavy. None: they are the plain window. Some: rows of heavy keys are cut into ordered slices, each slice is a window
 partition of its own, and what earlier slices contribute enters a slice as one extra "carry" row that sorts first.
 
-The measurement is bounded: a heavy key owns at least ``share`` of all rows, so there are at most ``1 / share`` of them,
-and the cuts between slices are at most ``pieces`` numbers. Slices are functions of the row's own values, so a task that
+The measurement is bounded: a heavy key owns at least ``share`` of all rows, so there are at most ``1 / share`` of them.
+There is a slice for every ``BLOCK`` rows of the heavy keys, so slices multiply with the table instead of growing, up
+to ``MOST_PIECES`` cuts, which is what bounds the measurement. Slices are functions of the row's own values, so a task that
 is run again after an executor was lost puts every row where it was before.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
 HOT_SHARE = 1e-5
-PIECES = 1024
 BLOCK = 1 << 18
+MOST_PIECES = 1 << 16
 
 AUTO = "auto"  # as ``slices``: measure the input here
 
@@ -34,16 +35,22 @@ Accumulators = dict[str, tuple[str, Column]]
 class Slices:
     """Heavy keys (at most ``1 / share`` rows) and cuts of the ordering column.
 
-    ``hot`` is ``None`` when every row is to be cut: a table without key, or a frame of heavy keys only.
+    ``hot`` is ``None`` when every row is to be cut: a table without key, or a frame of heavy keys only. With ``step``
+    the ordering column is a position from 1 on, and every ``step`` positions are a slice.
     """
 
     keys: tuple[str, ...]
     hot: DataFrame | None
     cuts: tuple[float, ...]
+    step: int | None = None
 
     def alone(self) -> Slices:
         """The same cuts for a frame that holds only rows of heavy keys."""
-        return Slices(self.keys, None, self.cuts)
+        return Slices(self.keys, None, self.cuts, self.step)
+
+    def by_position(self) -> Slices:
+        """Slices of a frame of the same keys that is ordered by position; nothing has to be measured."""
+        return Slices(self.keys, self.hot, (), BLOCK)
 
 
 def as_list(names: str | Sequence[str]) -> list[str]:
@@ -78,7 +85,7 @@ def heavy_keys(df: DataFrame, keys: str | Sequence[str], hot_rows: int = HOT_ROW
     return df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema=df.select(*keys).schema)
 
 
-def cut(df: DataFrame, keys: str | Sequence[str], order: str, hot: DataFrame | None, pieces: int = PIECES) -> Slices | None:
+def cut(df: DataFrame, keys: str | Sequence[str], order: str, hot: DataFrame | None, pieces: int | None = None) -> Slices | None:
     """Slices for keys already known to be heavy: cuts of ``order`` over their rows from a quantile sketch."""
     if hot is None:
         return None
@@ -86,7 +93,8 @@ def cut(df: DataFrame, keys: str | Sequence[str], order: str, hot: DataFrame | N
     return Slices(tuple(keys), hot, _cuts(df.join(F.broadcast(hot), keys, "left_semi"), order, pieces))
 
 
-def _cuts(rows: DataFrame, order: str, pieces: int) -> tuple[float, ...]:
+def _cuts(rows: DataFrame, order: str, pieces: int | None) -> tuple[float, ...]:
+    pieces = pieces or min(MOST_PIECES, max(2, -(-rows.count() // BLOCK)))
     probs = [i / pieces for i in range(1, pieces)]
     found = rows.agg(F.percentile_approx(ordinal(rows, order), probs, 4 * pieces).alias("c")).first()["c"] or []
     return tuple(sorted({float(c) for c in found}))
@@ -98,7 +106,7 @@ def measure(
     order: str,
     hot_rows: int = HOT_ROWS,
     share: float = HOT_SHARE,
-    pieces: int = PIECES,
+    pieces: int | None = None,
 ) -> Slices | None:
     """Heavy keys of ``df`` and cuts of ``order`` over their rows; ``None`` when no key is heavy.
 
@@ -151,6 +159,8 @@ def attach(rows: DataFrame, facts: DataFrame, keys: str | Sequence[str], slices:
 def slice_rows(df: DataFrame, order: str, slices: Slices) -> DataFrame:
     """Add ``_slice``, 1.. in the order of ``order``."""
     df = df.withColumn("_raw", F.coalesce(ordinal(df, order), F.lit(float("-inf"))))
+    if slices.step:
+        return df.withColumn("_slice", (F.floor((F.col("_raw") - 1) / slices.step) + 1).cast("int")).drop("_raw")
     splits = [float("-inf"), *slices.cuts, float("inf")]
     if len(splits) == 2:
         return df.withColumn("_slice", F.lit(1)).drop("_raw")
@@ -278,7 +288,7 @@ def ranked(df: DataFrame, keys: str | Sequence[str], order: str, slices: Slices
         earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
         if not keys:
-            offsets = F.broadcast(offsets)  # one row per slice, at most ``PIECES`` of them
+            offsets = F.broadcast(offsets)  # one row per slice, at most ``MOST_PIECES`` of them
         local = F.rank().over(Window.partitionBy(*keys, "_slice").orderBy(order))
         placed = sliced.join(offsets, [*keys, "_slice"], "left").withColumn(name, local + F.coalesce("_offset", F.lit(0)))
         return placed.select(*rows.columns, F.col(name).cast("long").alias(name))

@@ -9,19 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import exact
 from ledgerlens.operators.skew import AUTO, Slices, as_list, measure, ranked, resolve, running
 
 
-def money(value: Column, scale: int = 4) -> Column:
-    """An amount as an exact decimal with 18 digits."""
-    return value.cast(f"decimal(18,{scale})")
-
-
 class _Rolling:
     """Rolling windows as arrivals and departures: the parts that ``rolling_time`` and ``rolling_asof`` share."""
 
-    def __init__(self, ts: str, col: str, days: int | Sequence[int], fns: Sequence[str], scale: int):
-        self.ts, self.col, self.fns, self.scale = ts, col, fns, scale
+    def __init__(self, ts: str, col: str, days: int | Sequence[int], fns: Sequence[str]):
+        self.ts, self.col, self.fns = ts, col, fns
         self.days = [days] if isinstance(days, int) else list(days)
 
     def events(self, df: DataFrame, key: str) -> DataFrame:
@@ -30,19 +26,21 @@ class _Rolling:
         moves = [F.struct(F.lit(0).alias("d"), ts.alias("at"))]
         moves += [F.struct(F.lit(d).alias("d"), (ts + F.lit(timedelta(days=d))).alias("at")) for d in self.days]
         known = df.where(ts.isNotNull()).select(
-            F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), money(F.col(self.col), self.scale).alias("_x"), F.explode(F.array(*moves)).alias("_m")
+            F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.col(self.col).alias("_x"), F.explode(F.array(*moves)).alias("_m")
         )
         row = F.when(F.col("_m.d") == 0, F.col("_row"))
-        return known.select("_key", F.col("_m.at").alias("_at"), F.col("_m.d").alias("_d"), "_x", row.alias("_row"))
+        facts = exact.parts(F.col("_x"), "std" in self.fns)
+        return known.select("_key", F.col("_m.at").alias("_at"), F.col("_m.d").alias("_d"), *[c.alias(f"_{n}") for n, c in facts.items()], row.alias("_row"))
+
+    def names(self) -> list[str]:
+        return ["n", "s", "l", "k", *(["a", "b", "c", "q"] if "std" in self.fns else [])]
 
     def totals(self, events: DataFrame, slices: Slices | None) -> DataFrame:
-        """Count, sum and sum of squares inside each window, as running totals of arrivals less departures."""
-        accs, x = {}, F.col("_x")
-        facts = {"n": x.isNotNull().cast("long"), "s": x}
-        if "std" in self.fns:
-            facts["q"] = x * x
+        """The parts inside each window, as running totals of arrivals less departures."""
+        accs = {}
         for d in self.days:
-            for name, value in facts.items():
+            for name in self.names():
+                value = F.col(f"_{name}")
                 accs[f"_{name}{d}"] = ("sum", F.when(F.col("_d") == 0, value).when(F.col("_d") == d, -value))
         return running(events, "_key", "_at", accs, self.sliced(slices))
 
@@ -54,23 +52,20 @@ class _Rolling:
         return Slices(("_key",), slices.hot and slices.hot.withColumnRenamed(slices.keys[0], "_key"), tuple(sorted(moved)))
 
     def columns(self) -> list[Column]:
-        outs, scale = [], self.scale
+        outs = []
         for d in self.days:
-            n, s = F.col(f"_n{d}"), F.col(f"_s{d}")
+            window = {n: F.col(f"_{n}{d}") for n in self.names()}
             if "mean" in self.fns:
-                outs.append(F.when(n > 0, s.cast("double") / n).alias(f"ROLLINGMEAN_{d}DAYS__{self.col}__"))
+                outs.append(F.when(window["n"] > 0, exact.mean(window)).alias(f"ROLLINGMEAN_{d}DAYS__{self.col}__"))
             if "std" in self.fns:
-                # n * sum(x^2) - sum(x)^2 is exact in decimals, so equal amounts give a deviation of exactly zero;
-                # totals beyond 38 digits fall back to doubles
-                q = F.col(f"_q{d}")
-                exact = q.cast(f"decimal(30,{2 * scale})") * n.cast("decimal(8,0)") - s.cast(f"decimal(19,{scale})") * s.cast(f"decimal(19,{scale})")
-                fits = (n < 10**8) & (F.abs(s.cast("double")) < 10.0 ** (19 - scale)) & (q.cast("double") < 10.0 ** (30 - 2 * scale))
-                rough = q.cast("double") * n - s.cast("double") * s.cast("double")
-                numerator = F.greatest(F.when(fits, exact.cast("double")).otherwise(rough), F.lit(0.0))
-                spread = F.sqrt(numerator / (n.cast("double") * (n - 1)))
-                outs.append(F.when(n > 1, spread).alias(f"ROLLINGSTDDEV_{d}DAYS__{self.col}__"))
+                outs.append(exact.spread(window).alias(f"ROLLINGSTDDEV_{d}DAYS__{self.col}__"))
         return outs
 
+    def unplaced(self, df: DataFrame) -> DataFrame:
+        """Rows without a time are in no window, not even their own."""
+        names = [f"ROLLING{k}_{d}DAYS__{self.col}__" for d in self.days for k, fn in (("MEAN", "mean"), ("STDDEV", "std")) if fn in self.fns]
+        return df.where(F.col(self.ts).isNull()).select("*", *[F.lit(None).cast("double").alias(n) for n in names])
+
 
 def measure_sides(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: str | Sequence[str], **limits) -> Slices | None:
     """Heavy keys of two tables that are going to be stacked."""
@@ -87,7 +82,6 @@ def rolling_time(
     days: int | Sequence[int],
     fns: Sequence[str] = ("mean", "std"),
     slices: Slices | str | None = AUTO,
-    scale: int = 4,
 ) -> DataFrame:
     """Rolling mean and sample deviation of ``col`` over the left-open window ``(ts - days, ts]`` of each key.
 
@@ -95,15 +89,17 @@ def rolling_time(
 
     Each row is an arrival at ``ts`` and a departure at ``ts + d`` days. A window's count, sum and sum of squares are
     then running totals of arrivals minus departures, so the work is linear however many rows a window covers. Totals
-    are decimals, which makes the subtraction exact: amounts are taken with ``scale`` digits after the point. A window
-    with one row has no deviation (NULL); equal times see each other.
+    are decimals with ten digits after the point, which makes the subtraction exact (see ``functions.exact``). A window
+    with one row has no deviation (NULL); equal times see each other. Rows without a key share a window of their own, in
+    ordered slices where there are many; rows without a time keep NULLs.
 
     ``slices`` says which keys are heavy (see ``skew``). By default the input is measured; pass the outcome of a
     measurement to share it between operators, or ``None`` for the plain window.
     """
-    rolling = _Rolling(ts, col, days, fns, scale)
+    rolling = _Rolling(ts, col, days, fns)
     slices = resolve(slices, lambda: measure(df, key, ts))
-    return rolling.totals(rolling.events(df, key), slices).where("_d = 0").select("_row.*", *rolling.columns())
+    placed = rolling.totals(rolling.events(df, key), slices).where("_d = 0").select("_row.*", *rolling.columns())
+    return placed.unionByName(rolling.unplaced(df))
 
 
 def rolling_asof(
@@ -117,14 +113,13 @@ def rolling_asof(
     tolerance: timedelta | None = None,
     tie: str | None = None,
     slices: Slices | str | None = AUTO,
-    scale: int = 4,
 ) -> DataFrame:
     """``asof_join(left, rolling_time(right, ...))`` in one shuffle.
 
     The left rows travel with the right side's arrivals and departures; the running totals and the last right row are
     two windows over the same partitioning.
     """
-    rolling = _Rolling(right_on, col, days, ("mean", "std"), scale)
+    rolling = _Rolling(right_on, col, days, ("mean", "std"))
     slices = resolve(slices, lambda: measure_sides(left, right, left_on, right_on, by))
     payload = [c for c in right.columns if c != by]
     clash = set(payload) & set(left.columns)

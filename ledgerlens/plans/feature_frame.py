@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,20 +11,13 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import features as ft
 from ledgerlens.operators import series
 from ledgerlens.operators.shape import drop_leaky
-from ledgerlens.operators.skew import measure
-from ledgerlens.operators.temporal import measure_sides
+from ledgerlens.operators.skew import Slices, measure
 from ledgerlens.schemas import KEY
+from ledgerlens.session import materialise
 
 ISSUED = "LOAN_ISSUANCE_DATE"
 ORDER = [ISSUED, "LOAN_ID"]
 
-# Numeric columns of the child tables.
-CHILD_COLUMNS = {
-    "purchases": ["ORDER_PRICE", "DISCOUNT", "ORDER_PRICE_AFTER_DISCOUNT"],
-    "sales": ["AMOUNT", "FEES", "RETAILER_CUT", "TOTAL_AMOUNT_INCLUDING_TAX", "TOTAL_AMOUNT_PAID", "WALLET_BALANCE_BEFORE_TRANSACTION"],
-}
-
-
 def entity_set(views: dict[str, DataFrame]) -> ft.EntitySet:
     """The lending tables as entities; ``STATUS`` and ``TOTAL_AMOUNT_PAID`` are known from ``UPDATED_AT`` on."""
     ignored = (KEY,)
@@ -35,14 +29,13 @@ def entity_set(views: dict[str, DataFrame]) -> ft.EntitySet:
     return ft.EntitySet(KEY, "loans", entities)
 
 
-def loan_transforms(loans: DataFrame) -> tuple[DataFrame, list[ft.Feature]]:
+def loan_transforms(loans: DataFrame, slices: Slices | None = None) -> tuple[DataFrame, list[ft.Feature]]:
     """Transforms of the loan's own columns, two levels deep, and its place in the retailer's sequence of loans."""
     amounts = ["LOAN_AMOUNT", "TOTAL_INITIAL_AMOUNT"]
     pairs = ft.pair_features(amounts)
     first = [*ft.calendar_features(ISSUED), *ft.unary_features(amounts), *pairs, *ft.time_since_features([ISSUED], "INITIAL_DATE")]
     second = ft.depth2_features(pairs, [("log", f.name) for f in pairs if "_add_" in f.name] + [("sqrt", f.name) for f in pairs if "_mul_" in f.name])
     wide = ft.dfs_transform(ft.dfs_transform(loans, first), second)
-    slices = measure(loans, KEY, ISSUED)
     wide = ft.cumulative_features(wide, KEY, ORDER, "LOAN_AMOUNT", slices)
     wide = ft.step_features(wide, KEY, ORDER, "LOAN_AMOUNT", slices)
     wide = ft.rolling_row_features(wide, KEY, ORDER, "LOAN_AMOUNT", 3, slices)
@@ -52,43 +45,75 @@ def loan_transforms(loans: DataFrame) -> tuple[DataFrame, list[ft.Feature]]:
     return wide, [*first, *second, *ordered]
 
 
-def with_history(loans: DataFrame, child: ft.Entity, name: str) -> DataFrame:
+def with_history(loans: DataFrame, child: ft.Entity, name: str, slices: Slices | None = None) -> DataFrame:
     """Loans with what was known of a child table when each was issued; the loan's columns are carried along."""
     unique = ["STATUS"] if name == "sales" else []
-    slices = measure_sides(loans, child.df, ISSUED, child.time, KEY)
-    return ft.point_in_time(loans, child, KEY, CHILD_COLUMNS[name], unique, prefix=f"{name}_", carry=True, slices=slices)
+    return ft.point_in_time(loans, child, KEY, child.numeric(), unique, prefix=f"{name}_", carry=True, slices=slices)
 
 
 def retailer_features(child: ft.Entity, name: str, at: datetime) -> DataFrame:
     """Features of one child table per retailer over the whole history."""
     prefix = f"{name}_"
-    out = ft.dfs_agg(child.df, KEY, CHILD_COLUMNS[name], prefix)
+    out = ft.dfs_agg(child.df, KEY, child.numeric(), prefix)
     if name == "sales":
         out = out.join(ft.categorical_aggregates(child.df, KEY, "STATUS", prefix), KEY, "left")
     return out.join(ft.time_aggregates(child.df, KEY, child.time, at, prefix), KEY, "left")
 
 
+def measured(es: ft.EntitySet, **limits) -> Slices | None:
+    """Heavy retailers over loans and child rows together, and cuts of their times; one counting job over the keys."""
+    times = [e.df.select(KEY, F.col(e.time).alias("_at")) for e in es.entities.values()]
+    return measure(reduce(DataFrame.unionByName, times), KEY, "_at", **limits)
+
+
+def issuance_frame(es: ft.EntitySet, slices: Slices | None = None) -> tuple[DataFrame, list[ft.Feature]]:
+    """What was known when each loan was issued. ``slices``: of a frame that holds heavy retailers only.
+
+    Each window over slices reads its input twice (the rows, and what earlier slices add up to), so the heavy rows are
+    written after each step instead of repeating the steps before it.
+    """
+    step = (lambda df: df) if slices is None else materialise
+    frame, made = loan_transforms(es.entities["loans"].df, slices)
+    frame = step(frame)
+    for name, child in es.children().items():
+        before = set(frame.columns)
+        frame = step(with_history(frame, child, name, slices))
+        made += [ft.Feature(c, "point_in_time", (name,), c, F.col(c)) for c in frame.columns if c not in before]
+    return frame, made
+
+
 def build_feature_frame(
-    views: dict[str, DataFrame], cutoff: str | None = "issuance", with_series: bool = False, at: datetime = datetime(1970, 1, 1)
+    views: dict[str, DataFrame], cutoff: str | None = "issuance", with_series: bool = False, at: datetime | None = None, **limits
 ) -> tuple[DataFrame, DataFrame]:
     """``LOAN_ID, MAIN_SYSTEM_ID`` and features, and the definitions of the features.
 
-    ``cutoff="issuance"`` uses only what was known when the loan was issued; ``None`` aggregates the whole history, with
-    ages counted to ``at``. ``with_series`` adds time-series features of each retailer's order prices (whole history).
+    ``cutoff="issuance"`` uses only what was known when the loan was issued. Heavy retailers (``limits``, see ``skew``) are
+    measured once and set apart at the input: the chain of windows is planned once for the light and once for the heavy
+    rows, and both are put together at the end. ``cutoff=None`` aggregates the whole history, with ages counted to ``at``, by
+    default the newest time in the tables (an eager job); ``with_series`` adds time-series features of each retailer's order
+    prices, which look at the whole history too and would tell an issuance frame what came later.
     """
+    if cutoff == "issuance" and with_series:
+        raise ValueError("series features cover the whole history; use cutoff=None")
     es = entity_set(views)
+    if cutoff == "issuance":
+        slices = measured(es, **limits)
+        if slices is None:
+            frame, made = issuance_frame(es)
+        else:
+            hot = F.broadcast(slices.hot)
+            light, made = issuance_frame(es.restricted(hot, "left_anti"))
+            frame = light.unionByName(issuance_frame(es.restricted(hot, "left_semi"), slices.alone())[0])
+        return frame.drop(ISSUED, "INITIAL_DATE"), ft.feature_defs(frame.sparkSession, made)
     loans = es.entities["loans"].df
-    frame, made = loan_transforms(loans)
+    if at is None:
+        newest = [e.df.agg(F.max(e.time)).first()[0] for e in es.entities.values()]
+        at = max((t for t in newest if t is not None), default=datetime(1970, 1, 1))
+    frame, made = loan_transforms(loans, measure(loans, KEY, ISSUED))
     parents = []
     for name, child in es.children().items():
-        if cutoff == "issuance":
-            before = set(frame.columns)
-            frame = with_history(frame, child, name)
-            added, family = [c for c in frame.columns if c not in before], "point_in_time"
-        else:
-            parents.append(retailer_features(child, name, at))
-            added, family = [c for c in parents[-1].columns if c != KEY], "aggregate"
-        made += [ft.Feature(c, family, (name,), c, F.col(c)) for c in added]
+        parents.append(retailer_features(child, name, at))
+        made += [ft.Feature(c, "aggregate", (name,), c, F.col(c)) for c in parents[-1].columns if c != KEY]
     if with_series and "purchases" in es.entities:
         parents.append(series.ts_features(es.entities["purchases"].df, KEY, ["ORDER_CREATION_DATE", "ORDER_ID"], "ORDER_PRICE", "ts_"))
         made += [ft.Feature(c, "series", ("purchases",), c, F.col(c)) for c in parents[-1].columns if c != KEY]

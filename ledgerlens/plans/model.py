@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import flag
+from ledgerlens.operators.skew import measure, running
 from ledgerlens.session import materialise
 
 
@@ -83,6 +84,32 @@ def candidates(features: str = "features", label: str = "label", seed: int = 7)
     }
 
 
+def grid(features: str = "features", label: str = "label", seed: int = 7) -> dict[str, Estimator]:
+    """The regressors with two settings each."""
+    common = {"featuresCol": features, "labelCol": label}
+    out: dict[str, Estimator] = {}
+    for depth in (5, 8):
+        out[f"random_forest_{depth}"] = RandomForestRegressor(numTrees=20, maxDepth=depth, seed=seed, **common)
+    for depth in (2, 4):
+        out[f"boosted_trees_{depth}"] = GBTRegressor(maxIter=10, maxDepth=depth, seed=seed, **common)
+    for penalty in (0.0, 0.01):
+        out[f"linear_{penalty}"] = LinearRegression(regParam=penalty, **common)
+    return out
+
+
+def average_precision(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Step-wise area under the precision-recall curve: precision at every distinct score, weighted by the recall it adds.
+
+    Rows are folded to one per distinct score first; the curve is a running total over those.
+    """
+    per_score = scored.where(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("_at")).agg(
+        F.sum(flag(F.col(label) == 1)).alias("_p"), F.count(F.lit(1)).alias("_n")
+    )
+    placed = running(per_score, [], "_at", {"_tp": ("sum", F.col("_p")), "_all": ("sum", F.col("_n"))}, measure(per_score, [], "_at", hot_rows=0))
+    steps = placed.agg(F.sum(F.col("_tp") / F.col("_all") * F.col("_p")).alias("a"), F.sum("_p").alias("p"))
+    return steps.select(F.try_divide("a", F.col("p").cast("double")).alias("average_precision"))
+
+
 def forward_search(folded: DataFrame, grid: dict[str, Estimator], label: str = "label", folds: int = 5) -> tuple[Model, DataFrame]:
     """Fit each candidate on all folds before fold f and score it on fold f, f = 1 .. ``folds``; refit the best on all.
 

@@ -7,21 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalar import exact_sum, flag, week_start
+from ledgerlens.functions.exact import exact_sum
+from ledgerlens.functions.scalar import flag, week_start
 from ledgerlens.operators.shape import first_collection_default
-from ledgerlens.operators.temporal import money
 
 
 def portfolio_summary(loans: DataFrame) -> DataFrame:
     """One row: loans, weeks, amounts as text, unused share, loans by first-collection outcome."""
     labelled = first_collection_default(loans).withColumn("week_dt", week_start("LOAN_ISSUANCE_DATE"))
     per_loan = labelled.groupBy("LOAN_ID").agg(
-        F.sum(money(F.col("LOAN_AMOUNT"))).alias("requested"),
-        F.sum(money(F.col("SPENT"))).alias("spent"),
+        exact_sum(F.col("LOAN_AMOUNT")).alias("requested"),
+        exact_sum(F.col("SPENT")).alias("spent"),
         F.max(flag(~F.col("LABEL"))).alias("kept"),
         F.max(flag(F.col("LABEL"))).alias("missed"),
     )
-    requested, spent = F.sum("requested").cast("double"), F.sum("spent").cast("double")
+    requested, spent = exact_sum(F.col("requested")), exact_sum(F.col("spent"))
     totals = per_loan.agg(
         F.count(F.lit(1)).alias("nunique_loans"),
         F.format_string("%.2f", requested).alias("total_amount_requested"),
@@ -43,15 +43,15 @@ def growth(report: DataFrame, columns: Sequence[str], period: str = "week_dt", s
 
 def overview_counts(loans: DataFrame) -> DataFrame:
     """Loans, requested and spent amounts and first-collection losses by week of issuance."""
-    shortfall = F.when(F.col("FIRST_TRIAL_BALANCE") < 0, money(F.col("FIRST_TRIAL_BALANCE")))
+    shortfall = F.when(F.col("FIRST_TRIAL_BALANCE") < 0, F.col("FIRST_TRIAL_BALANCE"))
     per_loan = loans.groupBy(week_start("LOAN_ISSUANCE_DATE").alias("week_dt"), "LOAN_ID").agg(
-        F.sum(money(F.col("LOAN_AMOUNT"))).alias("requested"), F.sum(money(F.col("SPENT"))).alias("spent"), F.sum(shortfall).alias("lost")
+        exact_sum(F.col("LOAN_AMOUNT")).alias("requested"), exact_sum(F.col("SPENT")).alias("spent"), exact_sum(shortfall).alias("lost")
     )
     return per_loan.groupBy("week_dt").agg(
         F.count(F.lit(1)).alias("nunique_loans"),
-        F.sum("requested").cast("double").alias("total_amount_requested"),
-        F.sum("spent").cast("double").alias("total_amount_spent"),
-        F.abs(F.sum("lost")).cast("double").alias("total_amount_loss"),
+        exact_sum(F.col("requested")).alias("total_amount_requested"),
+        exact_sum(F.col("spent")).alias("total_amount_spent"),
+        F.abs(exact_sum(F.col("lost"))).alias("total_amount_loss"),
     )
 
 
@@ -68,25 +68,25 @@ def policy_counts(loans: DataFrame, decisions: DataFrame | None, policy: str) ->
     """
     facts = loans if decisions is None else loans.join(decisions.select("LOAN_ID", policy), "LOAN_ID")
     approved, missed = F.col(policy), F.col("FIRST_TRIAL_BALANCE") < 0
-    amount = money(F.col("LOAN_AMOUNT"))
+    amount = F.col("LOAN_AMOUNT")
     per_loan = facts.groupBy(week_start("LOAN_ISSUANCE_DATE").alias("week_dt"), "LOAN_ID").agg(
         F.max(flag(approved)).alias("approved"),
         F.max(flag(approved & missed)).alias("approved_missed"),
         F.max(flag(missed)).alias("missed"),
-        F.sum(amount).alias("amount"),
-        F.sum(F.when(approved, amount)).alias("amount_approved"),
-        F.sum(F.when(approved & missed, amount)).alias("amount_approved_missed"),
-        F.sum(F.when(missed, amount)).alias("amount_missed"),
+        exact_sum(amount).alias("amount"),
+        exact_sum(F.when(approved, amount)).alias("amount_approved"),
+        exact_sum(F.when(approved & missed, amount)).alias("amount_approved_missed"),
+        exact_sum(F.when(missed, amount)).alias("amount_missed"),
     )
     return per_loan.groupBy("week_dt").agg(
         F.count(F.lit(1)).alias("nunique_loans"),
         F.sum("approved").alias("nunique_loans_approved"),
         F.sum("approved_missed").alias("nunique_loans_approved_defaulted"),
         F.sum("missed").alias("nunique_loans_defaulted_gt"),
-        F.sum("amount").cast("double").alias("total_amount_requested"),
-        F.sum("amount_approved").cast("double").alias("amount_approved"),
-        F.sum("amount_approved_missed").cast("double").alias("amount_approved_defaulted"),
-        F.sum("amount_missed").cast("double").alias("total_amount_requested_defaulted_gt"),
+        exact_sum(F.col("amount")).alias("total_amount_requested"),
+        exact_sum(F.col("amount_approved")).alias("amount_approved"),
+        exact_sum(F.col("amount_approved_missed")).alias("amount_approved_defaulted"),
+        exact_sum(F.col("amount_missed")).alias("total_amount_requested_defaulted_gt"),
     )
 
 

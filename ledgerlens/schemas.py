@@ -6,25 +6,56 @@ from pyspark.sql import types as T
 
 KEY = "MAIN_SYSTEM_ID"
 
-
-def _struct(spec: str) -> T.StructType:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "ts": T.TimestampNTZType()}
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (field.split(":") for field in spec.split())])
-
-
 # Column names and types of the input files.
-LOANS = _struct(
-    "INDEX:long MAIN_SYSTEM_ID:long RETAILER_ID:long LOAN_ID:long LOAN_ISSUANCE_DATE:ts LOAN_AMOUNT:double "
-    "INITIAL_COST:double TOTAL_INITIAL_AMOUNT:double INITIAL_DATE:ts LOAN_PAYMENT_DATE:ts PAYMENT_AMOUNT:double "
-    "FIRST_TRAIL_DELAYS:int SPENT:double FIRST_TRIAL_BALANCE:double FINAL_COST:double TOTAL_FINAL_AMOUNT:double "
-    "REPAYMENT_ID:long REPAYMENT_AMOUNT:double REPAYMENT_UPDATED:ts CUMMULATIVE_OUTSTANDING:double PAYMENT_STATUS:string"
+LOANS = T.StructType(
+    [
+        T.StructField("INDEX", T.LongType()),
+        T.StructField("MAIN_SYSTEM_ID", T.LongType()),
+        T.StructField("RETAILER_ID", T.LongType()),
+        T.StructField("LOAN_ID", T.LongType()),
+        T.StructField("LOAN_ISSUANCE_DATE", T.TimestampNTZType()),
+        T.StructField("LOAN_AMOUNT", T.DoubleType()),
+        T.StructField("INITIAL_COST", T.DoubleType()),
+        T.StructField("TOTAL_INITIAL_AMOUNT", T.DoubleType()),
+        T.StructField("INITIAL_DATE", T.TimestampNTZType()),
+        T.StructField("LOAN_PAYMENT_DATE", T.TimestampNTZType()),
+        T.StructField("PAYMENT_AMOUNT", T.DoubleType()),
+        T.StructField("FIRST_TRAIL_DELAYS", T.IntegerType()),
+        T.StructField("SPENT", T.DoubleType()),
+        T.StructField("FIRST_TRIAL_BALANCE", T.DoubleType()),
+        T.StructField("FINAL_COST", T.DoubleType()),
+        T.StructField("TOTAL_FINAL_AMOUNT", T.DoubleType()),
+        T.StructField("REPAYMENT_ID", T.LongType()),
+        T.StructField("REPAYMENT_AMOUNT", T.DoubleType()),
+        T.StructField("REPAYMENT_UPDATED", T.TimestampNTZType()),
+        T.StructField("CUMMULATIVE_OUTSTANDING", T.DoubleType()),
+        T.StructField("PAYMENT_STATUS", T.StringType()),
+    ]
 )
-SALES = _struct(
-    "ID:long CREATED_AT:ts UPDATED_AT:ts AMOUNT:double FEES:double RETAILER_CUT:double STATUS:string "
-    "TOTAL_AMOUNT_INCLUDING_TAX:double TOTAL_AMOUNT_PAID:double WALLET_BALANCE_BEFORE_TRANSACTION:double MAIN_SYSTEM_ID:long"
+SALES = T.StructType(
+    [
+        T.StructField("ID", T.LongType()),
+        T.StructField("CREATED_AT", T.TimestampNTZType()),
+        T.StructField("UPDATED_AT", T.TimestampNTZType()),
+        T.StructField("AMOUNT", T.DoubleType()),
+        T.StructField("FEES", T.DoubleType()),
+        T.StructField("RETAILER_CUT", T.DoubleType()),
+        T.StructField("STATUS", T.StringType()),
+        T.StructField("TOTAL_AMOUNT_INCLUDING_TAX", T.DoubleType()),
+        T.StructField("TOTAL_AMOUNT_PAID", T.DoubleType()),
+        T.StructField("WALLET_BALANCE_BEFORE_TRANSACTION", T.DoubleType()),
+        T.StructField("MAIN_SYSTEM_ID", T.LongType()),
+    ]
 )
-PURCHASES = _struct(
-    "ORDER_ID:long MAIN_SYSTEM_ID:long ORDER_PRICE:double DISCOUNT:double ORDER_PRICE_AFTER_DISCOUNT:double ORDER_CREATION_DATE:ts"
+PURCHASES = T.StructType(
+    [
+        T.StructField("ORDER_ID", T.LongType()),
+        T.StructField("MAIN_SYSTEM_ID", T.LongType()),
+        T.StructField("ORDER_PRICE", T.DoubleType()),
+        T.StructField("DISCOUNT", T.DoubleType()),
+        T.StructField("ORDER_PRICE_AFTER_DISCOUNT", T.DoubleType()),
+        T.StructField("ORDER_CREATION_DATE", T.TimestampNTZType()),
+    ]
 )
 DECISIONS = T.StructType(
     [

@@ -56,16 +56,20 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple] | pd.DataFrame, schema
 
 
 def write_parquet(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Overwrite a Parquet folder with at most ``files`` files."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
+    """Overwrite a Parquet folder, with at most ``files`` files if given; the stage before keeps its own parallelism."""
+    (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
 
 
-def write_by_retailer(df: DataFrame, path: str, key: str = "MAIN_SYSTEM_ID", buckets: int = 256, pieces: int = 8) -> None:
+def write_by_retailer(df: DataFrame, path: str, key: str = "MAIN_SYSTEM_ID", buckets: int = 256, pieces: int | None = None, rows_per_file: int = 2_000_000) -> None:
     """Snappy Parquet in one folder per hash bucket of the retailer.
 
-    A reader prunes to one folder per retailer without a folder for each of them. ``pieces`` spreads a bucket over
-    several tasks and files, so a heavy retailer is not written by one task.
+    A reader prunes to one folder per retailer without a folder for each of them. A bucket is spread over as many
+    tasks and files as its largest retailer or its share of the table needs, so a heavy retailer is not written by one
+    task; unless ``pieces`` is given, that takes one counting job.
     """
+    if pieces is None:
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+        pieces = max(1, -(-max((counts["all"] or 0) // buckets, counts["most"] or 0) // rows_per_file))
     placed = df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).withColumn("_piece", F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
     spread = placed.repartition("bucket", "_piece").drop("_piece")
     spread.write.mode("overwrite").option("compression", "snappy").partitionBy("bucket").parquet(path)

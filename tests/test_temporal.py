@@ -49,7 +49,7 @@ def test_equal_amounts_deviate_by_exactly_zero(spark):
 
 def test_missing_amounts_and_times(spark):
     out = rolled(spark, [(1, at(0), None, 1), (1, at(1), 4.0, 2), (1, None, 9.0, 3)])
-    assert out == {1: (None, None), 2: (4.0, None)}
+    assert out == {1: (None, None), 2: (4.0, None), 3: (None, None)}
 
 
 def test_large_amounts_use_the_fallback(spark):
