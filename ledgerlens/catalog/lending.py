@@ -167,10 +167,10 @@ def _policy_sql(policy: str) -> str:
   count(DISTINCT LOAN_ID) FILTER (WHERE {policy}) AS nunique_loans_approved,
   count(DISTINCT LOAN_ID) FILTER (WHERE {policy} AND FIRST_TRIAL_BALANCE < 0) AS nunique_loans_approved_defaulted,
   count(DISTINCT LOAN_ID) FILTER (WHERE FIRST_TRIAL_BALANCE < 0) AS nunique_loans_defaulted_gt,
-  sum(LOAN_AMOUNT::DECIMAL(28,6))::DOUBLE AS total_amount_requested,
-  (sum(LOAN_AMOUNT::DECIMAL(28,6)) FILTER (WHERE {policy}))::DOUBLE AS amount_approved,
-  (sum(LOAN_AMOUNT::DECIMAL(28,6)) FILTER (WHERE {policy} AND FIRST_TRIAL_BALANCE < 0))::DOUBLE AS amount_approved_defaulted,
-  (sum(LOAN_AMOUNT::DECIMAL(28,6)) FILTER (WHERE FIRST_TRIAL_BALANCE < 0))::DOUBLE AS total_amount_requested_defaulted_gt
+  sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total_amount_requested,
+  (sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10)) FILTER (WHERE {policy}))::VARCHAR::DOUBLE AS amount_approved,
+  (sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10)) FILTER (WHERE {policy} AND FIRST_TRIAL_BALANCE < 0))::VARCHAR::DOUBLE AS amount_approved_defaulted,
+  (sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10)) FILTER (WHERE FIRST_TRIAL_BALANCE < 0))::VARCHAR::DOUBLE AS total_amount_requested_defaulted_gt
   FROM mart GROUP BY ALL"""
 
 
@@ -263,9 +263,9 @@ def _(spark, sf_dir):
     "r3_portfolio_summary",
     with_views(
         """SELECT count(DISTINCT LOAN_ID) AS nunique_loans, count(DISTINCT date_trunc('week', LOAN_ISSUANCE_DATE)) AS nunique_weeks,
-  printf('%.2f', sum(LOAN_AMOUNT::DECIMAL(28,6))::DOUBLE) AS total_amount_requested,
-  printf('%.2f', sum(SPENT::DECIMAL(28,6))::DOUBLE) AS total_amount_spent,
-  printf('%.4f', 1 - sum(SPENT::DECIMAL(28,6))::DOUBLE / sum(LOAN_AMOUNT::DECIMAL(28,6))::DOUBLE) AS percentage_amount_stale,
+  printf('%.2f', sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE) AS total_amount_requested,
+  printf('%.2f', sum(SPENT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE) AS total_amount_spent,
+  printf('%.4f', 1 - sum(SPENT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE / sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE) AS percentage_amount_stale,
   count(DISTINCT LOAN_ID) FILTER (WHERE NOT label) AS nunique_loans_fullfiled_first_collection,
   count(DISTINCT LOAN_ID) FILTER (WHERE label) AS nunique_loans_defaulted_first_collection
 FROM (SELECT *, lower(PAYMENT_STATUS) IS DISTINCT FROM 'paid' OR FIRST_TRIAL_BALANCE < 0 AS label FROM loans)""",
@@ -277,8 +277,8 @@ def _(spark, sf_dir):
 
 
 OVERVIEW_SQL = """weekly AS (SELECT date_trunc('week', LOAN_ISSUANCE_DATE)::TIMESTAMP AS week_dt, count(DISTINCT LOAN_ID) AS nunique_loans,
-  sum(LOAN_AMOUNT::DECIMAL(28,6))::DOUBLE AS total_amount_requested, sum(SPENT::DECIMAL(28,6))::DOUBLE AS total_amount_spent,
-  abs(sum(FIRST_TRIAL_BALANCE::DECIMAL(28,6)) FILTER (WHERE FIRST_TRIAL_BALANCE < 0))::DOUBLE AS total_amount_loss
+  sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total_amount_requested, sum(SPENT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total_amount_spent,
+  abs(sum(FIRST_TRIAL_BALANCE::VARCHAR::DECIMAL(28,10)) FILTER (WHERE FIRST_TRIAL_BALANCE < 0))::VARCHAR::DOUBLE AS total_amount_loss
   FROM loans GROUP BY ALL)"""
 OVERVIEW = ["nunique_loans", "total_amount_requested", "total_amount_spent", "total_amount_loss"]
 
@@ -311,8 +311,8 @@ for _grain in ("day", "week"):
         f"r7_stale_capital_{_grain}",
         with_views(
             f"""SELECT period_dt, requested, spent, round(requested - spent, 4) AS stale, round(1 - spent / requested, 6) AS stale_share
-FROM (SELECT date_trunc('{_grain}', LOAN_ISSUANCE_DATE)::TIMESTAMP AS period_dt, sum(LOAN_AMOUNT::DECIMAL(28,6))::DOUBLE AS requested,
-  sum(SPENT::DECIMAL(28,6))::DOUBLE AS spent FROM loans GROUP BY 1)""",
+FROM (SELECT date_trunc('{_grain}', LOAN_ISSUANCE_DATE)::TIMESTAMP AS period_dt, sum(LOAN_AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS requested,
+  sum(SPENT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS spent FROM loans GROUP BY 1)""",
             names="loans",
         ),
     )

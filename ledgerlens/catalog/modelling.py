@@ -116,7 +116,7 @@ def _pit_sql(prefix, child, alias, time, ident, cols, late):
     for c in cols:
         known = f"FILTER (WHERE {alias}.{late[c]} <= l.LOAN_ISSUANCE_DATE)" if c in late else ""
         x, moment = f"{alias}.{c}", f"{alias}.{late.get(c, time)}"
-        total = f"(sum({x}::DECIMAL(28,6)) {known})::DOUBLE"
+        total = f"(sum({x}::VARCHAR::DECIMAL(28,10)) {known})::VARCHAR::DOUBLE"
         parts += [
             f"{total} AS {prefix}sum_{c}",
             f"{total} / nullif(count({x}) {known}, 0) AS {prefix}mean_{c}",
@@ -141,7 +141,7 @@ _LOAN_FEATURES = [
 {_A} > {_B} AS {_A}_gt_{_B}, {_A} >= {_B} AS {_A}_ge_{_B}, {_A} = {_B} AS {_A}_eq_{_B}, {_A} <> {_B} AS {_A}_ne_{_B}""",
     f"(epoch_us(INITIAL_DATE) - epoch_us({_L})) / 1e6 AS time_since_{_L}",
     f"round(CASE WHEN {_A} + {_B} > 0 THEN ln({_A} + {_B}) END, 9) AS log_{_A}_add_{_B}, round(CASE WHEN {_A} * {_B} >= 0 THEN sqrt({_A} * {_B}) END, 9) AS sqrt_{_A}_mul_{_B}",
-    f"""(sum({_A}::DECIMAL(28,6)) OVER c)::DOUBLE AS cum_sum_{_A}, count({_A}) OVER c AS cum_count_{_A}, (sum({_A}::DECIMAL(28,6)) OVER c)::DOUBLE / count({_A}) OVER c AS cum_mean_{_A},
+    f"""(sum({_A}::VARCHAR::DECIMAL(28,10)) OVER c)::VARCHAR::DOUBLE AS cum_sum_{_A}, count({_A}) OVER c AS cum_count_{_A}, (sum({_A}::VARCHAR::DECIMAL(28,10)) OVER c)::VARCHAR::DOUBLE / count({_A}) OVER c AS cum_mean_{_A},
 min({_A}) OVER c AS cum_min_{_A}, max({_A}) OVER c AS cum_max_{_A}, round(stddev_samp({_A}) OVER c, 5) AS expanding_std_{_A}""",
     f"""lag({_A}) OVER w AS lag_{_A}, {_A} - lag({_A}) OVER w AS diff_{_A},
 round(({_A} - lag({_A}) OVER w) / nullif((epoch_us({_L}) - epoch_us(lag({_L}) OVER w)) / 1e6, 0), 6) AS rate_{_A}, {_A} = lag({_A}) OVER w AS same_{_A},

@@ -49,7 +49,7 @@ def sql(select, *ctes, base=S):
 @query(
     "t1f_moments",
     sql(
-        "SELECT k AS MAIN_SYSTEM_ID, count(x) AS length, sum(x::DECIMAL(28,6))::DOUBLE AS sum_values, "
+        "SELECT k AS MAIN_SYSTEM_ID, count(x) AS length, sum(x::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS sum_values, "
         + ", ".join(
             [
                 r("sum(x * x)", "abs_energy", 4),
@@ -92,7 +92,7 @@ def _(spark, sf_dir):
     sql(
         f"""SELECT k AS MAIN_SYSTEM_ID, max(c) > 1 AS has_duplicate, arg_min(c, x) > 1 AS has_duplicate_min, arg_max(c, x) > 1 AS has_duplicate_max,
 {r('count(*) FILTER (WHERE c > 1) / count(*)', 'reoccurring_values_share')}, {r('coalesce(sum(c) FILTER (WHERE c > 1), 0) / sum(c)', 'reoccurring_points_share')},
-coalesce(sum(x::DECIMAL(28,6)) FILTER (WHERE c > 1), 0)::DOUBLE AS sum_reoccurring_values, coalesce(sum((x * c)::DECIMAL(28,6)) FILTER (WHERE c > 1), 0)::DOUBLE AS sum_reoccurring_points,
+coalesce(sum(x::VARCHAR::DECIMAL(28,10)) FILTER (WHERE c > 1), 0)::VARCHAR::DOUBLE AS sum_reoccurring_values, coalesce(sum((x * c)::VARCHAR::DECIMAL(28,10)) FILTER (WHERE c > 1), 0)::VARCHAR::DOUBLE AS sum_reoccurring_points,
 {r('count(*) / sum(c)', 'distinct_share')}, any_value(m) AS mean_n_absolute_max
 FROM (SELECT k, x, count(*) AS c FROM s GROUP BY 1, 2) JOIN (SELECT k, {r('avg(z)', 'm')} FROM (SELECT k, abs(x) AS z FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(x) DESC) <= 3) GROUP BY 1) USING (k) GROUP BY 1""",
         base=DISCOUNTS,
@@ -116,8 +116,8 @@ JOIN (SELECT k, {r('-sum(p * ln(p))', 'binned_entropy')} FROM (SELECT k, least(f
   UNION ALL SELECT k, 0 FROM s WHERE hi = lo GROUP BY 1) e ON e.k = q.k
 LEFT JOIN (SELECT k, {r(f"(9 * ({_BENFORD}) - count(*) * {sum(_E)!r}) / sqrt((9 * ({_BENFORD_SQ}) - pow(count(*), 2)) * {9 * sum(e * e for e in _E) - sum(_E) ** 2!r})", 'benford_correlation')}
   FROM (SELECT k, regexp_extract(abs(x)::VARCHAR, '[1-9]') AS d FROM s WHERE x <> 0) GROUP BY 1) f ON f.k = q.k
-JOIN (SELECT k, {r('min(i) FILTER (WHERE c >= 0.5 * total) / any_value(n)', 'index_mass_quantile')} FROM (SELECT k, i, n, (sum(abs(x)::DECIMAL(28,6)) OVER (PARTITION BY k ORDER BY i))::DOUBLE AS c,
-  (sum(abs(x)::DECIMAL(28,6)) OVER (PARTITION BY k))::DOUBLE AS total FROM s) GROUP BY 1) m ON m.k = q.k"""
+JOIN (SELECT k, {r('min(i) FILTER (WHERE c >= 0.5 * total) / any_value(n)', 'index_mass_quantile')} FROM (SELECT k, i, n, (sum(abs(x)::VARCHAR::DECIMAL(28,10)) OVER (PARTITION BY k ORDER BY i))::VARCHAR::DOUBLE AS c,
+  (sum(abs(x)::VARCHAR::DECIMAL(28,10)) OVER (PARTITION BY k))::VARCHAR::DOUBLE AS total FROM s) GROUP BY 1) m ON m.k = q.k"""
     ),
 )
 def _(spark, sf_dir):

@@ -30,7 +30,7 @@ COLS = ["ORDER_PRICE", "DISCOUNT"]
 
 
 def _numeric_sql(c):
-    return f"""sum({c}::DECIMAL(28,6))::DOUBLE AS sum_{c}, round(avg({c}), 6) AS mean_{c}, min({c}) AS min_{c}, max({c}) AS max_{c},
+    return f"""sum({c}::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS sum_{c}, round(avg({c}), 6) AS mean_{c}, min({c}) AS min_{c}, max({c}) AS max_{c},
 round(stddev_samp({c}), 6) AS std_{c}, round(var_samp({c}), 6) AS variance_{c},
 round(CASE WHEN count({c}) > 2 AND max({c}) > min({c}) THEN skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)) END, 6) AS skew_{c},
 round(CASE WHEN count({c}) > 2 AND max({c}) > min({c}) THEN kurtosis_pop({c}) END, 6) AS kurtosis_{c}"""
@@ -141,8 +141,8 @@ def _(spark, sf_dir):
     "d6_direct",
     with_views(
         """SELECT l.LOAN_ID, p.n AS purchases_count, p.total AS purchases_sum_ORDER_PRICE, s.n AS sales_count, s.total AS sales_sum_AMOUNT FROM loans l
-LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(ORDER_PRICE::DECIMAL(28,6))::DOUBLE AS total FROM purchases GROUP BY 1) p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID
-LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(AMOUNT::DECIMAL(28,6))::DOUBLE AS total FROM sales GROUP BY 1) s ON s.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID""",
+LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(ORDER_PRICE::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total FROM purchases GROUP BY 1) p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID
+LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total FROM sales GROUP BY 1) s ON s.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID""",
         names="loans purchases sales",
     ),
 )
@@ -240,8 +240,8 @@ _W = "PARTITION BY MAIN_SYSTEM_ID ORDER BY ORDER_CREATION_DATE, ORDER_ID"
 @query(
     "d10_cumulative",
     with_views(
-        f"""SELECT ORDER_ID, (sum(ORDER_PRICE::DECIMAL(28,6)) OVER w)::DOUBLE AS cum_sum_ORDER_PRICE, count(ORDER_PRICE) OVER w AS cum_count_ORDER_PRICE,
-round((sum(ORDER_PRICE::DECIMAL(28,6)) OVER w)::DOUBLE / count(ORDER_PRICE) OVER w, 6) AS cum_mean_ORDER_PRICE, min(ORDER_PRICE) OVER w AS cum_min_ORDER_PRICE,
+        f"""SELECT ORDER_ID, (sum(ORDER_PRICE::VARCHAR::DECIMAL(28,10)) OVER w)::VARCHAR::DOUBLE AS cum_sum_ORDER_PRICE, count(ORDER_PRICE) OVER w AS cum_count_ORDER_PRICE,
+round((sum(ORDER_PRICE::VARCHAR::DECIMAL(28,10)) OVER w)::VARCHAR::DOUBLE / count(ORDER_PRICE) OVER w, 6) AS cum_mean_ORDER_PRICE, min(ORDER_PRICE) OVER w AS cum_min_ORDER_PRICE,
 max(ORDER_PRICE) OVER w AS cum_max_ORDER_PRICE, round(stddev_samp(ORDER_PRICE) OVER w, 6) AS expanding_std_ORDER_PRICE FROM purchases WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING)""",
         names="purchases",
     ),
@@ -353,7 +353,7 @@ def purchases_entity(views):
 @query(
     "d13_point_in_time_purchases",
     with_views(
-        """SELECT l.LOAN_ID, count(p.ORDER_ID) AS count, sum(p.ORDER_PRICE::DECIMAL(28,6))::DOUBLE AS sum_ORDER_PRICE, round(avg(p.ORDER_PRICE), 6) AS mean_ORDER_PRICE,
+        """SELECT l.LOAN_ID, count(p.ORDER_ID) AS count, sum(p.ORDER_PRICE::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS sum_ORDER_PRICE, round(avg(p.ORDER_PRICE), 6) AS mean_ORDER_PRICE,
 round(stddev_samp(p.ORDER_PRICE), 6) AS std_ORDER_PRICE, min(p.ORDER_PRICE) AS min_ORDER_PRICE, max(p.ORDER_PRICE) AS max_ORDER_PRICE,
 arg_max(p.ORDER_PRICE, (p.ORDER_CREATION_DATE, p.ORDER_ID)) AS last_ORDER_PRICE, count(DISTINCT p.DISCOUNT) AS num_unique_DISCOUNT
 FROM loans l LEFT JOIN purchases p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND p.ORDER_CREATION_DATE <= l.LOAN_ISSUANCE_DATE GROUP BY 1""",
@@ -369,8 +369,8 @@ def _(spark, sf_dir):
 @query(
     "d13_point_in_time_sales_masked",
     with_views(
-        """SELECT l.LOAN_ID, count(s.ID) AS count, sum(s.AMOUNT::DECIMAL(28,6))::DOUBLE AS sum_AMOUNT,
-(sum(s.TOTAL_AMOUNT_PAID::DECIMAL(28,6)) FILTER (WHERE s.UPDATED_AT <= l.LOAN_ISSUANCE_DATE))::DOUBLE AS sum_TOTAL_AMOUNT_PAID,
+        """SELECT l.LOAN_ID, count(s.ID) AS count, sum(s.AMOUNT::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS sum_AMOUNT,
+(sum(s.TOTAL_AMOUNT_PAID::VARCHAR::DECIMAL(28,10)) FILTER (WHERE s.UPDATED_AT <= l.LOAN_ISSUANCE_DATE))::VARCHAR::DOUBLE AS sum_TOTAL_AMOUNT_PAID,
 max(s.TOTAL_AMOUNT_PAID) FILTER (WHERE s.UPDATED_AT <= l.LOAN_ISSUANCE_DATE)::DOUBLE AS max_TOTAL_AMOUNT_PAID,
 count(DISTINCT s.STATUS) FILTER (WHERE s.UPDATED_AT <= l.LOAN_ISSUANCE_DATE) AS num_unique_STATUS
 FROM loans l LEFT JOIN sales s ON s.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND s.CREATED_AT <= l.LOAN_ISSUANCE_DATE GROUP BY 1""",

@@ -177,7 +177,7 @@ simple(
     "j9_retailer_children",
     """SELECT r.MAIN_SYSTEM_ID, coalesce(s.n, 0) AS n_sales, coalesce(p.n, 0) AS n_purchases, p.total AS ordered
 FROM retailers r LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n FROM sales GROUP BY 1) s ON s.MAIN_SYSTEM_ID = r.MAIN_SYSTEM_ID
-LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(ORDER_PRICE::DECIMAL(28,6))::DOUBLE AS total FROM purchases GROUP BY 1) p ON p.MAIN_SYSTEM_ID = r.MAIN_SYSTEM_ID""",
+LEFT JOIN (SELECT MAIN_SYSTEM_ID, count(*) AS n, sum(ORDER_PRICE::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total FROM purchases GROUP BY 1) p ON p.MAIN_SYSTEM_ID = r.MAIN_SYSTEM_ID""",
     lambda v: v["retailers"]
     .join(v["sales"].groupBy(KEY).agg(F.count(F.lit(1)).alias("n_sales")), KEY, "left")
     .join(v["purchases"].groupBy(KEY).agg(F.count(F.lit(1)).alias("n_purchases"), exact_sum(F.col("ORDER_PRICE")).alias("ordered")), KEY, "left")
@@ -546,7 +546,7 @@ WHERE MAIN_SYSTEM_ID IN (SELECT MAIN_SYSTEM_ID FROM sales GROUP BY 1 ORDER BY co
 @query(
     "q9_spend_reconstruction",
     with_views(
-        """SELECT l.LOAN_ID, any_value(l.SPENT) AS SPENT, coalesce(sum(p.ORDER_PRICE::DECIMAL(28,6)), 0)::DOUBLE AS ordered, count(p.ORDER_ID) AS n_orders
+        """SELECT l.LOAN_ID, any_value(l.SPENT) AS SPENT, coalesce(sum(p.ORDER_PRICE::VARCHAR::DECIMAL(28,10)), 0)::VARCHAR::DOUBLE AS ordered, count(p.ORDER_ID) AS n_orders
 FROM loans l LEFT JOIN purchases p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND p.ORDER_CREATION_DATE BETWEEN l.LOAN_ISSUANCE_DATE AND l.INITIAL_DATE GROUP BY 1""",
         names="loans purchases",
     ),

@@ -125,7 +125,7 @@ _WEIGHT = (
 _BOOT = f"""t AS (SELECT r.round::INTEGER AS round, l.LOAN_AMOUNT AS x,
   ('0x' || substr(md5(l.LOAN_ID || '|' || r.round // {h.DRAWS}), 1 + {h.DIGITS} * (r.round % {h.DRAWS}), {h.DIGITS}))::UBIGINT / {float(16**h.DIGITS)!r}::DOUBLE AS u
   FROM loans l CROSS JOIN (SELECT unnest(range({ROUNDS})) AS round) r),
-b AS (SELECT round, sum({_WEIGHT})::BIGINT AS weight, sum((x * {_WEIGHT})::DECIMAL(28,6))::DOUBLE AS total FROM t GROUP BY 1)"""
+b AS (SELECT round, sum({_WEIGHT})::BIGINT AS weight, sum((x * {_WEIGHT})::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total FROM t GROUP BY 1)"""
 
 
 @query("h3_poisson_bootstrap", with_views("SELECT round, weight, total, round(total / weight, 6) AS mean FROM b", _BOOT, names="loans"))

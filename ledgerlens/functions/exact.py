@@ -37,9 +37,9 @@ def parts(value: Column, squares: bool = False) -> dict[str, Column]:
 
 
 def rounded(value: Column) -> Column:
-    """A decimal as the nearest double; a plain cast divides an unscaled number that a double may not hold."""
-    whole = F.floor(value)
-    return whole.cast("double") + (value - whole).cast("double")
+    """A decimal as the nearest double. A plain cast divides the unscaled number, which a double holds up to 2**53; larger
+    ones are parsed from their digits."""
+    return F.when(F.abs(value) < 900_000, value.cast("double")).otherwise(value.cast("string").cast("double"))
 
 
 def total(t: dict[str, Column]) -> Column:

@@ -7,10 +7,10 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from ledgerlens.catalog import load_catalog
 from tools import check
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-SLOW = {"d15_feature_frame_history", "s9_reduced_features", "m4_flat_split", "m5_m6_classifier_scores", "m9_regression_search"}
+QUERIES, ORACLE = load_catalog()
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +36,14 @@ def test_query_equals_sql(spark, duck, name):
     assert check.compare(got, want) == "ok"
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_the_entry_registers_the_whole_catalogue():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
