@@ -110,7 +110,7 @@ _PURCHASES = ["ORDER_PRICE", "DISCOUNT", "ORDER_PRICE_AFTER_DISCOUNT"]
 _SALES = ["AMOUNT", "FEES", "RETAILER_CUT", "TOTAL_AMOUNT_INCLUDING_TAX", "TOTAL_AMOUNT_PAID", "WALLET_BALANCE_BEFORE_TRANSACTION"]
 
 
-def _pit_sql(prefix, child, alias, time, ident, cols, late):
+def _pit_sql(prefix, child, alias, time, ident, cols, late, upto="<="):
     """SQL of the point-in-time aggregates of one child table, by joining each loan with its whole history."""
     parts = [f"count({alias}.{ident}) AS {prefix}count"]
     for c in cols:
@@ -128,7 +128,7 @@ def _pit_sql(prefix, child, alias, time, ident, cols, late):
     if child == "sales":
         parts.append(f"count(DISTINCT {alias}.STATUS) FILTER (WHERE {alias}.UPDATED_AT <= l.LOAN_ISSUANCE_DATE) AS {prefix}num_unique_STATUS")
     return f"""{child}_pit AS (SELECT l.LOAN_ID, {', '.join(parts)} FROM loans l
-LEFT JOIN {child} {alias} ON {alias}.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND {alias}.{time} <= l.LOAN_ISSUANCE_DATE GROUP BY 1)"""
+LEFT JOIN {child} {alias} ON {alias}.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND {alias}.{time} {upto} l.LOAN_ISSUANCE_DATE GROUP BY 1)"""
 
 
 _A, _B, _L = "LOAN_AMOUNT", "TOTAL_INITIAL_AMOUNT", "LOAN_ISSUANCE_DATE"
@@ -150,11 +150,24 @@ round(({_A} - lag({_A}) OVER w) / nullif((epoch_us({_L}) - epoch_us(lag({_L}) OV
 ]
 
 
+_EARLIER = _pit_sql("loans_", "loans", "e", "LOAN_ISSUANCE_DATE", "LOAN_ID", [_A, _B], {}, "<")
+
+
+@query("d6_loans_child", with_views("SELECT * FROM loans_pit", _EARLIER, names="loans"))
+def _(spark, sf_dir):
+    """Each loan with figures of its retailer's earlier loans."""
+    es = feature_frame.entity_set(load_views(spark, sf_dir))
+    loans = es.entities["loans"]
+    out = ft.point_in_time(loans.df, loans, KEY, loans.numeric(), prefix="loans_", strict=True)
+    return out.select(*[F.round(c, 5).alias(c) if "_std_" in c else c for c in out.columns])
+
+
 @query(
     "d15_feature_frame_issuance",
     with_views(
-        "SELECT * FROM own JOIN sales_pit USING (LOAN_ID) JOIN purchases_pit USING (LOAN_ID)",
+        "SELECT * FROM own JOIN loans_pit USING (LOAN_ID) JOIN sales_pit USING (LOAN_ID) JOIN purchases_pit USING (LOAN_ID)",
         f"own AS (SELECT {', '.join(_LOAN_FEATURES)} FROM loans WINDOW w AS ({_W}), c AS ({_W} ROWS UNBOUNDED PRECEDING), t AS ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))",
+        _EARLIER,
         _pit_sql("sales_", "sales", "s", "CREATED_AT", "ID", _SALES, {"TOTAL_AMOUNT_PAID": "UPDATED_AT"}),
         _pit_sql("purchases_", "purchases", "p", "ORDER_CREATION_DATE", "ORDER_ID", _PURCHASES, {}),
         names="loans sales purchases",
@@ -167,7 +180,7 @@ def _(spark, sf_dir):
     def shown(name):
         if name.endswith(("_mul_" + _B,)) and not name.startswith("sqrt"):
             return 6
-        parts = name.removeprefix("sales_").removeprefix("purchases_").split("_")
+        parts = name.removeprefix("sales_").removeprefix("purchases_").removeprefix("loans_").split("_")
         return None if parts[0] == "roll" and parts[1] not in ("mean", "std") else digits.get(parts[0])
 
     kinds = dict(frame.dtypes)

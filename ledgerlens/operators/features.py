@@ -491,13 +491,15 @@ def point_in_time(
     prefix: str = "",
     carry: bool = False,
     slices: Slices | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """What each loan could know about a child table when it was issued.
 
     Child rows count from their time on; columns with a secondary time count from that time on. Count, sum, mean,
     deviation, extremes, last value and distinct values are running totals over child rows and loans in time order, so
     loans are never paired with their history. The result has the loan's id and the features; with ``carry`` the loan's
-    other columns travel along, which saves joining them again.
+    other columns travel along, which saves joining them again. ``strict`` leaves out rows of the very moment of the loan,
+    for the loans themselves as a child of their retailer.
     """
     late = {c: t for t, names in child.secondary.items() for c in names}
     by_time: dict[str, list[str]] = {}
@@ -510,10 +512,11 @@ def point_in_time(
         moves.append(F.struct(F.col(t).alias("at"), F.lit(1 if t == child.time else 0).alias("one"), *facts))
     rows = child.df.where(F.col(key).isNotNull())
     points = rows.select(key, child.index, F.inline(F.array(*moves))).withColumnRenamed(child.index, "_id")
-    events = points.where("at IS NOT NULL").withColumn("_side", F.lit(0))
+    side = F.lit(2 if strict else 0)  # a loan stands at 1
+    events = points.where("at IS NOT NULL").withColumn("_side", side)
     for c in unique:
         known = rows.select(key, F.col(c).alias("_v"), F.col(late.get(c, child.time)).alias("at")).where("_v IS NOT NULL AND at IS NOT NULL")
-        firsts = known.groupBy(key, "_v").agg(F.min("at").alias("at")).select(key, "at", F.lit(0).alias("_side"), F.lit(1).alias(f"u_{c}"))
+        firsts = known.groupBy(key, "_v").agg(F.min("at").alias("at")).select(key, "at", side.alias("_side"), F.lit(1).alias(f"u_{c}"))
         events = events.unionByName(firsts, allowMissingColumns=True)
     kept = loans.columns if carry else [ident]
     probes = loans.select(key, F.col(at).alias("at"), F.lit(1).alias("_side"), F.struct(*kept).alias("_loan"))

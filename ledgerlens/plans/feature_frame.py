@@ -75,6 +75,9 @@ def issuance_frame(es: ft.EntitySet, slices: Slices | None = None) -> tuple[Data
     step = (lambda df: df) if slices is None else materialise
     frame, made = loan_transforms(es.entities["loans"].df, slices)
     frame = step(frame)
+    loans, before = es.entities[es.target], set(frame.columns)
+    frame = step(ft.point_in_time(frame, loans, KEY, loans.numeric(), prefix="loans_", carry=True, slices=slices, strict=True))
+    made += [ft.Feature(c, "earlier_loans", ("loans",), c, F.col(c)) for c in frame.columns if c not in before]
     for name, child in es.children().items():
         before = set(frame.columns)
         frame = step(with_history(frame, child, name, slices))
