@@ -46,8 +46,8 @@ from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, packed, r
 #: Cells of the count table, the count a cell must reach within one slice of text to be listed, and how many are kept.
 CELLS, CELL_LEAST, HOT_CELLS = 1 << 22, 3, 200_000
 SLICE = 2 << 20
-#: Bytes of the sketches, and the number of shingles from which the long one is kept too.
-SHORT, LONG, LONG_FROM = 64, 256, 1_200
+#: Bytes of the short sketch. Sets that may differ in more shingles than a quarter of its bits have a longer one too.
+SHORT = 64
 #: Sets of a list that are compared in one task, and the length up to which lists are scanned together.
 BLOCK, SHORT_LIST = 16_384, 48
 #: A light set enumerates at most so many subsets.
@@ -121,6 +121,20 @@ def parity(tokens: np.ndarray, size: int) -> bytes:
     return np.packbits((np.bincount(at, minlength=8 * size) & 1).astype(np.uint8)).tobytes()
 
 
+def far_size(n: int, percent: int) -> int:
+    """Bytes of the long sketch: at least four bits for every shingle in which two linked sets of n may differ, as a power of
+    two; 0 where the short sketch has as many. Unrelated sets then differ in about half of the bits."""
+    most = 2 * n - 2 * needed(n, n, percent)
+    size = 1 << max(0, (most + 1) // 2 - 1).bit_length()
+    return size if size > SHORT else 0
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches at a smaller size: halves that share a bit there are added."""
+    parts = sketch.reshape(len(sketch), -1, size // 8)
+    return np.bitwise_xor.reduce(parts, axis=1)
+
+
 def fingerprint(tokens: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         return np.array([bytehash.mix(tokens ^ _STEP).sum(), bytehash.mix(tokens + _STEP).sum()], dtype=np.uint64).tobytes()
@@ -148,7 +162,7 @@ def measured_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
                     pa.array([fingerprint(x) if len(x) else None for x in sets], pa.binary()),
                     pa.array(rare, pa.list_(pa.int64())),
                     pa.array([parity(x, SHORT) for x in sets], pa.binary()),
-                    pa.array([parity(x, LONG) if len(x) >= LONG_FROM else b"" for x in sets], pa.binary()),
+                    pa.array([parity(x, far) if (far := far_size(len(x), percent)) else b"" for x in sets], pa.binary()),
                     pa.array([x.view(np.int64) if len(x) < most else None for x in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], *columns], names=["doc_id", "mark", *names])
@@ -259,9 +273,12 @@ class _List:
         self.side, self.id, self.n, self.root = (batch.column(i).to_numpy() for i in (3, 4, 5, 6))
         self.near = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint64).reshape(len(self.id), SHORT // 8)
         far = batch.column(8).to_pylist()
-        long = np.array([len(x) > 0 for x in far], dtype=bool)
-        self.far_at = np.where(long, np.cumsum(long) - 1, -1)
-        self.far = np.frombuffer(b"".join(far), dtype=np.uint64).reshape(-1, LONG // 8)
+        self.size = np.array([len(x) for x in far], dtype=np.int64)
+        self.at, self.far = np.zeros(len(far), dtype=np.int64), {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            own = np.flatnonzero(self.size == size)
+            self.at[own] = np.arange(len(own))
+            self.far[size] = np.frombuffer(b"".join([far[i] for i in own]), dtype=np.uint64).reshape(len(own), size // 8)
 
     def passing(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs (x[k], y[k]) of entries pass the exact filters, and the distance of their sketches."""
@@ -270,14 +287,20 @@ class _List:
         most = n + m - 2 * needed(n, m, self.percent)
         apart = np.full(len(ok), 1 << 30, dtype=np.int64)
         at = np.flatnonzero(ok)
-        xs, ys = (x if x.ndim else np.full(len(ok), x))[at], y[at]
+        xs, ys = np.broadcast_to(x, ok.shape)[at], y[at]
         apart[at] = np.bitwise_count(self.near[xs] ^ self.near[ys]).sum(axis=1, dtype=np.int64)
         ok &= apart <= most
-        fx, fy = self.far_at[x], self.far_at[y]
-        at = np.flatnonzero(ok & (fx >= 0) & (fy >= 0))
-        fx, fy = (fx if fx.ndim else np.full(len(ok), fx))[at], fy[at]
-        apart[at] = np.bitwise_count(self.far[fx] ^ self.far[fy]).sum(axis=1, dtype=np.int64)
-        ok[at] = apart[at] <= most[at]
+        left = np.broadcast_to(x, ok.shape)
+        both = ok & (self.size[left] > 0) & (self.size[y] > 0)
+        for p in self.far:
+            for q in self.far:
+                at = np.flatnonzero(both & (self.size[left] == p) & (self.size[y] == q))
+                for some in np.array_split(at, max(1, len(at) * max(p, q) >> 24)):
+                    if len(some):
+                        least = min(p, q)
+                        a, b = folded(self.far[p][self.at[left[some]]], least), folded(self.far[q][self.at[y[some]]], least)
+                        apart[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                        ok[some] = apart[some] <= most[some]
         return ok, apart
 
 

@@ -210,3 +210,14 @@ def test_bucket_pointers_tell_equal_strings():
             by_pointer[p].add(s)
             by_string[s].add(p)
         assert all(len(v) == 1 for v in [*by_pointer.values(), *by_string.values()])
+
+
+def test_folded_sketches_compare_sets_of_different_sizes():
+    rng = np.random.default_rng(1)
+    for n in (900, 2000, 5000):
+        x = np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64))
+        big, small = J.far_size(5000, 80), J.far_size(900, 80)
+        assert big > small >= 0
+        wide = np.frombuffer(J.parity(x, big), np.uint64)[None, :]
+        assert J.folded(wide, 64).tobytes() == J.parity(x, 64)
+        assert J.folded(wide, big).tobytes() == J.parity(x, big)
