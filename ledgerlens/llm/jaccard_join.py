@@ -46,7 +46,7 @@ from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, packed, r
 #: Cells of the count table, the count a cell must reach within one slice of text to be listed, and how many are kept.
 CELLS, CELL_LEAST, HOT_CELLS = 1 << 22, 3, 200_000
 SLICE = 2 << 20
-#: Bytes of the short sketch. Sets that may differ in more shingles than a quarter of its bits have a longer one too.
+#: Bytes of the short sketch. Sets that may differ in more shingles than it tells apart have a longer one too.
 SHORT = 64
 #: Sets of a list that are compared in one task, and the length up to which lists are scanned together.
 BLOCK, SHORT_LIST = 16_384, 48
@@ -122,10 +122,13 @@ def parity(tokens: np.ndarray, size: int) -> bytes:
 
 
 def far_size(n: int, percent: int) -> int:
-    """Bytes of the long sketch: at least four bits for every shingle in which two linked sets of n may differ, as a power of
-    two; 0 where the short sketch has as many. Unrelated sets then differ in about half of the bits."""
-    most = 2 * n - 2 * needed(n, n, percent)
-    size = 1 << max(0, (most + 1) // 2 - 1).bit_length()
+    """Bytes of the long sketch of a set of n shingles; 0 where the short one will do.
+
+    Unrelated sets differ in half of b bits, give or take sqrt(b) / 2. The sketch is the smallest, as a power of two, in which
+    that lies five deviations above the number of shingles in which two linked sets may differ."""
+    most, size = 2 * n - 2 * needed(n, n, percent), SHORT
+    while 4 * size - 2.5 * (8 * size) ** 0.5 < most:
+        size *= 2
     return size if size > SHORT else 0
 
 
@@ -453,6 +456,7 @@ def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", te
     # rows that repeat a representative are the same set, mark and id; one of them stays
     others = [F.first(c).alias(c) for c in firsts.columns if c != "fp"]
     reps = materialise(firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), *others).withColumn("id", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
 
     sizes = {r["n"]: r["k"] for r in reps.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where(F.col("n") < 4 * light_limit(percent)).collect()}
     lists = reps.select(F.explode("rare").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
@@ -464,7 +468,9 @@ def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", te
     release(docs.sparkSession)
     near = scan_lists(heavy.withColumn("root", F.col("id")), percent, all_pairs=False)
     near = materialise(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("b", F.col("m.a").alias("a")))
+    release(docs.sparkSession)
     links = materialise(links.unionByName(_linked(docs, near, reps, size, percent, doc_id, text)))
+    release(docs.sparkSession)
     roots = components(links)
     rest = scan_lists(heavy.join(roots, heavy.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")), percent, all_pairs=True)
     rest = materialise(rest.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"))
