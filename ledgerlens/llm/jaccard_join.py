@@ -448,7 +448,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, perce
 
 
 def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The measured documents, and per fingerprint `fp, copies, component_id` of every class that has copies or links."""
+    """The measured documents, and per fingerprint `fp, copies, component_id, component_mark` of every class that has copies or
+    links: the smallest doc_id of the component and the mark of the row it stands in."""
     sets = materialise(measured_sets(docs, size, percent, doc_id, text))
     by_fp = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r"), F.count(F.lit(1)).alias("copies"))
     named = by_fp.select("fp", F.col("r.doc_id").alias("doc_id"), F.col("r.mark").alias("mark"), "copies")
@@ -478,45 +479,47 @@ def classes(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", te
     if not rest.isEmpty():
         roots = components(links.unionByName(_linked(docs, rest, reps, size, percent, doc_id, text)))
 
-    group = reps.select("id", "fp", "doc_id").join(named.select("fp", "copies"), "fp").join(roots, F.col("id") == F.col("node"), "left")
-    group = group.select("fp", "copies", "doc_id", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
+    group = reps.select("id", "fp", "doc_id", "mark").join(named.select("fp", "copies"), "fp").join(roots, F.col("id") == F.col("node"), "left")
+    group = group.select("fp", "copies", "doc_id", "mark", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
     group = materialise(group.where("linked or copies > 1"))
-    smallest = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return sets, group.join(smallest, "root").select("fp", "copies", "component_id")
+    smallest = group.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r"))
+    named = [F.col("r.doc_id").alias("component_id"), F.col("r.mark").alias("component_mark")]
+    return sets, group.join(smallest, "root").select("fp", "copies", *named)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id, mark, n_shingles, component_id`, one row per document."""
+def _placed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """`doc_id, mark, n_shingles, component_id, component_mark`, one row per document; the last is missing where a row is
+    alone in its component."""
     sets, known = classes(docs, size, percent, doc_id, text)
     rows = sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("fp", F.lit(b"")).alias("fp"))
     out = attach(rows, materialise(known), "fp", "copies")
-    return out.select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component_mark")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`doc_id, mark, n_shingles, component_id`, one row per document."""
+    return _placed(docs, size, percent, doc_id, text).drop("component_mark")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without the near duplicates of another: of each component the smallest doc_id stays.
-
-    Documents without words stay, as nothing links to them; of rows that repeat the one that stays, one stays."""
-    found = materialise(near_duplicates(docs, size, percent, doc_id, text))
-    words = F.col("n_shingles") > 0
-    gone = found.where(words & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "mark").distinct()
-    left = found.where(words & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("mark").alias("mark")).where("k > 1 or doc_id is null")
+    """The documents without the near duplicates of another: of each component one row stays, that of the smallest doc_id.
+
+    A row that is alone in its component stays, whatever its doc_id: documents without words, as nothing links to them, and
+    unlinked texts that share a doc_id or have none. In a component, ids come before missing ones; of several texts with
+    the id that stays, or of a component without ids, the one with the smallest hash stays; of rows that repeat it, one."""
+    placed = materialise(_placed(docs, size, percent, doc_id, text).where("component_mark is not null"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("component_mark"))
+    gone = materialise(placed.where(~stays).select(F.col("doc_id").alias("g"), F.col("mark").alias("h")).distinct())
+    again = placed.where(stays).groupBy(F.col("doc_id").alias("g"), F.col("mark").alias("h")).agg(F.count(F.lit(1)).alias("k"))
+    again = materialise(again.where("k > 1").select("g", "h"))
     rows = docs.select(packed(docs).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("mark") == F.col("h"))
 
-    def without(a: DataFrame, b: DataFrame, on, how: str) -> DataFrame:
-        b = materialise(b)
-        return a.join(F.broadcast(b) if b.count() <= BROADCAST_ROWS else b, on, how)
+    def matched(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        return a.join(F.broadcast(b) if b.count() <= BROADCAST_ROWS else b, same, how)
 
-    kept = without(rows, gone.withColumnsRenamed({"doc_id": "g", "mark": "h"}), F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("mark") == F.col("h")), "left_anti")
-    again = materialise(again)
+    kept = matched(rows, gone, "left_anti")
     if again.isEmpty():
         return kept.select("row.*")
-    repeated = again.select(F.col("doc_id").alias("g"))
-    same = F.col("doc_id").eqNullSafe(F.col("g"))
-    wordless = found.where(~words).select(F.col("doc_id").alias("g"), F.col("mark").alias("h")).distinct()
-    has_words = without(kept, wordless, same & (F.col("mark") == F.col("h")), "left_anti")
-    no_words = without(kept, wordless, same & (F.col("mark") == F.col("h")), "left_semi")
-    single = without(has_words, repeated, same, "left_anti")
-    one = without(has_words, repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(one).unionByName(no_words).select("row.*")
+    one = matched(kept, again, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return matched(kept, again, "left_anti").unionByName(one).select("row.*")

@@ -94,6 +94,39 @@ def test_one_of_each_component_stays(docs_of):  # noqa: F811
     assert sorted((str(r.doc_id) for r in out.collect()), key=int) == want
 
 
+def test_one_of_each_plain_component_stays_whatever_the_ids(docs_of):  # noqa: F811
+    rng = random.Random(12)
+    texts = near_copies(rng)
+    base = [" ".join(f"c{k}x{i}" for i in range(30)) for k in range(8)]
+    rows = [(None if rng.random() < 0.4 else rng.randrange(60), t) for t in texts]  # ids with several texts, and none
+    rows += [(None, t) for t in base[:3]] + [(None, base[0]), (None, base[1] + " tail")]
+    rows += [(700, base[3]), (700, base[4]), (701, base[4]), (702, base[5]), (702, base[5] + " tail"), (702, base[5]), (None, base[5])]
+    rows += [(703, base[6]), (703, base[6]), (703, base[7]), (703, ""), (703, ""), (None, ""), (None, None)]
+    rng.shuffle(rows)
+    sets = [shingles(t, 5) for _, t in rows]
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    root = list(range(len(rows)))
+    for _ in rows:  # the smallest row number spreads until nothing changes
+        before = list(root)
+        for i, j in combinations(range(len(rows)), 2):
+            if root[i] != root[j] and near(sets[i], sets[j]):
+                root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    members = defaultdict(list)
+    for i, r in enumerate(root):
+        members[r].append(rows[i])
+    out = [(r.doc_id, r.text) for r in J.one_of_each(docs_of(rows)).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(str(r[0]) for r in out) == sorted(str(min(m, key=order)[0]) for m in members.values())
+    component = defaultdict(set)
+    for i, r in enumerate(root):
+        component[rows[i]].add(r)
+    left = [r for r in out if shingles(r[1], 5)]
+    assert sorted(min(component[r]) for r in left) == sorted({r for r in root if sets[r]})
+    assert all((None, t) in out for t in (base[2], "", None)) and {(700, base[3]), (700, base[4]), (703, base[6]), (703, base[7])} <= set(out)
+
+
 def test_empty_tables(docs_of):  # noqa: F811
     assert J.near_duplicates(docs_of([])).count() == 0
     assert J.one_of_each(docs_of([])).count() == 0
