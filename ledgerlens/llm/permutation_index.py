@@ -9,12 +9,14 @@ Largest inner product is turned into nearest angle first: vectors get one more c
 of the longest, queries get a zero there.
 
 The table is dealt to segments of bounded size, each with its own inverted files; the stated queries visit all segments in
-blocks, each segment answers with its best, and the best of those remain. Of rows with the same vector only the `neighbours` + 1
-smallest ids can ever be an answer; the others ask but are not indexed, so a vector that fills a third of the table costs nothing.
+blocks, each segment answers with its best, and the best of those remain. Of the ids with the same vector only the
+`neighbours` + 1 smallest can ever be an answer; the others ask but are not indexed, so a vector that fills a third of the
+table costs nothing.
 
 Defined results: rows without id, and vectors that are missing, zero, of another length than most, or hold missing or
-non-finite components take no part; equal scores go by id; rows that repeat an id are candidates each, but a row never
-answers the query of its own id; fewer candidates than asked for are all returned; an empty table gives an empty
+non-finite components take no part; equal scores go by id; rows that repeat both id and vector count as one, as question
+and as candidate; an id with several vectors is a candidate with each and asks with each, which gives one list, ranked from
+1, for each of its vectors under its query_id; a row never answers the query of its own id, whatever its vector; fewer candidates than asked for are all returned; an empty table gives an empty
 result; other columns are not read and cannot clash.
 """
 
@@ -95,9 +97,11 @@ class Segment:
 
     def search(self, own: int, q: np.ndarray, order: np.ndarray, n: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the best n. Equal distances go by id."""
+        mine = slice(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right"))
         reach = max(least, int(np.ceil(share * len(self.ids))), n + 1)
-        if reach < len(self.ids):
+        if reach < len(self.ids) - (mine.stop - mine.start):
             far = self.footrule(order)
+            far[mine] = np.iinfo(far.dtype).max
             limit = np.partition(far, reach - 1)[reach - 1]
             near = np.flatnonzero(far < limit)
             at = np.sort(np.concatenate([near, np.flatnonzero(far == limit)[: reach - len(near)]]))
@@ -122,7 +126,7 @@ def search(
     embedding: str = "embedding",
 ) -> DataFrame:
     """`query_id, rank, vec_id, score` for the rows of `table` for which `asks` (a condition on vec_id) holds."""
-    rows = materialise(usable(table, vec_id, embedding))
+    rows = materialise(usable(table, vec_id, embedding).distinct().withColumn("ask", F.monotonically_increasing_id()))
     same = Window.partitionBy("mark").orderBy("vec_id")
     marked = rows.withColumn("mark", F.struct(F.xxhash64("v"), F.hash("v")))
     indexed = marked.withColumn("n", F.row_number().over(same)).where(F.col("n") <= neighbours + 1).select("vec_id", "v", F.col("n") == 1)
@@ -136,18 +140,18 @@ def search(
     chosen = pick_pivots(lifted(sample, longest), pivots) if len(drawn) else np.zeros((0, 1))
 
     seg = F.pmod(F.xxhash64(F.lit(SEED), "v", "vec_id"), F.lit(segments))
-    data = indexed.select(seg.alias("seg"), F.lit(0).alias("kind"), "vec_id", "v")
+    data = indexed.select(seg.alias("seg"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0).cast("long").alias("ask"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long")))
-    queries = rows.where(asks).select(every.alias("seg"), F.lit(1).alias("kind"), "vec_id", "v")
-    meet = data.unionByName(queries).repartition(segments, "seg").sortWithinPartitions("seg", "kind", "vec_id")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    queries = rows.where(asks).select(every.alias("seg"), F.lit(1).alias("kind"), "vec_id", "v", "ask")
+    meet = data.unionByName(queries).repartition(segments, "seg").sortWithinPartitions("seg", "kind", "vec_id", "ask")
+    schema = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         index, at = None, None
         for batch in batches:
             segs, kinds, ids = (batch.column(i).to_numpy() for i in range(3))
-            v = batch.column(3).flatten().to_numpy().reshape(len(ids), -1)
+            v, asks = batch.column(3).flatten().to_numpy().reshape(len(ids), -1), batch.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(segs) != 0) | (np.diff(kinds) != 0)) + 1), len(ids)]
             for a, b in zip(cuts, cuts[1:]):
                 if segs[a] != at:
@@ -166,10 +170,10 @@ def search(
                     seen = orders(np.column_stack([asked / lengths, np.zeros(len(asked))]), chosen, prefix)
                     found = [index.search(i, q, o, neighbours, share, least) for i, q, o in zip(own, asked, seen)]
                     counts = [len(i) for i, _ in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(own, counts)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], schema=schema
-                    )
+                    answers = [np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found])]
+                    numbers = [np.repeat(asks[c : min(b, c + 256)], counts), np.repeat(own, counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in numbers + answers], schema=schema)
 
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    out = meet.mapInArrow(answer, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours)
+    best = Window.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id")
+    out = meet.mapInArrow(answer, "ask long, query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours)
     return out.select("query_id", "rank", "vec_id", "score")

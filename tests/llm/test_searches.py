@@ -54,6 +54,34 @@ def test_copies_go_by_id_and_few_rows_are_all_returned(spark):
     assert {q: len(v) for q, v in few.items()} == {1: 2, 2: 2, 200: 2}
 
 
+def test_repeated_rows_count_once_and_each_vector_of_an_id_asks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, list(map(float, rng.normal(size=6)))) for i in range(1, 61)]
+    rows += rows[:45] + [rows[19]] * 30  # equal rows, one of them very often
+    rows += [(40, list(map(float, rng.normal(size=6)))), (41, list(map(float, rng.normal(size=6))))]  # ids with two vectors
+    rows += [(100, [9.0] * 6)] * 25 + [(i, [9.0] * 6) for i in range(101, 131)]  # an id that fills the cut of its vector
+    once = [(i, np.array(v)) for i, v in sorted({(i, tuple(v)) for i, v in rows})]
+    want = []
+    for q, x in once:
+        if q % 20 == 0:
+            near = sorted((-(y * x).sum(), i) for i, y in once if i != q)[:20]
+            want += [(q, k, i, round(-s, 9)) for k, (s, i) in enumerate(near, 1)]
+    found = P.search(table(spark, rows), F.col("vec_id") % 20 == 0, 20)
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found.collect()) == sorted(want)
+
+
+def test_own_vectors_do_not_use_up_the_candidates():
+    rng = np.random.default_rng(5)
+    v = np.concatenate([[4.0, 0, 0, 0, 0] + rng.normal(size=(80, 5)) / 100, rng.normal(size=(120, 5))])
+    ids = np.array([7] * 80 + list(range(100, 220)))
+    longest = np.sqrt((v * v).sum(axis=1)).max()
+    pivots = P.lifted(v[::10], longest)
+    s = P.Segment(ids, v, pivots, longest, 20)
+    order = P.orders(np.append(v[0] / np.linalg.norm(v[0]), 0.0)[None, :], pivots, 20)[0]
+    found, _ = s.search(7, v[0], order, 20, 0.1, 21)
+    assert len(found) == 20 and 7 not in found
+
+
 def test_empty_table(spark):
     assert P.search(table(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
