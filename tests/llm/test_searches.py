@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import permutation_index as P
+from ledgerlens.llm import queries
 
 SHAPE = "vec_id long, embedding array<double>, label int, v string, seg long"
 
@@ -96,6 +97,19 @@ def test_recall_with_several_segments(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("size, least", [("sf0.01", 0.84), ("check_s", 0.99)])
+def test_recall_of_the_registered_search(spark, size, least):
+    """The figures of the README."""
+    rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), float)
+    have = got(queries.QUERIES["op1_permutation_index"](spark, f"/root/testdata/{size}"))
+    asked, hits = np.flatnonzero(ids % 20 == 0), 0
+    for k in asked:
+        scores = np.where(ids == ids[k], -np.inf, x @ x[k])
+        hits += len(set(ids[np.lexsort((ids, -scores))[:20]].tolist()) & {i for i, _ in have[ids[k]]})
+    assert hits / (20 * len(asked)) >= least
+
+
 def test_footrule_of_a_segment():
     rng = np.random.default_rng(4)
     v, pivots = rng.normal(size=(30, 5)), P.lifted(rng.normal(size=(8, 5)), 5.0)
