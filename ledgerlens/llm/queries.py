@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import host_rules, jaccard_join, mixing, packing, permutation_index, repeated_text, secret_links, token_counts, toxicity, warc
+from ledgerlens.llm import host_rules, jaccard_join, mixing, packing, permutation_index, ranked_search, repeated_text, secret_links, token_counts, toxicity, warc
 from ledgerlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,25 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document, linked at a Jaccard similarity of 0.9 over three words."""
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op13_ranked_search",
+    f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
+a AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, a GROUP BY term, docs),
+m AS (SELECT r, doc_id, 10 + (90 * len(w) * docs) // total AS m FROM d, a WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, '{_TERM}')) AS term FROM benchmark),
+s AS (SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
