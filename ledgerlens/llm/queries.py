@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import host_rules, jaccard_join, mixing, packing, permutation_index, ranked_search, repeated_text, secret_links, token_counts, toxicity, warc
+from ledgerlens.llm import conversation_trie, host_rules, jaccard_join, mixing, packing, permutation_index, ranked_search, repeated_text, secret_links, token_counts, toxicity, warc
 from ledgerlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,28 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM (
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that score highest for every benchmark item."""
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: CRC-32 of the ASCII text of c: bit by bit, from the fixed reversed polynomial 0xEDB88320.
+_CRC = """list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')],
+  lambda s, b: list_reduce([xor(s, b)] || [0::BIGINT FOR i IN range(8)], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)) + z))"""
+
+
+@query(
+    "op11_conversation_trie",
+    rf"""WITH t AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                  ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, own, c - c % 20 AS base, (xor({_CRC}, 4294967295) % 4)::INT AS h FROM t),
+r AS (SELECT h.c, list_concat(coalesce(b.own[:h], []), h.own[h + 1:]) AS s FROM h LEFT JOIN t b ON b.c = h.base),
+m AS (SELECT c, d, len(s) AS n, s[:d] AS p FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+v AS MATERIALIZED (SELECT p, d, count(*) AS n_convs, min(c) AS conv_id, max(n) AS deepest, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends,
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-]+')) END AS words FROM m GROUP BY p, d),
+u AS (SELECT p[:k] AS p, k AS d, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (deepest = d) AS n_leaves, count(*) FILTER (d = k + 1) AS n_children
+      FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, w.conv_id AS parent_conv_id, v.n_convs, n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN u ON u.p = v.p AND u.d = v.d LEFT JOIN v w ON w.d = v.d - 1 AND w.p = v.p[:v.d - 1]""",
+)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
