@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import conversation_trie, host_rules, jaccard_join, mixing, packing, permutation_index, ranked_search, repeated_text, secret_links, token_counts, toxicity, warc
+from ledgerlens.llm import conversation_trie, host_rules, jaccard_join, minhash_dedup, mixing, packing, permutation_index, ranked_search, repeated_text, secret_links, token_counts, toxicity, warc
 from ledgerlens.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,7 +253,8 @@ h AS (SELECT c, own, c - c % 20 AS base, (xor({_CRC}, 4294967295) % 4)::INT AS h
 r AS (SELECT h.c, list_concat(coalesce(b.own[:h], []), h.own[h + 1:]) AS s FROM h LEFT JOIN t b ON b.c = h.base),
 m AS (SELECT c, d, len(s) AS n, s[:d] AS p FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
 v AS MATERIALIZED (SELECT p, d, count(*) AS n_convs, min(c) AS conv_id, max(n) AS deepest, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends,
-             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-]+')) END AS words FROM m GROUP BY p, d),
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-
+]+')) END AS words FROM m GROUP BY p, d),
 u AS (SELECT p[:k] AS p, k AS d, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (deepest = d) AS n_leaves, count(*) FILTER (d = k + 1) AS n_children
       FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM v) GROUP BY ALL)
 SELECT v.conv_id, v.d AS depth, w.conv_id AS parent_conv_id, v.n_convs, n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
@@ -262,3 +263,20 @@ FROM v JOIN u ON u.p = v.p AND u.d = v.d LEFT JOIN v w ON w.d = v.d - 1 AND w.p
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_minhash_dedup",
+    r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w] ELSE [w[i:i + 1] FOR i IN range(1, len(w))] END) AS g FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n USING (r) JOIN c USING (r)""",
+)
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and verdict of every document, linked at a Jaccard similarity of 0.8 over two words."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
