@@ -10,9 +10,10 @@ Documents of equal sets are folded to one representative first. A bucket of k re
 from its smallest member to the others, instead of all pairs. Sizes and parity sketches, exact bounds on the overlap, drop
 edges that cannot be links; the others are confirmed on the full sets, which are made again from the texts they need.
 
-Two members of a bucket may be linked though neither is to its centre. So nothing is left to chance there: when the edges of
-all stars are settled, buckets that still hold several components (three members at least) are searched for pairs across
-components, under the same exact bounds, in blocks. A pair with similarity 0.8 shares no bucket at all with a probability of
+Two members of a bucket may be linked though neither is to its centre. Buckets that then hold several components are given
+stars around other centres, a few times; as each has a centre of its own, a document meets many members of its group. And
+nothing is left to chance there: buckets (of three members at least) that hold several components even then are searched
+for pairs across components, under the same exact bounds, in blocks. A pair with similarity 0.8 shares no bucket at all with a probability of
 (1 - 0.8**5)**32 = 3e-6; that is what the method can lose.
 
 Awkward input: a document without words (null, empty, white space) has an empty set and links with nothing; one with fewer
@@ -33,9 +34,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import bytehash
 from ledgerlens.llm.components import components
 from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, whole_text
-from ledgerlens.llm.jaccard_join import SHORT, SLICE, checked, far_size, fingerprint, folded, full_sets, needed, parity, scan_lists, shingle_sets
+from ledgerlens.llm.jaccard_join import SHORT, SLICE, checked, far_size, fingerprint, folded, full_sets, needed, parity, shingle_sets
 
 BANDS, ROWS = 32, 5
+#: Times that stars are drawn, each time around other centres, before the buckets that still hold several components are searched.
+TURNS = 4
+#: Members of a bucket that are compared in one task; larger buckets are cut into blocks of that size, which meet in pairs.
+BLOCK = 8_192
 #: Sketches that are held at once.
 HELD = 2_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -130,10 +135,7 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             ok = np.bitwise_count(near[0] ^ near[1]).sum(axis=1, dtype=np.int64) <= most
             x, y = (batch.column(i).to_pylist() for i in (6, 7))
             for i in np.flatnonzero(ok):
-                if x[i] and y[i]:
-                    least = min(len(x[i]), len(y[i]))
-                    u, v = (folded(np.frombuffer(s, np.uint64)[None, :], least) for s in (x[i], y[i]))
-                    ok[i] = np.bitwise_count(u ^ v).sum() <= most[i]
+                ok[i] = _apart(x[i], y[i]) <= most[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     sides = [reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("near").alias(f"near{c}"), F.col("far").alias(f"far{c}")) for c in "ab"]
@@ -141,6 +143,60 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(keep, "a long, b long")
 
 
+def across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs `a, b` of `members` (`key, k, id, root`) that share a bucket, lie in different components and may be links by sizes
+    and sketches. A pair is given once, by the smallest bucket that it shares."""
+    held = members.groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct("key", "k"))).alias("buckets"))
+    rows = held.join(reps.select("id", "n", "near", "far"), "id")
+    rows = rows.select("id", "root", "n", "near", "far", F.col("buckets.key").alias("keys"), F.explode("buckets").alias("b"))
+    blocks = F.ceil(F.col("b.k") / BLOCK).cast("int")
+    rows = rows.withColumns({"own": F.pmod(F.hash("id"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    place = [F.col("b.key").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own") <= F.col("other")]
+    rows = rows.select(*place[:3], place[3].alias("first"), "id", "root", "n", "near", "far", "keys")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != at:
+                    if len(group) > 1:
+                        yield _pairs(group, at, percent)
+                    group, at = [], row[:3]
+                group.append(row[3:])
+        if len(group) > 1:
+            yield _pairs(group, at, percent)
+        bytehash.tidy()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(search, "a long, b long")
+
+
+def _pairs(group: list[tuple], at: tuple, percent: int) -> pa.RecordBatch:
+    """The pairs of one bucket, or of two blocks of it. Members of the most frequent component only answer the others."""
+    first, id_, root, n = (np.array(x) for x in list(zip(*group))[:4])
+    near = np.frombuffer(b"".join(g[4] for g in group), np.uint64).reshape(len(group), SHORT // 8)
+    roots, counts = np.unique(root, return_counts=True)
+    main, place, out = roots[np.argmax(counts)], np.arange(len(group)), []
+    for x in place[root != main] if len(roots) > 1 else ():
+        ok = (root != root[x]) & ((root == main) | (place > x)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        y = place[ok & (first != first[x]) if at[1] != at[2] else ok]
+        most = n[y] + n[x] - 2 * needed(n[y], n[x], percent)
+        y = y[np.bitwise_count(near[y] ^ near[x]).sum(axis=1, dtype=np.int64) <= most]
+        own = set(group[x][6])
+        for z in y.tolist():
+            if next(k for k in group[z][6] if k in own) == at[0] and _apart(group[x][5], group[z][5]) <= n[x] + n[z] - 2 * needed(int(n[x]), int(n[z]), percent):
+                out.append((min(id_[x], id_[z]), max(id_[x], id_[z])))
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Distance of two long sketches; 0 where one has none."""
+    if not (x and y):
+        return 0
+    least = min(len(x), len(y))
+    u, v = (folded(np.frombuffer(s, np.uint64)[None, :], least) for s in (x, y))
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs that are links, by their full sets."""
     pairs = materialise(pairs)
@@ -149,22 +205,43 @@ def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, per
     return materialise(checked(pairs, materialise(full_sets(docs, asked, size, doc_id, text)), percent))
 
 
+def near(n: str, m: str, percent: int) -> str:
+    """Whether sets of n and m shingles can be linked at all."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+
+
+def mixed(members: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets of three or more with their component, and those buckets that hold several components, each with a new
+    centre: a random member, another one in every bucket and turn."""
+    named = members.where("k > 2").select("key", "k", "id", "n").join(roots, F.col("id") == F.col("node"), "left")
+    named = named.select("key", "k", "id", "n", F.coalesce("root", "id").alias("root"))
+    pick = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "n", "root")).alias("c")
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("k").alias("rows"), pick).where("lo < hi")
+    return named, materialise(several.select("key", "rows", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.root").alias("centre_root")))
+
+
 def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """`node, root` of all representatives with links."""
     members = materialise(stars(reps))
-    near = F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n")
-    edges = materialise(members.where((F.col("id") != F.col("centre")) & near).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    star = members.where("id <> centre and " + near("n", "centre_n", percent))
+    edges = materialise(star.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     found = confirmed(docs, possible(edges, reps, percent), reps, size, percent, doc_id, text)
     roots = components(found)
 
-    # buckets in which the stars left several components
-    wide = members.where("k > 2").select("key", "k", "id").join(roots, F.col("id") == F.col("node"), "left")
-    wide = wide.select("key", "k", "id", F.coalesce("root", "id").alias("root"))
-    mixed = wide.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("k").alias("rows")).where("lo < hi")
-    open_ = attach(wide, materialise(mixed.select("key", "rows")), "key", "rows").where("rows is not null")
-    lists = open_.groupBy("id", "root").agg(F.collect_list(F.struct(F.col("key").alias("token"), "k")).alias("lists"))
-    rest = scan_lists(reps.select("id", "n", "near", "far").join(lists, "id"), percent, all_pairs=True)
-    rest = materialise(rest.select("a", "b").distinct().join(edges, ["a", "b"], "left_anti"))
+    for turn in range(1, TURNS):
+        open_, centres = mixed(members, roots, turn)
+        met = attach(open_, centres, "key", "rows").where("root <> centre_root and " + near("n", "centre_n", percent))
+        more = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
+        more = materialise(more)
+        if more.isEmpty():
+            break
+        edges = materialise(edges.unionByName(more))
+        found = materialise(found.unionByName(confirmed(docs, possible(more, reps, percent), reps, size, percent, doc_id, text)))
+        roots = components(found)
+
+    open_, centres = mixed(members, roots, TURNS)
+    left = attach(open_, centres.select("key", "rows"), "key", "rows").where("rows is not null").select("key", "k", "id", "root")
+    rest = materialise(across(left, reps, percent).join(edges, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
     return components(found.unionByName(confirmed(docs, rest, reps, size, percent, doc_id, text)))
