@@ -48,7 +48,7 @@ def test_query_without_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_stages_return_documents_and_their_decisions_take_effect(spark):
