@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["lending", "tables", "testing", "synthesis", "prefix_queries", "series_queries", "modelling", "storage"]
+MODULES = ["lending", "tables", "testing", "synthesis", "prefix_queries", "recipe_queries", "series_queries", "modelling", "storage"]
 
 
 def load_catalog():

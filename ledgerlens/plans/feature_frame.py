@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import features as ft
-from ledgerlens.operators import series
+from ledgerlens.operators import prefix, recipes, series
 from ledgerlens.operators.shape import drop_leaky
 from ledgerlens.operators.skew import Slices, measure
 from ledgerlens.schemas import KEY
@@ -85,12 +85,54 @@ def issuance_frame(es: ft.EntitySet, slices: Slices | None = None) -> tuple[Data
     return frame, made
 
 
+def wide_issuance_frame(es: ft.EntitySet, slices: Slices | None = None) -> tuple[DataFrame, list[ft.Feature]]:
+    """The issuance frame, more of every table's past, and features of features. The past is written before those are made: it
+    is several windows, and they are many expressions."""
+    frame, made = issuance_frame(es, slices)
+    frame, past = with_past(frame, es, slices)
+    frame, more = composed(materialise(frame), slices)
+    return frame, [*made, *past, *more]
+
+
+#: What the wide frame adds of each table: columns whose quartiles and whose most frequent values are of interest.
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+RANKED = {"loans": ["LOAN_AMOUNT"], "sales": ["TOTAL_AMOUNT_PAID"], "purchases": ["ORDER_PRICE"]}
+COUNTED = {"sales": ["STATUS"], "purchases": ["DISCOUNT"]}
+
+
+def with_past(frame: DataFrame, es: ft.EntitySet, slices: Slices | None = None) -> tuple[DataFrame, list[ft.Feature]]:
+    """Shape, trend, runs, steps, gaps, quartiles and modes of every table's past, for each loan (see ``operators.prefix``)."""
+    made = []
+    for name, child in es.entities.items():
+        before, strict = set(frame.columns), name == es.target
+        common = {"strict": strict, "slices": slices}
+        frame = prefix.history_so_far(frame, child, KEY, child.numeric(), prefix=f"{name}_", **common)
+        for c in (c for c in COUNTED.get(name, []) if c in child.df.columns):
+            again = {f"{name}_num_unique_{c}"} & set(frame.columns)
+            frame = prefix.categories_so_far(frame.drop(*again), child, KEY, c, prefix=f"{name}_", **common)
+        for c in (c for c in RANKED.get(name, []) if c in child.df.columns):
+            frame = prefix.quantiles_so_far(frame, child, KEY, c, {f"{name}_{q}_{c}": p for q, p in QUARTILES.items()}, **common)
+        made += [ft.Feature(c, "past", (name,), c, F.col(c)) for c in frame.columns if c not in before]
+    return frame, made
+
+
+def composed(frame: DataFrame, slices: Slices | None = None) -> tuple[DataFrame, list[ft.Feature]]:
+    """Features of features of the loan's own columns (see ``operators.recipes``); what the frame already has is not made again."""
+    own = ("LOAN_AMOUNT", "TOTAL_INITIAL_AMOUNT", ISSUED, "INITIAL_DATE")
+    first = ("calendar", "unary", "pair", "time_since", "cumulative", "step")
+    arithmetic = lambda r: r.primitive in ("add", "sub", "mul", "div", "gt") and len(set(r.inputs) & set(own)) == 1
+    graph = recipes.grow(recipes.kinds(frame, own), [first, ("unary", "not", "pair")], lambda r: r.depth == 1 or r.family != "pair" or arithmetic(r))
+    missing = [r for r in graph if r.name not in frame.columns]
+    return recipes.apply(frame, missing, KEY, ORDER, slices), [ft.Feature(r.name, f"depth{r.depth}", r.inputs, r.primitive, F.col(r.name)) for r in missing]
+
+
 def build_feature_frame(
-    views: dict[str, DataFrame], cutoff: str | None = "issuance", with_series: bool = False, at: datetime | None = None, **limits
+    views: dict[str, DataFrame], cutoff: str | None = "issuance", with_series: bool = False, at: datetime | None = None, wide: bool = False, **limits
 ) -> tuple[DataFrame, DataFrame]:
     """``LOAN_ID, MAIN_SYSTEM_ID`` and features, and the definitions of the features.
 
-    ``cutoff="issuance"`` uses only what was known when the loan was issued. Heavy retailers (``limits``, see ``skew``) are
+    ``cutoff="issuance"`` uses only what was known when the loan was issued; ``wide`` adds more of the past and features of
+    features, more than a thousand columns in all. Heavy retailers (``limits``, see ``skew``) are
     measured once and set apart at the input: the chain of windows is planned once for the light and once for the heavy
     rows, and both are put together at the end. ``cutoff=None`` aggregates the whole history, with ages counted to ``at``, by
     default the newest time in the tables (an eager job); ``with_series`` adds time-series features of each retailer's order
@@ -101,12 +143,13 @@ def build_feature_frame(
     es = entity_set(views)
     if cutoff == "issuance":
         slices = measured(es, **limits)
+        build = wide_issuance_frame if wide else issuance_frame
         if slices is None:
-            frame, made = issuance_frame(es)
+            frame, made = build(es)
         else:
             hot = F.broadcast(slices.hot)
-            light, made = issuance_frame(es.restricted(hot, "left_anti"))
-            frame = light.unionByName(issuance_frame(es.restricted(hot, "left_semi"), slices.alone())[0])
+            light, made = build(es.restricted(hot, "left_anti"))
+            frame = light.unionByName(build(es.restricted(hot, "left_semi"), slices.alone())[0])
         return frame.drop(ISSUED, "INITIAL_DATE"), ft.feature_defs(frame.sparkSession, made)
     loans = es.entities["loans"].df
     if at is None:
