@@ -169,16 +169,19 @@ def closed(wanted: Iterable[Recipe], recipes: Iterable[Recipe]) -> list[Recipe]:
     return sorted(need.values(), key=lambda r: (r.depth, r.name))
 
 
-def _feature(recipe: Recipe) -> ft.Feature:
-    made = FAMILIES[recipe.family].made(*recipe.inputs)
-    return next(f for f in made if f.params == recipe.primitive)._replace(name=recipe.name)
+def _features(recipes: Sequence[Recipe]) -> list[ft.Feature]:
+    """What computes the recipes; those of one family over the same columns are made together."""
+    asked: dict[tuple, dict[str, Recipe]] = {}
+    for r in recipes:
+        asked.setdefault((r.family, r.inputs), {})[r.primitive] = r
+    return [f._replace(name=of[f.params].name) for (family, inputs), of in asked.items() for f in FAMILIES[family].made(*inputs) if f.params in of]
 
 
 def apply(df: DataFrame, recipes: Sequence[Recipe], key: str, order: str | Sequence[str], slices: Slices | None = None) -> DataFrame:
     """The frame with the columns of all recipes. Ordered primitives run along ``order`` within ``key``."""
     for level in sorted({r.depth for r in recipes}):
         now = [r for r in recipes if r.depth == level]
-        plain = [_feature(r) for r in now if r.family not in ORDERED]
+        plain = _features([r for r in now if r.family not in ORDERED])
         before = df.columns
         for family in ORDERED:
             for c in dict.fromkeys(r.inputs[0] for r in now if r.family == family):
