@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import exact
+from ledgerlens.operators.moments import named_pairs
 from ledgerlens.operators.quantiles import quantiles
+from ledgerlens.operators.selection import maybe_unique
 from ledgerlens.operators.skew import AUTO, HOT_ROWS, measure, resolve, running
 from ledgerlens.operators.temporal import measure_sides
 from ledgerlens.schemas import KEY
@@ -105,55 +107,29 @@ def column_histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataF
     return placed.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pearson(a: str, b: str) -> Column:
-    """Correlation as an aggregate; NULL when either column is constant."""
-    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns (``a`` before ``b``) over rows where both are known.
-
-    One pass: all pairs are aggregates of the same scan, nothing but the moments is shuffled.
-    """
-    columns = list(columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    frames = []
-    for start in range(0, len(pairs), 200):
-        batch = pairs[start : start + 200]
-        row = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(batch)])
-        structs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(batch)]
-        frames.append(row.select(F.inline(F.array(*structs))))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    """Pearson correlation of every pair of columns (``a`` before ``b``) over rows where both are known, from one scan."""
+    return named_pairs(df, list(columns))
 
 
 def alerts(df: DataFrame, columns: Sequence[str], max_null: float = 0.25, max_zero: float = 0.25, max_corr: float = 0.95) -> DataFrame:
     """Findings per column: constant, unique, mostly missing, many zeros, highly correlated with another column."""
     columns = list(columns)
-    pairs = long_form(df, columns)
-    values = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    known = F.col("value").isNotNull()
-    facts = values.groupBy("column").agg(
-        F.sum("c").alias("rows"),
-        F.sum(F.when(known, F.col("c")).otherwise(0)).alias("n"),
-        F.count("value").alias("distinct"),
-        F.sum(F.when(F.col("value") == 0, F.col("c")).otherwise(0)).alias("zeros"),
-    )
-    findings = {
-        "constant": F.col("distinct") == 1,
-        "unique": (F.col("distinct") == F.col("n")) & (F.col("n") > 1),
-        "missing": (F.col("rows") - F.col("n")) / F.col("rows") >= max_null,
-        "zeros": F.col("zeros") / F.col("rows") >= max_zero,
-    }
-    rows = F.array(*[F.when(cond, F.lit(name)) for name, cond in findings.items()])
-    single = facts.select("column", F.explode(F.array_compact(rows)).alias("alert"))
+    facts, unique = maybe_unique(df, columns)
+    found = []
+    for c in columns:
+        f = facts[c]
+        share = lambda n: f["rows"] > 0 and n / f["rows"]  # noqa: B023, E731
+        findings = {
+            "constant": f["constant"],
+            "unique": c in unique and f["n"] > 1,
+            "missing": f["rows"] > 0 and share(f["rows"] - f["n"]) >= max_null,
+            "zeros": f["rows"] > 0 and share(f["zeros"]) >= max_zero,
+        }
+        found += [(c, name) for name, there in findings.items() if there]
+    single = df.sparkSession.createDataFrame(found, "column string, alert string")
     related = correlation_pairs(df, columns).where(F.abs("corr") >= max_corr)
-    pairwise = related.select(F.col("b").alias("column"), F.concat(F.lit("correlated with "), "a").alias("alert"))
-    return single.unionByName(pairwise)
+    return single.unionByName(related.select(F.col("b").alias("column"), F.concat(F.lit("correlated with "), "a").alias("alert")))
 
 
 def activity(df: DataFrame, entity: str, ts: str, grain: str, top: int) -> DataFrame:

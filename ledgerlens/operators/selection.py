@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.operators.features import BATCH
+from ledgerlens.operators.moments import pair_correlations
 from ledgerlens.operators.shape import split_columns
 
 
@@ -47,56 +46,68 @@ def removal_report(facts: DataFrame, max_null: float = 0.25) -> DataFrame:
     )
 
 
+#: A column can only have all different values if the estimate of their number (one per cent is its deviation) is near the count.
+NEARLY = 0.9
+
+
+def maybe_unique(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, dict], list[str]]:
+    """Counts per column, and the columns whose values are all different, exactly.
+
+    One scan counts, takes extremes and estimates distinct values; only columns for which the estimate leaves the question open
+    are grouped by value, and of those only repeated values would be shuffled further.
+    """
+    facts: dict[str, dict] = {}
+    for start in range(0, len(columns), BATCH // 5):
+        batch = columns[start : start + BATCH // 5]
+        exprs = [F.count(F.lit(1)).alias("_rows")]
+        for i, c in enumerate(batch):
+            x = F.col(f"`{c}`")
+            exprs += [F.count(x).alias(f"n{i}"), (F.min(x) == F.max(x)).alias(f"c{i}"), F.approx_count_distinct(x, 0.01).alias(f"d{i}")]
+            zero = (x == 0).cast("int") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(0)
+            exprs.append(F.sum(zero).cast("long").alias(f"z{i}"))
+        row = df.agg(*exprs).first()
+        for i, c in enumerate(batch):
+            facts[c] = {"rows": row["_rows"], "n": row[f"n{i}"], "constant": bool(row[f"c{i}"]), "zeros": row[f"z{i}"] or 0, "about": row[f"d{i}"]}
+    open_ = [c for c in columns if facts[c]["n"] > 0 and facts[c]["about"] >= NEARLY * facts[c]["n"]]
+    if not open_:
+        return facts, []
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in open_])))
+    repeated = values.where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("column").distinct()
+    twice = {r["column"] for r in repeated.collect()}  # one row per column
+    return facts, [c for c in open_ if c not in twice]
+
+
 def low_signal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns with one value, and columns whose values are all different."""
-    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])))
-    counts = values.where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    facts = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n"))
-    kind = F.when(F.col("distinct") == 1, "constant").when(F.col("distinct") == F.col("n"), "identifier")
-    return facts.select("column", kind.alias("signal")).where("signal IS NOT NULL")
+    facts, unique = maybe_unique(df, list(columns))
+    rows = [(c, "constant") for c in columns if facts[c]["constant"]] + [(c, "identifier") for c in unique if not facts[c]["constant"]]
+    return df.sparkSession.createDataFrame(rows, "column string, signal string")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Pearson correlation of every pair of columns over the rows where both are known; NaN where one is constant.
 
-    One pass whatever the number of columns: each task folds its rows into the four moment matrices, the rows of these
-    are summed by Spark, and only columns x columns numbers reach the driver.
+    For as many columns as a matrix on the driver can have; ``moments.pair_correlations`` keeps the pairs in Spark.
     """
-    columns = list(columns)
-    p = len(columns)
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    means = []
-    for start in range(0, p, BATCH):  # centring first keeps the subtraction of moments accurate
-        row = numbers.agg(*[F.avg(f"x{i}") for i in range(start, min(p, start + BATCH))]).first()
-        means += [0.0 if m is None else m for m in row]
-    center = np.array(means)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xx, xm, qm, mm = (np.zeros((p, p)) for _ in range(4))
-        for batch in batches:
-            raw = batch.to_numpy(dtype=float)
-            known = ~np.isnan(raw)
-            x, m = np.where(known, raw - center, 0.0), known.astype(float)
-            xx += x.T @ x
-            xm += x.T @ m
-            qm += (x * x).T @ m
-            mm += m.T @ m
-        yield pd.DataFrame({"i": range(p), "xx": list(xx), "xm": list(xm), "qm": list(qm), "mm": list(mm)})
-
-    array = "array<double>"
-    parts = numbers.mapInPandas(fold, f"i int, xx {array}, xm {array}, qm {array}, mm {array}")
-    sums = parts.groupBy("i").agg(*[vector_to_array(Summarizer.sum(array_to_vector(F.col(c)))).alias(c) for c in ("xx", "xm", "qm", "mm")])
-    xx, xm, qm, mm = (np.zeros((p, p)) for _ in range(4))
-    for row in sums.toLocalIterator():
-        xx[row["i"]], xm[row["i"]], qm[row["i"]], mm[row["i"]] = row["xx"], row["xm"], row["qm"], row["mm"]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cov = xx - xm * xm.T / mm
-        var = qm - xm * xm / mm
-        tiny = 1e-12 * np.where(qm > 0, qm, 1.0)
-        corr = cov / np.sqrt(np.where(var > tiny, var, np.nan) * np.where(var > tiny, var, np.nan).T)
+    corr = np.full((len(columns), len(columns)), np.nan)
+    for row in pair_correlations(df, list(columns)).toLocalIterator():
+        if row["corr"] is not None:
+            corr[row["i"], row["j"]] = corr[row["j"], row["i"]] = row["corr"]
+    own = column_facts(df, list(columns)).where("not constant and non_null > 0").collect()
+    for name in {r["column"] for r in own}:
+        i = list(columns).index(name)
+        corr[i, i] = 1.0
     return corr
 
 
+def strong_pairs(df: DataFrame, columns: Sequence[str], limit: float) -> np.ndarray:
+    """Which pairs of columns are correlated by ``limit`` at least; only those reach the driver."""
+    strong = np.zeros((len(columns), len(columns)), dtype=bool)
+    for row in pair_correlations(df, columns).where(F.abs("corr") >= limit).collect():
+        strong[row["i"], row["j"]] = strong[row["j"], row["i"]] = True
+    return strong
+
+
 def correlated_drops(corr: np.ndarray, columns: Sequence[str], limit: float = 0.95) -> list[str]:
     """Columns to drop so that no kept pair reaches ``limit``; the earlier column of a pair stays."""
     kept, dropped = [], []
@@ -140,7 +151,7 @@ def select_features(df: DataFrame, ids: Sequence[str], max_null: float = 0.25, m
     _, numeric = split_columns(df.select(*[F.col(f"`{c}`") for c in columns]), [c for c, t in df.dtypes if t.startswith(("timestamp", "date"))])
     candidates = [c for c in numeric if c not in reasons]
     if len(candidates) > 1:
-        for c in correlated_drops(correlation_matrix(df, candidates), candidates, max_corr):
+        for c in correlated_drops(strong_pairs(df, candidates, max_corr), candidates, 1.0):
             reasons[c] = "highly_correlated"
     report = df.sparkSession.createDataFrame([(c, c not in reasons, reasons.get(c)) for c in columns], "column string, kept boolean, reason string")
     return df.drop(*reasons), report
