@@ -46,8 +46,8 @@ def removal_report(facts: DataFrame, max_null: float = 0.25) -> DataFrame:
     )
 
 
-#: A column can only have all different values if the estimate of their number (one per cent is its deviation) is near the count.
-NEARLY = 0.9
+#: A column can only have all different values if the estimate of their number (five per cent is its deviation) is near the count.
+NEARLY = 0.7
 
 
 def maybe_unique(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, dict], list[str]]:
@@ -62,7 +62,7 @@ def maybe_unique(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, dict]
         exprs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(batch):
             x = F.col(f"`{c}`")
-            exprs += [F.count(x).alias(f"n{i}"), (F.min(x) == F.max(x)).alias(f"c{i}"), F.approx_count_distinct(x, 0.01).alias(f"d{i}")]
+            exprs += [F.count(x).alias(f"n{i}"), (F.min(x) == F.max(x)).alias(f"c{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
             zero = (x == 0).cast("int") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(0)
             exprs.append(F.sum(zero).cast("long").alias(f"z{i}"))
         row = df.agg(*exprs).first()
