@@ -36,7 +36,7 @@ def r(expr, name, digits=6):
 S = """s AS (SELECT MAIN_SYSTEM_ID AS k, ORDER_CREATION_DATE AS t, ORDER_PRICE AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY MAIN_SYSTEM_ID) AS n,
 avg(ORDER_PRICE) OVER (PARTITION BY MAIN_SYSTEM_ID) AS mu, stddev_pop(ORDER_PRICE) OVER (PARTITION BY MAIN_SYSTEM_ID) AS sd,
 min(ORDER_PRICE) OVER (PARTITION BY MAIN_SYSTEM_ID) AS lo, max(ORDER_PRICE) OVER (PARTITION BY MAIN_SYSTEM_ID) AS hi,
-lag(ORDER_PRICE) OVER w AS b1, lag(ORDER_PRICE, 2) OVER w AS b2, lag(ORDER_PRICE, 3) OVER w AS b3, lag(ORDER_PRICE, 4) OVER w AS b4, lag(ORDER_PRICE, 6) OVER w AS b6,
+lag(ORDER_PRICE) OVER w AS b1, lag(ORDER_PRICE, 2) OVER w AS b2, lag(ORDER_PRICE, 3) OVER w AS b3, lag(ORDER_PRICE, 4) OVER w AS b4, lag(ORDER_PRICE, 5) OVER w AS b5, lag(ORDER_PRICE, 6) OVER w AS b6,
 lead(ORDER_PRICE) OVER w AS a1, lead(ORDER_PRICE, 2) OVER w AS a2
 FROM purchases WINDOW w AS (PARTITION BY MAIN_SYSTEM_ID ORDER BY ORDER_CREATION_DATE, ORDER_ID))"""
 DISCOUNTS = S.replace("ORDER_PRICE", "DISCOUNT")
@@ -176,22 +176,30 @@ FROM (SELECT k, any_value(n) AS n, {', '.join(f'{_auto(i)} AS z{i}' for i in (1,
 def _(spark, sf_dir):
     p = orders(spark, sf_dir)
     out = ts.lag_statistics(p, KEY, ORDER, VALUE, slices=measure(p, KEY, TS))
-    out = out.drop("partial_autocorrelation_3", *[c for c in out.columns if c.startswith("ar_")])
+    out = out.drop(*[f"partial_autocorrelation_{k}" for k in (3, 4, 5)], *[c for c in out.columns if c.startswith("ar_")])
     big = [c for c in out.columns if c.startswith(("c3", "time_rev"))]
     return neat(out.select(*[F.round(c, 4).alias(c) if c in big else c for c in out.columns]))
 
 
-_AC = ", ".join(f"coalesce(sum((x - mu) * (b{i} - mu)), 0) / nullif(any_value(n * sd * sd), 0) AS r{i}" for i in (1, 2, 3))
+_LAGS = 5
+_AC = ", ".join(f"coalesce(sum((x - mu) * (b{i} - mu)), 0) / nullif(any_value(n * sd * sd), 0) AS r{i}" for i in range(1, _LAGS + 1))
+
+
+def _recursion(k):
+    """SQL of the predictors f{k}_1 .. f{k}_{k} of order k from those of order k - 1; the last is the partial autocorrelation."""
+    if k == 1:
+        return f"SELECT *, r1 AS f1_1 FROM (SELECT k, any_value(n) AS n, {_AC} FROM s GROUP BY 1)"
+    top = "".join(f" - f{k - 1}_{j} * r{k - j}" for j in range(1, k))
+    bottom = "".join(f" - f{k - 1}_{j} * r{j}" for j in range(1, k))
+    last = f"SELECT *, (r{k}{top}) / nullif(1{bottom}, 0) AS f{k}_{k} FROM ({_recursion(k - 1)})"
+    return f"SELECT *, {', '.join(f'f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} AS f{k}_{j}' for j in range(1, k))} FROM ({last})"
 
 
 @query(
     "t7f_partial_autocorrelation",
     sql(
-        f"""SELECT k AS MAIN_SYSTEM_ID, {r('CASE WHEN n > 1 THEN p1 END', 'partial_autocorrelation_1')}, {r('CASE WHEN n > 2 THEN p2 END', 'partial_autocorrelation_2')},
-{r('CASE WHEN n > 3 THEN p3 END', 'partial_autocorrelation_3')}, {r('CASE WHEN n > 3 THEN a21 - p3 * p2 END', 'ar_coefficient_1')}, {r('CASE WHEN n > 3 THEN p2 - p3 * a21 END', 'ar_coefficient_2')},
-{r('CASE WHEN n > 3 THEN p3 END', 'ar_coefficient_3')}
-FROM (SELECT *, (r3 - a21 * r2 - p2 * r1) / nullif(1 - a21 * r1 - p2 * r2, 0) AS p3 FROM (SELECT *, r1 - p2 * r1 AS a21 FROM (SELECT *, r1 AS p1, (r2 - r1 * r1) / nullif(1 - r1 * r1, 0) AS p2
-FROM (SELECT k, any_value(n) AS n, {_AC} FROM s GROUP BY 1))))"""
+        f"""SELECT k AS MAIN_SYSTEM_ID, {', '.join(r(f'CASE WHEN n > {k} THEN f{k}_{k} END', f'partial_autocorrelation_{k}') for k in range(1, _LAGS + 1))},
+{', '.join(r(f'CASE WHEN n > {_LAGS} THEN f{_LAGS}_{j} END', f'ar_coefficient_{j}') for j in range(1, _LAGS + 1))} FROM ({_recursion(_LAGS)})"""
     ),
 )
 def _(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog.lending import _asof_sql, _frame, _volume_sql
@@ -119,19 +121,28 @@ def _(spark, sf_dir):
 ROUNDS = 1000
 _WEIGHT = (
     "CASE "
-    + " ".join(f"WHEN u < {bound!r}::DOUBLE THEN {k}" for k, bound in enumerate(h.poisson_thresholds()))
+    + " ".join(f"WHEN u < {math.ceil(bound * 2**53)} THEN {k}" for k, bound in enumerate(h.poisson_thresholds()))
     + f" ELSE {len(h.poisson_thresholds())} END"
 )
-_BOOT = f"""t AS (SELECT r.round::INTEGER AS round, l.LOAN_AMOUNT AS x,
-  ('0x' || substr(md5(l.LOAN_ID || '|' || r.round // {h.DRAWS}), 1 + {h.DIGITS} * (r.round % {h.DRAWS}), {h.DIGITS}))::UBIGINT / {float(16**h.DIGITS)!r}::DOUBLE AS u
-  FROM loans l CROSS JOIN (SELECT unnest(range({ROUNDS})) AS round) r),
-b AS (SELECT round, sum({_WEIGHT})::BIGINT AS weight, sum((x * {_WEIGHT})::VARCHAR::DECIMAL(28,10))::VARCHAR::DOUBLE AS total FROM t GROUP BY 1)"""
 
 
-@query("h3_poisson_bootstrap", with_views("SELECT round, weight, total, round(total / weight, 6) AS mean FROM b", _BOOT, names="loans"))
+def _mixed(z):
+    """The 64-bit mixer in arithmetic of 128 bits."""
+    for shift, factor in h.MIXERS:
+        z = f"SELECT round, x, (xor(z, z >> {shift}) * {factor}::UHUGEINT) & {(1 << 64) - 1}::UHUGEINT AS z FROM ({z})"
+    return f"SELECT round, x, (xor(z, z >> {h.LAST_SHIFT}) >> 11)::UBIGINT AS u FROM ({z})"
+
+
+_SEEDS = f"""SELECT r.round::INTEGER AS round, l.LOAN_AMOUNT AS x, (('0x' || substr(md5(l.LOAN_ID::VARCHAR), 1, 16))::UBIGINT::UHUGEINT
+  + (r.round + 1)::UHUGEINT * {h.STEP}::UHUGEINT) & {(1 << 64) - 1}::UHUGEINT AS z
+  FROM loans l CROSS JOIN (SELECT unnest(range({ROUNDS})) AS round) r"""
+_BOOT = f"""b AS (SELECT round, sum({_WEIGHT})::BIGINT AS weight, sum(x * {_WEIGHT}) AS total FROM ({_mixed(_SEEDS)}) GROUP BY 1)"""
+
+
+@query("h3_poisson_bootstrap", with_views("SELECT round, weight, round(total, 4) AS total, round(total / weight, 6) AS mean FROM b", _BOOT, names="loans"))
 def _(spark, sf_dir):
     rounds = h.poisson_bootstrap(load_views(spark, sf_dir)["loans"], "LOAN_ID", "LOAN_AMOUNT", ROUNDS)
-    return rounds.select("round", "weight", "total", F.round("mean", 6).alias("mean"))
+    return rounds.select("round", "weight", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
 
 
 @query(

@@ -8,10 +8,10 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exact import exact_sum
 from ledgerlens.operators.skew import AUTO, Slices
 from ledgerlens.operators.temporal import asof_join
 from ledgerlens.schemas import KEY
@@ -97,45 +97,53 @@ def poisson_thresholds(upto: int = 20) -> list[float]:
     return [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(upto)]
 
 
-#: Digits of a draw, and how many draws one hash gives.
-DIGITS, DRAWS = 13, 2
+#: Fixed values of a 64-bit mixer: the step from one round to the next, and two multipliers with the shifts before them.
+STEP, MIXERS, LAST_SHIFT = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)), 31
+#: Rows that are weighed at once.
+CHUNK = 1024
 
 
-def _digest(key: Column, pair: Column) -> Column:
-    return F.md5(F.concat_ws("|", key.cast("string"), pair.cast("string")))
-
-
-def _draw(digest: Column, round_: Column) -> Column:
-    """The part of a digest that belongs to the round, as a number in [0, 1) with 52 bits."""
-    return F.conv(F.substring(digest, round_ % DRAWS * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("double") / F.lit(float(16**DIGITS))
-
-
-def uniform_hash(key: Column, round_: Column) -> Column:
-    """A number in [0, 1) that depends only on the row key and the round, so a retried task repeats it."""
-    return _draw(_digest(key, F.floor(round_ / DRAWS)), round_)
-
-
-def poisson_weight(u: Column) -> Column:
-    """The Poisson(1) value at cumulative probability ``u``."""
-    weight = F.lit(len(poisson_thresholds()))
-    for k, bound in reversed(list(enumerate(poisson_thresholds()))):
-        weight = F.when(u < bound, k).otherwise(weight)
-    return weight
+def round_weights(base: np.ndarray, rounds: int) -> np.ndarray:
+    """Poisson(1) weights, a row per round and a column per 64-bit number; they depend on nothing else, so a retried task
+    repeats them."""
+    with np.errstate(over="ignore"):
+        z = base[None, :] + np.arange(1, rounds + 1, dtype=np.uint64)[:, None] * np.uint64(STEP)
+        for shift, factor in MIXERS:
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(LAST_SHIFT)
+    bounds = np.array([math.ceil(p * 2**53) for p in poisson_thresholds()], dtype=np.uint64)
+    draws, weights = z >> np.uint64(11), np.zeros(z.shape)
+    for bound in bounds:
+        reached = draws >= bound
+        if not reached.any():
+            break
+        weights += reached
+    return weights
 
 
 def poisson_bootstrap(df: DataFrame, key: str, value: str, rounds: int = 1000) -> DataFrame:
-    """Weighted mean and sum of ``value`` per bootstrap round.
+    """Weighted mean and sum of ``value`` per bootstrap round; rows without a value have no weight.
 
-    Rounds are expanded inside the scan and folded by the partial aggregation, so only one row per round and task is
-    shuffled. A weight depends only on the row's key and the round, so a retried task repeats it; one hash serves two
-    rounds. The work is rows times rounds by nature; 1,000 rounds over a million rows are a billion short projections.
+    A row's key is hashed once, and its weights in all rounds come from that number by a few multiplications over whole
+    batches. Each task sums all rounds of its rows, so one row per round and task is shuffled.
     """
-    pairs = df.select(F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // DRAWS))).alias("_p"))
-    hashed = pairs.select("_x", "_p", _digest(F.col("_k"), F.col("_p")).alias("_h"))
-    trials = hashed.select("_x", "_h", F.explode(F.array(*[F.col("_p") * DRAWS + i for i in range(DRAWS)])).alias("round")).where(F.col("round") < rounds)
-    weighed = trials.select("round", "_x", _draw(F.col("_h"), F.col("round")).alias("_u")).select("round", "_x", poisson_weight(F.col("_u")).alias("_w"))
-    sums = weighed.groupBy("round").agg(F.sum(F.when(F.col("_x").isNotNull(), F.col("_w"))).alias("weight"), exact_sum(F.col("_x") * F.col("_w")).alias("total"))
-    return sums.select("round", "weight", "total", F.try_divide("total", "weight").alias("mean"))
+    base = F.unhex(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 16))
+    rows = df.select(base.alias("h"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype(np.uint64)
+            values = batch.column(1).to_numpy()
+            for i in range(0, len(keys), CHUNK):
+                w = round_weights(keys[i : i + CHUNK], rounds)
+                weight += w.sum(axis=1)
+                total += w @ values[i : i + CHUNK]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds), pa.int32()), pa.array(weight.astype(np.int64)), pa.array(total)], names=["round", "weight", "total"])
+
+    parts = rows.mapInArrow(weigh, "round int, weight long, total double")
+    sums = parts.groupBy("round").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    return sums.select("round", "weight", "total", F.try_divide("total", F.col("weight").cast("double")).alias("mean"))
 
 
 def percentile_interval(df: DataFrame, col: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

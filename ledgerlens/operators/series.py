@@ -240,26 +240,33 @@ def positions(df: DataFrame, key: str, order: Sequence[str], value: str, m: floa
     return apart(df, plan, slices)
 
 
-def _durbin_levinson(r: Sequence[Column]) -> list[list[Column]]:
-    """Coefficient rows phi[k][1..k] of the best linear predictors, from autocorrelations r[1], r[2], ..."""
-    phi: list[list[Column]] = []
-    for k in range(1, len(r) + 1):
+#: The largest lag of the partial autocorrelation.
+PARTIAL = 5
+
+
+def _predictors(facts: DataFrame, order: int) -> DataFrame:
+    """Add ``_f{k}_1 .. _f{k}_{k}``, the coefficients of the best linear predictors of each order k, from autocorrelations ``_r1, _r2, ..``
+    (Durbin-Levinson). Each order is a projection of its own: it names the order before many times."""
+    total = lambda terms: reduce(lambda a, b: a + b, terms)
+    for k in range(1, order + 1):
         if k == 1:
-            phi.append([r[0]])
+            facts = facts.withColumn("_f1_1", F.col("_r1"))
             continue
-        prev = phi[-1]
-        top = r[k - 1] - reduce(lambda a, b: a + b, [prev[j] * r[k - 2 - j] for j in range(k - 1)])
-        bottom = 1 - reduce(lambda a, b: a + b, [prev[j] * r[j] for j in range(k - 1)])
-        last = F.try_divide(top, bottom)
-        phi.append([prev[j] - last * prev[k - 2 - j] for j in range(k - 1)] + [last])
-    return phi
+        before = [F.col(f"_f{k - 1}_{j}") for j in range(1, k)]
+        top = F.col(f"_r{k}") - total([f * F.col(f"_r{k - j}") for j, f in enumerate(before, 1)])
+        bottom = 1 - total([f * F.col(f"_r{j}") for j, f in enumerate(before, 1)])
+        last = F.col(f"_f{k}_{k}")
+        facts = facts.withColumn(f"_f{k}_{k}", F.try_divide(top, bottom))
+        facts = facts.withColumns({f"_f{k}_{j}": f - last * before[k - 1 - j] for j, f in enumerate(before, 1)})
+    return facts
 
 
-def _lag_exprs(lags: int = 3, partial: int = 3) -> list[Column]:
+def _lag_exprs(lags: int = 3, partial: int = PARTIAL) -> list[Column]:
     x, mu, exprs = F.col("x"), F.col("mu"), []
     for lag in range(1, max(lags, partial) + 1):
         cross = F.sum((x - mu) * (F.col(f"b{lag}") - mu))
-        exprs.append(F.try_divide(cross, (F.max("n") - lag) * F.max("sd") * F.max("sd")).alias(f"autocorrelation_{lag}"))
+        if lag <= lags:
+            exprs.append(F.try_divide(cross, (F.max("n") - lag) * F.max("sd") * F.max("sd")).alias(f"autocorrelation_{lag}"))
         exprs.append(F.try_divide(F.coalesce(cross, F.lit(0.0)), F.max("n") * F.max("sd") * F.max("sd")).alias(f"_r{lag}"))
     for lag in range(1, lags + 1):
         p, q = F.col(f"b{lag}"), F.col(f"b{2 * lag}")
@@ -268,31 +275,31 @@ def _lag_exprs(lags: int = 3, partial: int = 3) -> list[Column]:
     return exprs
 
 
-def _lag_finish(lags: int = 3, partial: int = 3) -> list[Column]:
-    """Mean and variance over lags and the predictors, from the aggregates of ``_lag_exprs`` and ``_n``."""
+def _lag_finish(lags: int = 3, partial: int = PARTIAL) -> list[Column]:
+    """Mean and variance over lags and the predictors, from the aggregates of ``_lag_exprs``, ``_n`` and ``_predictors``."""
     auto = [F.col(f"autocorrelation_{i}") for i in range(1, lags + 1)]
     known = reduce(lambda a, b: a + b, [F.coalesce(a, F.lit(0.0)) for a in auto])
     count = reduce(lambda a, b: a + b, [flag(a.isNotNull()) for a in auto])
     squares = reduce(lambda a, b: a + b, [F.coalesce(a * a, F.lit(0.0)) for a in auto])
     mean = F.try_divide(known, count)
-    phi = _durbin_levinson([F.col(f"_r{i}") for i in range(1, partial + 1)])
     reach = F.col("_n") > F.lit(partial)
     return [
         mean.alias("autocorrelation_mean"),
         (F.try_divide(squares, count) - mean * mean).alias("autocorrelation_var"),
-        *[F.when(F.col("_n") > k + 1, row[-1]).alias(f"partial_autocorrelation_{k + 1}") for k, row in enumerate(phi)],
-        *[F.when(reach, c).alias(f"ar_coefficient_{j + 1}") for j, c in enumerate(phi[-1])],
+        *[F.when(F.col("_n") > k, F.col(f"_f{k}_{k}")).alias(f"partial_autocorrelation_{k}") for k in range(1, partial + 1)],
+        *[F.when(reach, F.col(f"_f{partial}_{j}")).alias(f"ar_coefficient_{j}") for j in range(1, partial + 1)],
     ]
 
 
-def lag_statistics(df: DataFrame, key: str, order: Sequence[str], value: str, lags: int = 3, partial: int = 3, slices: Slices | None = None) -> DataFrame:
+def lag_statistics(df: DataFrame, key: str, order: Sequence[str], value: str, lags: int = 3, partial: int = PARTIAL, slices: Slices | None = None) -> DataFrame:
     """Autocorrelation and its mean and variance over lags, partial autocorrelation, autoregressive coefficients
     (Yule-Walker), c3 and time reversal asymmetry. Lags a series does not have are NULL."""
 
     def plan(df: DataFrame, slices: Slices | None) -> DataFrame:
         placed = _placed(df, key, order, value, max(lags, partial, 2 * lags), 0, slices)
         facts = attach(placed, _stats(df, key, value), key, slices).groupBy(key).agg(*_lag_exprs(lags, partial), F.max("n").alias("_n"))
-        return facts.select(*[c for c in facts.columns if not c.startswith("_")], *_lag_finish(lags, partial))
+        shown = [c for c in facts.columns if not c.startswith("_")]
+        return _predictors(facts, partial).select(*shown, *_lag_finish(lags, partial))
 
     return apart(df, plan, slices)
 
@@ -431,7 +438,8 @@ def _one_pass(df: DataFrame, key: str, order: Sequence[str], value: str, slices:
         level = rows.groupBy(key).agg(F.max("median").alias("median"), *_moment_exprs(), *_threshold_exprs(), *_change_exprs(), *_position_exprs())
         course = rows.groupBy(key).agg(F.max("n").alias("_n"), *_lag_exprs(), *_trend_exprs(ts), *_fourier_exprs())
         wide = level.join(course, key)
-        done = wide.select(*[c for c in wide.columns if not c.startswith("_")], _symmetry("median"), *_lag_finish(), *_fourier_finish())
+        shown = [c for c in wide.columns if not c.startswith("_")]
+        done = _predictors(wide, PARTIAL).select(*shown, _symmetry("median"), *_lag_finish(), *_fourier_finish())
         others = [_strikes(rows, key, slices), _chunk_trends(rows, key), _order_patterns(rows, key)]
         return reduce(lambda a, b: a.join(b, key, "left"), [done, *others])
 

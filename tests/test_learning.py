@@ -217,10 +217,24 @@ def test_bootstrap_interval_has_the_right_moments(spark):
     assert tuple(h.bootstrap_share_ci(hits, rounds=1000).first()) == tuple(row)  # repeatable
 
 
-def test_poisson_weights_have_mean_and_variance_one(spark):
-    draws = spark.range(20_000).select(h.poisson_weight(h.uniform_hash(F.col("id"), F.lit(3))).alias("w"))
-    row = draws.agg(F.avg("w"), F.var_pop("w")).first()
-    assert row[0] == pytest.approx(1.0, abs=0.03) and row[1] == pytest.approx(1.0, abs=0.05)
+def test_poisson_weights_have_mean_and_variance_one():
+    base = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    w = h.round_weights(base, 200)
+    assert w.mean() == pytest.approx(1.0, abs=0.005) and w.var() == pytest.approx(1.0, abs=0.01)
+    assert abs(np.corrcoef(w[:50])[np.triu_indices(50, 1)]).max() < 0.1  # rounds do not depend on each other
+    assert (h.round_weights(base[:7], 200) == w[:, :7]).all()  # a row weighs the same in any batch
+    counts = np.bincount(w.astype(int).ravel(), minlength=4)[:4] / w.size
+    assert counts == pytest.approx(np.exp(-1) / np.array([1, 1, 2, 6]), abs=0.002)
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else float(i % 13)) for i in range(3000)], "k long, x double")
+    one, many = (h.poisson_bootstrap(rows.repartition(n), "k", "x", 50).orderBy("round").collect() for n in (1, 9))
+    assert [(r["round"], r["weight"]) for r in one] == [(r["round"], r["weight"]) for r in many]
+    assert [r["total"] for r in one] == pytest.approx([r["total"] for r in many])
+    spread = np.std([r["mean"] for r in h.poisson_bootstrap(rows, "k", "x", 400).collect()])
+    known = [i % 13 for i in range(3000) if i % 7]
+    assert spread == pytest.approx(np.std(known) / len(known) ** 0.5, rel=0.15)
 
 
 def test_verdict(spark):
