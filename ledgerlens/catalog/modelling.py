@@ -11,6 +11,7 @@ from ledgerlens.catalog.registry import query
 from ledgerlens.catalog.synthesis import _CALENDAR, _unary_sql
 from ledgerlens.catalog.views_sql import with_views
 from ledgerlens.operators import features as ft
+from ledgerlens.operators import reduction
 from ledgerlens.operators import selection, shape
 from ledgerlens.plans import feature_frame, model, reports, risk, split
 from ledgerlens.schemas import KEY
@@ -230,41 +231,86 @@ def _(spark, sf_dir):
     return split.flat_layout(split.test_rows(parted), "pca_features", fitted.stages[-1].getK())
 
 
-FEATURES = ["LOAN_AMOUNT", "m7", "s7", "m30", "s30"]
+ASIDE = ["label"]
 
 
-def learning_frame(spark, sf_dir, target):
-    """Loan amount and usual volume as a feature vector, with the label."""
-    rows = volume_frame(spark, sf_dir).select(*IDS, *FEATURES).fillna(0.0, FEATURES)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    label = shape.make_label(load_views(spark, sf_dir)["loans"], target)
-    return vectors.join(label, "LOAN_ID").select(*IDS, "LOAN_AMOUNT", "features", F.col("label").cast("double").alias("label"))
+def labelled_frame(spark, sf_dir, target):
+    """Every column of the issuance frame with the label, in a table that all fits read."""
+    v = load_views(spark, sf_dir)
+    label = shape.make_label(v["loans"], target).select("LOAN_ID", F.col("label").cast("double").alias("label"))
+    return materialise(feature_frame.build_feature_frame(v)[0].join(label, "LOAN_ID"))
 
 
 @query("m5_m6_classifier_scores")
 def _(spark, sf_dir):
-    parted = materialise(split.stratified_time_split(learning_frame(spark, sf_dir, "LOAN_NOT_PAID")))
-    booster = model.fit_classifier(split.train_rows(parted))
-    return booster.transform(split.test_rows(parted)).select("LOAN_ID", "label", "prediction", vector_to_array("probability")[1].alias("probability"))
+    """Frame, split by time, reduction learned from the training part alone, boosting that stops on the validation part."""
+    aside = ["label", "stratified_split", "split", "is_validation"]
+    parted = materialise(split.stratified_time_split(labelled_frame(spark, sf_dir, "LOAN_NOT_PAID")))
+    learned = reduction.fit(parted.where("split = 'train'").drop(*aside), IDS)
+    rows = materialise(learned.apply(parted, *aside))
+    booster = model.fit_classifier(split.train_rows(rows))
+    return booster.transform(split.test_rows(rows)).select("LOAN_ID", "label", "prediction", vector_to_array("probability")[1].alias("probability"))
 
 
 @query("m9_regression_search")
 def _(spark, sf_dir):
-    folded = split.time_folds(learning_frame(spark, sf_dir, "SPENT"))
-    return model.forward_search(folded, model.grid())[1]
+    """Forward-chained folds, each with a reduction of its own."""
+    aside = ["label", "stratified_split", "fold"]
+    folded = materialise(split.time_folds(labelled_frame(spark, sf_dir, "SPENT")))
+    return model.forward_search(model.reduced_folds(folded, IDS, aside, 5), model.grid())[1]
 
 
 @query("r5_weekly_conservative_model")
 def _(spark, sf_dir):
-    """The whole chain: fit on the earlier loans, score the later ones, decide, report by week."""
+    """The whole chain: features, selection and reduction and a forest from the earlier loans, scores of the later ones, decisions,
+    report by week."""
     v = load_views(spark, sf_dir)
-    parted = materialise(split.time_split(learning_frame(spark, sf_dir, "SPENT"), cut=0.5))
-    forest = model.candidates()["random_forest"].fit(parted.where("split = 'train'"))
-    scored = forest.transform(split.test_rows(parted)).select("LOAN_ID", F.col("prediction").alias("y_pred"))
+    aside = ["label", "stratified_split", "split"]
+    parted = materialise(split.time_split(labelled_frame(spark, sf_dir, "SPENT"), cut=0.5))
+    learned = reduction.fit(parted.where("split = 'train'").drop(*aside), IDS)
+    rows = materialise(learned.apply(parted, *aside))
+    forest = model.candidates()["random_forest"].fit(rows.where("split = 'train'"))
+    scored = forest.transform(split.test_rows(rows)).select("LOAN_ID", F.col("prediction").alias("y_pred"))
     mart = risk.risk_mart(v["loans"], v["purchases"], scored, slices=risk.heavy_retailers(v["loans"], v["purchases"]))
     return reports.weekly_policy(mart, None, "CONSERVATIVE_DECISION")
 
 
+_SCALED = ["LOAN_AMOUNT", "m7", "s7", "m30", "s30"]
+
+
+@query(
+    "s8_row_norms",
+    frame_sql(
+        "SELECT LOAN_ID, round("
+        + " + ".join(f"coalesce(power(({c} - avg({c}) OVER ()) / sqrt(var_pop({c}) OVER () * count({c}) OVER () / (count(*) OVER () - 1)), 2), 0)" for c in _SCALED)
+        + f", 6) AS norm, {len(_SCALED)}.0::DOUBLE AS total_variance FROM f"
+    ),
+)
+def _(spark, sf_dir):
+    """Squared length of each row in all components, which no choice of signs or axes changes, and the sum of their variances."""
+    frame = materialise(volume_frame(spark, sf_dir).select(*IDS, *_SCALED))
+    learned = reduction.fit(frame, IDS, k=len(_SCALED), max_null=1.1, max_corr=1.1)
+    rows = learned.apply(frame).select("LOAN_ID", vector_to_array("features").alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("LOAN_ID", F.round(norm, 6).alias("norm"), F.lit(round(float(learned.variances.sum()), 9)).alias("total_variance"))
+
+
+@query(
+    "s9_component_variances",
+    frame_sql(
+        "SELECT 'sum' AS what, round("
+        + " + ".join(f"2 * power(corr({a}, {b}), 2)" for i, a in enumerate(["LOAN_AMOUNT", "z7", "z30"]) for b in ["LOAN_AMOUNT", "z7", "z30"][i + 1 :])
+        + " + 3, 6) AS squares FROM (SELECT LOAN_AMOUNT, coalesce(m7, avg(m7) OVER ()) AS z7, coalesce(m30, avg(m30) OVER ()) AS z30 FROM f)"
+    ),
+)
+def _(spark, sf_dir):
+    """Sum of the squared component variances of filled, scaled columns: that of all squared correlations, whatever the signs.
+    Found by scans that multiply a block of vectors, without a covariance matrix."""
+    frame = materialise(volume_frame(spark, sf_dir).select(*IDS, "LOAN_AMOUNT", "m7", "m30"))
+    learned = reduction.fit(frame, IDS, k=3, max_null=1.1, max_corr=1.1, dense=0)
+    return spark.createDataFrame([("sum", round(float((learned.variances**2).sum()), 6))], "what string, squares double")
+
+
 @query(
     "m8_classification_metrics",
     with_views(

@@ -34,7 +34,8 @@ def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
 
 
-def _center(rows: DataFrame) -> np.ndarray:
+def center(rows: DataFrame) -> np.ndarray:
+    """What is subtracted from each column before its products are summed."""
     few = rows.limit(PEEK).toPandas().to_numpy(dtype=float)
     known = np.isfinite(few)
     total = np.where(known, few, 0.0).sum(axis=0)
@@ -47,10 +48,10 @@ def _stripes(blocks: int) -> list[range]:
     return [range(i, min(blocks, i + each)) for i in range(0, blocks, each)]
 
 
-def tiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``i, j, v``: for blocks i <= j of ``TILE`` columns the six sums over rows, one after the other."""
-    rows = numbers(df, columns)
-    center, p = _center(rows), len(columns)
+def tiles(df: DataFrame, columns: Sequence[str], middle: np.ndarray | None = None) -> DataFrame:
+    """``i, j, v``: for blocks i <= j of ``TILE`` columns the six sums over rows, one after the other, of values less ``middle``."""
+    rows, p = numbers(df, columns), len(columns)
+    middle = center(rows) if middle is None else middle
     blocks = -(-p // TILE)
     parts = None
     for stripe in _stripes(blocks):
@@ -61,7 +62,7 @@ def tiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for batch in batches:
                 raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]]).astype(float)
                 known = ~np.isnan(raw)
-                x, m = np.where(known, raw - center[first:], 0.0), known.astype(float)
+                x, m = np.where(known, raw - middle[first:], 0.0), known.astype(float)
                 a, b = x[:, : last - first], m[:, : last - first]
                 for s, (u, v) in zip(sums, ((a, x), (a, m), (b, x), (a * a, m), (b, x * x), (b, m))):
                     s += u.T @ v

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalar import flag
+from ledgerlens.operators import reduction
 from ledgerlens.operators.skew import measure, running
 from ledgerlens.session import materialise
 
@@ -110,20 +111,36 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
     return steps.select(F.try_divide("a", F.col("p").cast("double")).alias("average_precision"))
 
 
-def forward_search(folded: DataFrame, grid: dict[str, Estimator], label: str = "label", folds: int = 5) -> tuple[Model, DataFrame]:
+def reduced_folds(frame: DataFrame, ids: Sequence[str], aside: Sequence[str], folds: int, k: int = 10) -> list[DataFrame]:
+    """For every fold f = 1 .. ``folds`` the rows up to it as ids, the columns ``aside`` and ``features``: selection, filling, scaling and
+    components are learned from the folds before f only, so nothing of fold f or later is in them."""
+    out = []
+    for f in range(1, folds + 1):
+        upto = frame.where(F.col("fold") <= f)
+        learned = reduction.fit(upto.where(F.col("fold") < f).drop(*aside), ids, k)
+        out.append(materialise(learned.apply(upto, *aside)))
+    return out
+
+
+def forward_search(
+    folded: DataFrame | Sequence[DataFrame], grid: dict[str, Estimator], label: str = "label", folds: int = 5, whole: DataFrame | None = None
+) -> tuple[Model, DataFrame]:
     """Fit each candidate on all folds before fold f and score it on fold f, f = 1 .. ``folds``; refit the best on all.
 
-    ``folded`` has ``fold`` in time order (see ``split.time_folds``), so no model sees rows later than those it is
-    scored on. The loop runs over candidates and folds; rows stay in Spark, in a table every fit reads again.
+    ``folded`` has ``fold`` in time order (see ``split.time_folds``), so no model sees rows later than those it is scored on;
+    or it is the list of ``reduced_folds``, whose features have not seen them either, with ``whole`` to refit on. The
+    loop runs over candidates and folds; rows stay in Spark, in tables that every fit reads again.
     """
-    folded = materialise(folded)
+    if isinstance(folded, DataFrame):
+        whole = materialise(folded)
+        folded = [whole] * folds
     results = []
     for name, estimator in grid.items():
-        for f in range(1, folds + 1):
-            model = estimator.fit(folded.where(F.col("fold") < f))
-            scored = regression_metrics(model.transform(folded.where(F.col("fold") == f)), label)
+        for f, rows in enumerate(folded, 1):
+            model = estimator.fit(rows.where(F.col("fold") < f))
+            scored = regression_metrics(model.transform(rows.where(F.col("fold") == f)), label)
             results.append((name, f, *scored.first()))
-    scores = folded.sparkSession.createDataFrame(results, "model string, fold int, mae double, mse double, rmse double, r2 double")
-    means = {n: sum(r[5] if r[5] is not None else float("-inf") for r in results if r[0] == n) / folds for n in grid}
+    scores = folded[0].sparkSession.createDataFrame(results, "model string, fold int, mae double, mse double, rmse double, r2 double")
+    means = {n: sum(r[5] if r[5] is not None else float("-inf") for r in results if r[0] == n) / len(folded) for n in grid}
     best = max(means, key=means.get)
-    return grid[best].fit(folded), scores.withColumn("best", F.col("model") == best)
+    return grid[best].fit(whole if whole is not None else folded[-1]), scores.withColumn("best", F.col("model") == best)
