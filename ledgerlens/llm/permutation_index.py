@@ -6,9 +6,10 @@ the files of its own pivots to the footrule distance between its order and that
 measure as candidates, and ranks those by the exact inner product.
 
 Largest inner product is turned into nearest angle first: vectors get one more component that gives all of them the length
-of the longest, queries get a zero there.
+of the longest, queries get a zero there. One very long vector would make all others look alike, so vectors are dealt to bands
+by the power of two of their length, and a segment knows no longer ones than its own.
 
-The table is dealt to segments of bounded size, each with its own inverted files; the stated queries visit all segments in
+The bands are dealt to segments of bounded size, each with its own inverted files; the stated queries visit all segments in
 blocks, each segment answers with its best, and the best of those remain. Of the ids with the same vector only the
 `neighbours` + 1 smallest can ever be an answer; the others ask but are not indexed, so a vector that fills a third of the
 table costs nothing.
@@ -40,12 +41,16 @@ SEGMENT = 8_192
 #: Smaller segments than this are not made to occupy more tasks.
 SMALLEST_SEGMENT = 512
 #: Share of a segment that is ranked exactly, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.12, 64
+RERANK_SHARE, RERANK_LEAST = 0.12, 256
 SEED = 7
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+def _power(v: Column) -> Column:
+    """The power of two at or below the length of a vector. Components are taken by their largest first, as squares of very long or
+    short ones are no doubles any more."""
+    largest = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
+    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -73,6 +78,12 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, rest]) / longest
 
 
+def shortened(pivots: np.ndarray, longest: float) -> np.ndarray:
+    """Pivots as lifted vectors for a segment whose vectors have at most this length."""
+    length = np.sqrt((pivots * pivots).sum(axis=1))
+    return lifted(pivots * np.minimum(1.0, longest / length)[:, None], longest)
+
+
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first."""
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix]
@@ -81,10 +92,10 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 class Segment:
     """Inverted files of one segment: files[p][i] is the place of pivot p in the order of vector i, or `prefix` if it has none."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, longest: float, prefix: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, longest: float, prefix: int, power: int = 0):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.prefix = ids[by_id], vectors[by_id], prefix
-        seen = orders(lifted(self.vectors, longest), pivots, prefix)
+        seen = orders(lifted(np.ldexp(self.vectors, -power), longest), pivots, prefix)
         self.files = np.full((len(pivots), len(ids)), prefix, dtype=np.int16)
         self.files[seen, np.arange(len(ids))[:, None]] = np.arange(seen.shape[1], dtype=np.int16)
 
@@ -131,16 +142,24 @@ def search(
     marked = rows.withColumn("mark", F.struct(F.xxhash64("v"), F.hash("v")))
     indexed = marked.withColumn("n", F.row_number().over(same)).where(F.col("n") <= neighbours + 1).select("vec_id", "v", F.col("n") == 1)
     indexed = materialise(indexed.toDF("vec_id", "v", "first"))
-    size = indexed.agg(F.count(F.lit(1)).alias("n"), F.max(_norm(F.col("v"))).alias("longest")).first()
+    indexed = indexed.withColumn("band", _power(F.col("v")))
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    segments = max(1, -(-size["n"] // segment), min(tasks, size["n"] // SMALLEST_SEGMENT))
-    drawn = indexed.where("first").orderBy(F.xxhash64(F.lit(SEED), "v"), "vec_id").limit(SAMPLE).select("v").collect()
-    longest = float(size["longest"] or 1.0)
-    sample = np.array([r["v"] for r in drawn], dtype=float)
-    chosen = pick_pivots(lifted(sample, longest), pivots) if len(drawn) else np.zeros((0, 1))
-
-    seg = F.pmod(F.xxhash64(F.lit(SEED), "v", "vec_id"), F.lit(segments))
-    data = indexed.select(seg.alias("seg"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0).cast("long").alias("ask"))
+    parts, bands, segments = {}, [], 0
+    for r in indexed.groupBy("band").count().orderBy("band").collect():  # no more bands than a double has powers of two
+        own = max(1, -(-r["count"] // segment), min(tasks, r["count"] // SMALLEST_SEGMENT))
+        parts[r["band"]] = (segments, own)
+        bands += [r["band"]] * own
+        segments += own
+    segments = max(1, segments)
+    drawn = indexed.where("first").orderBy(F.xxhash64(F.lit(SEED), "v"), "vec_id").limit(SAMPLE).select("v", "band").collect()
+    sample = np.array([np.ldexp(r["v"], -r["band"]) for r in drawn], dtype=float)
+    reach = float(np.sqrt((sample * sample).sum(axis=1).max())) if len(drawn) else 1.0
+    picked = pick_pivots(lifted(sample, reach), pivots)[:, :-1] * reach if len(drawn) else np.zeros((0, 0))
+
+    place = F.create_map(*[x for band, p in parts.items() for x in (F.lit(band), F.struct(F.lit(p[0]).alias("first"), F.lit(p[1]).alias("own")))]) if parts else None
+    where = place[F.col("band")] if parts else F.struct(F.lit(0).alias("first"), F.lit(1).alias("own"))
+    seg = where["first"] + F.pmod(F.xxhash64(F.lit(SEED), "v", "vec_id"), where["own"])
+    data = indexed.select(seg.cast("long").alias("seg"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0).cast("long").alias("ask"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long")))
     queries = rows.where(asks).select(every.alias("seg"), F.lit(1).alias("kind"), "vec_id", "v", "ask")
     meet = data.unionByName(queries).repartition(segments, "seg").sortWithinPartitions("seg", "kind", "vec_id", "ask")
@@ -148,7 +167,7 @@ def search(
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        index, at = None, None
+        index, at, chosen = None, None, None
         for batch in batches:
             segs, kinds, ids = (batch.column(i).to_numpy() for i in range(3))
             v, asks = batch.column(3).flatten().to_numpy().reshape(len(ids), -1), batch.column(4).to_numpy()
@@ -160,14 +179,18 @@ def search(
                     held.append((ids[a:b], v[a:b]))
                     continue
                 if index is None and held:
-                    index = Segment(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]), chosen, longest, prefix)
+                    stored, power = np.concatenate([x for _, x in held]), bands[at]
+                    longest = float(np.sqrt((np.ldexp(stored, -power) ** 2).sum(axis=1).max()))
+                    chosen = shortened(picked, longest)
+                    index = Segment(np.concatenate([i for i, _ in held]), stored, chosen, longest, prefix, power)
                     held = []
                 if index is None:
                     continue
                 for c in range(a, b, 256):
                     own, asked = ids[c : min(b, c + 256)], v[c : min(b, c + 256)]
-                    lengths = np.sqrt((asked * asked).sum(axis=1))[:, None]
-                    seen = orders(np.column_stack([asked / lengths, np.zeros(len(asked))]), chosen, prefix)
+                    unit = asked / np.abs(asked).max(axis=1)[:, None]
+                    unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
+                    seen = orders(np.column_stack([unit, np.zeros(len(asked))]), chosen, prefix)
                     found = [index.search(i, q, o, neighbours, share, least) for i, q, o in zip(own, asked, seen)]
                     counts = [len(i) for i, _ in found]
                     answers = [np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found])]
