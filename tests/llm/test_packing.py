@@ -7,30 +7,38 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import AWKWARD, corpus, docs_of  # noqa: F401
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import packing, token_counts
+from ledgerlens.llm import bytehash, packing, token_counts
 from ledgerlens.llm.queries import vocabulary
 
 WORDS = vocabulary("word_bpe_49k.json")
 HARD = ["A'S it's IT'S don't", "<|endoftext|> x", "<|ENDOFTEXT|>", "a\x1cb\x85c\xa0d e", "İİſK é é", "x." * 50, "ab.,c.! d?", "a\x00b 1,234.5 99%", "ΑΣ Σ ΣΑ", "👍🏽 ok!!", "a​b﻿"]
 
 
+def ids_of(encoder, texts, end=None):
+    """Ids of each text."""
+    flat, rows = encoder(*bytehash.column_bytes(pa.array(texts, pa.string())), end)
+    return [flat[a:b].tolist() for a, b in zip(rows, rows[1:])]
+
+
 def test_ids_equal_the_tokenizer(corpus):
-    texts = [r.text for r in corpus.collect()] + HARD + [t or "" for t in AWKWARD]
-    got = packing.Encoder(WORDS)([t.encode() for t in texts])
-    want = Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+    texts = [r.text for r in corpus.collect()] + HARD + [t or "" for t in AWKWARD] + ["", "x <| y", "", "<|", "z"]
+    want = [w.ids for w in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(packing.Encoder(WORDS), texts) == want
+    assert ids_of(packing.Encoder(WORDS), texts, 2) == [w + [2] for w in want]
+    assert ids_of(packing.Encoder(WORDS), ["", None, " "]) == [[], [], []] and ids_of(packing.Encoder(WORDS), []) == []
 
 
 def test_recent_values_survive_a_small_table():
     encoder = packing.Encoder(WORDS)
     encoder.recent = packing.Recent(3)
     texts = [f"word{i % 7} other{i % 5} same" for i in range(50)]
-    want = packing.Encoder(WORDS)([t.encode() for t in texts])
-    assert [encoder([t.encode()])[0] for t in texts] == want
+    want = ids_of(packing.Encoder(WORDS), texts)
+    assert [ids_of(encoder, [t])[0] for t in texts] == want
     assert len(encoder.recent.new) + len(encoder.recent.old) < 15
 
 
