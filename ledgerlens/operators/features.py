@@ -372,7 +372,8 @@ def depth2_features(features: Sequence[Feature], allow: Sequence[tuple[str, str]
 
 def cumulative_features(df: DataFrame, key: str, order: Sequence[str], col: str, slices: Slices | None = None) -> DataFrame:
     """Cumulative sum, count, mean, extremes and expanding deviation in time order (exact totals)."""
-    facts = exact.parts(F.col(col), squares=True)
+    kind = exact.amount_kinds(df, [col])[col]
+    facts = exact.parts(F.col(col), squares=True, kind=kind)
     accs = {f"_{n}": ("sum", c) for n, c in facts.items()}
     accs |= {f"cum_min_{col}": ("min", F.col(col)), f"cum_max_{col}": ("max", F.col(col))}
     out = running(df, key, order, accs, slices, peers=False)
@@ -384,7 +385,7 @@ def cumulative_features(df: DataFrame, key: str, order: Sequence[str], col: str,
         F.when(t["n"] > 0, exact.mean(t)).alias(f"cum_mean_{col}"),
         f"cum_min_{col}",
         f"cum_max_{col}",
-        exact.spread(t).alias(f"expanding_std_{col}"),
+        exact.spread(t, kind).alias(f"expanding_std_{col}"),
     )
 
 
@@ -522,10 +523,10 @@ def point_in_time(
     probes = loans.select(key, F.col(at).alias("at"), F.lit(1).alias("_side"), F.struct(*kept).alias("_loan"))
     events = events.unionByName(probes, allowMissingColumns=True)
 
-    accs = {"_n": ("sum", F.col("one"))}
+    accs, kinds = {"_n": ("sum", F.col("one"))}, exact.amount_kinds(child.df, list(cols))
     for c in cols:
         x = F.col(f"x_{c}")
-        accs |= {f"_{n}_{c}": ("sum", part) for n, part in exact.parts(x, squares=True).items()}
+        accs |= {f"_{n}_{c}": ("sum", part) for n, part in exact.parts(x, True, kinds[c]).items()}
         accs |= {
             f"_min_{c}": ("min", x),
             f"_max_{c}": ("max", x),
@@ -537,11 +538,11 @@ def point_in_time(
 
     outs = [F.coalesce("_n", F.lit(0)).cast("long").alias(f"{prefix}count")]
     for c in cols:
-        t = {n: F.col(f"_{n}_{c}") for n in "nslkabcq"}
+        t = {n: F.col(f"_{n}_{c}") for n in exact.names(True, kinds[c])}
         outs += [
             exact.total(t).alias(f"{prefix}sum_{c}"),
             F.when(t["n"] > 0, exact.mean(t)).alias(f"{prefix}mean_{c}"),
-            exact.spread(t).alias(f"{prefix}std_{c}"),
+            exact.spread(t, kinds[c]).alias(f"{prefix}std_{c}"),
             F.col(f"_min_{c}").cast("double").alias(f"{prefix}min_{c}"),
             F.col(f"_max_{c}").cast("double").alias(f"{prefix}max_{c}"),
             F.col(f"_last_{c}").cast("double").alias(f"{prefix}last_{c}"),

@@ -149,7 +149,7 @@ def spend_reconstruction(loans: DataFrame, purchases: DataFrame, slices=AUTO) ->
     slices = resolve(slices, lambda: measure_sides(loans, purchases, "LOAN_ISSUANCE_DATE", "ORDER_CREATION_DATE", KEY))
     begin, due = F.col("LOAN_ISSUANCE_DATE"), F.col("INITIAL_DATE")
     orders = purchases.where(F.col(KEY).isNotNull() & F.col("ORDER_CREATION_DATE").isNotNull())
-    facts = {f"_{n}": c for n, c in exact.parts(F.col("ORDER_PRICE")).items()} | {"_one": F.lit(1).cast("long")}
+    facts = {f"_{n}": c for n, c in exact.parts(F.col("ORDER_PRICE"), kind=exact.amount_kinds(purchases, ["ORDER_PRICE"])["ORDER_PRICE"]).items()} | {"_one": F.lit(1).cast("long")}
     orders = orders.select(KEY, F.col("ORDER_CREATION_DATE").alias("_at"), F.lit(1).alias("_side"), *[c.alias(n) for n, c in facts.items()])
     cuts = F.array(
         F.struct(begin.alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("sign")),

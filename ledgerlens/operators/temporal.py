@@ -16,8 +16,9 @@ from ledgerlens.operators.skew import AUTO, Slices, as_list, measure, ranked, re
 class _Rolling:
     """Rolling windows as arrivals and departures: the parts that ``rolling_time`` and ``rolling_asof`` share."""
 
-    def __init__(self, ts: str, col: str, days: int | Sequence[int], fns: Sequence[str]):
+    def __init__(self, df: DataFrame, ts: str, col: str, days: int | Sequence[int], fns: Sequence[str]):
         self.ts, self.col, self.fns = ts, col, fns
+        self.kind = exact.amount_kinds(df, [col])[col]
         self.days = [days] if isinstance(days, int) else list(days)
 
     def events(self, df: DataFrame, key: str) -> DataFrame:
@@ -29,11 +30,11 @@ class _Rolling:
             F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.col(self.col).alias("_x"), F.explode(F.array(*moves)).alias("_m")
         )
         row = F.when(F.col("_m.d") == 0, F.col("_row"))
-        facts = exact.parts(F.col("_x"), "std" in self.fns)
+        facts = exact.parts(F.col("_x"), "std" in self.fns, self.kind)
         return known.select("_key", F.col("_m.at").alias("_at"), F.col("_m.d").alias("_d"), *[c.alias(f"_{n}") for n, c in facts.items()], row.alias("_row"))
 
     def names(self) -> list[str]:
-        return ["n", "s", "l", "k", *(["a", "b", "c", "q"] if "std" in self.fns else [])]
+        return exact.names("std" in self.fns, self.kind)
 
     def totals(self, events: DataFrame, slices: Slices | None) -> DataFrame:
         """The parts inside each window, as running totals of arrivals less departures."""
@@ -58,7 +59,7 @@ class _Rolling:
             if "mean" in self.fns:
                 outs.append(F.when(window["n"] > 0, exact.mean(window)).alias(f"ROLLINGMEAN_{d}DAYS__{self.col}__"))
             if "std" in self.fns:
-                outs.append(exact.spread(window).alias(f"ROLLINGSTDDEV_{d}DAYS__{self.col}__"))
+                outs.append(exact.spread(window, self.kind).alias(f"ROLLINGSTDDEV_{d}DAYS__{self.col}__"))
         return outs
 
     def unplaced(self, df: DataFrame) -> DataFrame:
@@ -89,14 +90,14 @@ def rolling_time(
 
     Each row is an arrival at ``ts`` and a departure at ``ts + d`` days. A window's count, sum and sum of squares are
     then running totals of arrivals minus departures, so the work is linear however many rows a window covers. Totals
-    are decimals with ten digits after the point, which makes the subtraction exact (see ``functions.exact``). A window
+    are decimals of the scale that the column's values have, which makes the subtraction exact (see ``functions.exact``). A window
     with one row has no deviation (NULL); equal times see each other. Rows without a key share a window of their own, in
     ordered slices where there are many; rows without a time keep NULLs.
 
     ``slices`` says which keys are heavy (see ``skew``). By default the input is measured; pass the outcome of a
     measurement to share it between operators, or ``None`` for the plain window.
     """
-    rolling = _Rolling(ts, col, days, fns)
+    rolling = _Rolling(df, ts, col, days, fns)
     slices = resolve(slices, lambda: measure(df, key, ts))
     placed = rolling.totals(rolling.events(df, key), slices).where("_d = 0").select("_row.*", *rolling.columns())
     return placed.unionByName(rolling.unplaced(df))
@@ -119,7 +120,7 @@ def rolling_asof(
     The left rows travel with the right side's arrivals and departures; the running totals and the last right row are
     two windows over the same partitioning.
     """
-    rolling = _Rolling(right_on, col, days, ("mean", "std"))
+    rolling = _Rolling(right, right_on, col, days, ("mean", "std"))
     slices = resolve(slices, lambda: measure_sides(left, right, left_on, right_on, by))
     payload = [c for c in right.columns if c != by]
     clash = set(payload) & set(left.columns)
