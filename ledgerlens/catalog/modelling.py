@@ -11,8 +11,7 @@ from ledgerlens.catalog.registry import query
 from ledgerlens.catalog.synthesis import _CALENDAR, _unary_sql
 from ledgerlens.catalog.views_sql import with_views
 from ledgerlens.operators import features as ft
-from ledgerlens.operators import reduction
-from ledgerlens.operators import selection, shape
+from ledgerlens.operators import reduction, selection, shape
 from ledgerlens.plans import feature_frame, model, reports, risk, split
 from ledgerlens.schemas import KEY
 from ledgerlens.session import materialise
@@ -432,3 +431,32 @@ def _(spark, sf_dir):
     frame, defs = ft.merge_frames(left, right, ft.feature_defs(spark, one), ft.feature_defs(spark, two), "LOAN_ID")
     there = frame.select(F.explode(F.array(*[F.lit(c) for c in frame.columns])).alias("name")).distinct()
     return defs.join(there, "name").groupBy("name").agg(F.count(F.lit(1)).alias("columns"))
+
+
+_SHARED = {
+    "absolute": "true", "negate": "true", "sqrt": "{0} >= 0", "log": "{0} > 0", "sine": "true", "cosine": "true", "tangent": "true", "is_null": "true",
+}
+
+
+@query(
+    "o7_definitions_with_values",
+    with_views(
+        " UNION ALL ".join(
+            f"SELECT '{n}_{c}' AS name, '{c}' AS source_cols, {both} AS in_both, count(*) FILTER (WHERE ({c} IS NOT NULL OR '{n}' = 'is_null') AND coalesce({rule.format(c)}, true)) AS n_known FROM loans"
+            for c, both in (("LOAN_AMOUNT", "true"), ("FIRST_TRIAL_BALANCE", "false"))
+            for n, rule in _SHARED.items()
+        ),
+        names="loans",
+    ),
+)
+def _(spark, sf_dir):
+    """Definitions of two feature frames united, which of them both frames have, and for how many loans each gives a value."""
+    loans = load_views(spark, sf_dir)["loans"].select("LOAN_ID", "LOAN_AMOUNT", "FIRST_TRIAL_BALANCE")
+    one, two = ft.unary_features(["LOAN_AMOUNT"]), ft.unary_features(["LOAN_AMOUNT", "FIRST_TRIAL_BALANCE"])
+    defs = [ft.feature_defs(spark, f) for f in (one, two)]
+    frame, united = ft.merge_frames(ft.dfs_transform(loans, one), ft.dfs_transform(loans, two), *defs, "LOAN_ID")
+    names = [r["name"] for r in united.select("name").collect()]  # one row per feature
+    counts = frame.agg(*[F.count(c).alias(c) for c in names])
+    known = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n_known")) for c in names])))
+    both = defs[0].intersect(defs[1]).select("name", F.lit(True).alias("both"))
+    return united.join(known, "name").join(both, "name", "left").select("name", "source_cols", F.coalesce("both", F.lit(False)).alias("in_both"), "n_known")

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ledgerlens.catalog.lending import build_mart, mart_sql
+from ledgerlens.catalog.lending import MART_COLUMNS, build_mart, mart_sql
 from ledgerlens.catalog.registry import query
 from ledgerlens.catalog.views_sql import with_views
 from ledgerlens.operators import shape
@@ -80,6 +80,23 @@ def _(spark, sf_dir):
     return files.read_parquet(spark, path).drop("bucket")
 
 
+def bucketed_views(spark, sf_dir, buckets=16):
+    """Loans and orders as tables bucketed by the retailer."""
+    v, out = load_views(spark, sf_dir), {}
+    for name in ("loans", "purchases"):
+        path = scratch(spark)
+        out[name] = files.write_bucketed(v[name], f"{name}_{path[-32:]}", path, KEY, buckets)
+    return out
+
+
+@query("io8_mart_of_bucketed_tables", mart_sql("SELECT LOAN_ID, CONSERVATIVE_DECISION, AMBITIOUS_DECISION FROM mart"))
+def _(spark, sf_dir):
+    """Decisions from tables that were written once by retailer."""
+    v = bucketed_views(spark, sf_dir)
+    loans = v["loans"].select(*MART_COLUMNS, F.col("SPENT").alias("y_pred"))
+    return risk.decisions(risk.risk_mart(loans, v["purchases"], slices=risk.heavy_retailers(loans, v["purchases"])))
+
+
 @query(
     "p4_harmonise_types",
     with_views(

@@ -10,6 +10,7 @@ from ledgerlens.catalog.registry import query
 from ledgerlens.catalog.views_sql import with_views
 from ledgerlens.operators import features as ft
 from ledgerlens.operators.skew import measure
+from ledgerlens.operators.temporal import measure_sides
 from ledgerlens.schemas import KEY
 from ledgerlens.sources.adapters import load_views
 
@@ -362,7 +363,7 @@ FROM loans l LEFT JOIN purchases p ON p.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND p.
 )
 def _(spark, sf_dir):
     v = load_views(spark, sf_dir)
-    out = ft.point_in_time(v["loans"], purchases_entity(v), KEY, ["ORDER_PRICE"], ["DISCOUNT"], slices=measure(v["purchases"], KEY, TS))
+    out = ft.point_in_time(v["loans"], purchases_entity(v), KEY, ["ORDER_PRICE"], ["DISCOUNT"], slices=measure_sides(v["loans"], v["purchases"], _L, TS, KEY))
     return rounded(out, ["mean_ORDER_PRICE", "std_ORDER_PRICE"])
 
 
@@ -380,6 +381,6 @@ FROM loans l LEFT JOIN sales s ON s.MAIN_SYSTEM_ID = l.MAIN_SYSTEM_ID AND s.CREA
 def _(spark, sf_dir):
     v = load_views(spark, sf_dir)
     out = ft.point_in_time(
-        v["loans"], sales_entity(v), KEY, ["AMOUNT", "TOTAL_AMOUNT_PAID"], ["STATUS"], slices=measure(v["sales"], KEY, "CREATED_AT")
+        v["loans"], sales_entity(v), KEY, ["AMOUNT", "TOTAL_AMOUNT_PAID"], ["STATUS"], slices=measure_sides(v["loans"], v["sales"], _L, "CREATED_AT", KEY)
     )
     return out.select("LOAN_ID", "count", "sum_AMOUNT", "sum_TOTAL_AMOUNT_PAID", "max_TOTAL_AMOUNT_PAID", "num_unique_STATUS")

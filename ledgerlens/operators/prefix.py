@@ -62,13 +62,16 @@ def _sides(loans: DataFrame, child: Entity, key: str, at: str) -> Callable[[], S
     return lambda: measure_sides(loans, child.df, at, child.time, key)
 
 
-def _split(line: DataFrame, slices: Slices | None, plan: Callable[[DataFrame, Slices | None, Steps], DataFrame]) -> DataFrame:
-    """``plan`` for light retailers, all of whose windows share one exchange by key, and for heavy ones, whose rows are written
-    after each step because a window over slices reads its input twice."""
+def _split(line: DataFrame, slices: Slices | None, plan: Callable[[DataFrame, Slices | None, Steps], DataFrame], gather: bool = False) -> DataFrame:
+    """``plan`` for light retailers, all of whose windows share one exchange by key (none, if the tables are bucketed by it), and for
+    heavy ones, whose rows are written after each step because a window over slices reads its input twice. ``gather``: the
+    first window is of a finer key, so the rows are dealt by the key before it."""
     own = slices and Slices(("_key",), slices.hot and slices.hot.toDF("_key"), slices.cuts, slices.step)
 
     def planned(rows: DataFrame, s: Slices | None) -> DataFrame:
-        return plan(rows.repartition("_key"), None, lambda df: df) if s is None else plan(rows, s, materialise)
+        if s is not None:
+            return plan(rows, s, materialise)
+        return plan(rows.repartition("_key") if gather else rows, None, lambda df: df)
 
     return apart(line, planned, own)
 
@@ -185,7 +188,7 @@ def categories_so_far(
         }
         return running(line, "_key", LINE, accs, slices, peers=False).where(~point)
 
-    out = _split(_line(loans, _known(child, key, col, strict), key, at), slices, plan)
+    out = _split(_line(loans, _known(child, key, col, strict), key, at), slices, plan, gather=True)
     n = F.col("_n").cast("double")
     return _with_unplaced(
         loans,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or named
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Deletes, at its end, the tables that ``materialise`` writes inside it; write or collect results before that.
+
+    ``with temporary_tables(): report(spark).write.parquet(...)``. Folders that Arrow's file systems cannot open are left.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    import pyarrow as pa
+    from pyarrow import fs
+
+    try:
+        files, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        if files.get_file_info(name).type == fs.FileType.Directory:
+            files.delete_dir(name)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet to the shared checkpoint folder and continue from the written table.
 
@@ -54,4 +87,6 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _SCOPES:
+        paths.append(path)
     return spark.read.parquet(path)

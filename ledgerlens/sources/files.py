@@ -82,6 +82,35 @@ def read_retailer(spark: SparkSession, path: str, retailer: int, key: str = "MAI
     return rows.where((F.col("bucket") == bucket) & (F.col(key) == retailer)).drop("bucket")
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "MAIN_SYSTEM_ID", buckets: int = 256) -> DataFrame:
+    """A table whose rows are bucketed and sorted by the retailer, at ``path``.
+
+    Windows, joins and groupings by the retailer over such tables (of one number of buckets, also several put together)
+    need no exchange. Each task writes its own file per bucket, so a heavy retailer is not written by one task; reading, a
+    bucket is one partition, and the rows of heavy retailers are cut into slices as always.
+    """
+    writer = df.write.mode("overwrite").option("path", path).format("parquet")
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files of a written table, from their directory entries."""
+    entries = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return int(entries.agg(F.sum("length")).first()[0] or 0)
+
+
+def partitions_for(size: int, cores: int, target: int = 128 << 20) -> int:
+    """Partitions of about ``target`` bytes each, in whole rounds of the cores, and no more than there are targets in the first round."""
+    needed = max(1, -(-size // target))
+    return needed if needed <= cores else -(-needed // cores) * cores
+
+
+def sized(df: DataFrame, size: int, target: int = 128 << 20) -> DataFrame:
+    """The frame in as many partitions as ``size`` bytes and the cores at hand call for."""
+    return df.repartition(partitions_for(size, df.sparkSession.sparkContext.defaultParallelism, target))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header; times keep their microseconds, which the default format would cut to milliseconds."""
     writer = df.write.mode("overwrite").option("header", True)

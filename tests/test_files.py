@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import os
 
 import pytest
 from conftest import assert_same
@@ -81,3 +82,33 @@ def test_keep_persists(spark):
     kept = files.keep(spark.range(3))
     assert kept.storageLevel.useDisk and kept.storageLevel.useMemory
     kept.unpersist()
+
+
+def test_partitions_follow_size_and_cores():
+    mb = 1 << 20
+    assert [files.partitions_for(n * mb, 8) for n in (0, 1, 128, 129, 1000, 1100, 10_000)] == [1, 1, 1, 2, 8, 16, 80]
+
+
+def test_sized_by_what_was_written(spark, tmp_path):
+    df = spark.range(50_000).select("id", F.rand(1).alias("x"))
+    for rows, path in ((50_000, "a"), (500, "b")):
+        df.limit(rows).write.parquet(str(tmp_path / path))
+    sizes = [files.written_bytes(spark, str(tmp_path / p)) for p in "ab"]
+    assert sizes[0] == sum(f.stat().st_size for f in (tmp_path / "a").iterdir() if not f.name.startswith((".", "_"))) > sizes[1] > 0
+    cores = spark.sparkContext.defaultParallelism
+    chosen = [files.sized(df, n, 64 << 10).rdd.getNumPartitions() for n in sizes]
+    assert chosen == [files.partitions_for(n, cores, 64 << 10) for n in sizes] and chosen[0] >= cores > chosen[1]
+
+
+def test_temporary_tables_are_deleted(spark, tmp_path):
+    from ledgerlens import session
+
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with session.temporary_tables():
+        inner = session.materialise(spark.range(5))
+        with session.temporary_tables():
+            session.materialise(spark.range(7))
+        assert inner.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+    assert session.materialise(spark.range(3)).count() == 3  # outside nothing is deleted

@@ -8,9 +8,10 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import profiling, shape
+from ledgerlens.operators import prefix, profiling, shape
+from ledgerlens.operators.features import Entity
 from ledgerlens.operators.temporal import percent_rank_scaled, rolling_asof, rolling_time
-from ledgerlens.plans import reports, risk, split
+from ledgerlens.plans import feature_frame, reports, risk, split
 from ledgerlens.sources.adapters import load_views
 
 KEY = "MAIN_SYSTEM_ID"
@@ -84,3 +85,29 @@ def test_fused_join_keeps_heavy_rows_apart(lazy):
     text = plan(joined)
     assert "hashpartitioning(_key" in text and "_slice" in text
     assert "NestedLoop" not in text and "SortMergeJoin" not in text
+
+
+def test_bucketed_tables_need_no_exchange(spark):
+    """Mart, rolling statistics, as-of facts and history at issuance over tables written once by retailer."""
+    from ledgerlens.catalog.storage import bucketed_views
+
+    v = bucketed_views(spark, SF, buckets=4)
+    loans = v["loans"].withColumn("y_pred", F.col("SPENT"))
+    mart = risk.risk_mart(loans, v["purchases"], slices=None)
+    orders = Entity(v["purchases"], "ORDER_ID", "ORDER_CREATION_DATE")
+    past = prefix.history_so_far(v["loans"], orders, KEY, ["ORDER_PRICE"], slices=None)
+    per = v["purchases"].groupBy(KEY).agg(F.sum("ORDER_PRICE"))
+    for df in (mart, past, rolling_time(v["purchases"], KEY, "ORDER_CREATION_DATE", "ORDER_PRICE", [7, 30], slices=None), per):
+        text = plan(df)
+        assert exchanges(text) == [] and "Bucketed: true" in text
+    plain = load_views(spark, SF)
+    want = risk.decisions(risk.risk_mart(plain["loans"].withColumn("y_pred", F.col("SPENT")), plain["purchases"]))
+    assert sorted(map(str, risk.decisions(mart).collect())) == sorted(map(str, want.collect()))
+
+
+def test_feature_frame_with_forced_heavy_keys_scans_each_table_a_few_times(spark, lazy):
+    """Heavy rows are set apart once and written after each step, so what is read does not multiply along the chain."""
+    light = plan(feature_frame.build_feature_frame(lazy)[0])
+    assert light.count("FileScan") <= 7 and len(exchanges(light)) <= 6
+    heavy = plan(feature_frame.build_feature_frame(lazy, hot_rows=1, share=0.0, pieces=3)[0])
+    assert heavy.count("FileScan") <= 12 and len(exchanges(heavy)) <= 12
