@@ -229,7 +229,10 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives, one file a task at a time."""
+    """The records of all archives (`path`, and `records` where their number is known), one file a task at a time.
+
+    A file that is damaged, or holds another number of records, gives a last row with `error`.
+    """
     import pyarrow as pa
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "error"]
@@ -239,10 +242,12 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
     def read(batches):
         files, _ = _file_system(folder)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with files.open_input_stream(path, compression=None) as stream:
-                    some, size = [], 0
+                    some, size, n, error = [], 0, 0, None
                     for row in read_records(stream):
+                        error = row.get("error")
+                        n += error is None
                         if not payloads:
                             row["payload"] = None
                         some.append(row)
@@ -250,14 +255,23 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(some, schema=schema)
                             some, size = [], 0
+                    if error is None and expected is not None and n != expected:
+                        some.append({"error": f"{n} of {expected} records"})
                     if some:
                         yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     n = archives.count()
-    return archives.select("path").repartition(max(1, n)).mapInArrow(read, RECORD)
+    records = F.col("records") if "records" in archives.columns else F.lit(None).cast("long")
+    return archives.select("path", records.alias("records")).repartition(max(1, n)).mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame, least: int = 0, payloads: bool = True) -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads them back."""
+    """Writes all pages to archives in the shared folder and reads them back. A record that does not come back is an error."""
     folder = f"{ensure_checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(with_kinds(pages, least), folder), folder, payloads)
+    return whole(read_archives(write_archives(with_kinds(pages, least), folder), folder, payloads))
+
+
+def whole(records: DataFrame) -> DataFrame:
+    """The records, of which none may have an error; a filter, so it holds whatever columns are read."""
+    failed = F.raise_error(F.concat(F.lit("archive: "), "error")).cast("boolean")
+    return records.where(F.when(F.col("error").isNotNull(), failed).otherwise(F.lit(True)))

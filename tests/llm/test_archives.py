@@ -74,3 +74,18 @@ def test_chunks_of_any_size(monkeypatch, chunk):
     monkeypatch.setattr(warc, "CHUNK", chunk)
     data = b"".join(warc.member(warc.record(i, f"http://x/{i}", bytes([65 + i]) * 300, None if i % 2 else 0 if i else None)) for i in range(4))
     assert [(r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.read_records(io.BytesIO(data))] == [(0, "response", 300), (1, "response", 300), (2, "revisit", 300), (3, "response", 300)]
+
+
+@pytest.mark.parametrize("damage", ["cut", "byte", "record"])
+def test_records_that_do_not_come_back_are_an_error(spark, tmp_path, damage):
+    rows = pages(spark, [(i, "u", f"page {i} " * 50) for i in range(40)]).coalesce(1)
+    folder = f"file://{tmp_path}"
+    archives = warc.write_archives(warc.with_kinds(rows, 0), folder)
+    assert warc.whole(warc.read_archives(archives, folder)).count() == 40
+    (path,) = tmp_path.glob("*.warc.gz")
+    data = path.read_bytes()
+    ends = [i for i in range(1, len(data)) if data[i : i + 3] == b"\x1f\x8b\x08"]
+    path.write_bytes({"cut": data[: len(data) - 7], "byte": data[:500] + bytes([data[500] ^ 255]) + data[501:], "record": data[: ends[-1]]}[damage])
+    for columns in (["page_id"], ["error"]):
+        with pytest.raises(Exception, match="archive: "):
+            warc.whole(warc.read_archives(archives, folder)).select(*columns).collect()
