@@ -6,7 +6,7 @@ import importlib
 
 from ledgerlens.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["lending", "tables", "whole_tables", "testing", "synthesis", "prefix_queries", "recipe_queries", "series_queries", "modelling", "storage"]
+MODULES = ["lending", "tables", "whole_tables", "testing", "synthesis", "prefix_queries", "recipe_queries", "history_queries", "series_queries", "modelling", "storage"]
 
 
 def load_catalog():
