@@ -33,6 +33,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 def tidy() -> None:
     """Gives memory that a task has freed back to the system; a worker stays and its next task may be of another kind."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

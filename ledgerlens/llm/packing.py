@@ -36,7 +36,7 @@ SEED = 77
 #: Bytes of text handled at once, and what a text that could hold a special token has in it.
 SLICE, SPECIAL = 1 << 20, b"<|"
 #: Chunks a worker keeps per generation; see Recent.
-CACHE = 250_000
+CACHE = 150_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict[str, Encoder] = {}
 #: Texts of small letters that are single characters in every normal form of composition.
@@ -234,6 +234,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 sums = [zlib.crc32(whole[a : a + 4 * b]) for a, b in zip(at.tolist(), length.tolist())]
                 docs_ = batch.column(0).slice(first, last - first).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([docs_, pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(n[row])], names=names)
+        encode.recent = Recent(CACHE)  # the worker's next task may be of another kind
         tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t")).mapInArrow(cut, PIECE)
