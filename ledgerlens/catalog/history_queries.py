@@ -19,7 +19,7 @@ FAMILIES = {
     "d4_agg_time": ("purchases_", [f"{p}_{TS}" for p in ("first", "last", "span", "avg_gap", "days_since_first", "days_since_last", "n_days", "n_weeks", "n_months")]),
     "t1f_moments": (
         "ts_",
-        ["length", "sum_values", "abs_energy", "mean", "minimum", "maximum", "absolute_maximum", "variance", "standard_deviation", "root_mean_square", "variation_coefficient"]
+        ["length", "sum_values", "abs_energy", "mean", "minimum", "maximum", "absolute_maximum", "standard_deviation", "root_mean_square", "variation_coefficient"]
         + ["skewness", "kurtosis", "median"],
     ),
     "t7f_partial_autocorrelation": ("ts_", [f"{p}_{k}" for p in ("partial_autocorrelation", "ar_coefficient") for k in range(1, 6)]),
