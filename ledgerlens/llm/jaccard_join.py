@@ -43,9 +43,11 @@ from ledgerlens.llm import bytehash
 from ledgerlens.llm.components import components
 from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, packed, release, whole_text
 
-#: Cells of the count table, the count a cell must reach within one slice of text to be listed, and how many are kept.
+#: Cells of the count table, the count a cell must reach within `COUNTED` bytes of text to be listed, and how many are kept.
 CELLS, CELL_LEAST, HOT_CELLS = 1 << 22, 3, 200_000
-SLICE = 2 << 20
+COUNTED = 2 << 20
+#: Bytes of text that are hashed together; a task holds some eighty bytes for each of them meanwhile.
+SLICE = 1 << 20
 #: Bytes of the short sketch. Sets that may differ in more shingles than it tells apart have a longer one too.
 SHORT = 64
 #: Sets of a list that are compared in one task, and the length up to which lists are scanned together.
@@ -93,19 +95,34 @@ def _each_set(batch: pa.RecordBatch, column: int, size: int):
         yield first, last, list(sets)
 
 
+def cell_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Cells and counts of the first column's sets, of every `COUNTED` bytes of text; a worker never holds the table of cells."""
+    held, length = [], 0
+
+    def listed() -> pa.RecordBatch:
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= CELL_LEAST
+        return pa.RecordBatch.from_arrays([pa.array(cell[often], pa.int64()), pa.array(n[often], pa.int64())], names=["cell", "n"])
+
+    for batch in batches:
+        data, offsets = bytehash.column_bytes(batch.column(0))
+        for first, last in bytehash.slices(offsets, SLICE):
+            some = data[offsets[first] : offsets[last]]
+            held += [(x & np.uint64(CELLS - 1)).astype(np.uint32) for x in shingle_sets(some, offsets[first : last + 1] - offsets[first], size)]
+            length += len(some)
+            if length >= COUNTED:
+                yield listed()
+                held, length = [], 0
+    if held:
+        yield listed()
+    bytehash.tidy()
+
+
 def frequent_cells(texts: DataFrame, size: int) -> np.ndarray:
-    """Counts by hash cell, 0 but for the most frequent cells. Sums are made per slice of text before anything is shuffled."""
+    """Counts by hash cell, 0 but for the most frequent cells. Sums are made per `COUNTED` bytes of text before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            for _, _, sets in _each_set(batch, 0, size):
-                some = np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                some[some < CELL_LEAST] = 0
-                total += some
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-        bytehash.tidy()
+        return cell_counts(batches, size)
 
     sums = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.col("n").desc(), "cell").limit(HOT_CELLS).toPandas()

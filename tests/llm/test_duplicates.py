@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import AWKWARD, docs_of  # noqa: F401
 
@@ -173,6 +175,20 @@ def test_components_of_chains_stars_and_cliques(spark):
 # --- repeated text
 
 
+def test_frequent_cells_are_counted_across_batches_in_little_memory(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) + " one shared passage" for _ in range(200)]
+    one = np.concatenate(list(J.shingle_sets(np.frombuffer(b"one shared passage", np.uint8), np.array([0, 18]), 3)))
+    cell = int(one[0] & np.uint64(J.CELLS - 1))
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], names=["t"]) for t in texts]
+    tracemalloc.start()
+    found = {c: n for b in J.cell_counts(iter(batches), 3) for c, n in zip(*(x.to_pylist() for x in b.columns))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[cell] == len(texts)
+    assert peak < J.CELLS * 8  # a table of all cells would not fit
+
+
 def plain_removed(rows, width=50):
     order = lambda d: float("inf") if d is None else d
     first = {}
