@@ -34,9 +34,9 @@ END_ID = 2
 GROUP_PIECES = 5_000
 SEED = 77
 #: Bytes of text handled at once, and what a text that could hold a special token has in it.
-SLICE, SPECIAL = 2 << 20, b"<|"
+SLICE, SPECIAL = 3 << 18, b"<|"
 #: Chunks a worker keeps per generation; see Recent.
-CACHE = 350_000
+CACHE = 60_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict[str, Encoder] = {}
 #: Texts of small letters that are single characters in every normal form of composition.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -42,6 +43,19 @@ def test_recent_values_survive_a_small_table():
     assert len(encoder.recent.new) + len(encoder.recent.old) < 15
 
 
+def test_a_worker_holds_little_while_it_cuts():
+    rng = random.Random(3)
+    texts = pa.array([" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60_000)}" for _ in range(300)) for _ in range(1_500)], pa.large_string())
+    data, offsets = bytehash.column_bytes(texts)
+    encoder = packing.Encoder(WORDS)
+    tracemalloc.start()
+    for first, last in bytehash.slices(offsets, packing.SLICE):
+        encoder(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], packing.END_ID)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 << 20
+
+
 def test_pieces_cover_every_id_once_and_fit(spark, docs_of):
     rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(50 + i, "tok " * (i * 37 % 400)) for i in range(120)] + [(7, "same"), (7, "same"), (None, "a b c")]
     out = packing.pack_documents(docs_of(rows), WORDS, capacity=256, group_pieces=40).collect()
