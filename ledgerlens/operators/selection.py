@@ -14,14 +14,23 @@ from pyspark.sql import types as T
 from ledgerlens.operators.features import BATCH
 from ledgerlens.operators.moments import pair_correlations
 from ledgerlens.operators.shape import split_columns
+from ledgerlens.session import compiled_methods, materialise
+
+
+#: Columns per aggregation of ``column_facts``: three buffers each stay below the 100 fields up to which Spark generates code.
+FACTS = 32
 
 
 def column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, rows, non_null, null_share, constant`` per column; plain aggregates, a row per column."""
+    """``column, rows, non_null, null_share, constant`` per column; plain aggregates, a row per column. Extremes of texts are not of
+    fixed size, which Spark aggregates by sorting, so texts are kept apart from the others."""
+    kinds = dict(df.dtypes)
+    texts = [c for c in columns if kinds[c] in ("string", "binary")]
+    others = [c for c in columns if c not in set(texts)]
     frames = []
-    for start in range(0, len(columns), BATCH):
+    for names in [part[i : i + FACTS] for part in (others, texts) for i in range(0, len(part), FACTS)]:
         # SQL text instead of column objects: one call per expression keeps wide plans quick to build
-        batch = [(i, c.replace("`", "``")) for i, c in enumerate(columns[start : start + BATCH])]
+        batch = [(i, c.replace("`", "``")) for i, c in enumerate(names)]
         exprs = [F.expr("count(1) AS _rows")]
         for i, c in batch:
             exprs += [F.expr(f"count(`{c}`) AS n{i}"), F.expr(f"min(`{c}`) = max(`{c}`) AS c{i}")]
@@ -103,7 +112,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
 def strong_pairs(df: DataFrame, columns: Sequence[str], limit: float) -> np.ndarray:
     """Which pairs of columns are correlated by ``limit`` at least; only those reach the driver."""
     strong = np.zeros((len(columns), len(columns)), dtype=bool)
-    for row in pair_correlations(df, columns).where(F.abs("corr") >= limit).collect():
+    with compiled_methods(df.sparkSession):
+        found = pair_correlations(df, columns).where(F.abs("corr") >= limit).collect()
+    for row in found:
         strong[row["i"], row["j"]] = strong[row["j"], row["i"]] = True
     return strong
 
@@ -144,7 +155,9 @@ def select_features(df: DataFrame, ids: Sequence[str], max_null: float = 0.25, m
     """
     columns = [c for c in df.columns if c not in ids]
     reasons: dict[str, str] = {}
-    for row in removal_report(column_facts(df, columns), max_null).collect():  # one row per column
+    with compiled_methods(df.sparkSession):
+        facts = removal_report(column_facts(df, columns), max_null).collect()  # one row per column
+    for row in facts:
         for reason in ("highly_null", "low_information", "single_value"):
             if row[reason]:
                 reasons.setdefault(row["column"], reason)
@@ -162,7 +175,8 @@ def reduction_pipeline(df: DataFrame, ids: Sequence[str], k: int = 10, standardi
     categorical, numeric = split_columns(df, ids)
     stages, inputs = [], []
     if numeric:
-        stages.append(Imputer(inputCols=numeric, outputCols=[f"{c}_imputed" for c in numeric]))
+        for part in (numeric[i : i + FACTS] for i in range(0, len(numeric), FACTS)):  # means in aggregations that stay in compiled code
+            stages.append(Imputer(inputCols=part, outputCols=[f"{c}_imputed" for c in part]))
         inputs += [f"{c}_imputed" for c in numeric]
     if categorical:
         stages.append(StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"))
@@ -183,7 +197,15 @@ def numeric_frame(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def reduce_features(df: DataFrame, ids: Sequence[str], k: int = 10, standardise: bool = False) -> tuple[DataFrame, PipelineModel]:
-    """Ids and ``pca_features`` for each row, and the fitted pipeline."""
+    """Ids and ``pca_features`` for each row, and the fitted pipeline.
+
+    The assembled vectors are written, so that scaling and components, three scans, and the result read one column instead of
+    filling and assembling all columns each time.
+    """
     frame = numeric_frame(df, ids)
-    model = reduction_pipeline(frame, ids, k, standardise).fit(frame)
-    return model.transform(frame).select(*ids, "pca_features"), model
+    stages = reduction_pipeline(frame, ids, k, standardise).getStages()
+    ready = 1 + next(i for i, s in enumerate(stages) if isinstance(s, VectorAssembler))
+    filled = Pipeline(stages=stages[:ready]).fit(frame)
+    rows = materialise(filled.transform(frame).select(*ids, stages[ready - 1].getOutputCol()))
+    projected = Pipeline(stages=stages[ready:]).fit(rows)
+    return projected.transform(rows).select(*ids, "pca_features"), PipelineModel([*filled.stages, *projected.stages])
