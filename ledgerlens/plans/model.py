@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier
@@ -17,6 +20,9 @@ from ledgerlens.operators import reduction
 from ledgerlens.operators.skew import measure, running
 from ledgerlens.session import materialise
 
+#: Fits of a search that run at the same time.
+AT_ONCE = 4
+
 
 def balance_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """Weights that give both classes the same total; the weights of two classes come from one aggregation."""
@@ -114,12 +120,9 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
 def reduced_folds(frame: DataFrame, ids: Sequence[str], aside: Sequence[str], folds: int, k: int = 10) -> list[DataFrame]:
     """For every fold f = 1 .. ``folds`` the rows up to it as ids, the columns ``aside`` and ``features``: selection, filling, scaling and
     components are learned from the folds before f only, so nothing of fold f or later is in them."""
-    out = []
-    for f in range(1, folds + 1):
-        upto = frame.where(F.col("fold") <= f)
-        learned = reduction.fit(upto.where(F.col("fold") < f).drop(*aside), ids, k)
-        out.append(materialise(learned.apply(upto, *aside)))
-    return out
+    learned = reduction.fit_before(frame.drop(*[c for c in aside if c != "fold"]), ids, "fold", folds, k)
+    rows = materialise(reduction.apply_all(learned, frame, "fold", *aside))
+    return [rows.where(F.col("fold") <= f).select(*ids, *aside, F.col(f"features{f}").alias("features")) for f in range(1, folds + 1)]
 
 
 def forward_search(
@@ -129,18 +132,22 @@ def forward_search(
 
     ``folded`` has ``fold`` in time order (see ``split.time_folds``), so no model sees rows later than those it is scored on;
     or it is the list of ``reduced_folds``, whose features have not seen them either, with ``whole`` to refit on. The
-    loop runs over candidates and folds; rows stay in Spark, in tables that every fit reads again.
+    fits run over candidates and folds, ``AT_ONCE`` at a time because a fit is a chain of many short jobs; rows stay in Spark, in
+    tables that every fit reads again.
     """
     if isinstance(folded, DataFrame):
         whole = materialise(folded)
         folded = [whole] * folds
-    results = []
-    for name, estimator in grid.items():
-        for f, rows in enumerate(folded, 1):
-            model = estimator.fit(rows.where(F.col("fold") < f))
-            scored = regression_metrics(model.transform(rows.where(F.col("fold") == f)), label)
-            results.append((name, f, *scored.first()))
-    scores = folded[0].sparkSession.createDataFrame(results, "model string, fold int, mae double, mse double, rmse double, r2 double")
+
+    def scored(name: str, f: int) -> tuple:
+        model = grid[name].fit(folded[f - 1].where(F.col("fold") < f))
+        return name, f, *regression_metrics(model.transform(folded[f - 1].where(F.col("fold") == f)), label).first()
+
+    spark = folded[0].sparkSession
+    fits = [inheritable_thread_target(spark)(partial(scored, name, f)) for name in grid for f in range(1, len(folded) + 1)]
+    with ThreadPool(AT_ONCE) as pool:
+        results = pool.map(lambda fit: fit(), fits, 1)
+    scores = spark.createDataFrame(results, "model string, fold int, mae double, mse double, rmse double, r2 double")
     means = {n: sum(r[5] if r[5] is not None else float("-inf") for r in results if r[0] == n) / len(folded) for n in grid}
     best = max(means, key=means.get)
     return grid[best].fit(whole if whole is not None else folded[-1]), scores.withColumn("best", F.col("model") == best)

@@ -123,3 +123,47 @@ def test_later_loans_change_no_earlier_fold(spark, views):
         scores.append({r["fold"]: tuple(r)[2:6] for r in found.collect()})
     assert scores[0][1] == pytest.approx(scores[1][1], rel=1e-9)
     assert scores[0][2] != pytest.approx(scores[1][2], rel=1e-3) and scores[0][3] != pytest.approx(scores[1][3], rel=1e-3)
+
+
+def test_folds_learn_what_each_would_alone(spark, monkeypatch):
+    """Sums that are added up over folds give the reductions of one fit per fold, and one table holds all their features."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (i, i // 40, "abc"[int(rng.integers(0, 3)) if i >= 40 else i % 2], float(x), None if i % 7 == 0 else float(2 * x + y), float(y), 4.0 if i < 80 else float(y * x), None if i < 120 else 1.0, float("nan") if i < 40 else 2.0)
+        for i, (x, y) in enumerate(rng.normal(size=(240, 2)) * 10 + 1000)
+    ]
+    df = spark.createDataFrame(rows, "id long, fold int, kind string, x double, `two y` double, y double, late double, rare double, odd double").repartition(3)
+    learned = reduction.fit_before(df, ["id"], "fold", 5, k=3)
+    for f, got in enumerate(learned, 1):
+        want = reduction.fit(df.where(F.col("fold") < f).drop("fold"), ["id"], k=3)
+        assert (got.columns, got.reasons) == (want.columns, want.reasons), f
+        for a, b in ((got.mean, want.mean), (got.scale, want.scale), (got.variances, want.variances), (got.components, want.components)):
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    written = []
+    monkeypatch.setattr(model, "materialise", lambda rows: written.append(rows) or rows)
+    for f, found in enumerate(model.reduced_folds(df, ["id"], ["fold"], 5, k=3), 1):
+        got = {r["id"]: r["features"].toArray() for r in found.collect()}
+        want = {r["id"]: r["features"].toArray() for r in learned[f - 1].apply(df.where(F.col("fold") <= f)).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
+    assert len(written) == 1
+
+
+def test_a_text_does_not_make_the_facts_of_numbers_sorted(spark, capsys):
+    """Only texts are aggregated by sorting, and no aggregation has more buffers than Spark generates code for."""
+    df = spark.range(50).select(*[(F.col("id") % (i + 1)).cast("double").alias(f"c{i}") for i in range(70)], F.col("id").cast("string").alias("text"))
+    facts = selection.column_facts(df, df.columns)
+    facts.explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("SortAggregate(") == 2 and plan.count("HashAggregate(") == 6
+    got = {r["column"]: r for r in facts.collect()}
+    assert len(got) == 71 and got["c0"]["constant"] and not got["text"]["constant"] and all(r["non_null"] == 50 for r in got.values())
+
+
+def test_scaling_and_components_read_one_written_column(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "xyz"[i % 3], None if i % 5 == 0 else float(i), float(i * i % 7)) for i in range(60)], "id long, s string, v double, w double")
+    written = []
+    monkeypatch.setattr(selection, "materialise", lambda rows: written.append(rows.columns) or rows)
+    reduced, fitted = selection.reduce_features(df, ["id"], 2, standardise=True)
+    assert written == [["id", "assembled_features"]]
+    again = fitted.transform(selection.numeric_frame(df, ["id"]))
+    assert [r["pca_features"] for r in reduced.orderBy("id").collect()] == [r["pca_features"] for r in again.orderBy("id").collect()]
