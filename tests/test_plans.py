@@ -111,3 +111,21 @@ def test_feature_frame_with_forced_heavy_keys_scans_each_table_a_few_times(spark
     assert light.count("FileScan") <= 7 and len(exchanges(light)) <= 6
     heavy = plan(feature_frame.build_feature_frame(lazy, hot_rows=1, share=0.0, pieces=3)[0])
     assert heavy.count("FileScan") <= 12 and len(exchanges(heavy)) <= 12
+
+
+def test_facts_of_the_past_move_key_and_time_only(spark, views, monkeypatch):
+    """The loan's other columns go through no window of the past, and the facts are those that a carried frame has."""
+    from conftest import assert_same
+
+    es = feature_frame.entity_set({n: views[n] for n in ("loans", "purchases")})
+    frame = views["loans"].select("LOAN_ID", KEY, "LOAN_ISSUANCE_DATE", "LOAN_AMOUNT", "SPENT")
+    child = es.entities["purchases"]
+    want = prefix.history_so_far(frame, child, KEY, ["ORDER_PRICE"], prefix="purchases_", slices=None)
+    moved = []
+    for name in ("history_so_far", "categories_so_far", "quantiles_so_far"):
+        plain = getattr(prefix, name)
+        monkeypatch.setattr(prefix, name, lambda loans, *a, f=plain, **b: moved.append(loans.columns) or f(loans, *a, **b))
+    out, made = feature_frame.with_past(frame, es)
+    assert moved == [["_past_of", KEY, "LOAN_ISSUANCE_DATE"]] * 5
+    assert out.columns == [*frame.columns, *[f.name for f in made]]
+    assert_same(out.select(*want.columns), want)
