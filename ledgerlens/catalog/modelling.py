@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -233,18 +235,19 @@ def _(spark, sf_dir):
 ASIDE = ["label"]
 
 
-def labelled_frame(spark, sf_dir, target):
-    """Every column of the issuance frame with the label, in a table that all fits read."""
+def labelled_frame(spark, sf_dir, target, parted):
+    """Every column of the issuance frame with the label and its part by ``parted``, in a table that all fits read. Parts depend on
+    ids and labels only, so these are ranked before the wide rows are joined to them, which are written once."""
     v = load_views(spark, sf_dir)
-    label = shape.make_label(v["loans"], target).select("LOAN_ID", F.col("label").cast("double").alias("label"))
-    return materialise(feature_frame.build_feature_frame(v)[0].join(label, "LOAN_ID"))
+    label = materialise(shape.make_label(v["loans"], target).select("LOAN_ID", F.col("label").cast("double").alias("label")))
+    return materialise(feature_frame.build_feature_frame(v)[0].join(materialise(parted(label.where("LOAN_ID IS NOT NULL"))), "LOAN_ID"))
 
 
 @query("m5_m6_classifier_scores")
 def _(spark, sf_dir):
     """Frame, split by time, reduction learned from the training part alone, boosting that stops on the validation part."""
     aside = ["label", "stratified_split", "split", "is_validation"]
-    parted = materialise(split.stratified_time_split(labelled_frame(spark, sf_dir, "LOAN_NOT_PAID")))
+    parted = labelled_frame(spark, sf_dir, "LOAN_NOT_PAID", split.stratified_time_split)
     learned = reduction.fit(parted.where("split = 'train'").drop(*aside), IDS)
     rows = materialise(learned.apply(parted, *aside))
     booster = model.fit_classifier(split.train_rows(rows))
@@ -255,7 +258,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Forward-chained folds, each with a reduction of its own."""
     aside = ["label", "stratified_split", "fold"]
-    folded = materialise(split.time_folds(labelled_frame(spark, sf_dir, "SPENT")))
+    folded = labelled_frame(spark, sf_dir, "SPENT", split.time_folds)
     return model.forward_search(model.reduced_folds(folded, IDS, aside, 5), model.grid())[1]
 
 
@@ -265,7 +268,7 @@ def _(spark, sf_dir):
     report by week."""
     v = load_views(spark, sf_dir)
     aside = ["label", "stratified_split", "split"]
-    parted = materialise(split.time_split(labelled_frame(spark, sf_dir, "SPENT"), cut=0.5))
+    parted = labelled_frame(spark, sf_dir, "SPENT", partial(split.time_split, cut=0.5))
     learned = reduction.fit(parted.where("split = 'train'").drop(*aside), IDS)
     rows = materialise(learned.apply(parted, *aside))
     forest = model.candidates()["random_forest"].fit(rows.where("split = 'train'"))

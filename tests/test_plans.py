@@ -129,3 +129,16 @@ def test_facts_of_the_past_move_key_and_time_only(spark, views, monkeypatch):
     assert moved == [["_past_of", KEY, "LOAN_ISSUANCE_DATE"]] * 5
     assert out.columns == [*frame.columns, *[f.name for f in made]]
     assert_same(out.select(*want.columns), want)
+
+
+def test_parts_are_ranked_before_wide_rows_are_joined(spark):
+    """Only ids and labels are ranked, and the parts are those that the joined frame would have."""
+    from conftest import assert_same
+
+    from ledgerlens.catalog import modelling
+
+    ranked = []
+    out = modelling.labelled_frame(spark, SF, "LOAN_NOT_PAID", lambda rows: ranked.append(rows.columns) or split.stratified_time_split(rows))
+    assert ranked == [["LOAN_ID", "label"]] and len(out.columns) > 100
+    found = ["LOAN_ID", "label", "stratified_split", "split", "is_validation"]
+    assert_same(out.select(*found), split.stratified_time_split(out.select("LOAN_ID", "label")))
