@@ -35,8 +35,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4,096 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    """Pieces of all documents with their places in sequences of 4,096 tokens. The executors still hold what earlier stages left, so
+    the workers take small slices and keep few chunks."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), slice_bytes=1 << 17, kept=20_000)
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing", mix), ("packing", pack)]

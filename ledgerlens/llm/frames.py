@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens import session
 from ledgerlens.session import materialise
 
 #: A word is a run of anything but space and the characters 0x09-0x0D.
@@ -16,8 +19,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 #: A key with at least this share of the rows is heavy. There are at most 1 / HEAVY_SHARE of them, which bounds their broadcast.
 HEAVY_SHARE = 1e-3
+#: Bytes of one Arrow batch between an executor and its Python workers, where whole texts go over. Spark's own bound is rows first,
+#: and the executor and the worker both hold a batch more than once.
+BATCH_BYTES = 2 << 20
 
-__all__ = ["BROADCAST_ROWS", "HEAVY_SHARE", "SPACE", "WORD", "attach", "let", "materialise", "packed", "release", "table", "whole_text"]
+__all__ = ["BROADCAST_ROWS", "HEAVY_SHARE", "SPACE", "WORD", "attach", "let", "materialise", "materialise_lean", "packed", "release", "small_batches", "table", "whole_text"]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs inside pass Arrow batches of about `most` bytes (or one longer row); the session's setting is put back at the end."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def materialise_lean(df: DataFrame) -> DataFrame:
+    """`materialise` for frames whose Python functions read or return long rows."""
+    with small_batches(df.sparkSession):
+        return session.materialise(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

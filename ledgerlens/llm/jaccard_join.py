@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import bytehash
 from ledgerlens.llm.components import components
-from ledgerlens.llm.frames import BROADCAST_ROWS, attach, materialise, packed, release, whole_text
+from ledgerlens.llm.frames import BROADCAST_ROWS, attach, packed, release, small_batches, whole_text
+from ledgerlens.llm.frames import materialise_lean as materialise
 
 #: Cells of the count table, the count a cell must reach within `COUNTED` bytes of text to be listed, and how many are kept.
 CELLS, CELL_LEAST, HOT_CELLS = 1 << 22, 3, 200_000
@@ -125,7 +126,8 @@ def frequent_cells(texts: DataFrame, size: int) -> np.ndarray:
         return cell_counts(batches, size)
 
     sums = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.col("n").desc(), "cell").limit(HOT_CELLS).toPandas()
+    with small_batches(texts.sparkSession):
+        top = sums.orderBy(F.col("n").desc(), "cell").limit(HOT_CELLS).toPandas()
     cells = np.zeros(CELLS, dtype=np.int64)
     cells[top["cell"].to_numpy(dtype=np.int64)] = top["n"].to_numpy(dtype=np.int64)
     return cells.astype(np.uint32) if cells.max(initial=0) < 1 << 32 else cells

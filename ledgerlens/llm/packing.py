@@ -15,6 +15,7 @@ result; other columns are not read and cannot clash.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import bytehash
 from ledgerlens.llm.bytehash import tidy
-from ledgerlens.llm.frames import materialise, whole_text
+from ledgerlens.llm.frames import materialise_lean, whole_text
 
 CAPACITY = 4096
 END_ID = 2
@@ -74,6 +75,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core, and each thread of the tokenizer's own would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -215,15 +218,19 @@ def batches_of(texts: list[bytes], most: int = 4 << 20):
         yield first, len(texts)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: `doc_id, start, length, ids_crc32, doc_tokens`."""
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE, kept: int = CACHE
+) -> DataFrame:
+    """One row per piece: `doc_id, start, length, ids_crc32, doc_tokens`. Smaller `slice_bytes` and fewer `kept` chunks take less
+    memory of a worker and more of its time; the rows are the same."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        encode.recent = Recent(kept)
         for batch in batches:
             data, offsets = bytehash.column_bytes(batch.column(1))
-            for first, last in bytehash.slices(offsets, SLICE):
+            for first, last in bytehash.slices(offsets, slice_bytes):
                 ids, begin = encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], end_id)
                 n = np.diff(begin)
                 many = -(-n // capacity)
@@ -234,7 +241,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 sums = [zlib.crc32(whole[a : a + 4 * b]) for a, b in zip(at.tolist(), length.tolist())]
                 docs_ = batch.column(0).slice(first, last - first).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([docs_, pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(n[row])], names=names)
-        encode.recent = Recent(CACHE)  # the worker's next task may be of another kind
+        encode.recent = Recent(kept)  # the worker's next task may be of another kind
         tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t")).mapInArrow(cut, PIECE)
@@ -275,7 +282,7 @@ def first_fit_decreasing(lengths, capacity: int = CAPACITY) -> tuple[list[int],
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, seed: int = SEED) -> DataFrame:
     """Adds `sequence_id` and `offset` to a table of pieces (their columns `doc_id, start, length` are needed)."""
-    written = materialise(cut.withColumn("at", F.monotonically_increasing_id()))
+    written = materialise_lean(cut.withColumn("at", F.monotonically_increasing_id()))
     groups = max(1, -(-written.count() // group_pieces))
     grouped = written.withColumn("box", F.pmod(F.xxhash64(F.lit(seed), "at"), F.lit(groups)))
     fields = [f for f in written.schema.fields if f.name != "at"]
@@ -293,6 +300,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return grouped.groupBy("box").applyInArrow(fill, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, slice_bytes: int = SLICE, kept: int = CACHE
+) -> DataFrame:
     """One row per piece: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`."""
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity, group_pieces)
+    return pack(pieces(docs, tokenizer, capacity, end_id, slice_bytes=slice_bytes, kept=kept), capacity, group_pieces)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -13,7 +15,7 @@ import pytest
 from samples import AWKWARD, corpus, docs_of  # noqa: F401
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import bytehash, packing, token_counts
+from ledgerlens.llm import bytehash, frames, packing, token_counts
 from ledgerlens.llm.queries import vocabulary
 
 WORDS = vocabulary("word_bpe_49k.json")
@@ -161,3 +163,35 @@ def test_a_full_table_of_words_changes_nothing(monkeypatch):
 @pytest.mark.parametrize("lengths", [[], [4096], [1]])
 def test_single_bins(lengths):
     assert packing.first_fit_decreasing(lengths) == ([0] * len(lengths), [0] * len(lengths))
+
+
+def test_small_slices_and_few_kept_chunks_give_the_same_rows(corpus):
+    plain = packing.pack_documents(corpus, WORDS).collect()
+    small = packing.pack_documents(corpus, WORDS, slice_bytes=700, kept=5).collect()
+    assert plain and sorted(map(tuple, small)) == sorted(map(tuple, plain))
+
+
+def test_long_texts_go_to_workers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 6_000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 400) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    seen = [r.n for r in frames.materialise_lean(docs.mapInArrow(sizes, "n long")).collect()]
+    assert sum(seen) > 12_000_000 and max(seen) < 2 * frames.BATCH_BYTES
+    assert spark.conf.get(name) == before
+
+
+def test_a_worker_tokenizes_without_threads_of_its_own():
+    code = f"""
+import os
+import pyarrow as pa
+from ledgerlens.llm import bytehash, packing
+encode, before = packing.Encoder({WORDS!r}), len(os.listdir("/proc/self/task"))
+encode(*bytehash.column_bytes(pa.array([f"Word-{{i}} {{i * 7919}}x" for i in range(5000)])))
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
